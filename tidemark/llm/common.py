@@ -37,13 +37,27 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/tidemark/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and return the table read back."""
+def settle(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and return the table read back.
+
+    With ``free`` the driver collects its garbage afterwards: shuffle files of
+    steps that are over go at once, not when the heap happens to fill."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if free:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast (some 20 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """``rows``, a settled table of a few numbers a row, to be broadcast if it counts few enough rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again."""
     for table in tables:

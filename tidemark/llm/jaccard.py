@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, group_best, pick, settle, sized, text_bytes, union_all
+from tidemark.llm.common import discard, group_best, pick, settle, sized, small_side, text_bytes, union_all
 from tidemark.llm.components import connected_components
 from tidemark.llm.tokens import SHINGLE, mix, set_digest, shingle_set
 
@@ -237,6 +237,8 @@ def _level(rows: int, limit: int, share: int):
         for batch in batches:
             out = []
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and key == last and row[0] == group[-1][0]:
+                    continue  # a repeated row
                 if group and (key != last or len(group) >= rows or size >= limit and len(group) > 1):
                     out += close(group)
                     group, size = [], 0
@@ -264,6 +266,8 @@ def _gather(rows: int, limit: int):
         group, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:2] == group[-1][:2]:
+                    continue  # a repeated row
                 if group and (row[0] != group[0][0] or len(group) >= rows or size >= limit):
                     yield _batch(_GROUP_SCHEMA, [close(group)])
                     group, size = [], 0
@@ -350,7 +354,7 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = sized(text_bytes(plain), PART_BYTES, least=32)
     blobs = plain.mapInArrow(_spread_documents(parts, k), _BLOB)
-    counted = settle(blobs.groupBy("part").applyInArrow(_count_shared, _COUNT), "overlap")
+    counted = settle(blobs.groupBy("part").applyInArrow(_count_shared, _COUNT), "overlap", free=True)
 
     rows = counted.filter("shared is null").select("doc_id", "n", "d1", "d2")
     bound = counted.groupBy("d1").agg(F.sum("shared").alias("shared"), F.sum(F.when(F.col("shared").isNull() & F.col("doc_id").isNotNull(), F.col("n"))).alias("n"))
@@ -358,23 +362,24 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
 
     named = rows.filter("n > 0 and doc_id is not null").withColumn("digest", F.struct("d1", "d2")).withColumn("order", F.col("doc_id"))
     copies = settle(group_best(named.select("doc_id", "digest", "order"), "digest", "order", "doc_id").select("doc_id", "digest", "best"), "copies")
-    firsts = copies.filter("doc_id = best").select("doc_id", F.col("digest.d1").alias("d1"), F.col("digest.d2").alias("d2")).distinct().join(alive, "d1", "left_semi")
-    sets = settle(plain.join(firsts, "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(_sets(k), _SET).dropDuplicates(["node"]), "sets")
+    firsts = settle(copies.filter("doc_id = best").select("doc_id", F.col("digest.d1").alias("d1"), F.col("digest.d2").alias("d2")).distinct().join(alive, "d1", "left_semi"), "firsts")
+    sets = settle(plain.join(small_side(firsts), "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(_sets(k), _SET), "sets", free=True)
 
     links, level = [], sets
     for j in range(LEVELS):
         key = f"k{j}"
         dealt = level.select(F.col(key).alias("key"), "node", "n", "tokens", "k0", "k1", "k2").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-        done = settle(dealt.mapInArrow(_level(GROUP_ROWS, GROUP_TOKENS, share), _SET + ", root long"), f"level{j}")
+        done = settle(dealt.mapInArrow(_level(GROUP_ROWS, GROUP_TOKENS, share), _SET + ", root long"), f"level{j}", free=True)
         links.append(done.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         level = done.filter("node = root").drop("root")
 
-    classes = connected_components(union_all(links))
-    classed = settle(sets.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n", "tokens"), "classed")
+    classes = settle(connected_components(union_all(links)), "classes")
+    classed = sets.join(small_side(classes), "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n", "tokens")
     again = classed.select("node", "class", "tokens").mapInArrow(_spread_sets(parts), _BLOB).groupBy("part").applyInArrow(_count_shared, _COUNT)
-    near = again.groupBy(F.col("d1").alias("node")).agg(F.sum("shared").alias("shared"))
-    left = classed.join(near, "node").filter(f"100 * shared >= {share} * n").select("class", "node", "n", "tokens")
-    groups = settle(left.repartitionByRange("class", "node").sortWithinPartitions("class", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups")
+    most = again.groupBy(F.col("d1").alias("node")).agg(F.sum("shared").alias("shared"))
+    near = settle(classed.select("node", "n").distinct().join(most, "node").filter(f"100 * shared >= {share} * n").select("node"), "near", free=True)
+    left = classed.join(small_side(near), "node").select("class", "node", "n", "tokens")
+    groups = settle(left.repartitionByRange("class", "node").sortWithinPartitions("class", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
     heads = groups.select("gid", "class", "sizes", "tokens").mapInArrow(_spread_prefixes(parts, share), _BLOB)
     pairs = heads.groupBy("part").applyInArrow(_pair_groups, "a long, b long").distinct()
     side = lambda n: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("nodes", "sizes", "tokens")])
@@ -384,7 +389,7 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     same = copies.filter("doc_id <> best").select(F.col("doc_id").alias("a"), F.col("best").alias("b"))
     merged = classes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(union_all([merged, crossed, same]))
-    discard(sets, classed, groups)
+    discard(sets, groups)
     return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
