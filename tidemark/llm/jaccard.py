@@ -12,10 +12,10 @@ only qualifying groups are opened and compared exactly:
    Three levels, each over the roots of the one before, gather similar sets into
    classes without comparing all pairs of a large class.
 3. The matrix is counted again with classes as groups.  What still overlaps
-   other classes by 80 % is put into bounded groups that store the union of
-   their tokens; groups of different classes that share a prefix token are
-   paired, the overlap of each query set with the other group's union is
-   bounded, and only qualifying groups are opened.
+   other classes by 80 % is put into bounded groups of similar sets; groups that
+   share a prefix token in sets of different classes are paired, the overlap of
+   each query set with the other group's token union is bounded, and only
+   qualifying sets open the group.
 
 Steps 1 and 3 are exact filters: a pair with ``100 * |x & y| >= 80 * |x | y|``
 shares at least 80 % of either set and at least one prefix token of both.
@@ -252,15 +252,57 @@ def _level(rows: int, limit: int, share: int):
     return run
 
 
-_GROUP = "gid long, class long, nodes binary, sizes binary, tokens binary"
-_GROUP_SCHEMA = pa.schema([("gid", pa.int64()), ("class", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
+def _rarity(table: pa.Table) -> pa.Table:
+    """For each key of a part, in the order of its tokens there: in how many classes each token lies."""
+    keys, groups, counts, tokens = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c]) for name, kind in (("keys", np.int64), ("groups", np.int64), ("counts", np.uint32), ("tokens", np.uint32)))
+    group = np.repeat(groups, counts)
+    order = np.lexsort((group, tokens))
+    token, group = tokens[order], group[order]
+    new = np.concatenate(([True], token[1:] != token[:-1]))
+    start = np.flatnonzero(new)
+    several = np.add.reduceat(new | np.concatenate(([True], group[1:] != group[:-1])), start)
+    rarity = np.empty(len(tokens), np.uint32)
+    rarity[order] = np.repeat(several, np.diff(np.append(start, len(tokens))))
+    at = np.concatenate(([0], np.cumsum(counts)))
+    raw = [rarity[at[i] : at[i + 1]].tobytes() for i in range(len(keys))]
+    return pa.table({"node": keys, "part": pa.array([table.column("part")[0].as_py()] * len(keys), pa.int32()), "rarity": pa.array(raw, pa.binary())})
+
+
+_RANKED = "k0 long, node long, class long, n long, tokens binary, head binary"
+
+
+def _heads(parts: int, share: int):
+    """The prefix of each set, rarest tokens first, without those of no other class: a pair that links shares a token of both prefixes."""
+    schema = pa.schema([*[(c, pa.int64()) for c in ("k0", "node", "class", "n")], ("tokens", pa.binary()), ("head", pa.binary())])
+
+    def head(raw: bytes, rarity: list[dict]) -> bytes:
+        tokens = np.frombuffer(raw, np.uint64)
+        dealt = np.argsort((tokens % np.uint64(parts)).astype(np.int32), kind="stable")
+        rare = np.empty(len(tokens), np.uint32)
+        rare[dealt] = np.frombuffer(b"".join(r["rarity"] for r in rarity), np.uint32)
+        first = np.lexsort((tokens, rare))[: len(tokens) - -(-share * len(tokens) // 100) + 1]
+        return tokens[first[rare[first] > 1]].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
+                yield _batch(schema, [(*row[:5], head(row[4], row[5])) for row in rows])
+
+    return run
+
+
+_GROUP = "gid long, classes binary, nodes binary, sizes binary, tokens binary, cuts binary, heads binary"
+_GROUP_SCHEMA = pa.schema([("gid", pa.int64()), *[(c, pa.binary()) for c in ("classes", "nodes", "sizes", "tokens", "cuts", "heads")]])
 
 
 def _gather(rows: int, limit: int):
-    """Sorted (class, node, n, tokens) rows into bounded groups."""
+    """Sorted (key, node, class, n, tokens, head) rows into bounded groups of sets that share a minimum hash."""
 
     def close(group: list[tuple]) -> tuple:
-        return (group[0][1], group[0][0], np.array([g[1] for g in group], np.int64).tobytes(), np.array([g[2] for g in group], np.int64).tobytes(), b"".join(g[3] for g in group))
+        packed = [np.array([g[i] for g in group], np.int64).tobytes() for i in (2, 1, 3)]
+        cuts = np.array([len(g[5]) // 8 for g in group], np.int64).tobytes()
+        return (group[0][1], *packed, b"".join(g[4] for g in group), cuts, b"".join(g[5] for g in group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
@@ -272,7 +314,7 @@ def _gather(rows: int, limit: int):
                     yield _batch(_GROUP_SCHEMA, [close(group)])
                     group, size = [], 0
                 group.append(row)
-                size += row[2]
+                size += row[3]
         if group:
             yield _batch(_GROUP_SCHEMA, [close(group)])
 
@@ -283,18 +325,19 @@ def _members(sizes: bytes, tokens: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(tokens, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
 
 
-def _spread_prefixes(parts: int, share: int):
-    """Blobs of each group's prefix tokens: a pair that links shares one of the first n - ceil(share n) + 1 tokens of both."""
+def _spread_prefixes(parts: int):
+    """Blobs of the prefix tokens of each group's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, keys, groups, size = [], [], [], 0
         for batch in batches:
-            for gid, group, sizes, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                heads = [s[: len(s) - -(-share * len(s) // 100) + 1] for s in _members(sizes, tokens)]
-                sets.append(np.unique(np.concatenate(heads)))
-                keys.append(gid)
-                groups.append(group)
-                size += len(sets[-1])
+            for gid, classes, cuts, heads in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for head, own in zip(_members(cuts, heads), np.frombuffer(classes, np.int64).tolist(), strict=True):
+                    if len(head):
+                        sets.append(head)
+                        keys.append(gid)
+                        groups.append(own)
+                        size += len(head)
                 if size >= BLOCK_TOKENS:
                     yield from _deal(sets, keys, groups, parts, None, 0)
                     sets, keys, groups, size = [], [], [], 0
@@ -305,42 +348,46 @@ def _spread_prefixes(parts: int, share: int):
 
 
 def _pair_groups(table: pa.Table) -> pa.Table:
-    """Pairs of groups of different classes that share a prefix token of this part."""
+    """Pairs of groups (a group with itself as well) that share a prefix token of this part in sets of different classes."""
     key, group, start, _ = _runs(table)
     found: set[tuple[int, int]] = set()
-    end = np.append(start[1:], len(key))
-    several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start) if len(key) else start
-    for lo, hi in zip(start[several], end[several], strict=True) if len(key) else ():
-        k, g = key[lo:hi], group[lo:hi]
-        for i in range(len(k)):
-            other = k[(g != g[i]) & (k > k[i])]
-            found.update((int(k[i]), int(o)) for o in other)
+    if len(key):
+        end = np.append(start[1:], len(key))
+        several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+        for lo, hi in zip(start[several].tolist(), end[several].tolist(), strict=True):
+            ids = sorted(set(key[lo:hi].tolist()))
+            found.update((a, b) for i, a in enumerate(ids) for b in ids[i:])
     pairs = sorted(found)
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _open_groups(share: int):
-    """Bounds every query set of one group against the other group's token union, opens the group for those that qualify, and gives one link at most: either side is a class already."""
-
-    def link(qn, qs, gn, gs):
-        union = np.unique(np.concatenate(gs))
-        for node, query in zip(qn, qs, strict=True):
-            if 100 * np.isin(query, union, assume_unique=True).sum() >= share * len(query):
-                for other, member in zip(gn, gs, strict=True):
-                    if min(len(query), len(member)) * 100 >= share * max(len(query), len(member)):
-                        both = np.intersect1d(query, member, assume_unique=True).size
-                        if 100 * both >= share * (len(query) + len(member) - both):
-                            return int(node), int(other)
-        return None
+def link_groups(query: tuple, group: tuple, share: int) -> list[tuple[int, int]]:
+    """Links between sets of two groups (nodes, classes, token sets), one at most for each pair of classes that is joined.
+
+    Each query set is bounded by its overlap with the group's token union; only
+    qualifying sets open the group."""
+    union = np.unique(np.concatenate(group[2]))
+    open_ = [i for i, q in enumerate(query[2]) if 100 * np.isin(q, union, assume_unique=True).sum() >= share * len(q)]
+    if not open_:
+        return []
+    inter = overlaps([query[2][i] for i in open_] + group[2])[: len(open_), len(open_) :]
+    nq, ng = np.array([len(query[2][i]) for i in open_]), np.array([len(g) for g in group[2]])
+    near = 100 * inter >= share * (nq[:, None] + ng[None, :] - inter)
+    joined: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = int(query[1][open_[i]]), int(group[1][j])
+        if x != y:
+            joined.setdefault((min(x, y), max(x, y)), (int(query[0][open_[i]]), int(group[0][j])))
+    return list(joined.values())
 
+
+def _open_groups(share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sides = [(np.frombuffer(row[i], np.int64), _members(row[i + 1], row[i + 2])) for i in (0, 3)]
-                sides.sort(key=lambda s: len(s[0]))
-                if hit := link(*sides[0], *sides[1]):
-                    found.append(hit)
+                a, b = ((np.frombuffer(row[i], np.int64), np.frombuffer(row[i + 1], np.int64), _members(row[i + 2], row[i + 3])) for i in (0, 4))
+                found += link_groups(a, b, share)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
@@ -374,22 +421,26 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
         level = done.filter("node = root").drop("root")
 
     classes = settle(connected_components(union_all(links)), "classes")
-    classed = sets.join(small_side(classes), "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n", "tokens")
+    classed = sets.join(small_side(classes), "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n", "tokens", "k0")
     again = classed.select("node", "class", "tokens").mapInArrow(_spread_sets(parts), _BLOB).groupBy("part").applyInArrow(_count_shared, _COUNT)
     most = again.groupBy(F.col("d1").alias("node")).agg(F.sum("shared").alias("shared"))
     near = settle(classed.select("node", "n").distinct().join(most, "node").filter(f"100 * shared >= {share} * n").select("node"), "near", free=True)
-    left = classed.join(small_side(near), "node").select("class", "node", "n", "tokens")
-    groups = settle(left.repartitionByRange("class", "node").sortWithinPartitions("class", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
-    heads = groups.select("gid", "class", "sizes", "tokens").mapInArrow(_spread_prefixes(parts, share), _BLOB)
+    left = settle(classed.join(small_side(near), "node").select("k0", "node", "class", "n", "tokens").dropDuplicates(["node"]), "left")
+    rare = left.select("node", "class", "tokens").mapInArrow(_spread_sets(parts), _BLOB).groupBy("part").applyInArrow(_rarity, "node long, part int, rarity binary")
+    each = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "rarity"))).alias("rarity"))
+    ranked = left.join(each, "node").select("k0", "node", "class", "n", "tokens", "rarity").mapInArrow(_heads(parts, share), _RANKED)
+    groups = settle(ranked.repartitionByRange("k0", "node").sortWithinPartitions("k0", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
+    heads = groups.select("gid", "classes", "cuts", "heads").mapInArrow(_spread_prefixes(parts), _BLOB)
     pairs = heads.groupBy("part").applyInArrow(_pair_groups, "a long, b long").distinct()
-    side = lambda n: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("nodes", "sizes", "tokens")])
-    opened = pairs.join(side("a"), "a").join(side("b"), "b").select(*[f"{n}_{c}" for n in "ab" for c in ("nodes", "sizes", "tokens")])
-    crossed = settle(opened.mapInArrow(_open_groups(share), "a long, b long"), "crossed")
+    columns = ("nodes", "classes", "sizes", "tokens")
+    side = lambda n: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
+    opened = pairs.join(side("a"), "a").join(side("b"), "b").select(*[f"{n}_{c}" for n in "ab" for c in columns])
+    crossed = settle(opened.mapInArrow(_open_groups(share), "a long, b long"), "crossed", free=True)
 
     same = copies.filter("doc_id <> best").select(F.col("doc_id").alias("a"), F.col("best").alias("b"))
     merged = classes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(union_all([merged, crossed, same]))
-    discard(sets, groups)
+    discard(sets, left, groups)
     return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
