@@ -263,7 +263,7 @@ def _rarity(table: pa.Table) -> pa.Table:
     several = np.add.reduceat(new | np.concatenate(([True], group[1:] != group[:-1])), start)
     rarity = np.empty(len(tokens), np.uint32)
     rarity[order] = np.repeat(several, np.diff(np.append(start, len(tokens))))
-    at = np.concatenate(([0], np.cumsum(counts)))
+    at = np.concatenate(([0], np.cumsum(counts.astype(np.int64)))).astype(np.int64)
     raw = [rarity[at[i] : at[i + 1]].tobytes() for i in range(len(keys))]
     return pa.table({"node": keys, "part": pa.array([table.column("part")[0].as_py()] * len(keys), pa.int32()), "rarity": pa.array(raw, pa.binary())})
 
