@@ -1,6 +1,442 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver tables, each with its SQL.
+
+``conversations`` stand in for sessions with messages, ``documents`` for a
+corpus by provider (``source``), ``events`` for tool calls and results,
+``pages`` for sessions with a working directory (the path of the URL).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import coerce, text
+from tidemark.operators import collect, filters, relations, search, stats
+from tidemark.operators.search import TextQuery
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("provider"), F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+_CORPUS = "corpus AS (SELECT doc_id, source AS provider, coalesce(substring(text, 1, 60), '') AS title, coalesce(text, '') AS content FROM documents)"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
+
+
+def _path() -> F.Column:
+    return F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1)
+
+
+# --- search -----------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, 'the', 'i')")
+def kw_filter(spark, d):
+    return _t(spark, d, "conversations").filter(TextQuery.phrase("the").matches(F.col("text"))).select("conv_id", "turn")
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, 'of the', 'i')")
+def kw_phrase(spark, d):
+    return _t(spark, d, "conversations").filter(TextQuery.phrase("  of   the ").matches(F.col("text"))).select("conv_id", "turn")
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, 'the', 'i') AND regexp_matches(text, 'and', 'i')")
+def search_terms_all(spark, d):
+    return _t(spark, d, "conversations").filter(TextQuery.terms("the and the").matches(F.col("text"))).select("conv_id", "turn")
+
+
+@_query("SELECT doc_id FROM documents WHERE (regexp_matches(source, 'src1', 'i') OR regexp_matches(text, 'src1', 'i')) AND (regexp_matches(source, 'en', 'i') OR regexp_matches(text, 'en', 'i'))")
+def search_terms_cross_field(spark, d):
+    return _t(spark, d, "documents").filter(TextQuery.terms("src1 en").matches(F.col("source"), F.col("text"))).select("doc_id")
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, CASE WHEN regexp_matches(title, 'the', 'i') AND regexp_matches(title, 'ing', 'i') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rank FROM corpus WHERE (regexp_matches(title, 'the', 'i') OR regexp_matches(content, 'the', 'i')) AND (regexp_matches(title, 'ing', 'i') OR regexp_matches(content, 'ing', 'i')) ORDER BY rank DESC, doc_id DESC LIMIT 20")
+def search_literal_rank_topk(spark, d):
+    found = search.literal_rank(_corpus(spark, d), TextQuery.terms("the ing"))
+    return search.top(found.select("doc_id", "rank"), 20, F.desc("rank"), F.desc("doc_id"))
+
+
+@_query("""
+WITH s AS (SELECT conv_id, min(text) FILTER (turn = 0) AS t0, string_agg(text, ' ' ORDER BY turn) AS content FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(substring(t0, 1, 60), '') AS title, content, lower(coalesce(substring(t0, 1, 60), '') || content) AS t FROM s),
+w AS (SELECT *, (greatest(length(title) - 2, 0) + greatest(length(content) - 2, 0))::DOUBLE AS len, ((length(t) - length(replace(t, 'the', ''))) / 3)::DOUBLE AS a, ((length(t) - length(replace(t, 'ment', ''))) / 4)::DOUBLE AS b FROM c),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS al, (count(*) FILTER (a > 0))::DOUBLE AS da, (count(*) FILTER (b > 0))::DOUBLE AS db FROM w)
+SELECT conv_id, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al)), 6) AS rank
+FROM w, g WHERE a > 0 AND b > 0 ORDER BY rank DESC, conv_id LIMIT 20""")
+def search_bm25_topk(spark, d):
+    turns = _t(spark, d, "conversations")
+    packed = turns.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("t0"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    corpus = packed.select("conv_id", F.coalesce(F.substring("t0", 1, 60), F.lit("")).alias("title"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("content"))
+    found = search.bm25(corpus, TextQuery.terms("the ment"))
+    return search.top(found.select("conv_id", "rank"), 20, F.desc("rank"), F.asc("conv_id"))
+
+
+@_query("""
+WITH p AS (SELECT conv_id, turn, text, length(regexp_extract(text, '(?is)^(.*?)and', 1)) AS p FROM conversations WHERE regexp_matches(text, 'and', 'i')),
+q AS (SELECT *, greatest(p - 48, 0) AS s, least(p + 51, length(text)) AS e FROM p)
+SELECT conv_id, turn, (CASE WHEN s > 0 THEN '...' ELSE '' END) || substring(text, s + 1, p - s) || '**' || substring(text, p + 1, 3) || '**' || substring(text, p + 4, e - p - 3) || (CASE WHEN e < length(text) THEN '...' ELSE '' END) AS snippet FROM q""")
+def snippet(spark, d):
+    return _t(spark, d, "conversations").filter(text.has_literal(F.col("text"), "and")).select("conv_id", "turn", text.snippet(F.col("text"), "and").alias("snippet"))
+
+
+@_query("WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) <= 96 THEN t ELSE rtrim(substring(t, 1, 96)) || '...' END AS excerpt FROM c")
+def excerpt(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+# --- filters ----------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS turn FROM conversations WHERE regexp_matches(text, 'en', 'i') AND lower(role) IN ('user', 'assistant') GROUP BY conv_id")
+def role_evidence(spark, d):
+    return filters.role_evidence(_t(spark, d, "conversations"), "conv_id", "turn", TextQuery.phrase("en"), ["user", "assistant"])
+
+
+@_query("SELECT conv_id, count(*) AS messages FROM conversations WHERE lower(role) = 'user' GROUP BY conv_id")
+def role_only(spark, d):
+    return _t(spark, d, "conversations").filter(F.lower("role") == "user").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@_query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src3')")
+def provider_scope(spark, d):
+    return _t(spark, d, "documents").filter(F.col("source").isin("src1", "src3")).select("doc_id", "source")
+
+
+@_query(f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), s AS (SELECT min(path) AS scope FROM p WHERE path <> '' AND path <> '/') SELECT page_id, path FROM p, s WHERE path = scope OR starts_with(path, scope || '/') OR starts_with(scope, path || '/')")
+def path_scope(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", _path().alias("path"))
+    scope = pages.filter("path <> '' and path <> '/'").agg(F.min("path")).first()[0]
+    return pages.filter(filters.path_scope(F.col("path"), scope or "/"))
+
+
+@_query(f"SELECT page_id FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE NOT (path = '/blog' OR starts_with(path, '/blog/') OR path = '/news' OR starts_with(path, '/news/'))")
+def path_deny(spark, d):
+    return _t(spark, d, "pages").select("page_id", _path().alias("path")).filter(~filters.denied(F.col("path"), ["/blog", "/news"])).select("page_id")
+
+
+@_query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def time_window(spark, d):
+    events = _t(spark, d, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    return events.join(F.broadcast(now), filters.recent(events["ts"], now["now"], 7)).select("event_id")
+
+
+@_query("SELECT event_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def date_range(spark, d):
+    return _t(spark, d, "events").filter(F.to_date("ts").between("2024-01-05", "2024-01-09")).select("event_id")
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE NOT (role = 'developer' OR (role = 'user' AND (contains(lower(text), 'agents.md instructions for') OR contains(lower(text), '<environment_context>'))))")
+def injected_filter(spark, d):
+    return _t(spark, d, "conversations").filter(filters.not_injected(F.col("role"), F.col("text"))).select("conv_id", "turn")
+
+
+@_query("SELECT event_id, user_id, epoch_us(ts) AS us FROM events ORDER BY ts DESC, user_id, event_id LIMIT 20")
+def recency_topk(spark, d):
+    return search.top(_t(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), 20, F.desc("us"), F.asc("user_id"), F.asc("event_id"))
+
+
+@_query("SELECT lang AS provider, doc_id AS id FROM documents WHERE lang = 'en' UNION ALL SELECT lang, doc_id FROM documents WHERE lang = 'de'")
+def union_providers(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("lang").alias("provider"), F.col("doc_id").alias("id"))
+    return docs.filter("provider = 'en'").unionByName(docs.filter("provider = 'de'"))
+
+
+@_query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://(.*)$', 1) AS id FROM pages")
+def uri_parse(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://(.*)$", 1).alias("id"))
+
+
+# --- projections --------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) AS corpus FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def corpus_build(spark, d):
+    packed = _t(spark, d, "conversations").filter(F.trim("text") != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("t")))).alias("m"))
+    return packed.select("conv_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n\n").alias("corpus"))
+
+
+@_query("SELECT doc_id, coalesce(nullif(substring(trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), 1, 100), ''), source, 'Untitled Session') AS title FROM documents")
+def title_fallback(spark, d):
+    return _t(spark, d, "documents").select("doc_id", text.title(F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.col("source")).alias("title"))
+
+
+@_query("SELECT conv_id, arg_min(text, turn) AS title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') WHERE r >= 2 GROUP BY conv_id")
+def nth_user_title(spark, d):
+    users = _t(spark, d, "conversations").filter("role = 'user'").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    return users.filter("r >= 2").groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substring(text, 1, 60) || '...' ELSE text END AS title, coalesce(source, '-') AS cwd FROM documents")
+def list_view(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.when(F.length("text") > 60, F.concat(F.substring("text", 1, 60), F.lit("..."))).otherwise(F.col("text")).alias("title"), F.coalesce("source", F.lit("-")).alias("cwd"))
+
+
+@_query("SELECT page_id, CASE WHEN regexp_matches(url, '^[a-z0-9][a-z0-9._-]{0,119}$') THEN url ELSE '~' || sha256(url) END AS name FROM pages")
+def safe_filename(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"))
+
+
+@_query(f"SELECT page_id, count(*) OVER (PARTITION BY lower({_PATH})) > 1 AS collides FROM pages")
+def path_collision(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", F.lower(_path()).alias("key"))
+    return relations.count_join(pages, pages, "key", "n").select("page_id", (F.col("n") > 1).alias("collides"))
+
+
+@_query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+# --- joins --------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def msg_part_join(spark, d):
+    orders, parts = _t(spark, d, "orders").select("o_orderkey"), _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return orders.join(parts, orders["o_orderkey"] == parts["l_orderkey"], "left").select("o_orderkey", "l_linenumber", "l_quantity")
+
+
+@_query("SELECT c_custkey, count(o_orderkey) AS messages FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def count_left_join(spark, d):
+    return relations.count_join(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "messages")
+
+
+@_query("SELECT c_custkey, o.p AS latest FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, struct_pack(a := o_orderdate, b := o_orderkey)) AS p FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
+def latest_model_join(spark, d):
+    orders = _t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return relations.latest_join(_t(spark, d, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_orderpriority"), F.struct("o_orderdate", "o_orderkey"), "latest")
+
+
+_EVENTS = "c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')"
+
+
+def _calls(spark, d) -> tuple[DataFrame, DataFrame]:
+    events = _t(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return tuple(events.filter(F.col("event_type") == k).drop("event_type") for k in ("click", "purchase"))
+
+
+@_query(f"WITH {_EVENTS} SELECT r.event_id, (SELECT arg_max(c.event_id, struct_pack(a := c.ts, b := c.event_id)) FROM c WHERE c.user_id = r.user_id AND (c.ts < r.ts OR c.ts = r.ts AND c.event_id < r.event_id)) AS call_id FROM r")
+def toolcall_backfill(spark, d):
+    calls, results = _calls(spark, d)
+    return relations.backfill(calls, results, "user_id", ["ts", "event_id"]).select("event_id", F.col("call.event_id").alias("call_id"))
+
+
+@_query(f"WITH {_EVENTS} SELECT event_id FROM r WHERE user_id NOT IN (SELECT user_id FROM c)")
+def orphan_results(spark, d):
+    calls, results = _calls(spark, d)
+    return results.join(calls, "user_id", "left_anti").select("event_id")
+
+
+@_query("SELECT o_custkey, min(o_orderpriority) AS sole FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = 1")
+def sole_call_join(spark, d):
+    return relations.sole_owner(_t(spark, d, "orders"), "o_custkey", "o_orderpriority", "sole")
+
+
+@_query("WITH RECURSIVE e AS (SELECT doc_id AS child, doc_id // 8 AS parent FROM documents), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node AND e.child <> e.parent WHERE w.depth < 32) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def recursive_expand(spark, d):
+    edges = _t(spark, d, "documents").select(F.col("doc_id").alias("child"), F.floor(F.col("doc_id") / 8).alias("parent"))
+    return relations.descend(spark, edges, F.col("parent") == 1)
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+def semi_scope(spark, d):
+    turns = _t(spark, d, "conversations")
+    return turns.join(turns.filter("role = 'system'").select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn")
+
+
+@_query("WITH now AS (SELECT doc_id, n_chars AS sig FROM documents), old AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS sig FROM documents WHERE doc_id % 3 <> 0) SELECT now.doc_id, now.sig FROM now LEFT JOIN old USING (doc_id) WHERE old.doc_id IS NULL OR now.sig IS DISTINCT FROM old.sig")
+def change_detect(spark, d):
+    now = _t(spark, d, "documents").select("doc_id", F.col("n_chars").alias("sig"))
+    old = now.filter("doc_id % 3 <> 0").withColumn("sig", F.when(F.col("doc_id") % 5 == 0, F.col("sig") + 1).when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("sig")))
+    return relations.changed(now, old, "doc_id", "sig")
+
+
+@_query("SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM (SELECT * FROM conversations WHERE role IN ('user', 'assistant')) QUALIFY role = 'assistant' AND lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user'")
+def next_user(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _t(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
+    return turns.withColumns({"answer": F.lead("text").over(w), "__next": F.lead("role").over(w)}).filter("role = 'assistant' and __next = 'user'").select("conv_id", "turn", "answer")
+
+
+@_query("SELECT n_nationkey, f.format FROM nation, (VALUES ('json'), ('markdown'), ('raw')) f(format)")
+def cross_formats(spark, d):
+    return _t(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, ("json", "markdown", "raw")))).alias("format"))
+
+
+# --- aggregates ----------------------------------------------------------------------
+
+
+@_query("SELECT CASE WHEN grouping(source) = 1 THEN '(all)' ELSE source END AS source, count(*) AS sessions, coalesce(sum(quality), 0)::BIGINT AS known_messages, count(*) FILTER (quality IS NULL) AS unknown_sessions FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (source)")
+def stats_by_provider(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "source").join(_t(spark, d, "labels"), "doc_id", "left")
+    return stats.exact_and_unknown(rows, "source", "quality")
+
+
+@_query("WITH n AS (SELECT max(ts)::DATE AS today FROM events) SELECT CASE WHEN today - ts::DATE <= 0 THEN 'today' WHEN today - ts::DATE = 1 THEN 'yesterday' WHEN today - ts::DATE <= 7 THEN 'this week' WHEN today - ts::DATE <= 30 THEN 'this month' ELSE 'older' END AS bucket, count(*) AS sessions FROM events, n GROUP BY 1")
+def stats_by_time(spark, d):
+    events = _t(spark, d, "events")
+    now = events.agg(F.to_date(F.max("ts")).alias("today"))
+    return events.crossJoin(F.broadcast(now)).groupBy(stats.time_group(F.to_date("ts"), F.col("today")).alias("bucket")).agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@_query("SELECT source, count(*) AS sessions FROM documents GROUP BY source")
+def index_stats(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@_query("SELECT user_id, count(*) FILTER (json_extract_string(props, '$.k')::BIGINT IN (1, 2)) AS messages FROM events GROUP BY user_id")
+def json_filtered_count(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.get_json_object("props", "$.k").try_cast("bigint").isin(1, 2)).alias("messages"))
+
+
+@_query("SELECT user_id, arg_min(event_type, r) FILTER (event_type <> 'view') AS first_known FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 20 GROUP BY user_id")
+def first_nonnull_prefix20(spark, d):
+    return stats.first_known(_t(spark, d, "events"), "user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")), 20, "first_known")
+
+
+@_query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def token_sums(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max_by("event_type", "event_id").alias("last_type"))
+
+
+@_query("WITH s AS (SELECT DISTINCT p_size, p_brand, min(p_partkey) AS k FROM part GROUP BY p_size, p_brand), r AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY k) AS r FROM s) SELECT p_size, string_agg(p_brand, ',' ORDER BY r) AS items FROM r WHERE r <= 12 GROUP BY p_size")
+def merge_distinct(spark, d):
+    return collect.merge_items(_t(spark, d, "part"), "p_size", ["p_partkey"], "p_brand").select("p_size", F.array_join("items", ",").alias("items"))
+
+
+@_query("SELECT source, ceil(round(ln(count(*)) / ln(8), 9))::INTEGER AS depth FROM documents GROUP BY source")
+def tree_reduce(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(collect.tree_levels(F.count(F.lit(1))).alias("depth"))
+
+
+# --- windows --------------------------------------------------------------------------
+
+
+@_query("WITH f AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM f) SELECT conv_id, grp::BIGINT AS grp, min(role) AS role, count(*) AS parts FROM g GROUP BY conv_id, grp")
+def assistant_groups(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    marked = _t(spark, d, "conversations").withColumn("new", F.when(F.col("role") == F.lag("role").over(w), 0).otherwise(1))
+    return marked.withColumn("grp", F.sum("new").over(w)).groupBy("conv_id", "grp").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("parts"))
+
+
+@_query("SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
+def adjacent_dedupe(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _t(spark, d, "events").withColumn("before", F.lag("event_type").over(w)).filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("user_id", "event_id")
+
+
+@_query("""
+WITH RECURSIVE n AS (SELECT conv_id, turn, least(length(text), 280) + 32 AS sz, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+w AS (SELECT conv_id, r, sz::BIGINT AS used, 1::BIGINT AS kept FROM n WHERE r = 1
+  UNION ALL SELECT n.conv_id, n.r, CASE WHEN w.used + n.sz > 800 THEN w.used ELSE w.used + n.sz END, CASE WHEN w.used + n.sz > 800 THEN w.kept ELSE w.kept + 1 END FROM w JOIN n ON n.conv_id = w.conv_id AND n.r = w.r + 1)
+SELECT conv_id, max(kept) AS kept, max(used) AS used FROM w GROUP BY conv_id""")
+def budget_fold(spark, d):
+    sized = _t(spark, d, "conversations").withColumn("size", (F.least(F.length("text"), F.lit(280)) + 32).cast("long"))
+    packed = sized.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "size"))).alias("events")).withColumn("kept", collect.admit(F.col("events"), 800))
+    return packed.select("conv_id", F.size("kept").cast("long").alias("kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, e: a + e["size"]).alias("used"))
+
+
+@_query("""
+WITH RECURSIVE n AS (SELECT conv_id, length(text)::BIGINT AS sz, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+w AS (SELECT conv_id, r, sz + 1 AS used, 0::BIGINT AS chunk FROM n WHERE r = 1
+  UNION ALL SELECT n.conv_id, n.r, CASE WHEN w.used > 0 AND w.used + n.sz + 1 > 1500 THEN n.sz + 1 ELSE w.used + n.sz + 1 END, CASE WHEN w.used > 0 AND w.used + n.sz + 1 > 1500 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN n ON n.conv_id = w.conv_id AND n.r = w.r + 1)
+SELECT conv_id, max(chunk) + 1 AS chunks FROM w GROUP BY conv_id""")
+def chunk_fold(spark, d):
+    packed = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n")))).alias("m"))
+    return packed.select("conv_id", (F.array_max(collect.chunk_numbers(F.transform("m", lambda x: x["n"]), 1500)) + 1).alias("chunks"))
+
+
+@_query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_turn FROM conversations")
+def carry_forward(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("user_turn"))
+
+
+@_query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS grp FROM events")
+def group_of_8(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return _t(spark, d, "events").select("user_id", "event_id", F.floor((n - 1) / 8).alias("grp"))
+
+
+@_query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b FROM events) WHERE a <= 3 OR b = 1")
+def head_tail(spark, d):
+    events = _t(spark, d, "events")
+    a, b = (F.row_number().over(Window.partitionBy("user_id").orderBy(o)) for o in (F.asc("event_id"), F.desc("event_id")))
+    return events.withColumns({"a": a, "b": b}).filter("a <= 3 or b = 1").select("user_id", "event_id")
+
+
+# --- collect and scalars -----------------------------------------------------------------
+
+
+@_query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user_intent' WHEN regexp_matches(text, 'error|exception|traceback|failed|failure|bug|panic|not found', 'i') THEN 'error' WHEN regexp_matches(trim(text), '\\?$|todo|next', 'i') THEN 'open_question' WHEN regexp_matches(text, 'fix|done|resolved?', 'i') THEN 'decision' WHEN role = 'assistant' THEN 'assistant_key' ELSE 'message' END AS kind FROM conversations WHERE trim(text) <> '' AND NOT (length(trim(text)) <= 60 AND regexp_matches(trim(text), '^(hi|hello|thanks|thank you|ok\\b)', 'i'))")
+def event_classify(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.event_kind(F.col("role"), F.col("text")).alias("kind")).filter("kind is not null")
+
+
+@_query()
+def path_extract(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.array_join(text.find_paths(F.col("url")), "|").alias("paths"))
+
+
+@_query()
+def collect_plan(spark, d):
+    return collect.session_events(_t(spark, d, "conversations"), "conv_id", "turn").groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@_query("SELECT event_id, coalesce(try_cast(CASE WHEN regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN trim(s) END AS BIGINT), 0) AS n FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || event_id || ' ' WHEN 1 THEN event_id || '.5' WHEN 2 THEN 'x' ELSE event_id::VARCHAR END AS s FROM events)")
+def coerce_int(spark, d):
+    e, s = F.col("event_id"), F.col("event_id").cast("string")
+    raw = F.when(e % 4 == 0, F.concat(F.lit(" "), s, F.lit(" "))).when(e % 4 == 1, F.concat(s, F.lit(".5"))).when(e % 4 == 2, "x").otherwise(s)
+    return _t(spark, d, "events").select("event_id", coerce.safe_int(raw).alias("n"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0.0 ELSE value END AS x FROM events")
+def coerce_float(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 2, "NaN").otherwise(F.col("value").cast("string"))
+    return _t(spark, d, "events").select("event_id", coerce.safe_float(raw).alias("x"))
+
+
+@_query("SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events")
+def epoch_parse(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _t(spark, d, "events").select("event_id", F.unix_seconds(coerce.epoch(F.when(F.col("event_id") % 2 == 0, ms).otherwise(F.floor(ms / 1000)))).alias("s"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE epoch_ms(date_trunc('second', ts)) END AS ms FROM events")
+def iso_ms(spark, d):
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return _t(spark, d, "events").select("event_id", coerce.iso_ms(F.when(F.col("event_id") % 5 == 0, "soon").otherwise(iso)).alias("ms"))
+
+
+@_query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
+def ttl_evict(spark, d):
+    events = _t(spark, d, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    return events.join(F.broadcast(now), filters.recent(events["ts"], now["now"], 10)).select("event_id")
+
+
+@_query("SELECT conv_id, string_agg('## ' || (rn) || '. ' || upper(substring(role, 1, 1)) || substring(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY rn) AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id")
+def fill_markdown(spark, d):
+    from tidemark.sources.sinks import markdown
+
+    return markdown(_t(spark, d, "conversations"), "conv_id", "turn")
