@@ -17,6 +17,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +33,15 @@ END = 2
 #: Words a task keeps encoded; the cache is emptied beyond, which costs time only.
 CACHE_WORDS = 1_000_000
 
+#: Texts whose new words are encoded in one call.
+TEXTS = 128
+
 _CODED = "part int, doc_id long, start long, n long, ids binary"
 _CODED_SCHEMA = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 class WordEncoder:
-    """Ids of whole texts, by words.  Ids are kept as little-endian 32-bit bytes.
+    """Ids of whole texts, by words.  Ids are kept as little-endian 16-bit bytes.
 
     Most words are letters with ``.,;:!?`` behind them.  The pre-tokenizer always
     cuts between the two and never inside the letters, so the letters are encoded
@@ -56,14 +60,14 @@ class WordEncoder:
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(words, coded, strict=True)}
+        return {w: np.array(c.ids, "<u2").tobytes() for w, c in zip(words, coded, strict=True)}
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words) or cuts[-1] != len(ids):
             return self._each(words)
-        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        raw, at = ids.tobytes(), [0, *(2 * cuts).tolist()]
         return {w: raw[at[i] : at[i + 1]] for i, w in enumerate(words)}
 
     def _learn(self, words: list[str]) -> None:
@@ -71,7 +75,8 @@ class WordEncoder:
         for word in words:
             stem = word.rstrip(".,;:!?")
             tail = word[len(stem) :]
-            if stem.isalpha():
+            # letters whose folded form is letters as well (a folded capital may bring a combining mark)
+            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
                 stem = stem.lower() if stem.isascii() else stem
                 if stem not in self.stems:
                     letters[stem] = True
@@ -89,22 +94,30 @@ class WordEncoder:
         for word, (stem, tail) in parts.items():
             self.known[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
 
-    def encode(self, text: str) -> bytes:
-        words = text.translate(_TO_SPACE).split(" ")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words that are new are encoded together."""
+        split = [_spaced(text).split(" ") for text in texts]
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
         if len(known) > CACHE_WORDS:
             known.clear()
         if len(self.stems) > CACHE_WORDS:
             self.stems.clear()
-        self._learn([w for w in dict.fromkeys(words) if w not in known])
-        return b"".join(map(known.__getitem__, words))
+        missing: set[str] = set()
+        for words in split:
+            missing.update(set(words).difference(known))
+        if missing:
+            self._learn(list(missing))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def _spaced(text: str) -> str:
+    """Text with a space for each ASCII white space."""
+    for c in "\n\t\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    return text
 
 
-_TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -115,7 +128,7 @@ def _encode(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         part, start = TaskContext.get().partitionId(), 0
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u2").tobytes()
         rows: list[tuple] = []
         size = 0
 
@@ -123,12 +136,14 @@ def _encode(path: str):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CODED_SCHEMA)], schema=_CODED_SCHEMA)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = coder.encode(text.as_py() or "") + end
-                short = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-                rows.append((part, doc_id, start, len(raw) // 4, short))
-                start += len(raw) // 4
-                size += len(short)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                coded = coder.encode([t or "" for t in some.column(1).to_pylist()])
+                for doc_id, raw in zip(some.column(0).to_pylist(), coded, strict=True):
+                    short = raw + end
+                    rows.append((part, doc_id, start, len(short) // 2, short))
+                    start += len(short) // 2
+                    size += len(short)
                 if size > 4 << 20:
                     yield full()
                     rows, size = [], 0
