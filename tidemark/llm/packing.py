@@ -17,8 +17,12 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,81 +37,105 @@ END = 2
 #: Words a task keeps encoded; the cache is emptied beyond, which costs time only.
 CACHE_WORDS = 1_000_000
 
-#: Texts whose new words are encoded in one call.
-TEXTS = 128
+#: Texts that are taken together, and words whose ids are gathered at once.
+TEXTS, GATHER = 128, 1 << 18
 
 _CODED = "part int, doc_id long, start long, n long, ids binary"
 _CODED_SCHEMA = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
+def _byte_marks() -> dict[int, int]:
+    """The byte-level alphabet of the pre-tokenizer: bytes that print stand for themselves, the others follow from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return dict(zip((b for b in range(256) if b not in plain), itertools.count(256), strict=False))
+
+
+_MARKS = _byte_marks()
+#: What the pre-tokenizer keeps together, for lower-cased ASCII without white space.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_TAIL = ".,;:!?"
+
+
 class WordEncoder:
-    """Ids of whole texts, by words.  Ids are kept as little-endian 16-bit bytes.
+    """Ids of whole texts, by words; each distinct word is encoded once.
 
-    Most words are letters with ``.,;:!?`` behind them.  The pre-tokenizer always
-    cuts between the two and never inside the letters, so the letters are encoded
-    once, many in one call, and split again at the ids that end a word; any other
-    word is encoded by itself."""
+    Words are numbered as they come; number n has the ids
+    ``store[first[n] : first[n + 1]]``, so a block of texts is put together by one
+    gather.  Normaliser and pre-tokenizer do nothing but fold case and cut for
+    ASCII words and for Latin letters with ``.,;:!?`` behind them: their pieces go
+    straight to the tokenizer's model.  Any other word, and any that may hold a
+    special token, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _each(self, words: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(c.ids, "<u2").tobytes() for w, c in zip(words, coded, strict=True)}
-
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u2")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words) or cuts[-1] != len(ids):
-            return self._each(words)
-        raw, at = ids.tobytes(), [0, *(2 * cuts).tolist()]
-        return {w: raw[at[i] : at[i + 1]] for i, w in enumerate(words)}
-
-    def _learn(self, words: list[str]) -> None:
-        parts, letters, other = {}, {}, {}
-        for word in words:
-            stem = word.rstrip(".,;:!?")
-            tail = word[len(stem) :]
-            # letters whose folded form is letters as well (a folded capital may bring a combining mark)
-            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
-                stem = stem.lower() if stem.isascii() else stem
-                if stem not in self.stems:
-                    letters[stem] = True
-            else:
-                stem, tail = word, ""
-                if stem not in self.stems:
-                    other[stem] = True
-            if tail and tail not in self.stems:
-                other[tail] = True
-            parts[word] = stem, tail
-        if letters:
-            self.stems |= self._letters(list(letters))
-        if other:
-            self.stems |= self._each(list(other))
-        for word, (stem, tail) in parts.items():
-            self.known[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+        self.model = self.tokenizer.model
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.pieces: dict[str, bytes] = {}
+        self.first = np.zeros(1 << 16, np.int64)
+        self.store = np.zeros(1 << 18, "<u2")
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            marks = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_MARKS)
+            found = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(marks)]).tobytes()
+        return found
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        stem = word.rstrip(_TAIL)
+        if word.isascii():
+            if stem.isalpha():
+                return self._piece(stem.lower()) + self._piece(word[len(stem) :]) if len(stem) < len(word) else self._piece(stem.lower())
+            if not any(special in word for special in self.specials):
+                return b"".join(map(self._piece, _PIECES.findall(word.lower())))
+        elif stem.isalpha() and max(stem) < "\u0250":
+            # a capital may fold into a letter and a mark
+            folded = unicodedata.normalize("NFC", stem).lower()
+            if folded.isalpha():
+                return self._piece(folded) + self._piece(word[len(stem) :]) if len(stem) < len(word) else self._piece(folded)
+        return self._whole(word)
+
+    def _learn(self, words: list[str], known: int) -> None:
+        coded = [self._word(w) if w else b"" for w in words]
+        total, start = known + len(words), int(self.first[known])
+        ends = start + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // 2
+        if total >= len(self.first):
+            self.first = np.resize(self.first, 2 * total)
+        if ends[-1] > len(self.store):
+            self.store = np.resize(self.store, 2 * int(ends[-1]))
+        self.first[known + 1 : total + 1] = ends
+        self.store[start : ends[-1]] = np.frombuffer(b"".join(coded), "<u2")
+
+    def _gather(self, numbers: np.ndarray) -> bytes:
+        start = self.first[numbers]
+        length = self.first[numbers + 1] - start
+        before = np.cumsum(length) - length
+        return self.store[np.repeat(start - before, length) + np.arange(length.sum())].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; words that are new are encoded together."""
+        """Ids of each text as little-endian 16-bit bytes."""
+        if len(self.number) > CACHE_WORDS:
+            self._empty()
+        known = len(self.number)
         split = [_spaced(text).split(" ") for text in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        missing: set[str] = set()
-        for words in split:
-            missing.update(set(words).difference(known))
-        if missing:
-            self._learn(list(missing))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        fresh = len(self.number) - known
+        if fresh:
+            self._learn(list(itertools.islice(reversed(self.number), fresh))[::-1], known)
+        raw = b"".join(self._gather(numbers[at : at + GATHER]) for at in range(0, len(numbers), GATHER))
+        upto = np.concatenate(([0], np.cumsum(self.first[numbers + 1] - self.first[numbers])))
+        cuts = (2 * upto[np.concatenate(([0], np.cumsum(sizes)))]).tolist()
+        return [raw[lo:hi] for lo, hi in itertools.pairwise(cuts)]
 
 
 def _spaced(text: str) -> str:
