@@ -37,13 +37,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/tidemark/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def settle(df: DataFrame, tag: str, free: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and return the table read back.
 
     With ``free`` the driver collects its garbage afterwards: shuffle files of
     steps that are over go at once, not when the heap happens to fill."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if free:
         df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

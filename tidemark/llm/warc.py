@@ -148,7 +148,7 @@ def write_record(page_id: int | None, row: int, url: str | None, payload: bytes,
         f"Content-Length: {len(block)}",
     ]
     raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress(raw) + squeeze.flush()
 
 
@@ -276,7 +276,7 @@ def write_archives(pages: DataFrame, limit: int = PACKAGE_BYTES) -> tuple[str, D
     """Writes ``pages(page_id, url, html)``; gives the folder and the manifest (package, records)."""
     plain = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = settle(plain.select("*", F.monotonically_increasing_id().alias("row"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("size")), "pages")
+    rows = settle(plain.select("*", F.monotonically_increasing_id().alias("row"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("size")), "pages", codec="zstd")
     long = rows.filter(f"size >= {REVISIT_BYTES}").select("row", "digest", F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row").alias("order"))
     best = group_best(long, "digest", "order", "row").filter("group_size > 1").select("row", F.col("best.page_id").alias("best_id"), F.col("best.row").alias("best_row"))
     told = rows.join(best, "row", "left").select("page_id", "row", "url", "html", "digest", "best_id", "best_row")
