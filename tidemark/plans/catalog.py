@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, text
-from tidemark.operators import collect, filters, relations, search, stats
+from tidemark.operators import assemble, collect, filters, relations, search, stats
 from tidemark.operators.search import TextQuery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,3 +440,46 @@ def fill_markdown(spark, d):
     from tidemark.sources.sinks import markdown
 
     return markdown(_t(spark, d, "conversations"), "conv_id", "turn")
+
+
+# --- transcripts ---------------------------------------------------------------------------
+
+_KIND = "CASE WHEN role = 'system' OR (role = 'user' AND turn % 4 = 0) THEN 'turn' ELSE ['reasoning', 'text', 'tool'][length(text) % 3 + 1] END"
+
+
+def _folded(sticky: bool) -> str:
+    """Item by item: the open message, whether it holds text or a tool, and the latest text message."""
+    after_tool = "f.cur" if sticky else "f.txt"
+    return f"""
+WITH RECURSIVE i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_KIND} AS kind FROM conversations),
+f(conv_id, n, msg, kind, cur, has_text, has_tool, txt) AS (
+  SELECT conv_id, n, n, kind, CASE WHEN kind <> 'turn' THEN n END, kind = 'text', kind = 'tool', CASE WHEN kind = 'text' THEN n END FROM i WHERE n = 1
+  UNION ALL
+  SELECT conv_id, n, msg, kind,
+    CASE WHEN kind = 'turn' THEN NULL WHEN kind = 'tool' AND joins THEN {after_tool.replace('f.', 'x.')} ELSE msg END,
+    CASE WHEN kind = 'turn' THEN false WHEN kind = 'tool' AND joins THEN {'has_text' if sticky else 'true'} WHEN msg = n THEN kind = 'text' ELSE has_text OR kind = 'text' END,
+    CASE WHEN kind = 'turn' THEN false WHEN kind = 'tool' AND joins THEN {'has_tool OR cur = txt' if sticky else 'true'} WHEN msg = n THEN kind = 'tool' ELSE has_tool END,
+    CASE WHEN kind = 'turn' THEN NULL WHEN kind = 'text' THEN msg ELSE txt END
+  FROM (SELECT i.conv_id, i.n, i.kind, f.cur, f.has_text, f.has_tool, f.txt, f.txt IS NOT NULL AS joins,
+    CASE WHEN i.kind = 'turn' THEN i.n WHEN i.kind = 'tool' THEN coalesce(f.txt, i.n)
+      WHEN f.cur IS NULL OR f.has_tool OR (i.kind = 'reasoning' AND f.has_text) THEN i.n ELSE f.cur END AS msg
+    FROM f JOIN i ON i.conv_id = f.conv_id AND i.n = f.n + 1) x)
+SELECT conv_id, msg AS seq, string_agg(kind, ',' ORDER BY n) AS kinds, CASE WHEN arg_min(kind, n) = 'tool' THEN 'tool' END AS mode FROM f GROUP BY conv_id, msg"""
+
+
+def _assembled(spark, d, grouping: str) -> DataFrame:
+    role, turn = F.col("role"), F.col("turn")
+    kind = F.when((role == "system") | ((role == "user") & (turn % 4 == 0)), "turn").otherwise(F.element_at(F.array(F.lit("reasoning"), F.lit("text"), F.lit("tool")), (F.length("text") % 3 + 1).cast("int")))
+    items = _t(spark, d, "conversations").select(*assemble.item(session=F.col("conv_id"), line=turn, item=F.lit(0), kind=kind, role=role, text=F.col("text"), at=turn))
+    messages = assemble.assemble(items, grouping)
+    return messages.select(F.col("session").cast("long").alias("conv_id"), "seq", F.array_join(F.transform("parts", lambda p: p["kind"]), ",").alias("kinds"), "mode")
+
+
+@_query(_folded(False))
+def transcript_groups(spark, d):
+    return _assembled(spark, d, "groups")
+
+
+@_query(_folded(True))
+def transcript_groups_sticky(spark, d):
+    return _assembled(spark, d, "sticky")
