@@ -1,4 +1,4 @@
-"""Sessions kept in SQLite files: tables session, message and part.
+"""Sessions kept in SQLite files: tables session, message and part, or one of keys and values.
 
 A Spark data source; each database file is one partition per table, filters on
 ``time_created`` are applied by SQLite.  Bad JSON reads as null.
@@ -14,10 +14,12 @@ from pyspark.sql.types import StructType
 
 # fixed values: columns of the store
 SCHEMAS = {
-    "session": "id string, title string, time_created long, time_updated long, slug string, directory string",
+    "session": "id string, title string, time_created long, time_updated long, slug string, directory string, version string, summary_files string",
     "message": "id string, session_id string, time_created long, data string",
     "part": "id string, message_id string, time_created long, data string",
+    "cursorDiskKV": "row long, key string, value string",
 }
+NAMED = {"row": "rowid as row", "value": "cast(value as text) as value"}
 
 
 class SqliteSessions(DataSource):
@@ -50,7 +52,10 @@ class _Reader(DataSourceReader):
             if not db.execute("select 1 from sqlite_master where name = ?", (table,)).fetchone():
                 return
             there = {r[1] for r in db.execute(f"pragma table_info({table})")}
-            columns = ", ".join(f.name if f.name in there else f"null as {f.name}" for f in self.schema)
-            yield from db.execute(f"select {columns} from {table} where coalesce(time_created, 0) >= ?", (since,))
+            columns = ", ".join(NAMED.get(f.name) or (f.name if f.name in there else f"null as {f.name}") for f in self.schema)
+            if "time_created" in there:
+                yield from db.execute(f"select {columns} from {table} where coalesce(time_created, 0) >= ?", (since,))
+            else:
+                yield from db.execute(f"select {columns} from {table}")
         finally:
             db.close()
