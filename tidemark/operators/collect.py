@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clip, collapse, distinct_folded, event_kind, find_paths
@@ -48,3 +52,74 @@ def merge_items(rows: DataFrame, group: str, order: list[str], item: str, limit:
 def tree_levels(n: Column, group: int = GROUP) -> Column:
     """Rounds of a reduction that joins ``group`` neighbours at a time."""
     return F.ceil(F.round(F.log(float(group), F.greatest(n, F.lit(1)).cast("double")), 9)).cast("int")
+
+
+# fixed values: fields of a summary by mode
+PM_FIELDS = ("topics", "decisions", "key_actions", "code_changes", "errors", "tools_used", "files", "artifacts", "open_questions", "notes")
+INSIGHT_FIELDS = ("scene", "stuck", "turning")
+
+
+def _tidy(items: Column, limit: int = MOST_ITEMS) -> Column:
+    return distinct_folded(F.filter(F.transform(items, collapse), lambda x: x != ""), limit)
+
+
+def summary(payload: Column, fields: tuple[str, ...] = PM_FIELDS) -> list[Column]:
+    """The fields of a summary's JSON text (alone or in a fenced block) as arrays; a string is one item, other values none."""
+    fenced = F.nullif(F.regexp_extract(payload, r"(?is)```json\s*(\{.*?\})\s*```", 1), F.lit(""))
+    v = F.coalesce(F.try_parse_json(payload), F.try_parse_json(fenced))
+    none = F.array().cast("array<string>")
+
+    def items(name: str) -> Column:
+        there = F.try_variant_get(v, f"$.{name}", "variant")
+        listed = F.transform(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
+        one = F.when(F.schema_of_variant(there) == "STRING", F.array(F.try_variant_get(v, f"$.{name}", "string")))
+        return _tidy(F.coalesce(listed, one, none))
+
+    return [items(name).alias(name) for name in fields]
+
+
+def summarise(chunks: DataFrame, ask: Callable[[str], str], retries: int = 1) -> DataFrame:
+    """``chunks`` (session, chunk, prompt) with ``payload``, or ``error`` where every try failed.
+
+    ``ask`` runs in the Python workers, a batch at a time; an answer without a
+    JSON object counts as failed.
+    """
+
+    def answer(prompt: str) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(retries + 1):
+            try:
+                said = ask(prompt)
+                if isinstance(json.loads(said[said.index("{") : said.rindex("}") + 1]), dict):
+                    return said, None
+            except (ValueError, OSError, RuntimeError) as failed:
+                error = str(failed) or type(failed).__name__
+        return None, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [answer(p or "") for p in batch["prompt"]]
+            yield batch.drop(columns="prompt").assign(payload=[x for x, _ in found], error=[x for _, x in found])
+
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    return chunks.select("session", "chunk", "prompt").mapInPandas(run, f"session {kinds['session']}, chunk {kinds['chunk']}, payload string, error string")
+
+
+def merge_summaries(rows: DataFrame, group: list[str], order: list[str], fields: tuple[str, ...] = PM_FIELDS) -> DataFrame:
+    """One summary for each group: its summaries' items in order, distinct by case, at most 12 a field."""
+    gathered = [F.array_sort(F.collect_list(F.struct(*order, name))).alias(name) for name in fields]
+    packed = rows.groupBy(*group).agg(*gathered)
+    return packed.select(*group, *[_tidy(F.flatten(F.col(f"{name}.{name}"))).alias(name) for name in fields])
+
+
+def reduce_summaries(rows: DataFrame, order: list[str], fields: tuple[str, ...] = PM_FIELDS, limit: int = MOST_ITEMS) -> DataFrame:
+    """(field, n, item): what joining all summaries neighbour by neighbour leaves.
+
+    The first items distinct by case of a whole are the first of its groups'
+    first, so no tree is needed: every item's first place, then the best places.
+    """
+    piece = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("items")) for name in fields])).alias("f")
+    rows = rows.select(*order, piece).select(*order, "f.field", F.posexplode("f.items").alias("at", "raw")).withColumn("item", collapse(F.col("raw"))).filter("item <> ''")
+    first = rows.groupBy("field", F.lower("item").alias("folded")).agg(F.min(F.struct(*order, "at", "item")).alias("first"))
+    n = F.row_number().over(Window.partitionBy("field").orderBy("first"))
+    return first.withColumn("n", n).filter(F.col("n") <= limit).select("field", "n", "first.item")

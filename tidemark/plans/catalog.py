@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, text
-from tidemark.operators import assemble, collect, filters, relations, search, stats
+from tidemark.operators import assemble, collect, filters, index, relations, search, stats
 from tidemark.operators.search import TextQuery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,3 +483,47 @@ def transcript_groups(spark, d):
 @_query(_folded(True))
 def transcript_groups_sticky(spark, d):
     return _assembled(spark, d, "sticky")
+
+
+# --- index upkeep, export and summaries -------------------------------------------------------
+
+
+@_query("""
+WITH d AS (SELECT doc_id, source, n_chars, coalesce(text, '') AS text FROM documents WHERE source IS NOT NULL),
+o AS (SELECT source, doc_id, n_chars::VARCHAR AS signature, 'old' AS content FROM d WHERE doc_id % 3 <> 0),
+s AS (SELECT source, doc_id, (n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::VARCHAR AS signature, CASE WHEN doc_id % 11 <> 0 THEN text END AS content FROM d WHERE doc_id % 7 <> 0),
+j AS (SELECT coalesce(s.source, o.source) AS provider, coalesce(s.doc_id, o.doc_id)::VARCHAR AS session_id, o.doc_id IS NOT NULL AS known, s.doc_id IS NOT NULL AS seen, o.signature IS DISTINCT FROM s.signature AND s.content IS NOT NULL AND s.doc_id IS NOT NULL AS took, o.signature AS os, s.signature AS ns, o.content AS oc, s.content AS nc
+  FROM o FULL JOIN s ON o.source = s.source AND o.doc_id = s.doc_id)
+SELECT provider, session_id, CASE WHEN took THEN ns ELSE os END AS signature, sha256(CASE WHEN took THEN nc ELSE oc END) AS content, CASE WHEN seen THEN 40 ELSE 0 END AS day FROM j WHERE known OR took""")
+def index_refresh(spark, d):
+    docs = _t(spark, d, "documents").filter("source is not null").select(F.col("source").alias("provider"), F.col("doc_id").cast("string").alias("session_id"), "doc_id", "n_chars", F.coalesce("text", F.lit("")).alias("content"))
+    start, now = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-10").cast("timestamp")
+    known = docs.filter("doc_id % 3 <> 0").select(*index.KEY, F.col("n_chars").cast("string").alias("signature"), F.lit("").alias("title"), F.lit("old").alias("content"), start.alias("last_seen"))
+    seen = docs.filter("doc_id % 7 <> 0").select(*index.KEY, (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).cast("string").alias("signature"), F.lit("").alias("title"))
+    corpus = docs.select(*index.KEY, F.when(F.col("doc_id") % 11 != 0, F.col("content")).alias("content"))
+    rows = index.refresh(known, seen, corpus, now)
+    return rows.select(*index.KEY, "signature", F.sha2("content", 256).alias("content"), F.date_diff(F.to_date("last_seen"), F.lit("2024-01-01")).alias("day"))
+
+
+@_query("SELECT url AS session, f AS format, count(*) OVER (PARTITION BY url, f) > 1 AS collides FROM pages, (VALUES ('json'), ('markdown')) v(f)")
+def export_targets(spark, d):
+    from tidemark.sources.sinks import export_plan, parse_formats
+
+    return export_plan(_t(spark, d, "pages").select(F.col("url").alias("session")), "session", parse_formats("json,md,JSON"), "/out").drop("target")
+
+
+@_query("SELECT page_id, '# Session Head' || chr(10) || chr(10) || '- URI: page://' || page_id || chr(10) || '- Title: ' || CASE WHEN length(trim(url)) <= 120 THEN trim(url) ELSE rtrim(substring(trim(url), 1, 117)) || '...' END || chr(10) || '- Model: -' AS head FROM pages")
+def session_head(spark, d):
+    from tidemark.sources.sinks import head_lines
+
+    return _t(spark, d, "pages").select("page_id", head_lines({"URI": F.concat(F.lit("page://"), F.col("page_id")), "Title": F.col("url"), "Model": F.lit(None)}).alias("head"))
+
+
+@_query("""
+WITH i AS (SELECT 'topics' AS field, conv_id, turn, trim(regexp_replace(substring(text, 1, 12), '\\s+', ' ', 'g')) AS item FROM conversations
+  UNION ALL SELECT 'notes', conv_id, turn, role FROM conversations),
+f AS (SELECT field, lower(item) AS folded, arg_min(item, struct_pack(a := conv_id, b := turn)) AS item, min(struct_pack(a := conv_id, b := turn)) AS first FROM i WHERE item <> '' GROUP BY ALL)
+SELECT field, row_number() OVER (PARTITION BY field ORDER BY first) AS n, item FROM f QUALIFY n <= 12""")
+def summary_reduce(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.array(F.substring("text", 1, 12)).alias("topics"), F.array("role").alias("notes"))
+    return collect.reduce_summaries(rows, ["conv_id", "turn"], ("topics", "notes"))

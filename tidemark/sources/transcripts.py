@@ -225,3 +225,49 @@ def kimi_wire_items(records: DataFrame) -> DataFrame:
 
 def kimi_wire_messages(records: DataFrame) -> DataFrame:
     return assemble(kimi_wire_items(records), "turn")
+
+
+def _filled(value: Column, path: str) -> Column:
+    return F.nullif(F.trim(_get(value, path)), F.lit(""))
+
+
+def codex_enriched(messages: DataFrame) -> DataFrame:
+    """Codex messages whose subagent calls carry the subagent and its nickname, as their outputs give them.
+
+    A user message that is only a subagent's notification becomes the
+    assistant's; it takes the notification's nickname, else the one its call gave.
+    """
+    told = lambda p, name: F.try_element_at(F.filter(F.transform(F.coalesce(p["outputs"], F.array().cast("array<string>")), lambda o: F.nullif(F.trim(F.get_json_object(o, f"$.{name}")), F.lit(""))), lambda x: x.isNotNull()), F.lit(-1))
+    called = lambda p, name: F.when(p["tool"] == "subagent", told(p, name))
+    rows = messages.withColumn("parts", F.transform("parts", lambda p: p.withField("subagent", called(p, "agent_id")).withField("nickname", called(p, "nickname"))))
+    names = rows.select("session", "seq", F.explode("parts").alias("p")).filter("p.subagent is not null and p.nickname is not null")
+    names = names.groupBy("session", F.col("p.subagent").alias("__agent")).agg(F.max_by("p.nickname", "seq").alias("__known"))
+    first = F.col("parts")[0]
+    note = F.try_parse_json(F.regexp_extract(F.trim(first["text"]), r"(?s)^<subagent_notification>\s*(.*?)\s*</subagent_notification>$", 1))
+    own = (F.col("role") == "user") & (F.size("parts") == 1)
+    rows = rows.withColumn("__note", F.when(own, note)).withColumns({"__agent": _filled(F.col("__note"), "$.agent_id"), "__said": _filled(F.col("__note"), "$.status.completed"), "__nick": _filled(F.col("__note"), "$.nickname")})
+    rows = rows.join(names, ["session", "__agent"], "left")
+    is_note = F.col("__agent").isNotNull() & F.col("__said").isNotNull()
+    shown = F.array(first.withField("text", F.col("__said")).withField("subagent", F.col("__agent")).withField("nickname", F.coalesce("__nick", "__known")))
+    return rows.select(*[F.when(is_note, "assistant").otherwise(F.col("role")).alias("role") if c == "role" else F.when(is_note, shown).otherwise(F.col("parts")).alias("parts") if c == "parts" else F.col(c) for c in messages.columns])
+
+
+def codex_export(messages: DataFrame) -> DataFrame:
+    """Codex messages as the JSON export shows them.
+
+    A user's skill text becomes a numbered skill call, waits for agents and
+    what they leave empty go, as do messages of injected context.
+    """
+    first = F.col("parts")[0]
+    tidy = F.trim(first["text"])
+    name = F.nullif(F.trim(F.regexp_extract(tidy, r"(?s)<name>\s*(.*?)\s*</name>", 1)), F.lit(""))
+    skill = (F.col("role") == "user") & (F.size("parts") == 1) & tidy.startswith("<skill>") & tidy.endswith("</skill>") & name.isNotNull()
+    rows = messages.withColumn("__skill", F.when(skill, name))
+    number = F.count("__skill").over(Window.partitionBy("session").orderBy("seq")) - 1
+    call = first.withField("kind", F.lit("tool")).withField("text", F.lit(None).cast("string")).withField("tool", F.lit("skill")).withField("call_id", F.concat(F.lit("skill:"), number)).withField("arguments", F.to_json(F.struct(F.col("__skill").alias("name")))).withField("status", F.lit("completed"))
+    is_skill = F.col("__skill").isNotNull()
+    rows = rows.withColumns({"parts": F.when(is_skill, F.array(call)).otherwise(F.col("parts")), "role": F.when(is_skill, "assistant").otherwise(F.col("role"))})
+    rows = rows.withColumn("parts", F.filter("parts", lambda p: ~F.coalesce(p["tool"] == "wait_agent", F.lit(False)))).filter(F.size("parts") > 0)
+    said = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    all_tools = F.forall("parts", lambda p: p["kind"] == "tool")
+    return rows.filter(not_injected(F.col("role"), said)).withColumn("mode", F.when(all_tools, "tool")).drop("__skill")
