@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,49 @@ def parse_uri(uri: str, cwd: str = "/") -> QuerySpec:
     return QuerySpec(" ".join(given.get("q", "").split()), parse_providers(given["providers"]) if "providers" in given else None, _names(given["roles"]) if "roles" in given else None, path, parse_limit(given["limit"]) if "limit" in given else None)
 
 
+def parse_query(raw: str, cwd: str = "/") -> QuerySpec:
+    """``words``, ``provider,…:words``, or ``provider: role: path: limit:`` tokens among words.
+
+    A colon is part of the words unless several names or a known one come
+    before it; words among tokens are one phrase.
+    """
+    text = raw.strip()
+    if not text:
+        raise ValueError("empty query")
+    given: dict[str, str] = {}
+    words = []
+    for token in text.split():
+        name, colon, value = token.partition(":")
+        key = {"cwd": "path"}.get(name.lower(), name.lower())
+        if colon and key in ("provider", "role", "path", "limit"):
+            if key in given or not value:
+                raise ValueError(f"repeated or empty: {key}")
+            given[key] = value
+        else:
+            words.append(token)
+    if given:
+        path = given.get("path")
+        place = None if path is None else cwd if path == "." else path if path.startswith("/") else f"{cwd.rstrip('/')}/{path}"
+        return QuerySpec(" ".join(words), parse_providers(given["provider"]) if "provider" in given else None, _names(given["role"]) if "role" in given else None, place, parse_limit(given["limit"]) if "limit" in given else None)
+    scope, colon, rest = text.partition(":")
+    names = _names(scope)
+    if colon and names and (len(names) > 1 or ALIASES.get(names[0], names[0]) in PROVIDERS):
+        if not rest.strip():
+            raise ValueError("empty keyword")
+        return QuerySpec(rest.strip(), parse_providers(scope))
+    return QuerySpec(text)
+
+
+def date_range(since: date | None, until: date | None, today: date, days: int | None = None) -> tuple[date, date]:
+    """First and last day, both included: today, the last ``days`` and today, up to today, or from the month's first."""
+    if since is None and until is None:
+        return today - timedelta(days=days or 0), today
+    start, end = since or (until or today).replace(day=1), until or today
+    if start > end:
+        raise ValueError("the first day comes after the last")
+    return start, end
+
+
 def under(path: Column, root: Column) -> Column:
     """``path`` is ``root`` or lies below it."""
     return (path == root) | F.when(root == "/", path.startswith("/")).otherwise(path.startswith(F.concat(root, F.lit("/"))))
