@@ -1,12 +1,15 @@
 """Session heads, token totals and query parsing on small inputs."""
 
+import hashlib
 import json
-from datetime import date, datetime
+import sqlite3
+from datetime import date
 
 import pytest
 
 from tidemark.operators.filters import date_range, parse_query
 from tidemark.sources import jsonl, sessions, transcripts
+from tidemark.sources.sqlite import SqliteSessions
 
 
 def write(path, lines):
@@ -26,11 +29,11 @@ def test_heads(spark, tmp_path):
     a = jsonl.records(spark, str(claude))
     b = jsonl.records(spark, str(codex))
     both = sessions.union({"claudecode": sessions.claude_sessions(a, sessions.files(spark, str(claude))), "codex": sessions.codex_sessions(b, sessions.files(spark, str(codex)))})
-    got = {r.session_id: r for r in both.collect()}
+    got = {r.session_id: r for r in both.withColumns({c: both[c].cast("string") for c in ("created_at", "updated_at")}).collect()}
     abc, rollout = got["abc"], got["1-2-3-4-5"]
-    assert (abc.title, abc.created_at, abc.updated_at, abc.model, abc.message_count, abc.uri, abc.working_directory) == ("fix it", datetime(2026, 1, 1), datetime(2026, 1, 2), "m", 3, "claude://abc", "/w/app")
-    assert (got["big"].title, got["big"].message_count, got["big"].created_at.year > 2000) == ("proj", None, True)
-    assert (rollout.title, rollout.created_at, rollout.model, rollout.message_count, rollout.provider_order < abc.provider_order) == ("real ask", datetime(2026, 2, 1), "prov", 2, True)
+    assert (abc.title, abc.created_at, abc.updated_at, abc.model, abc.message_count, abc.uri, abc.working_directory) == ("fix it", "2026-01-01 00:00:00", "2026-01-02 00:00:00", "m", 3, "claude://abc", "/w/app")
+    assert (got["big"].title, got["big"].message_count, got["big"].created_at > "2020") == ("proj", None, True)
+    assert (rollout.title, rollout.created_at, rollout.model, rollout.message_count, rollout.provider_order < abc.provider_order) == ("real ask", "2026-02-01 00:00:00", "prov", 2, True)
     assert sessions.token_totals(b, "codex").first()[1:] == (14, 2, None)
     assert sessions.assembled_tokens(transcripts.claude_messages(a)).filter("session like '%abc.jsonl'").first()[1:] == (3, 2)
 
@@ -58,3 +61,31 @@ def test_date_range():
     assert date_range(date(2026, 3, 1), None, day) == (date(2026, 3, 1), day) and date_range(None, date(2026, 2, 9), day) == (date(2026, 2, 1), date(2026, 2, 9))
     with pytest.raises(ValueError):
         date_range(date(2026, 4, 1), None, day)
+
+
+def test_stores(spark, tmp_path):
+    spark.dataSource.register(SqliteSessions)
+    path = str(tmp_path / "o.db")
+    read = lambda name: spark.read.format("sqlite_sessions").option("path", path).option("table", name).load()
+    with sqlite3.connect(path) as db:
+        db.executescript("create table session(id text, title text, time_created int, time_updated int, directory text); create table message(id text, session_id text, time_created int, data text); create table cursorDiskKV(key text, value text)")
+        db.executemany("insert into session values (?,?,?,?,?)", [("a", " ", 1_700_000_000_000, 1_700_000_001_000, "/w/app"), ("b", "B", 0, 0, None)])
+        db.executemany("insert into message values (?,?,?,?)", [("1", "a", 1, '{"modelID": "old"}'), ("2", "a", 2, '{"modelID": "new"}'), ("3", "a", 3, "{}")])
+        db.executemany("insert into cursorDiskKV values (?,?)", [("composerData:c0ffee-123", '{"createdAt": 1700000000000}'), ("composerData:bad", "[]"), ("bubbleId:c0ffee-123:1", '{"type": 1, "requestId": "r1"}'), ("bubbleId:c0ffee-123:2", '{"type": 2, "modelInfo": {"modelName": "m"}}'), ("bubbleId:c0ffee-123:3", '{"type": 9}')])
+    got = sessions.relational_sessions(read("session"), read("message")).orderBy("session_id").collect()
+    assert [(r.session_id, r.title, r.model, r.message_count, r.uri) for r in got] == [("a", "app", "new", 3, "opencode://a"), ("b", "B", None, 0, "opencode://b")]
+    (r,) = sessions.keyed_sessions(read("cursorDiskKV")).collect()
+    assert (r.session_id, r.title, r.model, r.message_count, r.uri) == ("r1", "Cursor Session c0ffee-1", "m", 2, "cursor://r1")
+
+
+def test_kimi_heads(spark, tmp_path):
+    place = tmp_path / "sessions" / hashlib.md5(b"/w/app").hexdigest()
+    write(place / "s1" / "context.jsonl", [{"role": "user", "content": "hi"}, {"role": "_usage", "token_count": 1}])
+    (place / "s1" / "metadata.json").write_text(json.dumps({"session_id": "one", "wire_mtime": 1700000000}, indent=2))
+    (place / "s2").mkdir()
+    (place / "s2" / "metadata.json").write_text("{}")
+    write(place / "s3" / "wire.jsonl", [{}])
+    (place / "s3" / "metadata.json").write_text('{"title": "T"}')
+    (tmp_path / "kimi.json").write_text(json.dumps({"work_dirs": [{"path": "/w/app"}, {"path": 5}, 3]}))
+    got = sessions.kimi_sessions(spark, str(tmp_path / "sessions"), str(tmp_path / "kimi.json")).orderBy("session_id").collect()
+    assert [(r.session_id, r.title, r.working_directory, r.message_count) for r in got] == [("one", "app", "/w/app", 1), ("s3", "T", "/w/app", None)]

@@ -134,3 +134,66 @@ def union(heads: dict[str, DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no known provider")
     return out
+
+
+def _epoch_ms(value: Column) -> Column:
+    return F.when(value.between(0, 32_503_680_000_000), F.timestamp_millis(value))
+
+
+def relational_sessions(sessions: DataFrame, messages: DataFrame, provider: str = "opencode") -> DataFrame:
+    """Heads of the opencode and zcode layouts: messages counted, the model of the latest message that names one."""
+    v = F.try_parse_json("data")
+    named = F.col("data").contains('"modelID"')
+    facts = messages.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max_by(_filled(v, "$.modelID"), F.when(named, F.col("time_created"))).alias("model"))
+    rows = sessions.join(facts, "id", "left")
+    return rows.select(
+        F.lit(provider).alias("provider"), F.col("id").alias("session_id"), title(F.col("title"), basename(F.col("directory"))).alias("title"), _epoch_ms(F.col("time_created")).alias("created_at"), _epoch_ms(F.col("time_updated")).alias("updated_at"), F.lit(None).cast("string").alias("source_path"),
+        F.nullif(F.trim("directory"), F.lit("")).alias("working_directory"), "model", F.lit(None).cast("string").alias("model_provider"), "version", F.coalesce("n", F.lit(0)).alias("message_count"), F.concat(F.lit(f"{provider}://"), "id").alias("uri"))
+
+
+def keyed_sessions(pairs: DataFrame, prefix: int = 20) -> DataFrame:
+    """Heads of the cursor layout: the first request id and model of a composer's first bubbles by key; user and assistant bubbles counted."""
+    from pyspark.sql import Window
+
+    v = F.try_parse_json("value")
+    bubbles = pairs.filter(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("id"), "key", v.alias("v"))
+    bubbles = bubbles.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("key")))
+    early = lambda value: F.min_by(value, F.when(value.isNotNull() & (F.col("n") <= prefix), F.col("n")))
+    facts = bubbles.groupBy("id").agg(F.count_if(_get(F.col("v"), "$.type", "int").isin(1, 2)).alias("messages"), early(_filled(F.col("v"), "$.requestId")).alias("request"), early(_filled(F.col("v"), "$.modelInfo.modelName")).alias("spoken"))
+    c = F.col("c")
+    rows = pairs.filter(F.col("key").startswith("composerData:")).select(F.substring("key", len("composerData:") + 1, 10_000).alias("id"), v.alias("c")).filter(F.schema_of_variant("c").startswith("OBJECT")).join(facts, "id", "left")
+    stamp = lambda name: F.coalesce(_epoch_ms(_get(c, f"$.{name}", "bigint")), F.try_to_timestamp(_get(c, f"$.{name}")))
+    request = F.coalesce("request", "id")
+    return rows.select(
+        F.lit("cursor").alias("provider"), request.alias("session_id"), F.coalesce(_filled(c, "$.name"), _filled(c, "$.title"), F.concat(F.lit("Cursor Session "), F.substring("id", 1, 8))).alias("title"), stamp("createdAt").alias("created_at"), F.coalesce(stamp("updatedAt"), stamp("lastUpdatedAt"), stamp("createdAt")).alias("updated_at"),
+        F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("string").alias("working_directory"), F.coalesce(_filled(c, "$.modelConfig.modelName"), F.col("spoken")).alias("model"), F.lit(None).cast("string").alias("model_provider"), F.lit(None).cast("string").alias("version"),
+        F.coalesce("messages", F.lit(0)).alias("message_count"), F.concat(F.lit("cursor://"), request).alias("uri"))
+
+
+def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None) -> DataFrame:
+    """Heads of the kimi layout, a folder a session: ``settings`` is the file that lists the working folders.
+
+    A folder needs a context or a wire file.  Messages are those assembled
+    from a context file that is small enough to be counted, else unknown.
+    """
+    from tidemark.sources import jsonl, transcripts
+
+    whole = lambda path, name: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
+    folder = lambda path: F.regexp_extract(path, r"^(?:file:)?/*(.*)/[^/]+$", 1)
+    v = F.col("v")
+    meta = whole(root, "metadata.json").select(folder(F.col("_metadata.file_path")).alias("folder"), F.col("_metadata.file_modification_time").alias("modified"), F.try_parse_json("value").alias("v"))
+    held = files(spark, root).select(folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "size").filter(F.col("name").isin("context.jsonl", "wire.jsonl"))
+    held = held.groupBy("folder").agg(F.max(F.when(F.col("name") == "context.jsonl", F.col("size"))).alias("size"))
+    counted = transcripts.kimi_messages(jsonl.records(spark, root, "context.jsonl")).groupBy(folder(F.col("session")).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    rows = meta.join(held, "folder").join(counted, "folder", "left").withColumn("hash", F.element_at(F.split("folder", "/"), -2))
+    if settings:
+        dirs = whole(settings, "*").select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$.work_dirs", "array<variant>")).alias("x")).select(_get(F.col("x"), "$.path").alias("cwd")).filter("cwd is not null").distinct()
+        rows = rows.join(dirs.withColumn("hash", F.md5(F.encode("cwd", "utf-8"))), "hash", "left")
+    else:
+        rows = rows.withColumn("cwd", F.lit(None).cast("string"))
+    made = F.coalesce(_epoch_ms((_get(v, "$.wire_mtime", "double") * 1000).cast("bigint")), "modified")
+    name = F.coalesce(_filled(v, "$.session_id"), F.element_at(F.split("folder", "/"), -1))
+    null = F.lit(None).cast("string")
+    return rows.select(
+        F.lit("kimi").alias("provider"), name.alias("session_id"), title(_get(v, "$.title"), basename(F.col("cwd"))).alias("title"), made.alias("created_at"), made.alias("updated_at"), F.concat(F.lit("/"), "folder").alias("source_path"), F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"),
+        null.alias("model"), null.alias("model_provider"), null.alias("version"), F.when(F.col("size") <= COUNTED, F.coalesce("n", F.lit(0))).alias("message_count"), F.concat(F.lit("kimi://"), name).alias("uri"))
