@@ -153,7 +153,37 @@ def test_kimi_wire(spark, tmp_path):
     assert json.loads(rows[1].parts[1].arguments) == {"x": "y"} and rows[0]["at"] == 1700000000500
 
 
+def test_pi(spark, tmp_path):
+    entry = lambda i, **m: {"type": "message", "id": i, "timestamp": "2026-01-01T00:00:01Z", "message": m}
+    lines = [
+        {"type": "session", "id": "s"},
+        entry("1", role="user", content="hi", timestamp=1_700_000_000_000),
+        entry("2", role="assistant", model="m", content=[{"type": "thinking", "thinking": " hm "}, {"type": "text", "text": " ok "}, "bare", {"type": "toolCall", "id": "c", "name": "read", "arguments": {"p": 1}}, {"type": "image", "mimeType": "image/png"}, {"type": "toolCall", "id": "", "name": "x"}]),
+        entry("3", role="toolResult", toolName="read", toolCallId="c", isError=True, content=[{"type": "text", "text": "no"}]),
+        entry("4", role="bashExecution", command="ls", output="a"),
+        entry("5", role="bashExecution", command=" ", output=" "),
+        entry("6", role="assistant", content=[{"type": "toolCall", "id": "d", "name": "run", "arguments": {}}]),
+        {"type": "compaction", "id": "7", "summary": " short "},
+        entry("8", role="branchSummary", summary="branch"),
+        {"type": "custom_message", "id": "9", "content": ["note"]},
+        entry("10", role="user", content=[]),
+        {"type": "session_info", "name": "title"},
+    ]
+    got, rows = told(spark, tmp_path, lines, transcripts.pi_messages)
+    assert got == [
+        ("user", None, [("text", "hi", None, None)]),
+        ("assistant", None, [("reasoning", "hm", None, None), ("text", "ok", None, None), ("text", "bare", None, None), ("tool", "read", None, None), ("image", "image/png", None, None)]),
+        ("tool", "tool", [("tool", "read", ["no"], "error")]),
+        ("tool", "tool", [("tool", "bash", ["a"], None)]),
+        ("assistant", "tool", [("tool", "run", None, None)]),
+        ("compaction", None, [("text", "short", None, None)]),
+        ("branch_summary", None, [("text", "branch", None, None)]),
+        ("custom", None, [("text", "note", None, None)]),
+    ]
+    assert [r.message_id for r in rows] == ["1", "2", "3", "4", "6", "7", "8", "9"] and rows[0]["at"] == 1_700_000_000_000 and rows[1]["at"] == 1_767_225_601_000
+
+
 def test_empty(spark, tmp_path):
-    for read in (transcripts.claude_messages, transcripts.codex_messages, transcripts.kimi_messages, transcripts.kimi_wire_messages):
+    for read in (transcripts.claude_messages, transcripts.codex_messages, transcripts.kimi_messages, transcripts.kimi_wire_messages, transcripts.pi_messages):
         got, _ = told(spark, tmp_path, [{"type": "other"}, {"message": None, "payload": []}], read)
         assert got == []

@@ -2,8 +2,8 @@
 
 An item is one row of ``ITEM``.  Kinds: ``turn`` (a part of a message of its
 own that ends the assistant's group), ``reset`` (ends the group only),
-``reasoning``, ``text``, ``plan`` and ``tool`` (the assistant's), ``result``
-(answers the latest call of its id), ``hidden`` (a call that is left out with
+``reasoning``, ``text``, ``plan`` and ``tool`` (the assistant's), ``image``
+(a part of its record only), ``result`` (answers the latest call of its id), ``hidden`` (a call that is left out with
 its results) and ``fragment`` (more argument text of the open call).
 
 All windows are partitioned by session first, so the items shuffle once; only
@@ -106,7 +106,7 @@ def assemble(items: DataFrame, grouping: str, answered: str | None = None) -> Da
     if grouping not in ("groups", "sticky", "record", "turn"):
         raise ValueError(f"unknown grouping: {grouping}")
     numbered = _numbered(items)
-    rows = numbered.filter(F.col("kind").isin(*TALK, "tool", "turn", "reset"))
+    rows = numbered.filter(F.col("kind").isin(*TALK, "image", "tool", "turn", "reset"))
     rows = _grouped(rows, grouping == "sticky") if grouping in ("groups", "sticky") else _plain(rows, grouping == "record")
     answers = _answers(numbered)
     lone = answers.filter("call is null").select(*items.columns, "pos", F.explode("output").alias("__text"))
@@ -119,7 +119,7 @@ def assemble(items: DataFrame, grouping: str, answered: str | None = None) -> Da
     parts = rows.select(*items.columns, "pos", "message").unionByName(lone.select(*items.columns, "pos", "message"))
     parts = parts.join(given.withColumnRenamed("call", "pos"), ["session", "pos"], "left")
     done = F.coalesce(F.col("__status"), F.when(F.size("outputs") > 0, F.lit(answered)), F.col("status"))
-    part = F.struct("pos", "kind", "text", "tool", "call_id", F.when(F.col("kind") == "tool", F.concat(F.coalesce("arguments", F.lit("")), F.coalesce("__more", F.lit("")))).alias("arguments"), F.coalesce("outputs", F.when(F.col("kind") == "plan", F.col("output"))).alias("outputs"), done.alias("status"), "at")
+    part = F.struct("pos", "kind", "text", "tool", "call_id", F.when(F.col("kind") == "tool", F.concat(F.coalesce("arguments", F.lit("")), F.coalesce("__more", F.lit("")))).alias("arguments"), F.coalesce("outputs", F.when(F.col("kind").isin("plan", "tool"), F.col("output"))).alias("outputs"), done.alias("status"), "at")
     tools = {"record": F.every(F.col("kind") == "tool"), "turn": F.some(F.col("kind") == "tool")}.get(grouping, F.min_by("kind", "pos") == "tool")
     first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias(name)
     packed = parts.groupBy("session", "message").agg(

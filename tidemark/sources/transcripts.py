@@ -271,3 +271,38 @@ def codex_export(messages: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     all_tools = F.forall("parts", lambda p: p["kind"] == "tool")
     return rows.filter(not_injected(F.col("role"), said)).withColumn("mode", F.when(all_tools, "tool")).drop("__skill")
+
+
+def pi_items(records: DataFrame) -> DataFrame:
+    """Items of the pi layout: every record is at most one message, a tool's output one of its own."""
+    v, x = F.col("v"), F.col("x")
+    m = lambda path, kind="string": _get(v, f"$.message.{path}", kind)
+    kind, own = _get(v, "$.type"), F.coalesce(F.trim(_get(v, "$.message.role")), F.lit(""))
+    rows = _parsed(records).filter(kind.isin("compaction", "branch_summary", "custom_message") | ((kind == "message") & _is(_get(v, "$.message", "variant"), "OBJECT")))
+    told = kind != "message"
+    stamp = F.coalesce(F.when(~told, m("timestamp", "bigint")), F.nullif(iso_ms(m("timestamp")), F.lit(0)), iso_ms(_get(v, "$.timestamp")))
+    role = F.when(kind == "custom_message", "custom").when(told, kind).when(own == "branchSummary", "branch_summary").when(own == "compactionSummary", "compaction").when(own.isin("bashExecution", "toolResult"), "tool").when(own == "", "unknown").otherwise(own)
+    rows = rows.select("session", "line", "v", kind.alias("type"), own.alias("own"), role.alias("role"), stamp.alias("at"), F.coalesce(_get(v, "$.id"), F.concat(F.lit("pi-"), F.col("line"))).alias("entry"))
+    usage = F.when(_is(m("usage", "variant"), "OBJECT"), m("usage"))
+    common = {"session": F.col("session"), "line": F.col("line"), "at": F.col("at"), "message_id": F.col("entry"), "role": F.col("role"), "model": F.when(_is(m("model", "variant"), "STRING"), m("model")), "usage": usage}
+    short = F.when(F.col("role").isin("compaction", "branch_summary"), F.trim(F.coalesce(F.when(F.col("type") == "message", m("summary")).otherwise(_get(v, "$.summary")), F.lit(""))))
+    summaries = rows.filter(short != "").select(*item(**common, item=F.lit(0), kind=F.lit("text"), text=short))
+    command, output = F.coalesce(F.trim(m("command")), F.lit("")), F.filter(F.array(m("output")), _said)
+    shells = rows.filter(F.col("own") == "bashExecution").filter((command != "") | (F.size(output) > 0)).select(*item(**common, item=F.lit(0), kind=F.lit("tool"), tool=F.lit("bash"), call_id=F.col("entry"), arguments=F.to_json(F.struct(command.alias("command"))), output=output))
+    named = F.coalesce(F.nullif(F.trim(m("toolName")), F.lit("")), F.lit("tool"))
+    results = rows.filter(F.col("own") == "toolResult").select(*item(**common, item=F.lit(0), kind=F.lit("tool"), tool=named, call_id=F.coalesce(F.nullif(F.trim(m("toolCallId")), F.lit("")), F.col("entry")), arguments=F.lit("{}"), output=_texts(v, "$.message.content", typed=True), status=F.when(m("isError", "boolean"), "error")))
+
+    spoken = rows.filter(~F.col("role").isin("tool", "compaction", "branch_summary")).withColumn("content", F.when(F.col("type") == "message", m("content", "variant")).otherwise(_get(v, "$.content", "variant")))
+    plain = spoken.filter(_is(F.col("content"), "STRING")).filter(_said(_get(F.col("content"), "$"))).select(*item(**common, item=F.lit(0), kind=F.lit("text"), text=_get(F.col("content"), "$")))
+    inner = spoken.filter(_is(F.col("content"), "ARRAY")).select("*", F.posexplode(_list(F.col("content"), "$")).alias("i", "x"))
+    part = F.when(_is(x, "STRING"), "bare").otherwise(_get(x, "$.type"))
+    said = F.when(part == "bare", _get(x, "$")).when(part == "text", F.trim(_get(x, "$.text"))).when(part == "thinking", F.trim(_get(x, "$.thinking"))).when(part == "image", F.coalesce(_get(x, "$.mimeType"), F.lit("")))
+    name, call = F.trim(_get(x, "$.name")), F.trim(_get(x, "$.id"))
+    is_call = (part == "toolCall") & (name != "") & (call != "")
+    listed = inner.filter(is_call | (part == "image") | (part.isin("bare", "text", "thinking") & _said(said)))
+    listed = listed.select(*item(**common, item=F.col("i"), text=said, tool=F.when(is_call, name), call_id=F.when(is_call, call), arguments=F.when(is_call, _get(x, "$.arguments")), kind=F.when(is_call, "tool").when(part == "thinking", "reasoning").when(part == "image", "image").otherwise("text")))
+    return summaries.unionByName(shells).unionByName(results).unionByName(plain).unionByName(listed)
+
+
+def pi_messages(records: DataFrame) -> DataFrame:
+    return assemble(pi_items(records), "record")
