@@ -128,6 +128,19 @@ def test_language(docs, none, spark):
     assert langid.learn(none) == {} and {r.lang_pred for r in langid.identify(table, {}).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    rng = random.Random(6)
+    stock = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(25)] for k in range(70)}
+    rows = [(k * 10 + i, " ".join(rng.choice(stock[x]) for _ in range(50)), x) for k, x in enumerate(stock) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    samples = langid.learn(table)
+    assert set(samples) == set(stock)
+    found = {r.doc_id: r for r in langid.identify(table, samples).collect()}
+    assert all(found[i].lang_pred == x and not found[i].rejected for i, _, x in rows)
+    assert langid.keep_identified(table, samples).count() == len(rows)
+    assert all(len(s) < 400 for s in langid.learn(table, sample_chars=50).values())
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 

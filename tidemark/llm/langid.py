@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, pick
+from tidemark.llm.common import BROADCAST_ROWS, held_out, pick
 
 #: Bound of the training sample: texts of a language that are asked for, and characters kept of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 160_000
 #: Characters of one sampled text.
 SNIPPET = 1_200
-#: Most languages learned, the most frequent first.
-LANGUAGES = 64
 BLOCK = 2_000
 LEVEL = 3
 #: Bits a character that need no second look.
@@ -87,24 +85,43 @@ class Compressors:
         return best, float(-np.expm1(-4 * gain)), bool(gain < MARGIN)
 
 
+def _joined(sample_chars: int):
+    """Sorted (lang, snippet) rows into one dictionary for each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close = lambda: pa.RecordBatch.from_arrays([pa.array([language], pa.string()), pa.array([" ".join(parts).encode()], pa.binary())], ["lang", "sample"])
+        language, parts, size = None, [], 0
+        for batch in batches:
+            for name, snippet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != language:
+                    if size >= 8:
+                        yield close()
+                    language, parts, size = name, [], 0
+                if size < sample_chars and (plain := letters(snippet)):
+                    parts.append(plain)
+                    size += len(plain)
+        if size >= 8:
+            yield close()
+
+    return run
+
+
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Dictionaries from rows that are not held out.  What reaches the driver is bounded: ``LANGUAGES`` times about ``sample_texts`` snippets."""
+    """Dictionaries from rows that are not held out, one for every language.  Only the texts of a language are bounded: about ``sample_texts`` snippets are drawn, and the executors join them to the ``sample_chars`` characters a language that reach the driver."""
     rows = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return {}
+    limits = docs.sparkSession.createDataFrame([(language, int(min(1.0, 1.25 * sample_texts / n) * (1 << 40))) for language, n in counts], "lang string, below long")
+    limits = F.broadcast(limits) if len(counts) <= BROADCAST_ROWS else limits
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40))
-    chance = F.lit(False)
-    for language, n in counts:
-        chance = chance | ((F.col("lang") == language) & (key < int(min(1.0, 1.25 * sample_texts / n) * (1 << 40))))
     # the snippet starts at a hashed place, so that common openings do not fill the sample
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
-    drawn = rows.filter(chance).select("lang", key.alias("key"), F.substring("text", start, F.lit(SNIPPET)).alias("snippet")).collect()
-    out: dict[str, list[str]] = {language: [] for language, _ in counts}
-    for language, _, snippet in sorted(drawn, key=lambda r: (r[0], r[1])):
-        if sum(map(len, out[language])) < sample_chars and (plain := letters(snippet)):
-            out[language].append(plain)
-    return {language: " ".join(parts).encode() for language, parts in out.items() if len("".join(parts)) >= 8}
+    drawn = rows.join(limits, "lang").filter(key < F.col("below")).select("lang", key.alias("key"), F.substring("text", start, F.lit(SNIPPET)).alias("snippet"))
+    sorted_ = drawn.repartition("lang").sortWithinPartitions("lang", "key", "snippet").select("lang", "snippet")
+    found = dict(tuple(r) for r in sorted_.mapInArrow(_joined(sample_chars), "lang string, sample binary").collect())
+    # the most frequent first
+    return {language: bytes(found[language]) for language, _ in counts if language in found}
 
 
 _PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
