@@ -240,6 +240,17 @@ def test_vectors(spark):
     assert embed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_many_labels(spark):
+    # more labels, and so tiles, in each of the four range tasks than 4096; every third label holds a linked pair
+    rows = [(2 * k + i, [1.0, 0.001 * i], k) for k in range(20_000) for i in range(2 if k % 3 == 0 else 1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, int(k % 3 == 0), 2 * k) for i, _, k in rows}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10_000))
 def test_quantised_bound(seed):

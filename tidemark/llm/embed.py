@@ -88,12 +88,12 @@ def spanning(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-_TILE = "label int, dim int, tile int, rows int, low double, high double, ids binary, weights binary, vectors binary"
-_TILE_SCHEMA = pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("tile", pa.int32()), ("rows", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())])
+_TILE = "label int, dim int, tile long, rows int, low double, high double, ids binary, weights binary, vectors binary"
+_TILE_SCHEMA = pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("tile", pa.int64()), ("rows", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())])
 
 
 def _tiles(rows: int):
-    """Sorted (label, dim, place, node, weight, vector) rows into tiles; numbered within a task."""
+    """Sorted (label, dim, place, node, weight, vector) rows into tiles, numbered as ``monotonically_increasing_id`` numbers rows."""
 
     def close(group: list[tuple], turn: int) -> pa.RecordBatch:
         vectors = np.array([g[5] for g in group], np.float64)
@@ -104,7 +104,7 @@ def _tiles(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        group, turn = [], TaskContext.get().partitionId() << 12
+        group, turn = [], TaskContext.get().partitionId() << 33
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and (row[:2] != group[0][:2] or len(group) >= rows):
@@ -173,8 +173,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, tile: int = TIL
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
     a, b = (tiles.select("label", "dim", *[F.col(c).alias(f"{c}_{n}") for c in ("tile", "low", "high")]) for n in "ab")
     pairs = a.join(b, ["label", "dim"]).filter(f"tile_a <= tile_b and low_b - high_a <= {reach!r} and low_a - high_b <= {reach!r}")
-    side = lambda n: tiles.select(F.col("tile").alias(f"tile_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("ids", "weights", "vectors")])
-    full = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b")
+    side = lambda n: tiles.select("label", "dim", F.col("tile").alias(f"tile_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("ids", "weights", "vectors")])
+    full = pairs.join(side("a"), ["label", "dim", "tile_a"]).join(side("b"), ["label", "dim", "tile_b"])
     work = full.select("dim", (F.col("tile_a") == F.col("tile_b")).alias("same"), *[f"{c}_{n}" for n in "ab" for c in ("ids", "weights", "vectors")])
     found = settle(work.mapInArrow(_compare(threshold), _FOUND), "found")
 
