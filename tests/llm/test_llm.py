@@ -198,6 +198,20 @@ def test_mixing(docs, none, spark):
     assert mixing.mix(docs).columns[: len(docs.columns)] == docs.columns and mixing.mix(none).count() == 0
 
 
+def test_mixing_weights(spark):
+    rows = [(1000 * k + i, "w " * 10, "en", source) for k, source in enumerate(("a0", "a1", "b0", "c0")) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kind = "level string, name string, weight double"
+    weights = spark.createDataFrame([("domain", "a", 3.0), ("domain", "c", 0.0), ("origin", "a0", 2.0), ("domain", "other", None)], kind)
+    taken = lambda budget: {r[0]: r[1] for r in mixing.mix(table, weights, budget, max_epochs=1).groupBy("source").sum("mix_tokens").collect()}
+    # a and b as 3 to 1, a0 and a1 as 2 to 1, nothing of c
+    assert taken(1200) == {"a0": 600, "a1": 300, "b0": 300}
+    # a0 gives its 1000; the rest of a's 1800 goes to a1
+    assert taken(2400) == {"a0": 1000, "a1": 800, "b0": 600}
+    with pytest.raises(Exception, match="weights must be integers"):
+        mixing.mix(table, spark.createDataFrame([("domain", "a", 0.7), ("domain", "b", 0.3)], kind), 1200).collect()
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "x" * 200), (2, "http://b", "x" * 200), (3, None, "y"), (4, "u", "y"), (5, "u", None), (None, "u", "x" * 200), (2, "http://b", "x" * 200), (6, "u\r\nv", "é" * 60_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)

@@ -17,8 +17,9 @@ ordered.  Rows are never gathered by leaf, and texts are not shuffled to be cut.
 Only DataFrame operations are used.  Tokens are white-space separated words.
 
 Defined results: null text has no token; null domain, language or source are
-leaves of their own, named ``?``; weights that are missing count 1; a weight of
-0 takes nothing unless all siblings weigh 0, and then the node takes nothing;
+leaves of their own, named ``?``; weights that are missing count 1, and
+those that are no integers are an error; a weight of 0 takes nothing unless all
+siblings weigh 0, and then the node takes nothing;
 rows that repeat an id share its place and stay or go together; an empty table
 gives an empty table; the other columns of ``docs`` pass through.
 """
@@ -53,7 +54,10 @@ def domain_of(source: Column) -> Column:
 def _weighed(nodes: DataFrame, weights: DataFrame | None, keys: list[str]) -> DataFrame:
     if weights is None:
         return nodes.withColumn("weight", F.lit(1).cast("long"))
-    kind = weights.filter(F.col("level") == keys[-1]).select(F.col("name").alias(keys[-1]), F.col("weight").cast("long").alias("weight"))
+    given = F.col("weight").cast("double")
+    refused = F.raise_error(F.concat(F.lit("weights must be integers, scale them: "), F.col("weight").cast("string")))
+    whole = F.when(given.isNull() | (given == F.floor(given)), F.col("weight").cast("long")).otherwise(refused)
+    kind = weights.filter(F.col("level") == keys[-1]).select(F.col("name").alias(keys[-1]), whole.alias("weight"))
     return nodes.join(kind, keys[-1], "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(0)).cast("long"))
 
 
@@ -96,7 +100,7 @@ def leaf_budgets(leaves: DataFrame, budget: Column | int | None, weights: DataFr
 def mix(docs: DataFrame, weights: DataFrame | None = None, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: str | None = None) -> DataFrame:
     """All columns of ``docs`` and (epoch, mix_tokens), one row for each copy taken.
 
-    ``weights`` has (level, name, weight) with integer weights; ``budget`` is in
+    ``weights`` has (level, name, weight) with integer weights, others are refused; ``budget`` is in
     tokens (the tokens there are when None); ``domain`` names a column of
     ``docs`` (else it is derived from the source)."""
     names = docs.columns
