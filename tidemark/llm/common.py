@@ -28,6 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -58,6 +60,22 @@ def small_side(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+#: Bytes of names that may be broadcast with them.
+BROADCAST_BYTES = 32 << 20
+
+
+def is_light(rows: DataFrame) -> bool:
+    """Whether a settled table of numbers and names counts few enough rows and bytes to be broadcast, or to be one task's work."""
+    names = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rows.schema if f.dataType.typeName() == "string"]
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(names, F.lit(0))), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """A settled table whose groups and joins need no exchange where it is light."""
+    return rows.coalesce(1) if is_light(rows) else rows
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again."""
     for table in tables:
@@ -68,6 +86,11 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def position(columns: list[str], name: str) -> int | None:
+    """Where a column stands: by its exact name, else by its name in any case."""
+    return next((i for i, c in enumerate(columns) if c == name), next((i for i, c in enumerate(columns) if c.lower() == name.lower()), None))
+
+
 def pick(df: DataFrame, *names: str, rest: bool = False) -> DataFrame:
     """The named columns, found by position so that extra columns whose names
     differ only in case cannot make them ambiguous.  A column that is missing
@@ -76,8 +99,8 @@ def pick(df: DataFrame, *names: str, rest: bool = False) -> DataFrame:
     plain = df.toDF(*[f"__c{i}" for i in range(len(columns))])
     found = []
     for name in names:
-        at = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
-        found.append((F.col(f"__c{at[0]}") if at else F.lit(None)).alias(name))
+        at = position(columns, name)
+        found.append((F.lit(None) if at is None else F.col(f"__c{at}")).alias(name))
     return plain.select(*found, *([F.col(c) for c in plain.columns] if rest else []))
 
 

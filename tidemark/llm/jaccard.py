@@ -11,24 +11,32 @@ only qualifying groups are opened and compared exactly:
    ``GROUP_ROWS`` sets; inside a group sets are compared exactly and linked.
    Three levels, each over the roots of the one before, gather similar sets into
    classes without comparing all pairs of a large class.
-3. The matrix is counted again with classes as groups.  What still overlaps
-   other classes by 80 % is put into bounded groups of similar sets; groups that
-   share a prefix token in sets of different classes are paired, the overlap of
-   each query set with the other group's token union is bounded, and only
-   qualifying sets open the group.
-
-Steps 1 and 3 are exact filters: a pair with ``100 * |x & y| >= 80 * |x | y|``
+3. The matrix is counted again with classes as groups.  For what still overlaps
+   other classes by 80 %, classes meet by representatives: under each of several
+   minimum hashes one set of each class, compared in bounded blocks, which adds
+   at most one link for each class and hash.  Then the matrix is counted once more.
+4. What is left is put into bounded groups of similar sets that store their
+   token union; groups that share a prefix token in sets of different classes are
+   paired, the overlap of each query set with the other group's union is bounded,
+   and only qualifying sets open the group.
+
+Tokens are dealt over the parts of the token space in one step, or in two when
+there are more than ``FAN`` parts: no block of tokens ever addresses more.
+
+The counts are exact filters: a pair with ``100 * |x & y| >= 80 * |x | y|``
 shares at least 80 % of either set and at least one prefix token of both.
-Inside a class no further link is needed for the classes to be right.
+Inside a class no further link is needed for the classes to be right.  Steps 2
+and the representatives only spare work: step 4 finds every class link they miss.
 
 Defined results: null or blank texts have an empty set and no link; rows with a
 null id get a null class; rows that share an id are one node; equal sets are
-linked; an empty table gives an empty table; extra columns are ignored.
+linked; a text of any length is one set, its words are all used; an empty table
+gives an empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +53,11 @@ PART_BYTES = 24 << 20
 GROUP_ROWS, GROUP_TOKENS = 64, 400_000
 #: Tokens gathered before they are dealt to the parts.
 BLOCK_TOKENS = 2_000_000
+#: Parts that one block of tokens is dealt to at most.
+FAN = 1024
 LEVELS = 3
+#: Minimum hashes under which representatives meet, and how often they are drawn anew.
+HASHES, TURNS = 8, 4
 
 _BLOB = "part int, keys binary, groups binary, counts binary, tokens binary, meta binary"
 _SEEDS = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)]
@@ -58,33 +70,72 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 _BLOB_SCHEMA = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("groups", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("meta", pa.binary())])
 
 
-def _deal(sets: list[np.ndarray], keys: list[int], groups: list[int] | None, parts: int, meta: bytes | None, turn: int) -> Iterator[pa.RecordBatch]:
-    """The sets' tokens by part of the token space: which set has how many there, and 32 more bits of each."""
-    rows = []
-    if sets:
-        tokens = np.concatenate(sets)
-        own = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-        part = (tokens % np.uint64(parts)).astype(np.int32)
+def _deal(tokens: list[np.ndarray], counts: list[np.ndarray] | None, keys: list[np.ndarray] | list[int], groups: list | None, parts: int, fan: int, meta: bytes | None = None, turn: int = 0, onward: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sets' tokens by part of the token space: which set has how many there, and 32 more bits of each.
+
+    With more than ``fan`` parts they are dealt to ranges of ``fan`` parts, as
+    whole tokens, which are dealt ``onward`` to the parts."""
+    rows, wide = [], not onward and parts > fan
+    if tokens:
+        token = np.concatenate(tokens)
+        count = np.array([len(s) for s in tokens]) if counts is None else np.concatenate(counts)
+        own = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        part = (token % np.uint64(parts)).astype(np.int64) // (fan if wide else 1)
         order = np.argsort(part, kind="stable")
-        part, own, short = part[order], own[order], (tokens[order] >> np.uint64(32)).astype(np.uint32)
-        key = np.array(keys, np.int64)
-        group = None if groups is None else np.array(groups, np.int64)
-        bounds = np.searchsorted(part, np.arange(parts + 1))
-        for p in range(parts):
-            lo, hi = bounds[p], bounds[p + 1]
-            if lo < hi:
-                o = own[lo:hi]
-                first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
-                who = o[first]
-                rows.append((p, key[who].tobytes(), None if group is None else group[who].tobytes(), count.tobytes(), short[lo:hi].tobytes(), None))
+        part, own, token = part[order], own[order], token[order]
+        if not wide:
+            token = (token >> np.uint64(32)).astype(np.uint32)
+        flat = lambda v: np.array(v, np.int64) if counts is None else np.concatenate(v)
+        key, group = flat(keys), None if groups is None else flat(groups)
+        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True):
+            o = own[lo:hi]
+            first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+            who = o[first]
+            many = np.diff(np.append(first, hi - lo)).astype(np.uint32)
+            rows.append((int(part[lo]), key[who].tobytes(), None if group is None else group[who].tobytes(), many.tobytes(), token[lo:hi].tobytes(), None))
     if meta:
-        rows.append((turn % parts, None, None, None, None, meta))
+        rows.append((turn % (-(-parts // fan) if wide else parts), None, None, None, None, meta))
     for at in range(0, len(rows), 64):
         yield _batch(_BLOB_SCHEMA, rows[at : at + 64])
 
 
-def _spread_documents(parts: int, k: int):
+def _deal_on(parts: int, fan: int):
+    """Blobs of ranges of parts into blobs of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        flush = lambda part: _deal(held[part][0], held[part][1], held[part][2], held[part][3] or None, parts, fan, onward=True)
+        for batch in batches:
+            for part, key, group, count, token, meta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if meta is not None:
+                    yield _batch(_BLOB_SCHEMA, [(part * fan, None, None, None, None, meta)])
+                    continue
+                own = held.setdefault(part, [[], [], [], [], 0])
+                for at, raw, kind in ((0, token, np.uint64), (1, count, np.uint32), (2, key, np.int64), (3, group, np.int64)):
+                    if raw is not None:
+                        own[at].append(np.frombuffer(raw, kind))
+                own[4] += len(token) // 8
+                if own[4] >= BLOCK_TOKENS:
+                    yield from flush(part)
+                    del held[part]
+        for part in list(held):
+            yield from flush(part)
+            del held[part]
+
+    return run
+
+
+def _dealt(rows: DataFrame, spread: Callable, parts: int):
+    """Blobs of ``rows`` by part, grouped; ``spread(parts, fan)`` makes the first blobs."""
+    fan = FAN
+    blobs = rows.mapInArrow(spread(parts, fan), _BLOB)
+    if parts > fan:
+        blobs = blobs.repartition(-(-parts // fan), "part").mapInArrow(_deal_on(parts, fan), _BLOB)
+    return blobs.groupBy("part")
+
+
+def _spread_documents(parts: int, fan: int, k: int):
     """Blobs of all documents' tokens; meta carries (doc_id, n, 128-bit digest) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +152,15 @@ def _spread_documents(parts: int, k: int):
                     size += len(tokens)
                 if size >= BLOCK_TOKENS or len(metas) >= 20_000:
                     turn += 1
-                    yield from _deal(sets, keys, None, parts, np.array(metas, np.int64).tobytes(), turn)
+                    yield from _deal(sets, None, keys, None, parts, fan, np.array(metas, np.int64).tobytes(), turn)
                     sets, keys, metas, size = [], [], [], 0
         if metas:
-            yield from _deal(sets, keys, None, parts, np.array(metas, np.int64).tobytes(), turn)
+            yield from _deal(sets, None, keys, None, parts, fan, np.array(metas, np.int64).tobytes(), turn)
 
     return run
 
 
-def _spread_sets(parts: int):
+def _spread_sets(parts: int, fan: int):
     """Blobs of (node, class, tokens) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +172,10 @@ def _spread_sets(parts: int):
                 groups.append(group.as_py())
                 size += len(sets[-1])
                 if size >= BLOCK_TOKENS:
-                    yield from _deal(sets, keys, groups, parts, None, 0)
+                    yield from _deal(sets, None, keys, groups, parts, fan)
                     sets, keys, groups, size = [], [], [], 0
         if sets:
-            yield from _deal(sets, keys, groups, parts, None, 0)
+            yield from _deal(sets, None, keys, groups, parts, fan)
 
     return run
 
@@ -220,38 +271,88 @@ def local_roots(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, limit: int) -> Iterator[list[tuple]]:
+    """Sorted (key, node, n, ...) rows into blocks of one key, of ``rows`` rows and about ``limit`` tokens at most."""
+    block, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block and row[:2] == block[-1][:2]:
+                continue  # a repeated row
+            if block and (row[0] != block[0][0] or len(block) >= rows or size >= limit and len(block) > 1):
+                yield block
+                block, size = [], 0
+            block.append(row)
+            size += row[2]
+    if block:
+        yield block
+
+
+def _roots(tokens: list[bytes], share: int) -> list[int]:
+    """For each set of a block the first one that links reach."""
+    if len(tokens) == 1:
+        return [0]
+    inter = overlaps([np.frombuffer(t, np.uint64) for t in tokens])
+    n = np.diag(inter)
+    return local_roots(100 * inter >= share * (n[:, None] + n[None, :] - inter)).tolist()
+
+
 def _level(rows: int, limit: int, share: int):
-    """Sorted (key, node, ...) rows: links the sets of each group to the group's roots; roots keep their tokens."""
+    """Sorted (key, node, n, tokens, ...) rows: links the sets of each block to the block's roots; roots keep their tokens."""
+    schema = pa.schema([*_SET_SCHEMA, ("root", pa.int64())])
 
-    def close(group: list[tuple]) -> list[tuple]:
-        if len(group) == 1:
-            return [(*group[0], group[0][0])]
-        inter = overlaps([np.frombuffer(g[2], np.uint64) for g in group])
-        n = np.diag(inter)
-        root = local_roots(100 * inter >= share * (n[:, None] + n[None, :] - inter))
-        return [(g[0], g[1], g[2] if root[i] == i else None, *g[3:], group[root[i]][0]) for i, g in enumerate(group)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, rows, limit):
+            root = _roots([g[3] for g in block], share)
+            yield _batch(schema, [(g[1], g[2], g[3] if root[i] == i else None, *g[4:], block[root[i]][1]) for i, g in enumerate(block)])
+
+    return run
+
+
+def _minima(hashes: int):
+    """(node, key) of each (node, tokens) row and minimum hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*_SET_SCHEMA, ("root", pa.int64())])
-        group, last, size = [], None, 0
+        seeds = [mix(np.array([7919 + j], np.uint64)) for j in range(hashes)]
         for batch in batches:
-            out = []
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and key == last and row[0] == group[-1][0]:
-                    continue  # a repeated row
-                if group and (key != last or len(group) >= rows or size >= limit and len(group) > 1):
-                    out += close(group)
-                    group, size = [], 0
-                group.append(tuple(row))
-                last, size = key, size + row[1]
-            if out:
-                yield _batch(schema, out)
-        if group:
-            yield _batch(schema, close(group))
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(raw.as_buffer(), np.uint64)
+                key = np.array([mix(mix(tokens ^ s).min() + s)[0] for s in seeds]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * hashes, pa.int64()), pa.array(key)], ["node", "key"])
+
+    return run
+
+
+def _meet(rows: int, limit: int, share: int):
+    """Sorted (key, class, n, tokens) rows, one set a class: links between classes, at most one for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, rows, limit):
+            found = [(g[1], block[r][1]) for g, r in zip(block, _roots([g[3] for g in block], share), strict=True) if g[1] != block[r][1]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def meet_classes(sets: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """``members(node, class)`` with classes merged where representatives link.
+
+    ``sets`` is (node, n, tokens).  Under each minimum hash a class sends one of
+    its sets, in every turn another; turns end when none merges anything."""
+    minima = settle(sets.select("node", "tokens").mapInArrow(_minima(HASHES), "node long, key long"), "minima")
+    for turn in range(TURNS):
+        keyed = minima.join(members, "node").groupBy("key", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+        met = group_best(keyed.withColumn("order", F.col("class")), "key", "order", "class").filter("group_size > 1").select("key", "class", "node")
+        sent = met.join(sets, "node").select("key", "class", "n", "tokens").repartitionByRange("key", "class").sortWithinPartitions("key", "class")
+        links = settle(sent.mapInArrow(_meet(GROUP_ROWS, GROUP_TOKENS, share), "a long, b long"), "meet", free=True)
+        merged = connected_components(links)
+        if not merged.head(1):
+            break
+        named = members.join(merged.withColumnRenamed("node", "class"), "class", "left")
+        members = settle(named.select("node", F.coalesce("component", "class").alias("class")), "members")
+    return members
+
+
 def _rarity(table: pa.Table) -> pa.Table:
     """For each key of a part, in the order of its tokens there: in how many classes each token lies."""
     keys, groups, counts, tokens = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c]) for name, kind in (("keys", np.int64), ("groups", np.int64), ("counts", np.uint32), ("tokens", np.uint32)))
@@ -268,12 +369,12 @@ def _rarity(table: pa.Table) -> pa.Table:
     return pa.table({"node": keys, "part": pa.array([table.column("part")[0].as_py()] * len(keys), pa.int32()), "rarity": pa.array(raw, pa.binary())})
 
 
-_RANKED = "k0 long, node long, class long, n long, tokens binary, head binary"
+_RANKED = "k0 long, node long, n long, class long, tokens binary, head binary"
 
 
 def _heads(parts: int, share: int):
     """The prefix of each set, rarest tokens first, without those of no other class: a pair that links shares a token of both prefixes."""
-    schema = pa.schema([*[(c, pa.int64()) for c in ("k0", "node", "class", "n")], ("tokens", pa.binary()), ("head", pa.binary())])
+    schema = pa.schema([*[(c, pa.int64()) for c in ("k0", "node", "n", "class")], ("tokens", pa.binary()), ("head", pa.binary())])
 
     def head(raw: bytes, rarity: list[dict]) -> bytes:
         tokens = np.frombuffer(raw, np.uint64)
@@ -292,31 +393,22 @@ def _heads(parts: int, share: int):
     return run
 
 
-_GROUP = "gid long, classes binary, nodes binary, sizes binary, tokens binary, cuts binary, heads binary"
-_GROUP_SCHEMA = pa.schema([("gid", pa.int64()), *[(c, pa.binary()) for c in ("classes", "nodes", "sizes", "tokens", "cuts", "heads")]])
+_GROUP = "gid long, classes binary, nodes binary, sizes binary, tokens binary, cuts binary, heads binary, union binary"
+_GROUP_SCHEMA = pa.schema([("gid", pa.int64()), *[(c, pa.binary()) for c in ("classes", "nodes", "sizes", "tokens", "cuts", "heads", "union")]])
 
 
 def _gather(rows: int, limit: int):
-    """Sorted (key, node, class, n, tokens, head) rows into bounded groups of sets that share a minimum hash."""
+    """Sorted (key, node, n, class, tokens, head) rows into bounded groups of sets that share a minimum hash, with their token union."""
 
     def close(group: list[tuple]) -> tuple:
-        packed = [np.array([g[i] for g in group], np.int64).tobytes() for i in (2, 1, 3)]
+        packed = [np.array([g[i] for g in group], np.int64).tobytes() for i in (3, 1, 2)]
+        tokens = b"".join(g[4] for g in group)
         cuts = np.array([len(g[5]) // 8 for g in group], np.int64).tobytes()
-        return (group[0][1], *packed, b"".join(g[4] for g in group), cuts, b"".join(g[5] for g in group))
+        return (group[0][1], *packed, tokens, cuts, b"".join(g[5] for g in group), np.unique(np.frombuffer(tokens, np.uint64)).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, size = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:2] == group[-1][:2]:
-                    continue  # a repeated row
-                if group and (row[0] != group[0][0] or len(group) >= rows or size >= limit):
-                    yield _batch(_GROUP_SCHEMA, [close(group)])
-                    group, size = [], 0
-                group.append(row)
-                size += row[3]
-        if group:
-            yield _batch(_GROUP_SCHEMA, [close(group)])
+        for block in _blocks(batches, rows, limit):
+            yield _batch(_GROUP_SCHEMA, [close(block)])
 
     return run
 
@@ -325,7 +417,7 @@ def _members(sizes: bytes, tokens: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(tokens, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
 
 
-def _spread_prefixes(parts: int):
+def _spread_prefixes(parts: int, fan: int):
     """Blobs of the prefix tokens of each group's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,10 +431,10 @@ def _spread_prefixes(parts: int):
                         groups.append(own)
                         size += len(head)
                 if size >= BLOCK_TOKENS:
-                    yield from _deal(sets, keys, groups, parts, None, 0)
+                    yield from _deal(sets, None, keys, groups, parts, fan)
                     sets, keys, groups, size = [], [], [], 0
         if sets:
-            yield from _deal(sets, keys, groups, parts, None, 0)
+            yield from _deal(sets, None, keys, groups, parts, fan)
 
     return run
 
@@ -361,12 +453,11 @@ def _pair_groups(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def link_groups(query: tuple, group: tuple, share: int) -> list[tuple[int, int]]:
+def link_groups(query: tuple, group: tuple, union: np.ndarray, share: int) -> list[tuple[int, int]]:
     """Links between sets of two groups (nodes, classes, token sets), one at most for each pair of classes that is joined.
 
     Each query set is bounded by its overlap with the group's token union; only
     qualifying sets open the group."""
-    union = np.unique(np.concatenate(group[2]))
     open_ = [i for i, q in enumerate(query[2]) if 100 * np.isin(q, union, assume_unique=True).sum() >= share * len(q)]
     if not open_:
         return []
@@ -387,12 +478,20 @@ def _open_groups(share: int):
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = ((np.frombuffer(row[i], np.int64), np.frombuffer(row[i + 1], np.int64), _members(row[i + 2], row[i + 3])) for i in (0, 4))
-                found += link_groups(a, b, share)
+                found += link_groups(a, b, np.frombuffer(row[8], np.uint64), share)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _crossing(sets: DataFrame, parts: int, share: int) -> DataFrame:
+    """The rows of ``sets(node, class, n, tokens, k0)`` of whose tokens enough lie in other classes' sets; only they can link to one."""
+    counts = _dealt(sets.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(_count_shared, _COUNT)
+    most = counts.groupBy(F.col("d1").alias("node")).agg(F.sum("shared").alias("shared"))
+    near = settle(sets.select("node", "n").distinct().join(most, "node").filter(f"100 * shared >= {share} * n").select("node"), "near", free=True)
+    return sets.join(small_side(near), "node")
+
+
 def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
 
@@ -400,8 +499,8 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     |x & y| >= share * |x | y|``; ``component_id`` is the smallest id reachable."""
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = sized(text_bytes(plain), PART_BYTES, least=32)
-    blobs = plain.mapInArrow(_spread_documents(parts, k), _BLOB)
-    counted = settle(blobs.groupBy("part").applyInArrow(_count_shared, _COUNT), "overlap", free=True)
+    blobs = _dealt(plain, lambda parts, fan: _spread_documents(parts, fan, k), parts)
+    counted = settle(blobs.applyInArrow(_count_shared, _COUNT), "overlap", free=True)
 
     rows = counted.filter("shared is null").select("doc_id", "n", "d1", "d2")
     bound = counted.groupBy("d1").agg(F.sum("shared").alias("shared"), F.sum(F.when(F.col("shared").isNull() & F.col("doc_id").isNotNull(), F.col("n"))).alias("n"))
@@ -422,25 +521,24 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
 
     classes = settle(connected_components(union_all(links)), "classes")
     classed = sets.join(small_side(classes), "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n", "tokens", "k0")
-    again = classed.select("node", "class", "tokens").mapInArrow(_spread_sets(parts), _BLOB).groupBy("part").applyInArrow(_count_shared, _COUNT)
-    most = again.groupBy(F.col("d1").alias("node")).agg(F.sum("shared").alias("shared"))
-    near = settle(classed.select("node", "n").distinct().join(most, "node").filter(f"100 * shared >= {share} * n").select("node"), "near", free=True)
-    left = settle(classed.join(small_side(near), "node").select("k0", "node", "class", "n", "tokens").dropDuplicates(["node"]), "left")
-    rare = left.select("node", "class", "tokens").mapInArrow(_spread_sets(parts), _BLOB).groupBy("part").applyInArrow(_rarity, "node long, part int, rarity binary")
+    first = settle(_crossing(classed, parts, share).dropDuplicates(["node"]), "crossing", free=True)
+    members = meet_classes(first.select("node", "n", "tokens"), settle(first.select("node", "class"), "members"), share)
+    left = settle(_crossing(first.drop("class").join(members, "node").select("node", "class", "n", "tokens", "k0"), parts, share), "left", free=True)
+    rare = _dealt(left.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(_rarity, "node long, part int, rarity binary")
     each = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "rarity"))).alias("rarity"))
-    ranked = left.join(each, "node").select("k0", "node", "class", "n", "tokens", "rarity").mapInArrow(_heads(parts, share), _RANKED)
+    ranked = left.join(each, "node").select("k0", "node", "n", "class", "tokens", "rarity").mapInArrow(_heads(parts, share), _RANKED)
     groups = settle(ranked.repartitionByRange("k0", "node").sortWithinPartitions("k0", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
-    heads = groups.select("gid", "classes", "cuts", "heads").mapInArrow(_spread_prefixes(parts), _BLOB)
-    pairs = heads.groupBy("part").applyInArrow(_pair_groups, "a long, b long").distinct()
+    pairs = _dealt(groups.select("gid", "classes", "cuts", "heads"), _spread_prefixes, parts).applyInArrow(_pair_groups, "a long, b long").distinct()
     columns = ("nodes", "classes", "sizes", "tokens")
-    side = lambda n: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
-    opened = pairs.join(side("a"), "a").join(side("b"), "b").select(*[f"{n}_{c}" for n in "ab" for c in columns])
+    side = lambda n, *more: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in (*columns, *more)])
+    opened = pairs.join(side("a"), "a").join(side("b", "union"), "b").select(*[f"{n}_{c}" for n in "ab" for c in columns], "b_union")
     crossed = settle(opened.mapInArrow(_open_groups(share), "a long, b long"), "crossed", free=True)
 
     same = copies.filter("doc_id <> best").select(F.col("doc_id").alias("a"), F.col("best").alias("b"))
     merged = classes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = connected_components(union_all([merged, crossed, same]))
-    discard(sets, left, groups)
+    met = members.filter("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
+    final = connected_components(union_all([merged, met, crossed, same]))
+    discard(sets, first, left, groups)
     return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
