@@ -29,10 +29,29 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the mixture, by path: (domain, language, source, weight); what is not named weighs 1.
+TARGETS = (
+    ("src", None, None, 2),
+    ("src1", None, None, 3),
+    ("src", "en", None, 5),
+    ("src", "de", None, 2),
+    ("src1", "en", None, 3),
+    ("src1", "fr", None, 2),
+    ("src", "en", "src0", 3),
+    ("src", "en", "src3", 4),
+    ("src", "fr", "src0", 2),
+    ("src1", "en", "src14", 2),
+)
+
+
+def target_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TARGETS, "domain string, language string, source string, weight long")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "epoch", F.col("mix_tokens").alias("tokens"))
+    return mix(table(spark, sf_dir, "documents"), target_weights(spark)).select("doc_id", "lang", "source", "epoch", F.col("mix_tokens").alias("tokens"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,26 +102,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_NAMED = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in TARGETS)
+
+
+def _dealt(level: str, nodes: str, family: str, order: str) -> str:
+    """SQL that gives the children ``nodes(..., cap, weight, pb)`` of a family their budget ``b``: sorted by capacity for weight, the first
+    child that the level of what is left does not fill fixes the level ``num / den``."""
+    over = f"PARTITION BY {family} ORDER BY cap / weight, {order}"
+    return f"""
+{level}_t AS (SELECT *, greatest(pb - coalesce(sum(cap) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::HUGEINT AS num,
+         sum(weight) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS den FROM {nodes} WHERE cap > 0),
+{level}_w AS (SELECT *, min(struct_pack(a := cap / weight, num := num, den := den)) FILTER (num * weight <= cap * den) OVER (PARTITION BY {family}) AS w FROM {level}_t),
+{level} AS (SELECT *, CASE WHEN w IS NULL THEN cap ELSE least(cap, (w['num'] * weight) // w['den']) END::BIGINT AS b FROM {level}_w)"""
+
+
 _OP3 = f"""
-WITH d AS (
-  SELECT doc_id, lang, source, coalesce(regexp_replace(source, '[0-9]$', ''), '?') AS domain, coalesce(lang, '?') AS language, coalesce(source, '?') AS origin,
+WITH given(domain, language, origin, weight) AS (VALUES {_NAMED}),
+d AS (
+  SELECT doc_id, text, lang, source, coalesce(regexp_replace(source, '[0-9]$', ''), '?') AS domain, coalesce(lang, '?') AS language, coalesce(source, '?') AS origin,
          coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS tokens
   FROM documents),
-leaf AS (SELECT domain, language, origin, sum(tokens)::BIGINT AS tokens, 4 * sum(tokens)::BIGINT AS cap FROM d GROUP BY ALL),
-n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, (SELECT sum(tokens)::BIGINT FROM leaf) AS pb FROM leaf GROUP BY domain),
-t1 AS (SELECT *, greatest(pb - coalesce(sum(cap) OVER (ORDER BY cap, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::DOUBLE
-         / (count(*) OVER () - (row_number() OVER (ORDER BY cap, domain) - 1)) AS lv FROM n1),
-b1 AS (SELECT domain, least(cap, coalesce(floor(min(struct_pack(a := cap, b := lv)) FILTER (lv <= cap) OVER ()['b'])::BIGINT, cap)) AS b FROM t1),
-n2 AS (SELECT domain, language, sum(cap)::BIGINT AS cap, any_value(b) AS pb FROM leaf JOIN b1 USING (domain) GROUP BY domain, language),
-t2 AS (SELECT *, greatest(pb - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::DOUBLE
-         / (count(*) OVER (PARTITION BY domain) - (row_number() OVER (PARTITION BY domain ORDER BY cap, language) - 1)) AS lv FROM n2),
-b2 AS (SELECT domain, language, least(cap, coalesce(floor(min(struct_pack(a := cap, b := lv)) FILTER (lv <= cap) OVER (PARTITION BY domain)['b'])::BIGINT, cap)) AS b FROM t2),
-n3 AS (SELECT domain, language, origin, tokens, cap, b AS pb FROM leaf JOIN b2 USING (domain, language)),
-t3 AS (SELECT *, greatest(pb - coalesce(sum(cap) OVER (PARTITION BY domain, language ORDER BY cap, origin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::DOUBLE
-         / (count(*) OVER (PARTITION BY domain, language) - (row_number() OVER (PARTITION BY domain, language ORDER BY cap, origin) - 1)) AS lv FROM n3),
-b3 AS (SELECT domain, language, origin, tokens AS leaf_tokens, least(cap, coalesce(floor(min(struct_pack(a := cap, b := lv)) FILTER (lv <= cap) OVER (PARTITION BY domain, language)['b'])::BIGINT, cap)) AS b FROM t3),
-p AS (SELECT *, CASE WHEN leaf_tokens > 0 THEN b // leaf_tokens ELSE 0 END AS whole, CASE WHEN leaf_tokens > 0 THEN b % leaf_tokens ELSE 0 END AS rest FROM b3),
-k AS (SELECT d.*, whole, rest, md5('2024:' || whole::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '?')) AS key FROM d JOIN p USING (domain, language, origin)),
+total AS (SELECT sum(tokens)::BIGINT AS pb FROM d),
+leaf AS (
+  SELECT l.*, coalesce(g.weight, 1) AS weight, CASE WHEN coalesce(g.weight, 1) > 0 THEN 4 * tokens ELSE 0 END AS cap
+  FROM (SELECT domain, language, origin, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL) l LEFT JOIN given g USING (domain, language, origin)),
+lang AS (
+  SELECT l.domain, l.language, coalesce(g.weight, 1) AS weight, CASE WHEN coalesce(g.weight, 1) > 0 THEN l.cap ELSE 0 END AS cap
+  FROM (SELECT domain, language, sum(cap)::BIGINT AS cap FROM leaf GROUP BY ALL) l
+  LEFT JOIN (SELECT * FROM given WHERE language IS NOT NULL AND origin IS NULL) g USING (domain, language)),
+dom AS (
+  SELECT l.domain, coalesce(g.weight, 1) AS weight, CASE WHEN coalesce(g.weight, 1) > 0 THEN l.cap ELSE 0 END AS cap, pb
+  FROM (SELECT domain, sum(cap)::BIGINT AS cap FROM lang GROUP BY ALL) l LEFT JOIN (SELECT * FROM given WHERE language IS NULL) g USING (domain), total),
+{_dealt("b1", "dom", "1", "domain")},
+n2 AS (SELECT lang.*, b AS pb FROM lang JOIN b1 USING (domain)),
+{_dealt("b2", "n2", "domain", "language")},
+n3 AS (SELECT leaf.*, b AS pb FROM leaf JOIN b2 USING (domain, language)),
+{_dealt("b3", "n3", "domain, language", "origin")},
+p AS (SELECT domain, language, origin, b // tokens AS whole, b % tokens AS rest FROM b3),
+k AS (SELECT d.*, whole, rest, md5('2024:' || whole::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '?' || md5(coalesce(text, '')))) AS key FROM d JOIN p USING (domain, language, origin)),
 s AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k),
 c AS (SELECT domain, language, origin, min(key) AS cut FROM s WHERE upto > rest GROUP BY ALL)
 SELECT doc_id, lang, source, unnest(range(whole + (CASE WHEN rest > 0 AND key < coalesce(cut, 'g') THEN 1 ELSE 0 END)))::INTEGER AS epoch, tokens
