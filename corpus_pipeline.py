@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact, jaccard, langid, mixing, packing
 from tidemark.llm.common import settle, table
-from tidemark.llm.queries import tokenizer_path
+from tidemark.llm.queries import target_weights, tokenizer_path
 
 #: SQL can express neither the language model nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
@@ -37,8 +37,8 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents as often as the mixture of target weights takes them."""
+    return mixing.mix(docs, target_weights(spark)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
