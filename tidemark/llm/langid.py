@@ -13,9 +13,12 @@ compressed once more with a fixed filler behind them: alone, a few words would b
 stored raw whatever the dictionary.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
-and rejected; with no language to learn every row is ``und``; rows with null
-ids are predicted as any other; an empty table gives an empty table; extra
-columns are ignored.
+and rejected; texts of any length are compressed whole; of languages that
+compress a text equally well the one with more labelled rows is named (and the
+row rejected); with no language to learn every row is ``und``; rows with null
+ids are learned from and predicted as any other, rows that repeat id and text are
+learned from once and predicted each; an empty table gives an empty table; extra
+columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, held_out, pick
+from tidemark.llm.common import BROADCAST_ROWS, held_out, pick, position
 
 #: Bound of the training sample: texts of a language that are asked for, and characters kept of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 160_000
@@ -108,20 +111,22 @@ def _joined(sample_chars: int):
 
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionaries from rows that are not held out, one for every language.  Only the texts of a language are bounded: about ``sample_texts`` snippets are drawn, and the executors join them to the ``sample_chars`` characters a language that reach the driver."""
-    rows = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    plain = pick(docs, "doc_id", "text", "lang").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
+    rows = plain.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("row", F.xxhash64("doc_id", "text"))
+    # rows that repeat id and text are one
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("row").alias("distinct")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return {}
-    limits = docs.sparkSession.createDataFrame([(language, int(min(1.0, 1.25 * sample_texts / n) * (1 << 40))) for language, n in counts], "lang string, below long")
+    limits = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 1.25 * sample_texts / r.distinct) * (1 << 40))) for r in counts], "lang string, below long")
     limits = F.broadcast(limits) if len(counts) <= BROADCAST_ROWS else limits
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40))
+    key = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 40))
     # the snippet starts at a hashed place, so that common openings do not fill the sample
-    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
-    drawn = rows.join(limits, "lang").filter(key < F.col("below")).select("lang", key.alias("key"), F.substring("text", start, F.lit(SNIPPET)).alias("snippet"))
+    start = F.pmod(F.xxhash64("row", F.lit(5)), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
+    drawn = rows.join(limits, "lang").filter(key < F.col("below")).select("lang", key.alias("key"), F.substring("text", start, F.lit(SNIPPET)).alias("snippet")).distinct()
     sorted_ = drawn.repartition("lang").sortWithinPartitions("lang", "key", "snippet").select("lang", "snippet")
     found = dict(tuple(r) for r in sorted_.mapInArrow(_joined(sample_chars), "lang string, sample binary").collect())
     # the most frequent first
-    return {language: bytes(found[language]) for language, _ in counts if language in found}
+    return {r.lang: bytes(found[r.lang]) for r in counts if r.lang in found}
 
 
 _PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -149,7 +154,8 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 def keep_identified(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    text = names[docs.columns.index("text")]
-    first = docs.toDF(*names).select(F.col(text).cast("string").alias("__text"), *names)
+    at = position(docs.columns, "text")
+    text = F.lit(None) if at is None else F.col(names[at])
+    first = docs.toDF(*names).select(text.cast("string").alias("__text"), *names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", lang_pred string, score double, rejected boolean"
     return first.mapInArrow(_predict(samples, 0), schema).filter("not rejected").select(*names).toDF(*docs.columns)

@@ -6,9 +6,11 @@ rule; lasso logistic regression keeps few of them.  What is left is compiled
 into one Spark column expression over the statistics.
 
 Defined results: null text counts as empty and is scored by its statistics;
-rows with null labels teach nothing; without labels of both kinds the score is
-the share of label 1 (0.5 with no label); repeated rows are scored each; an
-empty table gives an empty table; extra columns are ignored.
+texts of any length are measured whole; rows with null labels teach nothing, and
+of labels that repeat an id the largest counts; without labels of both kinds the
+score is the share of label 1 (0.5 with no label); a score of exactly 0.7 is
+predicted 1; repeated rows are scored each, and learned from once; an empty table
+gives an empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, pick, settle
+from tidemark.llm.common import held_out, pick, settle, small_side
 from tidemark.llm.learners import Rule, apply_rule, boosted_rules, lasso_logistic
 from tidemark.llm.tokens import word_hashes
 
@@ -111,13 +113,23 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> RuleModel:
     return RuleModel(tuple((rule, float(w)) for (rule, _), w in zip(chosen, weights, strict=True) if abs(w) > 1e-6), intercept)
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the ids that may be learned from, one row each: of several labels the largest."""
+    plain = pick(labels, "doc_id", label).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
+    return plain.filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled(features: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE_ROWS) -> list:
-    """At most about ``most`` hashed rows (features, label) that may be learned from."""
-    known = pick(labels, "doc_id", label).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id")))
+    """At most ``most`` distinct rows (features, label) that may be learned from, drawn by hash."""
+    known = settle(known_labels(labels, label), "known")
     n = known.count()
     if n > most:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
-    return features.join(known, "doc_id").drop("doc_id").collect()
+        # a fifth more ids than rows are asked for; ids that repeat have many rows: the bound is set on rows
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) < int(min(1, 1.2 * most / n) * (1 << 40)))
+    rows = features.join(small_side(known), "doc_id")
+    columns = [c for c in rows.columns if c != "doc_id"]
+    drawn = rows.select(*columns, F.xxhash64("doc_id", *columns).alias("__key")).dropDuplicates(["__key"])
+    return drawn.orderBy("__key").limit(most).drop("__key").collect()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
