@@ -1,6 +1,7 @@
 """Training-data operators against plain versions, with nulls, empties, ties, repeats and clashing columns."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,10 +65,15 @@ def test_components(spark):
     assert found == {n: c for n, c in want.items() if n in found} and len(found) == 40 + 1 + 2 + 40
 
 
+def word_tuples(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
 def test_jaccard(docs, none, rows):
     sets = defaultdict(list)
     for i, t, *_ in rows:
-        sets[i].append(set(shingle_set((t or "").encode()).tolist()))
+        sets[i].append(word_tuples(t))
     ids = [i for i in sets if i is not None]
     links = [(a, b) for a in ids for b in ids for x in sets[a] for y in sets[b] if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y)]
     want = reach(ids, links)
@@ -83,16 +89,40 @@ def test_jaccard(docs, none, rows):
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="aAb \t\n\x0b\x85 é", max_size=40))
 def test_shingles(t):
-    import re
-
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    want = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    assert len(shingle_set(t.encode())) == len(want)
+    assert len(shingle_set(t.encode())) == len(word_tuples(t))
+
+
+def chains(rng, ends=3, steps=24):
+    """Texts that drift away from their beginning a few words at a time, and texts that share most of their words without a link."""
+    out = []
+    for _ in range(ends):
+        now = words(rng, 70).split()
+        for _ in range(steps):
+            now = now[:]
+            now[rng.randrange(70)] = words(rng, 1)
+            out.append(" ".join(now))
+    common = [words(rng, 20) for _ in range(12)]
+    out += [" ".join(rng.sample(common, 5)) for _ in range(60)]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("fan, hashes", [(1024, 8), (5, 1)])
+def test_jaccard_chains(spark, monkeypatch, fan, hashes):
+    """Small blocks, parts dealt in one and in two steps, many and few hashes: the classes are the same."""
+    rows = chains(random.Random(11))
+    sets = [word_tuples(t) for _, t in rows]
+    want = reach(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 4)
+    monkeypatch.setattr(jaccard, "HASHES", hashes)
+    found = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, TEXT string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and len(set(want.values())) < len(rows) - 20
+    assert all(r.n_shingles == len(sets[r.doc_id]) for r in found)
 
 
 def test_exact(docs, none, rows):
     import hashlib
-    import re
 
     name = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
     groups = defaultdict(list)
@@ -141,6 +171,31 @@ def test_many_languages(spark):
     assert all(len(s) < 400 for s in langid.learn(table, sample_chars=50).values())
 
 
+def test_languages_of_repeated_rows(spark):
+    """Rows without an id, one row repeated, and one id with many texts are learned from."""
+    rng = random.Random(9)
+    stock = {x: ["".join(rng.choice(x) for _ in range(6)) for _ in range(30)] for x in ("abcdefg", "hijklmn", "opqrstu")}
+    make = lambda x: " ".join(rng.choice(stock[x]) for _ in range(20))
+    same = make("hijklmn")
+    rows = [(None, make("abcdefg"), "none") for _ in range(2000)] + [(1, same, "same") for _ in range(2000)] + [(3, make("opqrstu"), "one") for _ in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    samples = langid.learn(table, sample_texts=50, sample_chars=4000)
+    assert set(samples) == {"none", "same", "one"} and all(len(s) < 5500 for s in samples.values()) and len(samples["same"]) == len(same)
+    found = langid.identify(table, samples).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == {"none": 2000, "same": 2000, "one": 2000}
+    odd = table.toDF("DOC_ID", "Text", "lang").selectExpr("*", "1 as score", "2 as lang_pred", "3 as rejected")
+    assert langid.keep_identified(odd, samples).columns == odd.columns and langid.keep_identified(odd, samples).count() == 6000
+
+
+def test_labels_of_repeated_rows(spark):
+    """However often an id repeats, no more rows than the bound reach the driver."""
+    features = spark.range(5000).selectExpr("id % 2 * 3 as doc_id", "cast(id as double) as x")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (0, None), (None, 1), (99, 1)], "doc_id long, quality int")
+    found = quality.labelled(features, labels, "quality", 300)
+    assert len(found) == len({r.x for r in found}) == 300 and {r.label for r in found} == {1}
+    assert len(quality.labelled(features.selectExpr("doc_id", "1.0D as x"), labels, "quality", 300)) == 1
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
@@ -198,18 +253,46 @@ def test_mixing(docs, none, spark):
     assert mixing.mix(docs).columns[: len(docs.columns)] == docs.columns and mixing.mix(none).count() == 0
 
 
-def test_mixing_weights(spark):
+PATHS = "domain string, language string, source string, weight double"
+
+
+def test_mixing_weights(spark, monkeypatch):
     rows = [(1000 * k + i, "w " * 10, "en", source) for k, source in enumerate(("a0", "a1", "b0", "c0")) for i in range(100)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    kind = "level string, name string, weight double"
-    weights = spark.createDataFrame([("domain", "a", 3.0), ("domain", "c", 0.0), ("origin", "a0", 2.0), ("domain", "other", None)], kind)
+    weights = spark.createDataFrame([("a", None, None, 3.0), ("c", None, None, 0.0), ("a", "en", "a0", 2.0), ("a", "en", "a0", 1.0), ("b", "en", "a0", 9.0), ("other", None, None, None)], PATHS)
     taken = lambda budget: {r[0]: r[1] for r in mixing.mix(table, weights, budget, max_epochs=1).groupBy("source").sum("mix_tokens").collect()}
     # a and b as 3 to 1, a0 and a1 as 2 to 1, nothing of c
     assert taken(1200) == {"a0": 600, "a1": 300, "b0": 300}
-    # a0 gives its 1000; the rest of a's 1800 goes to a1
-    assert taken(2400) == {"a0": 1000, "a1": 800, "b0": 600}
-    with pytest.raises(Exception, match="weights must be integers"):
-        mixing.mix(table, spark.createDataFrame([("domain", "a", 0.7), ("domain", "b", 0.3)], kind), 1200).collect()
+    # a0 gives its 1000; the rest of a's 1800 goes to a1; with a plan too large to broadcast as well
+    for rows_allowed, hot in ((500_000, 1_000_000), (0, 50), (0, 1_000_000)):
+        monkeypatch.setattr("tidemark.llm.common.BROADCAST_ROWS", rows_allowed)
+        monkeypatch.setattr(mixing, "HOT_ROWS", hot)
+        assert taken(2400) == {"a0": 1000, "a1": 800, "b0": 600}
+    for bad, why in ((("a", None, None, 0.7), "weights must be integers"), (("a", None, "a0", 1.0), "a weight names")):
+        with pytest.raises(Exception, match=why):
+            mixing.mix(table, spark.createDataFrame([bad], PATHS), 1200).collect()
+
+
+def test_mixing_weight_of_nothing(spark):
+    """A leaf of weight 0 leaves its share to the siblings above; the same name may weigh differently below another parent."""
+    rows = [(k * 1000 + i, "w w", lang, source) for k, (lang, source, n) in enumerate((("x", "a1", 50), ("y", "a2", 5), ("x", "b1", 500))) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = lambda *weights: {r[0]: r[1] for r in mixing.mix(table, spark.createDataFrame(weights, PATHS), 600, max_epochs=1).groupBy("source").sum("mix_tokens").collect()}
+    assert taken(("a", "x", "a1", 0.0)) == {"a2": 10, "b1": 590}
+    assert taken(("a", "x", "a1", 1.0), ("a", "x", "a1", 1.0)) == {"a1": 100, "a2": 10, "b1": 490}
+    assert taken(("a", "x", None, 0.0), ("b", "x", None, 7.0)) == {"a2": 10, "b1": 590}
+    assert taken(("a", None, None, 0.0), ("b", None, None, 0.0)) == {}
+
+
+def test_mixing_hot_ids(spark):
+    """Null and repeated ids share a place; columns of any case and of the results' names."""
+    rows = [(None, "w w w", "en", "a0", 1) for _ in range(300)] + [(7, "w", "en", "a0", 2) for _ in range(300)] + [(100 + i, "w " * i, None, None, 3) for i in range(20)]
+    table = spark.createDataFrame(rows, "DOC_ID long, Text string, lang string, source string, epoch int")
+    found = mixing.mix(table, budget=3000).collect()
+    count = Counter((r.DOC_ID, r.epoch) for r in found if r.DOC_ID in (None, 7))
+    # 2240 tokens are a0's: one epoch of 1200 and either group in the second
+    assert set(count.values()) == {300} and len(count) == 3
+    assert found[0].__fields__ == ["DOC_ID", "Text", "lang", "source", "epoch", "mix_tokens"] and sum(r.mix_tokens for r in found) <= 3000
 
 
 def test_warc(spark):
@@ -278,8 +361,9 @@ def test_quantised_bound(seed):
 def test_quality(spark):
     rng = random.Random(1)
     rows = [(i, (words(rng, 40) if i % 2 else "###!! " * 40), i % 2) for i in range(200)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(999, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t, _ in rows] + [(999, None, 0, "x"), (998, words(rng, 20_000), 1, "y")], "doc_id long, text string, words int, TEXT string")
     labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(None, None)], "doc_id long, quality int")
+    assert quality.score_quality(docs.limit(0), labels).count() == 0
     found = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
     assert all(found[i].predicted == q and 0 <= found[i].score <= 1 for i, _, q in rows) and found[999].score is not None
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
@@ -303,18 +387,52 @@ def test_toxicity(spark):
             for _ in range(4):
                 w[rng.randrange(30)] = rng.choice(["horrid", "beastly"])
         rows.append((i, " ".join(w), int(i % 3 == 0)))
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(998, None), (999, "abcd horrrid bcda beastky")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    more = [(998, None), (999, "abcd horrrid bcda beastky"), (997, words(rng, 20_000)), (996, "")]
+    docs = spark.createDataFrame([(i, t, 1.0, 2) for i, t in [(i, t) for i, t, _ in rows] + more], "doc_id long, TEXT string, score double, label int")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(1, None), (None, 1)], "doc_id long, toxic int")
     found = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert found[996].predicted == found[997].predicted == 0 and len(found) == 304 and toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     assert np.mean([found[i].predicted == x for i, _, x in rows]) > 0.97 and found[998].predicted == 0
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_automaton():
-    lexicon = toxicity.Lexicon({"stupid": 2.0, "moron": 1.0}, {"vequ": 1.5})
+def edits(a, b):
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] != a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_automaton(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE_STATES", 300)
+    rng = random.Random(12)
+    entry = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    entries = {entry(rng.randint(3, 11)): float(k + 1) for k in range(15)}
+    lexicon = toxicity.Lexicon(entries, {})
+    for _ in range(3000):
+        word = list(rng.choice([*entries, entry(rng.randint(3, 12))]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word))
+            word[at : at + 2] = rng.choice([[], word[at : at + 2][::-1], [*word[at : at + 1], rng.choice("abcd")], word[at : at + 1] * 2])
+            word = word or ["a"]
+        word = "".join(word)
+        near = [(n, -w, 0 if not n else 2 if n == 1 and len(x) >= 5 else 3) for x, w in entries.items() if (n := edits(x, word)) <= toxicity.word_edits(len(x))]
+        want = (min(near)[2], -min(near)[1]) if near and len(word) >= 3 else None
+        assert lexicon.look_up(word) == want, word
+
+
+def test_lexicon():
+    lexicon = toxicity.Lexicon({"stupid": 2.0, "moron": 1.0, "scum": 3.0, "abominable": 1.0}, {"vequ": 1.5, "detest": 2.5}, frozenset({"slum"}))
     for word in ("stupd", "stuppid", "st0pid", "stpuid", "moronn"):
         assert lexicon.look_up(word)[0] == 2, word
-    assert lexicon.look_up("Stupid!!")[0] == 0 and lexicon.look_up("vequtt")[0] == 1 and lexicon.look_up("stup") is None and lexicon.look_up("st0pd") is None
+    for word in ("scvm", "scumm", "scm", "abominble", "abomniabel", "detesst", "ditesting"):
+        assert lexicon.look_up(word)[0] == (2 if word == "abominble" else 3), word
+    assert lexicon.look_up("Stupid!!")[0] == 0 and lexicon.look_up("vequtt")[0] == lexicon.look_up("detesting")[0] == 1
+    assert all(lexicon.look_up(w) is None for w in ("slum", "stup", "st0pd", "vequ", "vaqutt", "dotxs", "ox"))
     assert toxicity.quoted('he said "you moron" today'.split(), 3) and not toxicity.quoted("you are a moron".split(), 3)
 
 
