@@ -32,7 +32,7 @@ def test_heads(spark, tmp_path):
     got = {r.session_id: r for r in both.withColumns({c: both[c].cast("string") for c in ("created_at", "updated_at")}).collect()}
     abc, rollout = got["abc"], got["1-2-3-4-5"]
     assert (abc.title, abc.created_at, abc.updated_at, abc.model, abc.message_count, abc.uri, abc.working_directory) == ("fix it", "2026-01-01 00:00:00", "2026-01-02 00:00:00", "m", 3, "claude://abc", "/w/app")
-    assert (got["big"].title, got["big"].message_count, got["big"].created_at > "2020") == ("proj", None, True)
+    assert (got["big"].title, got["big"].message_count, got["big"].created_at > "2020") == ("proj", 0, True)
     assert (rollout.title, rollout.created_at, rollout.model, rollout.message_count, rollout.provider_order < abc.provider_order) == ("real ask", "2026-02-01 00:00:00", "prov", 2, True)
     assert sessions.token_totals(b, "codex").first()[1:] == (14, 2, None)
     assert sessions.assembled_tokens(transcripts.claude_messages(a)).filter("session like '%abc.jsonl'").first()[1:] == (3, 2)

@@ -97,6 +97,14 @@ def date_range(since: date | None, until: date | None, today: date, days: int |
     return start, end
 
 
+def checked_days(days: int | None, today: date) -> int:
+    """A number of days back: 7 without one; positive and not before the first day of the calendar."""
+    days = 7 if days is None else days
+    if not 0 < days < today.toordinal():
+        raise ValueError("days must be a positive number below today's date")
+    return days
+
+
 def under(path: Column, root: Column) -> Column:
     """``path`` is ``root`` or lies below it."""
     return (path == root) | F.when(root == "/", path.startswith("/")).otherwise(path.startswith(F.concat(root, F.lit("/"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["provider", "session_id"]
@@ -41,3 +41,18 @@ def refresh(index: DataFrame, seen: DataFrame, corpus: DataFrame, now: Column, r
 def evict(index: DataFrame, now: Column, days: int = RETENTION) -> DataFrame:
     """Without rows unseen for more than ``days``."""
     return index.filter(F.col("last_seen") >= now - F.make_interval(days=F.lit(days)))
+
+
+def clear(index: DataFrame, provider: str) -> DataFrame:
+    """Without a provider's rows."""
+    return index.filter(~F.col("provider").eqNullSafe(F.lit(provider)))
+
+
+def refresh_counts(index: DataFrame, seen: DataFrame, corpus: DataFrame, samples: int = 3) -> DataFrame:
+    """(provider, added, skipped, sample): sessions whose text is taken, those whose text cannot be read, and the first ids of these."""
+    todo = stale(index, seen.groupBy(*KEY).agg(F.max("signature").alias("signature"))).select(*KEY)
+    read = corpus.groupBy(*KEY).agg(F.max("content").isNotNull().alias("read"))
+    rows = todo.join(read, KEY, "left").withColumn("read", F.coalesce("read", F.lit(False)))
+    n = F.row_number().over(Window.partitionBy("provider", "read").orderBy("session_id"))
+    few = F.when(~F.col("read") & (F.col("n") <= samples), F.col("session_id"))
+    return rows.withColumn("n", n).groupBy("provider").agg(F.count_if("read").alias("added"), F.count_if(~F.col("read")).alias("skipped"), F.array_sort(F.collect_list(few)).alias("sample"))

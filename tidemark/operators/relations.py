@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scratch import settle
+
 
 def count_join(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """Left rows with the number of right rows of their key; 0 without any."""
@@ -36,12 +40,32 @@ def changed(now: DataFrame, known: DataFrame, key: str, signature: str) -> DataF
     return now.join(old, key, "left").filter(F.col("__known").isNull() | ~F.col(signature).eqNullSafe(F.col("__old"))).drop("__old", "__known")
 
 
-def descend(spark, edges: DataFrame, root: Column, most: int = 32) -> DataFrame:
-    """(node, depth) reachable from the roots, each once at its least depth; cycles end by themselves."""
-    edges.createOrReplaceTempView("__edges")
-    edges.filter(root).select(F.col("parent")).distinct().createOrReplaceTempView("__roots")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT parent, 0 FROM __roots
-          UNION ALL SELECT e.child, w.depth + 1 FROM walk w JOIN __edges e ON e.parent = w.node WHERE w.depth < {most} AND e.child <> e.parent)
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+#: Steps after which what was seen is written as one table again.
+MERGE_STEPS = 16
+
+
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, depth) for every node that ``edges(parent, child)`` lead to from ``starts(start, node)``, each once at its least depth.
+
+    A frontier is joined with the edges and what was seen is taken off, until
+    nothing is new: no depth or row limit, and cycles end by themselves.
+    """
+    edges = settle(edges.select("parent", "child").filter("parent is not null and child <> parent").distinct(), "edges")
+    frontier = settle(starts.select("start", "node").distinct().withColumn("depth", F.lit(0)), "reach")
+    seen, depth = [frontier], 0
+    while frontier.head(1):
+        depth += 1
+        known = reduce(DataFrame.unionByName, seen).select("start", "node")
+        fresh = frontier.join(edges, F.col("node") == F.col("parent")).select("start", F.col("child").alias("node")).distinct()
+        # null starts are one start
+        frontier = settle(fresh.alias("f").join(known.alias("k"), F.col("f.node").eqNullSafe(F.col("k.node")) & F.col("f.start").eqNullSafe(F.col("k.start")), "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        seen.append(frontier)
+        if len(seen) > MERGE_STEPS:
+            seen = [settle(reduce(DataFrame.unionByName, seen), "reach")]
+    return reduce(DataFrame.unionByName, seen)
+
+
+def descend(edges: DataFrame, root: Column) -> DataFrame:
+    """(node, depth) reachable from the parents that ``root`` selects, each once at its least depth."""
+    starts = edges.filter(root).select(F.lit(0).alias("start"), F.col("parent").alias("node"))
+    return reach(edges, starts).select("node", "depth")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, text
-from tidemark.operators import assemble, collect, filters, index, relations, search, stats
+from tidemark.operators import assemble, collect, evaluate, filters, index, relations, search, stats, views
 from tidemark.operators.search import TextQuery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,19 +75,79 @@ def search_literal_rank_topk(spark, d):
     return search.top(found.select("doc_id", "rank"), 20, F.desc("rank"), F.desc("doc_id"))
 
 
-@_query("""
-WITH s AS (SELECT conv_id, min(text) FILTER (turn = 0) AS t0, string_agg(text, ' ' ORDER BY turn) AS content FROM conversations GROUP BY conv_id),
-c AS (SELECT conv_id, coalesce(substring(t0, 1, 60), '') AS title, content, lower(coalesce(substring(t0, 1, 60), '') || content) AS t FROM s),
-w AS (SELECT *, (greatest(length(title) - 2, 0) + greatest(length(content) - 2, 0))::DOUBLE AS len, ((length(t) - length(replace(t, 'the', ''))) / 3)::DOUBLE AS a, ((length(t) - length(replace(t, 'ment', ''))) / 4)::DOUBLE AS b FROM c),
-g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS al, (count(*) FILTER (a > 0))::DOUBLE AS da, (count(*) FILTER (b > 0))::DOUBLE AS db FROM w)
-SELECT conv_id, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al)), 6) AS rank
-FROM w, g WHERE a > 0 AND b > 0 ORDER BY rank DESC, conv_id LIMIT 20""")
+def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as sessions of four providers in five folders, and their messages."""
+    turns = _t(spark, sf_dir, "conversations")
+    provider = F.element_at(F.array(*map(F.lit, ("codex", "claudecode", "kimi", "pi"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    rows = turns.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("t0"))
+    sessions = rows.select(
+        provider.alias("provider"), F.col("conv_id").cast("string").alias("session_id"), F.coalesce(F.substring("t0", 1, 60), F.lit("")).alias("title"), F.concat(F.lit("/w/p"), F.col("conv_id") % 5).alias("working_directory"),
+        (F.col("conv_id") * 7 % 13).alias("updated_at"), (F.col("conv_id") % 3).alias("created_at"))
+    return sessions, turns.select(provider.alias("provider"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
+
+
+_SESSIONS = """
+s AS (SELECT conv_id, ['codex', 'claudecode', 'kimi', 'pi'][conv_id % 4 + 1] AS provider, conv_id::VARCHAR AS session_id, coalesce(substring(min(text) FILTER (turn = 0), 1, 60), '') AS title,
+  '/w/p' || conv_id % 5 AS working_directory, conv_id * 7 % 13 AS updated_at, conv_id % 3 AS created_at, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (trim(text) <> '') AS content FROM conversations GROUP BY conv_id)"""
+_LATEST = "updated_at DESC, created_at DESC, provider, session_id"
+_BM25 = f"""{_SESSIONS},
+w AS (SELECT *, (greatest(length(title) - 2, 0) + greatest(length(content) - 2, 0))::DOUBLE AS len,
+  ((length(title) - length(replace(lower(title), 'that', '')) + length(content) - length(replace(lower(content), 'that', ''))) / 4)::DOUBLE AS a,
+  ((length(title) - length(replace(lower(title), 'from', '')) + length(content) - length(replace(lower(content), 'from', ''))) / 4)::DOUBLE AS b FROM s WHERE content IS NOT NULL),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS al, (count(*) FILTER (a > 0))::DOUBLE AS da, (count(*) FILTER (b > 0))::DOUBLE AS db FROM w),
+r AS (SELECT w.*, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al)), 6) AS rank
+  FROM w, g WHERE a > 0 AND b > 0)"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions, messages = _sessions(spark, sf_dir)
+    return sessions.join(views.corpus(messages), search.KEY)
+
+
+@_query(f"WITH {_BM25} SELECT provider, session_id, rank FROM r ORDER BY rank DESC, {_LATEST} LIMIT 20")
 def search_bm25_topk(spark, d):
-    turns = _t(spark, d, "conversations")
-    packed = turns.groupBy("conv_id").agg(F.min(F.when(F.col("turn") == 0, F.col("text"))).alias("t0"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    corpus = packed.select("conv_id", F.coalesce(F.substring("t0", 1, 60), F.lit("")).alias("title"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("content"))
-    found = search.bm25(corpus, TextQuery.terms("the ment"))
-    return search.top(found.select("conv_id", "rank"), 20, F.desc("rank"), F.asc("conv_id"))
+    return search.search(_searched(spark, d), TextQuery.terms("that from"), limit=20).select("provider", "session_id", "rank")
+
+
+@_query(f"WITH {_BM25} SELECT provider, session_id, rank FROM r WHERE provider IN ('codex', 'pi') ORDER BY rank DESC, {_LATEST} LIMIT 7")
+def search_scoped_topk(spark, d):
+    corpus = _searched(spark, d)
+    return search.search(corpus, TextQuery.terms("that from"), corpus.filter("provider in ('codex', 'pi')"), 7).select("provider", "session_id", "rank")
+
+
+@_query(f"WITH {_BM25} SELECT provider, session_id, rank FROM r")
+def search_indexed(spark, d):
+    corpus = _searched(spark, d)
+    return search.indexed(corpus, search.gram_table(corpus), search.size_table(corpus), TextQuery.terms("that from")).select("provider", "session_id", "rank")
+
+
+@_query(f"""WITH {_SESSIONS} SELECT provider, session_id, CASE WHEN contains(lower(title), 'de la') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rank FROM s
+WHERE provider IN ('codex', 'claudecode', 'kimi') AND working_directory IN ('/w/p1') AND (contains(lower(title), 'de la') OR contains(lower(content), 'de la'))""")
+def query_keyword(spark, d):
+    spec = filters.parse_uri("agents://w/p1?q=de%20la&providers=codex,claude,kimi")
+    return evaluate.matches(spec, *_sessions(spark, d)).select("provider", "session_id", "rank")
+
+
+@_query(f"""WITH {_SESSIONS}, e AS (SELECT conv_id, arg_min(role, turn) AS matched_role FROM conversations WHERE role IN ('assistant', 'system') AND contains(lower(text), 'que') GROUP BY conv_id)
+SELECT provider, session_id, matched_role FROM s JOIN e USING (conv_id) ORDER BY {_LATEST} LIMIT 5""")
+def query_roles(spark, d):
+    spec = filters.parse_query("que role:assistant,system path:/w limit:5")
+    return evaluate.matches(spec, *_sessions(spark, d)).select("provider", "session_id", "matched_role")
+
+
+@_query(f"WITH {_SESSIONS} SELECT provider, session_id, title AS snippet FROM s WHERE provider = 'pi' ORDER BY {_LATEST} LIMIT 9")
+def query_all(spark, d):
+    return evaluate.matches(filters.QuerySpec(providers=("pi",), limit=9), *_sessions(spark, d)).select("provider", "session_id", "snippet")
+
+
+@_query(f"WITH {_SESSIONS} SELECT provider, session_id FROM s QUALIFY row_number() OVER (PARTITION BY provider ORDER BY {_LATEST}) <= 3")
+def source_topk(spark, d):
+    return evaluate.per_source(_sessions(spark, d)[0], 3).select("provider", "session_id")
+
+
+@_query(f"WITH {_SESSIONS} SELECT provider, session_id, title FROM s WHERE provider = 'codex' AND session_id = '4'")
+def uri_lookup(spark, d):
+    return evaluate.find_uri(_sessions(spark, d)[0], "codex://threads/4").select("provider", "session_id", "title")
 
 
 @_query("""
@@ -121,11 +181,9 @@ def provider_scope(spark, d):
     return _t(spark, d, "documents").filter(F.col("source").isin("src1", "src3")).select("doc_id", "source")
 
 
-@_query(f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), s AS (SELECT min(path) AS scope FROM p WHERE path <> '' AND path <> '/') SELECT page_id, path FROM p, s WHERE path = scope OR starts_with(path, scope || '/') OR starts_with(scope, path || '/')")
+@_query(f"SELECT page_id, path FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE path = '/en' OR starts_with(path, '/en/')")
 def path_scope(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", _path().alias("path"))
-    scope = pages.filter("path <> '' and path <> '/'").agg(F.min("path")).first()[0]
-    return pages.filter(filters.path_scope(F.col("path"), scope or "/"))
+    return _t(spark, d, "pages").select("page_id", _path().alias("path")).filter(filters.path_scope(F.col("path"), "/en"))
 
 
 @_query(f"SELECT page_id FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE NOT (path = '/blog' OR starts_with(path, '/blog/') OR path = '/news' OR starts_with(path, '/news/'))")
@@ -171,8 +229,7 @@ def uri_parse(spark, d):
 
 @_query("SELECT conv_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) AS corpus FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def corpus_build(spark, d):
-    packed = _t(spark, d, "conversations").filter(F.trim("text") != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("t")))).alias("m"))
-    return packed.select("conv_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n\n").alias("corpus"))
+    return views.corpus(_t(spark, d, "conversations").withColumnRenamed("turn", "seq"), "conv_id").withColumnRenamed("content", "corpus")
 
 
 @_query("SELECT doc_id, coalesce(nullif(substring(trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), 1, 100), ''), source, 'Untitled Session') AS title FROM documents")
@@ -241,9 +298,10 @@ def toolcall_backfill(spark, d):
     return relations.backfill(calls, results, "user_id", ["ts", "event_id"]).select("event_id", F.col("call.event_id").alias("call_id"))
 
 
-@_query(f"WITH {_EVENTS} SELECT event_id FROM r WHERE user_id NOT IN (SELECT user_id FROM c)")
+@_query(f"WITH {_EVENTS} SELECT event_id FROM r WHERE user_id NOT IN (SELECT user_id FROM c WHERE user_id % 5 <> 0)")
 def orphan_results(spark, d):
     calls, results = _calls(spark, d)
+    calls = calls.filter("user_id % 5 <> 0")
     return results.join(calls, "user_id", "left_anti").select("event_id")
 
 
@@ -252,10 +310,10 @@ def sole_call_join(spark, d):
     return relations.sole_owner(_t(spark, d, "orders"), "o_custkey", "o_orderpriority", "sole")
 
 
-@_query("WITH RECURSIVE e AS (SELECT doc_id AS child, doc_id // 8 AS parent FROM documents), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node AND e.child <> e.parent WHERE w.depth < 32) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+@_query("WITH RECURSIVE e AS (SELECT doc_id AS child, doc_id // 8 AS parent FROM documents), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node AND e.child <> e.parent) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def recursive_expand(spark, d):
     edges = _t(spark, d, "documents").select(F.col("doc_id").alias("child"), F.floor(F.col("doc_id") / 8).alias("parent"))
-    return relations.descend(spark, edges, F.col("parent") == 1)
+    return relations.descend(edges, F.col("parent") == 1)
 
 
 @_query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
@@ -430,9 +488,9 @@ def iso_ms(spark, d):
 
 @_query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def ttl_evict(spark, d):
-    events = _t(spark, d, "events")
+    events = _t(spark, d, "events").withColumn("last_seen", F.col("ts"))
     now = events.agg(F.max("ts").alias("now"))
-    return events.join(F.broadcast(now), filters.recent(events["ts"], now["now"], 10)).select("event_id")
+    return index.evict(events.join(F.broadcast(now)), F.col("now"), 10).select("event_id")
 
 
 @_query("SELECT conv_id, string_agg('## ' || (rn) || '. ' || upper(substring(role, 1, 1)) || substring(role, 2) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY rn) AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id")
@@ -527,3 +585,80 @@ SELECT field, row_number() OVER (PARTITION BY field ORDER BY first) AS n, item F
 def summary_reduce(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", "turn", F.array(F.substring("text", 1, 12)).alias("topics"), F.array("role").alias("notes"))
     return collect.reduce_summaries(rows, ["conv_id", "turn"], ("topics", "notes"))
+
+
+# --- views and reports --------------------------------------------------------------------------
+
+
+@_query("""SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 5 = 4 THEN 'unknown' ELSE role END AS role,
+concat_ws(chr(10) || chr(10), nullif(trim(text), ''), 'a' || turn, CASE WHEN turn % 2 = 0 THEN 'out' END) AS text FROM conversations""")
+def transcript_spoken(spark, d):
+    none = F.lit(None).cast("string")
+    part = lambda kind, text=none, tool=none, arguments=none, output=none: F.struct(F.lit(kind).alias("kind"), text.alias("text"), tool.alias("tool"), arguments.alias("arguments"), output.alias("output"))
+    turn = F.col("turn")
+    parts = F.array(part("text", F.col("text")), part("tool", none, F.lit("run"), F.concat(F.lit("a"), turn), F.when(turn % 2 == 0, "out")))
+    messages = _t(spark, d, "conversations").select(F.col("conv_id").alias("session"), turn.alias("seq"), F.when(turn % 5 != 4, F.upper("role")).alias("role"), parts.alias("parts"))
+    return views.spoken(views.transcript(messages))
+
+
+@_query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN lang WHEN 2 THEN '' ELSE '1' END AS targets FROM documents WHERE lang IS NOT NULL")
+def json_or_list(spark, d):
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, '["a", "", "b"]').when(k == 1, F.col("lang")).when(k == 2, '{"x": 1}').otherwise("[1]")
+    return _t(spark, d, "documents").filter("lang is not null").select("doc_id", F.array_join(views.json_or_list(raw), "|").alias("targets"))
+
+
+@_query("SELECT conv_id, turn, '[message] role=' || role || CASE WHEN turn % 2 = 1 THEN ' files=a.py,b.py' ELSE '' END || ' text=' || text AS line FROM conversations")
+def event_line(spark, d):
+    named = F.when(F.col("turn") % 2 == 1, F.array(F.lit("a.py"), F.lit("b.py"))).otherwise(F.array().cast("array<string>"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", views.event_line(F.lit("message"), F.col("role"), named, F.col("text")).alias("line"))
+
+
+@_query("""SELECT event_id, '{"at":' || epoch_us(ts) || ',"files":[{"modified":' || user_id || ',"size":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE event_id::VARCHAR END || '}]}' AS signature FROM events""")
+def change_signature(spark, d):
+    stat = F.struct(F.col("user_id").alias("modified"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("size"))
+    return _t(spark, d, "events").select("event_id", views.signature(F.col("ts").cast("timestamp"), stat).alias("signature"))
+
+
+@_query("""
+WITH l AS (SELECT coalesce(source, '(unknown)') AS bucket, doc_id, coalesce(lang, '-') || ': ' || CASE WHEN doc_id % 4 = 0 THEN '(no highlights)' WHEN lower(left(text, 2)) = lower(substring(text, 3, 2)) THEN left(text, 2) ELSE left(text, 2) || '; ' || substring(text, 3, 2) END AS line
+  FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[A-Za-z]{4}')),
+o AS (SELECT bucket, arg_min(line, doc_id) AS line, min(doc_id) AS first FROM l GROUP BY bucket, lower(line)),
+n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY first) AS n FROM o)
+SELECT bucket, string_agg(line, '|' ORDER BY n) AS lines FROM n WHERE n <= 6 GROUP BY bucket""")
+def highlight_lists(spark, d):
+    docs = _t(spark, d, "documents").filter("text is not null and text rlike '^[A-Za-z]{4}'").withColumn("title", F.coalesce("lang", F.lit("-")))
+    fields = docs.withColumns({"key_actions": F.when(F.col("doc_id") % 4 != 0, F.array(F.substring("text", 1, 2))), "decisions": F.when(F.col("doc_id") % 4 != 0, F.array(F.substring("text", 3, 2)))})
+    return views.highlights(fields, F.col("source"), ["doc_id"], {"key_actions": 2, "decisions": 1}).select("bucket", F.array_join("lines", "|").alias("lines"))
+
+
+@_query("SELECT CASE WHEN grouping(source) = 1 THEN '(all)' ELSE source END AS name, count(DISTINCT doc_id) AS sessions, coalesce(sum(n_chars // 1000), 0)::BIGINT AS chunks FROM documents GROUP BY ROLLUP (source)")
+def collect_overview(spark, d):
+    planned = _t(spark, d, "documents").withColumn("chunks", F.floor(F.col("n_chars") / 1000))
+    return views.run_overview(planned, "source", "doc_id", "chunks")
+
+
+@_query("SELECT bool_or(n_chars > 500) AS any_success, NOT bool_or(n_chars > 500) AS all_failed, count(*) FILTER (n_chars > 500) AS paths FROM documents")
+def export_outcome(spark, d):
+    return views.outcome(_t(spark, d, "documents").select("doc_id", (F.col("n_chars") > 500).alias("ok")))
+
+
+@_query(f"WITH {_SESSIONS} SELECT DISTINCT provider, 'json,markdown,raw,print' AS supported FROM s UNION SELECT 'cursor', 'json,markdown,print'")
+def capability_matrix(spark, d):
+    providers = _sessions(spark, d)[0].select("provider").distinct().unionByName(spark.sql("select 'cursor' as provider"))
+    return views.capabilities(providers).select("provider", F.array_join("supported", ",").alias("supported"))
+
+
+@_query("SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src3'")
+def index_clear(spark, d):
+    return index.clear(_t(spark, d, "documents").withColumnRenamed("source", "provider"), "src3").select("doc_id")
+
+
+@_query("""
+WITH d AS (SELECT source AS provider, doc_id, n_chars FROM documents WHERE source IS NOT NULL), t AS (SELECT * FROM d WHERE doc_id % 3 = 0 OR doc_id % 5 = 0)
+SELECT provider, count(*) FILTER (doc_id % 11 <> 0) AS added, count(*) FILTER (doc_id % 11 = 0) AS skipped FROM t GROUP BY provider""")
+def index_refresh_counts(spark, d):
+    docs = _t(spark, d, "documents").filter("source is not null").select(F.col("source").alias("provider"), F.col("doc_id").cast("string").alias("session_id"), "doc_id", F.col("n_chars").cast("string").alias("signature"))
+    known = docs.filter("doc_id % 3 <> 0").withColumn("signature", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("signature")))
+    corpus = docs.select(*index.KEY, F.when(F.col("doc_id") % 11 != 0, "text").alias("content"))
+    return index.refresh_counts(known, docs, corpus).drop("sample")

@@ -63,14 +63,3 @@ def pi_sessions(rows: DataFrame) -> DataFrame:
         F.min_by("kind", "line").alias("first"), F.min_by("id", "line").alias("session_id"), F.min_by("cwd", "line").alias("cwd"), F.min_by("at", "line").alias("created_at"),
         F.max("at").alias("updated_at"), F.max_by("name", F.when(F.col("kind") == "session_info", F.col("line"))).alias("title"), F.count_if(F.col("kind") == "message").alias("message_count"))
     return packed.filter("first = 'session'").drop("first")
-
-
-def pi_messages(rows: DataFrame) -> DataFrame:
-    """(session_id, seq, role, text) of the pi layout."""
-    j = lambda p: F.get_json_object("record", p)
-    content = j("$.message.content")
-    parts = F.from_json(content, "array<struct<type:string,text:string>>")
-    text = F.when(F.substring(content, 1, 1) == "[", F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n")).otherwise(content)
-    sessions = pi_sessions(rows).select("path", "session_id")
-    turns = rows.filter("record is not null").filter(j("$.type") == "message").select("path", F.col("line").alias("seq"), F.lower(j("$.message.role")).alias("role"), text.alias("text"))
-    return turns.join(sessions, "path").drop("path")

@@ -1,8 +1,7 @@
 """Session heads of the JSON-lines layouts: one row of ``HEAD`` a file.
 
-A head is one aggregation over a file's records, which reads whole files; as
-in listings, the message count of a file above ``COUNTED`` bytes is unknown
-(null).  Without a readable first timestamp a session was created when its
+A head is one aggregation over a file's records, which reads whole files, so
+messages are counted whatever a file's size.  Without a readable first timestamp a session was created when its
 file was last modified.
 """
 
@@ -15,14 +14,15 @@ from tidemark.functions.text import basename, title
 from tidemark.operators.filters import PROVIDERS
 
 HEAD = "provider string, session_id string, title string, created_at timestamp, updated_at timestamp, source_path string, working_directory string, model string, model_provider string, version string, message_count long, uri string"
-# fixed values: largest file whose messages are counted in a listing, and first records that may give a title
-COUNTED, CLAUDE_HEAD, CODEX_HEAD = 262_144, 20, 10
+# fixed values: first records that may give a title
+CLAUDE_HEAD, CODEX_HEAD = 20, 10
 SCHEMES = {"claudecode": "claude"}
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, modified, size) of the files; their contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+def files(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
+    """(path, modified, size) of the files; their contents are not read.  With ``since`` (``yyyy-MM-dd'T'HH:mm:ss``) files not modified after it are not listed."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    found = (reader.option("modifiedAfter", since) if since else reader).load(root)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
@@ -57,7 +57,7 @@ def _head(provider: str, rows: DataFrame, of: DataFrame, session_id: Column, mes
     created = F.coalesce("first_at", "modified")
     return rows.select(
         F.lit(provider).alias("provider"), "session_id", title(F.col("given"), message_title, F.coalesce(basename(F.col("cwd")), folder)).alias("title"), created.alias("created_at"), F.coalesce("last_at", created).alias("updated_at"), F.col("path").alias("source_path"),
-        F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"), "model", "model_provider", "version", F.when(F.col("size") <= COUNTED, F.col("messages")).alias("message_count"), F.concat(F.lit(SCHEMES.get(provider, provider) + "://"), "session_id").alias("uri"))
+        F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"), "model", "model_provider", "version", F.col("messages").alias("message_count"), F.concat(F.lit(SCHEMES.get(provider, provider) + "://"), "session_id").alias("uri"))
 
 
 def claude_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None = None) -> DataFrame:
@@ -95,6 +95,14 @@ def codex_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None =
     return _head("codex", rows, of, F.coalesce(F.nullif("id", F.lit("")), from_name), F.col("asked"), titles)
 
 
+def index_titles(spark: SparkSession, root: str, name: str = "sessions-index.json") -> DataFrame:
+    """(session_id, title) of side indexes ``{"entries": [{sessionId, summary, ...}]}`` below ``root``; bad files give none."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+    rows = whole.select(F.explode(_get(F.try_parse_json("value"), "$.entries", "array<variant>")).alias("x"))
+    named = rows.select(_filled(F.col("x"), "$.sessionId").alias("session_id"), _filled(F.col("x"), "$.summary").alias("title"), _get(F.col("x"), "$.modified").alias("at"))
+    return named.filter("session_id is not null and title is not null").groupBy("session_id").agg(F.max_by("title", F.struct(F.coalesce("at", F.lit("")), "title")).alias("title"))
+
+
 def side_titles(records: DataFrame) -> DataFrame:
     """(session_id, title) of a side index of ``{id, thread_name}`` lines: the last one of an id."""
     name = F.nullif(F.trim(F.get_json_object("record", "$.thread_name")), F.lit(""))
@@ -174,7 +182,7 @@ def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None) -
     """Heads of the kimi layout, a folder a session: ``settings`` is the file that lists the working folders.
 
     A folder needs a context or a wire file.  Messages are those assembled
-    from a context file that is small enough to be counted, else unknown.
+    from a context file; without one they are unknown.
     """
     from tidemark.sources import jsonl, transcripts
 
@@ -196,4 +204,4 @@ def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None) -
     null = F.lit(None).cast("string")
     return rows.select(
         F.lit("kimi").alias("provider"), name.alias("session_id"), title(_get(v, "$.title"), basename(F.col("cwd"))).alias("title"), made.alias("created_at"), made.alias("updated_at"), F.concat(F.lit("/"), "folder").alias("source_path"), F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"),
-        null.alias("model"), null.alias("model_provider"), null.alias("version"), F.when(F.col("size") <= COUNTED, F.coalesce("n", F.lit(0))).alias("message_count"), F.concat(F.lit("kimi://"), name).alias("uri"))
+        null.alias("model"), null.alias("model_provider"), null.alias("version"), F.when(F.col("size").isNotNull(), F.coalesce("n", F.lit(0))).alias("message_count"), F.concat(F.lit("kimi://"), name).alias("uri"))

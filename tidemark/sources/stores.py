@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import iso_ms
+from tidemark.operators.relations import reach
 
 # fixed values: text keys of a bubble in order, and the ways a plan is accepted
 TEXT_KEYS = ("text", "content", "finalText", "message", "markdown", "textDescription")
@@ -125,14 +126,9 @@ def keyed_messages(pairs: DataFrame) -> DataFrame:
 
 def _completions(rows: DataFrame, packed: DataFrame) -> DataFrame:
     """One message for each subagent call: what the assistant said below it."""
-    spark = rows.sparkSession
     calls = rows.filter("child is not null").select("session", "row", "child")
-    calls.select("session", "child").distinct().createOrReplaceTempView("__subagents")
-    reached = spark.sql("""
-        WITH RECURSIVE walk(child, node, path) AS (
-          SELECT DISTINCT child, child, array(child) FROM __subagents
-          UNION ALL SELECT w.child, e.child, array_append(w.path, e.child) FROM walk w JOIN __subagents e ON e.session = w.node WHERE NOT array_contains(w.path, e.child))
-        SELECT DISTINCT child, node FROM walk""")
+    edges = calls.select(F.col("session").alias("parent"), "child")
+    reached = reach(edges, edges.select(F.col("child").alias("start"), F.col("child").alias("node"))).select(F.col("start").alias("child"), "node")
     spoken = rows.filter("role = 'assistant' and text is not null").filter(~F.col("text").isin(*NO_TEXT)).select(F.col("session").alias("node"), F.col("row").alias("said_row"), "at", "text", "model")
     shape = packed.schema["parts"].dataType.elementType
     filled = {"row": F.col("said_row"), "rank": F.lit(0), "kind": F.lit("text"), "text": F.col("text"), "at": F.col("at")}
