@@ -325,8 +325,9 @@ def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 16))
     rows = [(i, (base[i % 12] + rng.normal(size=16) * (0.12 if i % 3 else 0.2)).tolist(), i % 2) for i in range(150)]
+    rows = [(i, e, 2**40 * label) for i, e, label in rows]
     rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] * 16, 0), (205, rows[0][1], None), (206, [1.0], 0), (None, rows[0][1], 0)]
-    found = {r.vec_id: r for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=16).collect()}
+    found = {r.vec_id: r for r in embed.near_vectors(spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<float>, label long, tile int, LABEL string"), tile_bytes=256).collect()}
     v = {i: np.array(e, np.float32).astype(float) for i, e, label in rows if i is not None and label is not None and e and len(e) == 16 and np.isfinite(e).all() and any(e)}
     label = {i: x for i, _, x in rows}
     links = [(a, b) for a in v for b in v if a < b and label[a] == label[b] and v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]) >= 0.98]
@@ -339,7 +340,7 @@ def test_vectors(spark):
 
 def test_vectors_of_many_labels(spark):
     # more labels, and so tiles, in each of the four range tasks than 4096; every third label holds a linked pair
-    rows = [(2 * k + i, [1.0, 0.001 * i], k) for k in range(20_000) for i in range(2 if k % 3 == 0 else 1)]
+    rows = [(2 * k + i, [1.0, 0.001 * i], k) for k in range(17_500) for i in range(2 if k % 3 == 0 else 1)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         found = embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()
@@ -348,6 +349,31 @@ def test_vectors_of_many_labels(spark):
     assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(i, int(k % 3 == 0), 2 * k) for i, _, k in rows}
 
 
+@pytest.mark.parametrize("sub", [7, 1024])
+def test_blocks(monkeypatch, sub):
+    """Products in parts, of one tile and of two, against all cosines; without components an open pair stops the work."""
+    monkeypatch.setattr(embed, "SUB", sub)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 32))
+    x, y = (base[rng.integers(0, 6, n)] + rng.normal(size=(n, 32)) * 0.1 for n in (40, 25))
+    weigh = lambda v: rng.integers(1, 4, len(v))
+    tile = lambda v, w, full: (*embed.unit_codes(v), w, v if full else None)
+    for a, b, same in ((x, y, False), (x, x, True)):
+        wa = weigh(a)
+        wb = wa if same else weigh(b)
+        nodes = a if same else np.concatenate([a, b])
+        unit = nodes / np.linalg.norm(nodes, axis=1)[:, None]
+        near = unit @ unit.T >= 0.98
+        if not same:
+            near[: len(a), : len(a)] = near[len(a) :, len(a) :] = False
+        np.fill_diagonal(near, False)
+        count, root = embed.block_links(tile(a, wa, True), tile(b, wb, True), same, 0.98)
+        want = reach(range(len(nodes)), list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)))
+        assert near.any() and (count == near @ (wa if same else np.concatenate([wa, wb]))).all() and root.tolist() == [want[i] for i in range(len(nodes))]
+        assert embed.block_links(tile(a, wa, False), tile(b, wb, False), same, 0.98) is None
+        assert embed.block_links(tile(a, wa, False), tile(b, wb, False), same, -0.9999)[0].all()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10_000))
 def test_quantised_bound(seed):
