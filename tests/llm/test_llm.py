@@ -462,6 +462,23 @@ def test_lexicon():
     assert toxicity.quoted('he said "you moron" today'.split(), 3) and not toxicity.quoted("you are a moron".split(), 3)
 
 
+def test_clashing_columns(spark):
+    """Columns in other cases and named like results; long texts; every row kept or dropped as by the plain names."""
+    long = words(random.Random(3), 30_000)
+    rows = [(1, "a b c d e f", 1, "x"), (1, "a b c d e f", 1, "x"), (2, "A b c d e f", 2, "y"), (None, None, 3, None), (3, long, 4, "z"), (4, long + " end", 5, "z")]
+    docs = spark.createDataFrame(rows, "DOC_ID int, Text string, size int, digest string")
+    assert exact.keep_distinct(docs).columns == docs.columns and exact.keep_distinct(docs).count() == 5
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(str(r.DOC_ID) for r in kept.collect()) == ["1", "1", "3", "None"]
+    sharded = sharding.shard_documents(docs, shards=2)
+    assert sharded.columns == ["DOC_ID", "Text", "digest", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = sharded.collect()
+    assert sorted(r.size for r in got) == sorted(len(t or "") + 1 for _, t, *_ in rows) and all(r.text_crc32 == zlib.crc32((r.Text or "").encode()) and r.law == "bytes" for r in got)
+    # equal texts are neighbours
+    place = sorted((r.shard, r.slot, r.Text or "") for r in got)
+    assert len([1 for x, y in zip(place, place[1:]) if x[2] != y[2]]) == len({t or "" for _, t, *_ in rows}) - 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

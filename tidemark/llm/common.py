@@ -91,6 +91,12 @@ def position(columns: list[str], name: str) -> int | None:
     return next((i for i, c in enumerate(columns) if c == name), next((i for i, c in enumerate(columns) if c.lower() == name.lower()), None))
 
 
+def columns_of(names: list[str], *wanted: str) -> list[Column]:
+    """The wanted columns of a table renamed ``__c0``, ``__c1``, ... in order; null where there is none."""
+    places = [position(names, c) for c in wanted]
+    return [F.lit(None) if at is None else F.col(f"__c{at}") for at in places]
+
+
 def pick(df: DataFrame, *names: str, rest: bool = False) -> DataFrame:
     """The named columns, found by position so that extra columns whose names
     differ only in case cannot make them ambiguous.  A column that is missing

@@ -12,8 +12,9 @@ The winner of a group is the smallest (doc_id, row) over both sides, so the
 cut between history and new rows never changes the answer.
 
 Defined results: null text counts as empty; a null id sorts after all others;
-of rows that repeat an id and a text exactly one is kept; an empty table gives
-an empty table; extra columns are ignored (``keep_distinct`` returns them).
+of rows that repeat an id and a text exactly one is kept; texts of any length are
+digested whole; an empty table gives an empty table; extra columns, whatever
+their names, are ignored (``keep_distinct`` returns them).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SALTS, SPACE, discard, pick, settle, sized
+from tidemark.llm.common import SALTS, SPACE, columns_of, discard, pick, settle, sized
 from tidemark.llm.tokens import mix
 
 #: Digests of a shard (32 bytes of digest and 32 of locator each).
@@ -189,7 +190,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with all columns of ``docs``."""
     columns = [f"__c{i}" for i in range(len(docs.columns))]
-    doc_id, text = (columns[docs.columns.index(c)] for c in ("doc_id", "text"))
-    numbered = settle(docs.toDF(*columns).withColumns({"__row": F.monotonically_increasing_id(), "__digest": normalised_digest(F.col(text))}), "numbered")
-    kept = _grouped(numbered.select(F.col(doc_id).alias("doc_id"), F.col("__row").alias("row"), F.col("__digest").alias("digest"))).filter("row = keep_row").select("row")
+    doc_id, text = columns_of(docs.columns, "doc_id", "text")
+    numbered = settle(docs.toDF(*columns).withColumns({"__row": F.monotonically_increasing_id(), "__digest": normalised_digest(text.cast("string"))}), "numbered")
+    kept = _grouped(numbered.select(doc_id.cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("__digest").alias("digest"))).filter("row = keep_row").select("row")
     return numbered.join(kept, numbered["__row"] == kept["row"], "left_semi").select(*columns).toDF(*docs.columns)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, group_best, pick, settle, sized, small_side, text_bytes, union_all
+from tidemark.llm.common import columns_of, discard, group_best, pick, settle, sized, small_side, text_bytes, union_all
 from tidemark.llm.components import connected_components
 from tidemark.llm.tokens import SHINGLE, mix, set_digest, shingle_set
 
@@ -548,6 +548,5 @@ def keep_first(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataFrame:
     classes = jaccard_classes(docs, share, k)
     gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("doc_id")
-    plain = docs.toDF(*names)
-    return plain.join(gone, plain[names[at]] == gone["doc_id"], "left_anti").toDF(*docs.columns)
+    (own,) = columns_of(docs.columns, "doc_id")
+    return docs.toDF(*names).join(gone, own.cast("long") == F.col("doc_id"), "left_anti").toDF(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, held_out, pick, position
+from tidemark.llm.common import BROADCAST_ROWS, columns_of, held_out, pick
 
 #: Bound of the training sample: texts of a language that are asked for, and characters kept of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 160_000
@@ -154,8 +154,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 def keep_identified(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    at = position(docs.columns, "text")
-    text = F.lit(None) if at is None else F.col(names[at])
+    (text,) = columns_of(docs.columns, "text")
     first = docs.toDF(*names).select(text.cast("string").alias("__text"), *names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", lang_pred string, score double, rejected boolean"
     return first.mapInArrow(_predict(samples, 0), schema).filter("not rejected").select(*names).toDF(*docs.columns)

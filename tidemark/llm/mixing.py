@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gathered, is_light, position, settle, words_column
+from tidemark.llm.common import columns_of, gathered, is_light, settle, words_column
 
 SEED = 2024
 MAX_EPOCHS = 4
@@ -147,7 +147,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, budget: int | None =
     ``docs`` (else it is derived from the source)."""
     names = docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    at = {c: F.lit(None) if (i := position(names, c)) is None else F.col(f"__c{i}") for c in ("doc_id", "text", "lang", "source", *([domain] if domain else []))}
+    used = ("doc_id", "text", "lang", "source", *([domain] if domain else []))
+    at = dict(zip(used, columns_of(names, *used), strict=True))
     filled = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     text, source = at["text"].cast("string"), at["source"].cast("string")
     name = F.coalesce(at["doc_id"].cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))

@@ -11,8 +11,10 @@ Words are cut at ASCII white space and tokenised once for each distinct word of
 a task; white space never joins two pieces of this vocabulary.
 
 Defined results: null text is empty and gives the end id alone; rows with null
-or repeated ids are packed like any other; an empty table gives an empty table;
-extra columns are ignored.
+or repeated ids are packed like any other; a text of any length is encoded whole
+and cut where windows end; documents have no order but that of the table's files;
+an empty table gives an empty table; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Only bounded samples of keys (about ``PROBES`` for each interval and round) and
 their counts reach the driver, whatever the number of rows.
 
 Defined results: null text has size 1 and hashes as its own text; null ids sort
-first; repeated rows are told apart by their row number; an empty table gives an
+first; repeated rows are told apart by their row number; texts of any length are
+one size each and never cut; an empty table gives an
 empty table; the other columns of ``docs`` pass through, those named like a
 result column are replaced.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, sized
+from tidemark.llm.common import columns_of, settle, sized
 
 #: Sampled keys for each open interval and round.
 PROBES = 64
@@ -116,7 +117,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.0005
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     spark, names = docs.sparkSession, docs.columns
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    doc_id, text = (F.col(f"__c{names.index(c)}") for c in ("doc_id", "text"))
+    doc_id, text = columns_of(names, "doc_id", "text")
+    text = text.cast("string")
     numbered = settle(plain.select("*", doc_id.cast("long").isNull().alias("__null"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__size0"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("__crc"), F.xxhash64(text).alias("h"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("id"), F.monotonically_increasing_id().alias("row")).withColumn("size", F.col("__size0") + 1), "numbered")
     thin = numbered.select("h", "id", "row", "size")
     cuts = splitters(thin, shards, tolerance)
