@@ -123,14 +123,17 @@ def words_column(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
-def group_best(rows: DataFrame, key: str, order: str, unique: str, salts: int = SALTS) -> DataFrame:
+def group_best(rows: DataFrame, key: str, order: str, unique: str, salts: int = SALTS, once: bool = False) -> DataFrame:
     """Adds ``best`` (smallest ``order`` of the key's rows) and ``group_size``.
 
     Rows of a key meet in three bounded steps: (key, salt) partial minima, a
     window over at most ``salts`` partials a key, and a join back on
     (key, salt); no task ever holds a whole hot key.  ``unique`` only spreads
-    the rows of a key over the salts."""
+    the rows of a key over the salts.  With ``once``, for rows that have no other
+    columns, they shuffle once, for the partial minima and for the join alike."""
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(unique)), F.lit(salts)).cast("int"))
+    if once:
+        salted = salted.repartition(key, "__salt")
     partial = salted.groupBy(key, "__salt").agg(F.min(order).alias("__b"), F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(key)
     spread = partial.select(key, "__salt", F.min("__b").over(whole).alias("best"), F.sum("__n").over(whole).alias("group_size"))
