@@ -6,6 +6,7 @@ import sqlite3
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.filters import date_range, parse_query
 from tidemark.sources import jsonl, sessions, transcripts
@@ -89,3 +90,40 @@ def test_kimi_heads(spark, tmp_path):
     (tmp_path / "kimi.json").write_text(json.dumps({"work_dirs": [{"path": "/w/app"}, {"path": 5}, 3]}))
     got = sessions.kimi_sessions(spark, str(tmp_path / "sessions"), str(tmp_path / "kimi.json")).orderBy("session_id").collect()
     assert [(r.session_id, r.title, r.working_directory, r.message_count) for r in got] == [("one", "app", "/w/app", 1), ("s3", "T", "/w/app", None)]
+
+
+def test_records_of_split_files(spark, tmp_path):
+    folder = tmp_path / "a b+%2"
+    folder.mkdir()
+    lines = [json.dumps({"n": n, "pad": "é" * (n % 37)}) for n in range(400)]
+    lines[7], lines[9], lines[250] = "", "[1]", '{"n": 1} x'
+    (folder / "x.jsonl").write_text("\n".join(lines) + "\n")
+    (folder / "y.jsonl").write_bytes(b'{"n": 1}\r\n\xff{}\n \t\r\n{"n": ')
+    (folder / "z.jsonl").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = jsonl.records(spark, str(tmp_path)).orderBy("path", "line").collect()
+        listed = {r.path for r in jsonl.files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    mine = [r for r in got if r.path.endswith("x.jsonl")]
+    assert [(r.line, json.loads(r.record)["n"]) for r in mine if r.record] == [(n + 1, n) for n in range(400) if n not in (7, 9, 250)]
+    assert [r.bad for r in got if r.bad] == [10, 251, 2] and {r.path for r in got} == listed
+    assert [(r.line, r.record) for r in got if r.path.endswith("y.jsonl")] == [(1, '{"n": 1}'), (2, None)]
+    assert jsonl.records(spark, str(tmp_path), since="2999-01-01T00:00:00").count() == 0
+
+
+def test_ends_of_files(spark, tmp_path):
+    pad = {"pad": "y" * 50_000}
+    turn = lambda n, role: {"timestamp": f"2026-01-01T00:00:{n:02d}Z", "message": {"role": role, "content": f"t{n}"}}
+    write(tmp_path / "p" / "long.jsonl", [turn(1, "user"), turn(2, "assistant"), *[pad] * 8, turn(30, "user")])
+    write(tmp_path / "p" / "wide.jsonl", [{"pad": "y" * 300_000}, turn(5, "user")])
+    write(tmp_path / "p" / "short.jsonl", [turn(n, "assistant") for n in range(30)])
+    with open(tmp_path / "p" / "long.jsonl", "a") as more:
+        more.write('{"timestamp": "2027')
+    rows = jsonl.ends(spark, str(tmp_path), sessions.CLAUDE_HEAD)
+    got = {r.session_id: r for r in sessions.claude_sessions(rows, sessions.files(spark, str(tmp_path)), bounded=True).withColumn("updated_at", F.col("updated_at").cast("string")).collect()}
+    assert (got["long"].title, got["long"].message_count, got["long"].updated_at) == ("t1", None, "2026-01-01 00:00:30")
+    assert (got["wide"].title, got["wide"].message_count, got["wide"].updated_at) == ("p", None, "2026-01-01 00:00:05")
+    assert (got["short"].message_count, got["short"].updated_at) == (30, "2026-01-01 00:00:29")
+    assert {r.line for r in rows.filter("path like '%long%'").collect()} == {1, 2, 3, jsonl.TAIL}

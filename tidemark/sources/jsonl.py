@@ -1,8 +1,10 @@
 """Sessions kept as JSON lines: one file a session.
 
-Lines are numbered inside their file by the reader, bad lines are counted and
-skipped, and an unfinished last line is ignored.  Scans are one Arrow pass over
-whole files; a file is a session, so no shuffle is needed.
+Files are read as text in splits of ``spark.sql.files.maxPartitionBytes``, so a
+long file is many tasks and never one cell.  Lines are numbered by one window
+over their place in the file, partitioned by path: readers that fold a file
+group by the same key and add no exchange.  Bad lines are counted and skipped,
+and an unfinished last line is ignored.
 """
 
 from __future__ import annotations
@@ -11,42 +13,98 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RECORDS = "path string, line long, record string, bad long"
+# fixed values: bytes of a file that is listed as a whole, and of the first and last part read of a longer one
+WHOLE_BYTES, END_BYTES = 256 << 10, 64 << 10
+#: Line number of the last record of a file of which only the ends were read.
+TAIL = 1 << 40
 
 
-def objects(raw: bytes) -> tuple[list[tuple[int, str]], list[int]]:
-    """(1-based line, JSON object) pairs and the numbers of bad lines."""
-    found, bad = [], []
-    lines = raw.split(b"\n")
-    for number, line in enumerate(lines, 1):
-        if not line.strip():
-            continue
-        try:
-            value = json.loads(line.decode())
-        except ValueError:
-            value = None
-        if isinstance(value, dict):
-            found.append((number, json.dumps(value, ensure_ascii=False)))
-        elif number < len(lines):
-            bad.append(number)
-    return found, bad
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, raw in zip(batch["path"], batch["content"], strict=True):
-            found, bad = objects(bytes(raw))
-            rows = [(path, n, r, None) for n, r in found] + [(path, n, None, n) for n in bad]
-            yield pd.DataFrame(rows, columns=["path", "line", "record", "bad"])
+def parse(line: bytes) -> str | None:
+    """The line's JSON object as compact text; null for anything else."""
+    try:
+        value = json.loads(line.decode())
+    except ValueError:
+        return None
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
+
+
+@F.pandas_udf(StringType())
+def _object(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: parse(bytes(x)))
+
+
+def file_path() -> Column:
+    """Path of a row's file in the form that ``files`` lists it."""
+    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
+def _reader(spark: SparkSession, kind: str, pattern: str, since: str | None):
+    reader = spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return reader.option("modifiedAfter", since) if since else reader
+
+
+def files(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
+    """(path, modified, size) of the files; their contents are not read.  With ``since`` (``yyyy-MM-dd'T'HH:mm:ss``) files not modified after it are not listed."""
+    found = _reader(spark, "binaryFile", pattern, since).load(root)
+    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def records(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, line, record, bad) of every file below ``root``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "content").mapInPandas(_scan, RECORDS)
+def records(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
+    """(path, line, record, bad) of every file below ``root``; with ``since``, of the files modified after it."""
+    lines = _reader(spark, "text", pattern, since).option("lineSep", "\n").load(root)
+    lines = lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("raw"))
+    so_far = Window.partitionBy("path").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.select("path", "size", "raw", F.count(F.lit(1)).over(so_far).alias("line"), F.sum(F.octet_length("raw") + 1).over(so_far).alias("end"))
+    filled = numbered.filter(F.decode("raw", "ISO-8859-1").rlike(r"[^ \t\r\x0B\f]")).withColumn("record", _object("raw"))
+    # past the file's end: the last line has no line feed
+    bad = F.when(F.col("record").isNull(), F.col("line"))
+    return filled.filter(F.col("record").isNotNull() | (F.col("end") <= F.col("size"))).select("path", "line", "record", bad.alias("bad"))
+
+
+def ends_of(source, size: int, most: int) -> list[tuple[int, str]]:
+    """(line, object) of a readable, seekable file: all of a short one, else the first ``most`` lines within the first part and the last whole line of the last part.
+
+    A first line longer than that part gives an empty object; blank and bad lines give none.
+    """
+    if size <= WHOLE_BYTES:
+        return [(n, found) for n, line in enumerate(source.read(size).split(b"\n"), 1) if line.strip() and (found := parse(line))]
+    first = source.read(END_BYTES)
+    if b"\n" not in first:
+        heads = [(1, "{}")]
+    else:
+        whole = [(n, x) for n, x in enumerate(first.split(b"\n")[:-1], 1) if x.strip()][:most]
+        heads = [(n, found) for n, x in whole if (found := parse(x))]
+    source.seek(size - END_BYTES)
+    lines = source.read(END_BYTES).split(b"\n")
+    # before the first line feed and after the last one stand parts of lines
+    last = next((x for x in reversed(lines[1:-1]) if x.strip()), None)
+    tail = parse(last) if last is not None else None
+    return heads + ([(TAIL, tail)] if tail else [])
+
+
+def ends(spark: SparkSession, root: str, most: int, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
+    """Records of the files' ends, read by ranges: at most 256 KiB a file, whatever its size; ``bad`` is null.
+
+    For listings: ``most`` is the number of first lines a layout looks at.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch["path"], batch["size"], strict=True):
+                fs, place = (pafs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(place) as source:
+                    rows += [(path, line, found, None) for line, found in ends_of(source, size, most)]
+            yield pd.DataFrame(rows, columns=["path", "line", "record", "bad"])
+
+    return files(spark, root, pattern, since).select("path", "size").mapInPandas(scan, RECORDS)
 
 
 def bad_lines(rows: DataFrame, samples: int = 5) -> DataFrame:

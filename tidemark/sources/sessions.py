@@ -1,8 +1,10 @@
 """Session heads of the JSON-lines layouts: one row of ``HEAD`` a file.
 
-A head is one aggregation over a file's records, which reads whole files, so
-messages are counted whatever a file's size.  Without a readable first timestamp a session was created when its
-file was last modified.
+A head is one aggregation over a file's records: all of them
+(``jsonl.records``), or those at the ends of files (``jsonl.ends``, with
+``bounded``), when the number of messages of a file above 256 KiB is unknown.
+Without a readable first timestamp a session was created when its file was last
+modified.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import basename, title
 from tidemark.operators.filters import PROVIDERS
+from tidemark.sources.jsonl import TAIL, WHOLE_BYTES, files
 
 HEAD = "provider string, session_id string, title string, created_at timestamp, updated_at timestamp, source_path string, working_directory string, model string, model_provider string, version string, message_count long, uri string"
 # fixed values: first records that may give a title
@@ -19,13 +22,6 @@ CLAUDE_HEAD, CODEX_HEAD = 20, 10
 SCHEMES = {"claudecode": "claude"}
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
-    """(path, modified, size) of the files; their contents are not read.  With ``since`` (``yyyy-MM-dd'T'HH:mm:ss``) files not modified after it are not listed."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    found = (reader.option("modifiedAfter", since) if since else reader).load(root)
-    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-
-
 def _get(value: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(value, path, kind)
 
@@ -44,10 +40,11 @@ def _records(records: DataFrame) -> DataFrame:
     rows = records.filter("record is not null").select("path", "line", F.try_parse_json("record").alias("v"))
     from pyspark.sql import Window
 
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("line")))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    return rows.withColumn("n", F.when(F.col("line") == TAIL, F.col("line")).otherwise(place))
 
 
-def _head(provider: str, rows: DataFrame, of: DataFrame, session_id: Column, message_title: Column, titles: DataFrame | None) -> DataFrame:
+def _head(provider: str, rows: DataFrame, of: DataFrame, session_id: Column, message_title: Column, titles: DataFrame | None, bounded: bool) -> DataFrame:
     rows = rows.join(of, "path").withColumn("session_id", session_id)
     if titles is not None:
         rows = rows.join(titles.select("session_id", F.col("title").alias("given")), "session_id", "left")
@@ -57,10 +54,10 @@ def _head(provider: str, rows: DataFrame, of: DataFrame, session_id: Column, mes
     created = F.coalesce("first_at", "modified")
     return rows.select(
         F.lit(provider).alias("provider"), "session_id", title(F.col("given"), message_title, F.coalesce(basename(F.col("cwd")), folder)).alias("title"), created.alias("created_at"), F.coalesce("last_at", created).alias("updated_at"), F.col("path").alias("source_path"),
-        F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"), "model", "model_provider", "version", F.col("messages").alias("message_count"), F.concat(F.lit(SCHEMES.get(provider, provider) + "://"), "session_id").alias("uri"))
+        F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"), "model", "model_provider", "version", F.when((F.col("size") <= WHOLE_BYTES) | F.lit(not bounded), F.col("messages")).alias("message_count"), F.concat(F.lit(SCHEMES.get(provider, provider) + "://"), "session_id").alias("uri"))
 
 
-def claude_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def claude_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Heads of the claudecode layout; ``titles`` (session_id, title) come from the side index."""
     v = F.col("v")
     at = F.try_to_timestamp(_get(v, "$.timestamp"))
@@ -70,10 +67,10 @@ def claude_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None
         F.min_by(at, "n").alias("first_at"), F.max_by(at, F.when(at.isNotNull(), F.col("n"))).alias("last_at"), F.min_by(_get(v, "$.cwd"), "n").alias("cwd"), F.min_by(_get(v, "$.version"), "n").alias("version"),
         F.min_by(_filled(v, "$.message.model"), F.when(_filled(v, "$.message.model").isNotNull(), F.col("n"))).alias("model"), F.lit(None).cast("string").alias("model_provider"),
         F.count_if(_filled(v, "$.message.role").isNotNull()).alias("messages"), F.min_by(said, F.when(asks, F.col("n"))).alias("asked"))
-    return _head("claudecode", rows, of, F.regexp_extract("path", r"([^/]+)\.jsonl$", 1), F.col("asked"), titles)
+    return _head("claudecode", rows, of, F.regexp_extract("path", r"([^/]+)\.jsonl$", 1), F.col("asked"), titles, bounded)
 
 
-def codex_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def codex_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Heads of the codex layout: the title is the second or a later user message of the first records."""
     from pyspark.sql import Window
 
@@ -92,7 +89,7 @@ def codex_sessions(records: DataFrame, of: DataFrame, titles: DataFrame | None =
     rows = rows.withColumn("model", F.coalesce("model", "model_provider"))
     stem = F.split(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1), "-")
     from_name = F.array_join(F.slice(stem, F.greatest(F.size(stem) - 4, F.lit(1)), F.lit(5)), "-")
-    return _head("codex", rows, of, F.coalesce(F.nullif("id", F.lit("")), from_name), F.col("asked"), titles)
+    return _head("codex", rows, of, F.coalesce(F.nullif("id", F.lit("")), from_name), F.col("asked"), titles, bounded)
 
 
 def index_titles(spark: SparkSession, root: str, name: str = "sessions-index.json") -> DataFrame:
