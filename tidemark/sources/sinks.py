@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +113,26 @@ def raw_copies(spark: SparkSession, root: str, target: str, pattern: str = "*.js
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     return files.select("path", "content").mapInPandas(copy, "path string, copy string, bytes long")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each row (file, content) as a UTF-8 text file below the shared ``folder``; returns the number of files.
+
+    ``file`` may hold sub-folders.  A file appears whole or not at all, so a
+    task may run again; of rows with the same name the last one written stays.
+    """
+    root = "file://" + folder if folder.startswith("/") else folder
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = (pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")) if root.startswith("file:") else pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, content in zip(batch["file"], batch["content"], strict=True):
+                goal = f"{base}/{name}"
+                fs.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+                part = f"{goal}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                fs.move(part, goal)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("file", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
