@@ -6,12 +6,19 @@ works on the table itself, so a row that a writer or reader loses shows.
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.scratch import place
 from tidemark.plans.catalog import ORACLES, QUERIES, _query, _t
-from tidemark.sources import jsonl, sessions, sinks, transcripts
+from tidemark.sources import jsonl, sessions, sinks, sqlite, stores, transcripts
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -173,3 +180,81 @@ def pi_transcript(spark, d):
 @_query(_single(f"role IN ('user', 'assistant') AND {_SAID}").replace("trim(text) AS", "text AS"))
 def kimi_transcript(spark, d):
     return _told(transcripts.kimi_messages(jsonl.records(spark, _kimi(spark, d)[0], "context.jsonl")), r"/(\d+)/context\.jsonl$")
+
+
+# fixed values: tables of the stores
+TABLES = """
+create table session(id text primary key, title text, time_created integer, time_updated integer, directory text);
+create table message(id text primary key, session_id text, time_created integer, data text);
+create table part(id text primary key, message_id text, time_created integer, data text);
+create table cursorDiskKV(key text primary key, value text);"""
+
+
+def _databases(rows: DataFrame, tag: str) -> str:
+    """Rows (name, cells) as SQLite files, one a task, in the shared folder; gives their paths as a comma list."""
+    root = place(rows.sparkSession, tag)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
+        with tempfile.TemporaryDirectory() as folder:
+            made = os.path.join(folder, "made.db")
+            with sqlite3.connect(made) as db:
+                db.executescript(TABLES)
+                for batch in batches:
+                    for name, cells in zip(batch["name"], batch["cells"], strict=True):
+                        db.execute(f"insert into {name} values ({', '.join('?' * len(cells))})", list(cells))
+            db.close()
+            fs.create_dir(base, recursive=True)
+            goal = f"{base}/{uuid.uuid4().hex}.db"
+            with open(made, "rb") as source, fs.open_output_stream(goal) as out:
+                while piece := source.read(1 << 22):
+                    out.write(piece)
+        yield pd.DataFrame({"file": [goal.rsplit("/", 1)[1]]})
+
+    files = rows.repartition(4).mapInPandas(write, "file string").collect()
+    return ",".join(f"{root}/{f.file}" for f in files)
+
+
+def _row(rows: DataFrame, name: str, *cells: Column) -> DataFrame:
+    return rows.select(F.lit(name).alias("name"), F.array(*[c.cast("string") for c in cells]).alias("cells"))
+
+
+def _opencode(spark: SparkSession, sf_dir: str) -> str:
+    turns = _turns(spark, sf_dir)
+    each, key = turns.select("conv_id").distinct(), F.concat("conv_id", F.lit("-"), "turn")
+    made = (START + F.col("conv_id") * 60 + F.col("turn")) * 1000
+    data = F.to_json(_named(role=F.col("role"), modelID=F.when(F.col("role") == "assistant", F.concat(F.lit("m"), F.col("turn") % 4))))
+    sessions_ = _row(each, "session", F.concat(F.lit("o"), "conv_id"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Open "), "conv_id")), (START + F.col("conv_id")) * 1000, (START + F.col("conv_id") + 9) * 1000, _folder())
+    parts = _row(turns, "part", key, key, made, F.to_json(_named(type=F.lit("text"), text=F.col("text"))))
+    return _databases(sessions_.unionByName(_row(turns, "message", key, F.concat(F.lit("o"), "conv_id"), made, data)).unionByName(parts), "opencode")
+
+
+def _cursor(spark: SparkSession, sf_dir: str) -> str:
+    turns = _turns(spark, sf_dir)
+    composer = _row(turns.select("conv_id").distinct(), "cursorDiskKV", F.concat(F.lit("composerData:"), "conv_id"), F.to_json(_named(createdAt=(START + F.col("conv_id")) * 1000, name=F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Cursor "), "conv_id")))))
+    bubble = _named(type=F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(9), text=F.col("text"), requestId=F.when(F.col("turn") == 1, F.concat(F.lit("r"), "conv_id")))
+    return _databases(composer.unionByName(_row(turns, "cursorDiskKV", F.concat(F.lit("bubbleId:"), "conv_id", F.lit(":"), "turn"), F.to_json(bubble))), "cursor")
+
+
+@_query(f"""
+WITH h AS (SELECT conv_id, count(*) AS message_count, arg_max('m' || turn % 4, turn) FILTER (role = 'assistant') AS model FROM conversations GROUP BY conv_id)
+SELECT 'o' || conv_id AS session_id, CASE WHEN conv_id % 2 = 0 THEN 'Open ' || conv_id ELSE 'p' || conv_id % 5 END AS title, ({START} + conv_id) * 1000 AS created_ms, ({START} + conv_id + 9) * 1000 AS updated_ms, message_count, model FROM h WHERE conv_id >= 5""")
+def opencode_heads(spark, d):
+    path = _opencode(spark, d)
+    rows = sqlite.load(spark, path, "session", ("time_created", ">=", (START + 5) * 1000))
+    return _times(sessions.relational_sessions(rows, sqlite.load(spark, path, "message"))).select("session_id", "title", "created_ms", "updated_ms", "message_count", "model")
+
+
+@_query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role, text AS texts FROM conversations")
+def opencode_transcript(spark, d):
+    path = _opencode(spark, d)
+    return _told(stores.relational_messages(sqlite.load(spark, path, "message"), sqlite.load(spark, path, "part")), r"^o(\d+)$")
+
+
+@_query(f"""
+SELECT CASE WHEN bool_or(turn = 1) THEN 'r' || conv_id ELSE conv_id::VARCHAR END AS session_id, CASE WHEN conv_id % 2 = 0 THEN 'Cursor ' || conv_id ELSE 'Cursor Session ' || substring(conv_id::VARCHAR, 1, 8) END AS title, ({START} + conv_id) * 1000 AS created_ms,
+count(*) FILTER (role IN ('user', 'assistant')) AS message_count FROM conversations GROUP BY conv_id""")
+def cursor_heads(spark, d):
+    return _times(sessions.keyed_sessions(sqlite.load(spark, _cursor(spark, d), "cursorDiskKV"))).select("session_id", "title", "created_ms", "message_count")

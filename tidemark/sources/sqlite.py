@@ -1,16 +1,26 @@
 """Sessions kept in SQLite files: tables session, message and part, or one of keys and values.
 
-A Spark data source; each database file is one partition per table, filters on
-``time_created`` are applied by SQLite.  Bad JSON reads as null.
+A Spark data source; each database file is one partition per table, read in
+Arrow batches.  Conditions given to ``load`` are tested by SQLite.  (Spark 4.1
+keeps the filters a Python source took for its next scan without filters, so
+``pushFilters`` is not used.)  Values of a wrong type read as null, bytes that are no UTF-8 as replacement
+characters.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+import os
 import sqlite3
+import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 # fixed values: columns of the store
 SCHEMAS = {
@@ -19,7 +29,20 @@ SCHEMAS = {
     "part": "id string, message_id string, time_created long, data string",
     "cursorDiskKV": "row long, key string, value string",
 }
-NAMED = {"row": "rowid as row", "value": "cast(value as text) as value"}
+COMPARED = ("=", "<>", ">", ">=", "<", "<=", "in")
+BATCH = 8192
+
+
+def load(spark: SparkSession, path: str, table: str, *where: tuple[str, str, str | int | list]) -> DataFrame:
+    """Rows of ``table`` in the databases of a comma list that meet all of ``where``, (column, comparison, value) each.
+
+    A null meets no comparison; ``in`` takes a list.
+    """
+    for name, test, value in where:
+        if name not in {f.name for f in StructType.fromDDL(SCHEMAS[table])} or test not in COMPARED or (test == "in") != isinstance(value, list):
+            raise ValueError(f"no such condition: {name} {test}")
+    spark.dataSource.register(SqliteSessions)
+    return spark.read.format("sqlite_sessions").option("path", path).option("table", table).option("where", json.dumps(where)).load()
 
 
 class SqliteSessions(DataSource):
@@ -36,6 +59,21 @@ class SqliteSessions(DataSource):
         return _Reader(schema, dict(self.options))
 
 
+@contextlib.contextmanager
+def _local(path: str) -> Iterator[str]:
+    """The database as a local file: a path as it is, a remote one as a copy for the time of one task."""
+    if path.startswith("file:") or "://" not in path:
+        yield path if not path.startswith("file:") else "/" + path.removeprefix("file:").lstrip("/")
+        return
+    fs, place = pafs.FileSystem.from_uri(path)
+    with tempfile.TemporaryDirectory() as folder:
+        copy = os.path.join(folder, "copy.db")
+        with fs.open_input_stream(place) as source, open(copy, "wb") as out:
+            while piece := source.read(1 << 22):
+                out.write(piece)
+        yield copy
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
@@ -43,19 +81,31 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(path) for path in self.options["path"].split(",")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def _value(self, name: str, there: set[str]) -> str:
+        if name == "row":
+            return "rowid"
+        if name not in there:
+            return "null"
+        if isinstance(self.schema[name].dataType, LongType):
+            return f"case when typeof({name}) in ('integer', 'real') then cast({name} as integer) end"
+        return f"cast({name} as text)"
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         table, since = self.options.get("table", "session"), int(self.options.get("since_ms", 0))
         if table not in SCHEMAS:
             raise ValueError(f"no such table: {table}")
-        db = sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True)
-        try:
+        names = [f.name for f in self.schema]
+        kinds = [pa.int64() if isinstance(f.dataType, LongType) else pa.string() for f in self.schema]
+        with _local(partition.value) as path, contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+            db.text_factory = lambda raw: raw.decode(errors="replace")
             if not db.execute("select 1 from sqlite_master where name = ?", (table,)).fetchone():
                 return
             there = {r[1] for r in db.execute(f"pragma table_info({table})")}
-            columns = ", ".join(NAMED.get(f.name) or (f.name if f.name in there else f"null as {f.name}") for f in self.schema)
-            if "time_created" in there:
-                yield from db.execute(f"select {columns} from {table} where coalesce(time_created, 0) >= ?", (since,))
-            else:
-                yield from db.execute(f"select {columns} from {table}")
-        finally:
-            db.close()
+            # lists go as one JSON value, so their length has no limit
+            tests = [(f"({self._value(name, there)}) {test} " + ("(select value from json_each(?))" if test == "in" else "?"), [json.dumps(value) if test == "in" else value]) for name, test, value in json.loads(self.options.get("where", "[]"))]
+            if since and "time_created" in there:
+                tests.append(("coalesce(time_created, 0) >= ?", [since]))
+            where = f" where {' and '.join(t for t, _ in tests)}" if tests else ""
+            found = db.execute(f"select {', '.join(self._value(n, there) for n in names)} from {table}{where}", [v for _, values in tests for v in values])
+            while rows := found.fetchmany(BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
