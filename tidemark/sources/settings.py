@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field
+from datetime import datetime
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column
@@ -60,3 +63,58 @@ def read_settings(text: str) -> Settings:
         output.strip() if isinstance(output, str) else "",
         {name: (params, args) for name, (params, args) in presets.items() if params is not None and args},
     )
+
+
+# fixed values: ways to write a date, and what a date gives besides
+DATES = ("%Y%m%d", "%Y-%m-%d")
+OF_DATE = {"date": "%Y%m%d", "year": "%Y", "month": "%m", "year_month": "%Y-%m"}
+
+
+def expand(arguments: list[str], settings: Settings) -> list[str]:
+    """``arguments`` with ``--shortcut name value...`` replaced by the preset's arguments.
+
+    Values end at the next option.  ``{param}`` in a preset stands for its
+    value, ``{{`` and ``}}`` for braces; a parameter called ``date`` gives
+    ``year``, ``month`` and ``year_month`` too.  Raises ValueError where the
+    name, the number of values, a date or a template is wrong.
+    """
+    if "--shortcut" not in arguments:
+        return arguments
+    at = arguments.index("--shortcut")
+    name = arguments[at + 1].strip() if at + 1 < len(arguments) else ""
+    if name not in settings.shortcuts:
+        raise ValueError(f"no such shortcut: {name or '(empty)'}")
+    end = next((i for i in range(at + 2, len(arguments)) if arguments[i].startswith("-")), len(arguments))
+    params, templates = settings.shortcuts[name]
+    values = arguments[at + 2 : end]
+    if len(values) != len(params):
+        raise ValueError(f"shortcut {name} takes {len(params)} values, not {len(values)}")
+    known = dict(zip(params, values, strict=True))
+    if "date" in known:
+        known |= _date_parts(known["date"])
+    return arguments[:at] + [_fill(x, known) for x in templates] + arguments[end:]
+
+
+def _date_parts(text: str) -> dict[str, str]:
+    for form in DATES:
+        try:
+            day = datetime.strptime(text, form)
+        except ValueError:
+            continue
+        return {name: day.strftime(shown) for name, shown in OF_DATE.items()}
+    raise ValueError(f"not a date: {text}")
+
+
+def _fill(template: str, known: dict[str, str]) -> str:
+    def value(found: re.Match) -> str:
+        whole, name = found.group(0), found.group(1)
+        if whole in ("{{", "}}"):
+            return whole[0]
+        if name is None:
+            raise ValueError(f"bad template: {template}")
+        if name not in known:
+            raise ValueError(f"no such parameter: {name}")
+        return known[name]
+
+    text = re.sub(r"\{\{|\}\}|\{(\w+)\}|[{}]", value, template)
+    return str(Path(text).expanduser()) if text.startswith("~") else text
