@@ -60,12 +60,14 @@ def records(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str
     """(path, line, record, bad) of every file below ``root``; with ``since``, of the files modified after it."""
     lines = _reader(spark, "text", pattern, since).option("lineSep", "\n").load(root)
     lines = lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("raw"))
+    # parsed ahead of the exchange: a Python step after it would hide the partitioning from readers
+    filled = F.decode("raw", "ISO-8859-1").rlike(r"[^ \t\r\x0B\f]")
+    lines = lines.select("path", "start", "size", "place", F.octet_length("raw").alias("bytes"), filled.alias("filled"), _object("raw").alias("record"))
     so_far = Window.partitionBy("path").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.select("path", "size", "raw", F.count(F.lit(1)).over(so_far).alias("line"), F.sum(F.octet_length("raw") + 1).over(so_far).alias("end"))
-    filled = numbered.filter(F.decode("raw", "ISO-8859-1").rlike(r"[^ \t\r\x0B\f]")).withColumn("record", _object("raw"))
-    # past the file's end: the last line has no line feed
+    numbered = lines.select("path", "size", "filled", "record", F.count(F.lit(1)).over(so_far).alias("line"), F.sum(F.col("bytes") + 1).over(so_far).alias("end"))
     bad = F.when(F.col("record").isNull(), F.col("line"))
-    return filled.filter(F.col("record").isNotNull() | (F.col("end") <= F.col("size"))).select("path", "line", "record", bad.alias("bad"))
+    # past the file's end: the last line has no line feed
+    return numbered.filter(F.col("filled") & (F.col("record").isNotNull() | (F.col("end") <= F.col("size")))).select("path", "line", "record", bad.alias("bad"))
 
 
 def ends_of(source, size: int, most: int) -> list[tuple[int, str]]:
