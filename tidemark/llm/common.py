@@ -140,6 +140,23 @@ def group_best(rows: DataFrame, key: str, order: str, unique: str, salts: int =
     return salted.join(spread, [key, "__salt"]).drop("__salt")
 
 
+#: Keys that may be broadcast as heavy: those that hold more than this share of all rows, so there are never more of them.
+HEAVY_KEYS = 1 << 14
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, a settled table of one row a key that says in ``weight`` how many rows have that key.
+
+    Keys with more than 1 / HEAVY_KEYS of the ``total`` rows are broadcast, which
+    their number bounds; the others are shuffled and no task meets a hot one.
+    ``weight`` is left out of the result; keys must not be null."""
+    heavy = side.filter(F.col(weight) * HEAVY_KEYS > total).drop(weight)
+    light = side.filter(F.col(weight) * HEAVY_KEYS <= total).drop(weight)
+    of_heavy = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return of_heavy.unionByName(rest.join(light, keys))
+
+
 def sized(total_bytes: int | None, each: int, least: int = 1) -> int:
     """Number of parts so that each holds about ``each`` bytes."""
     return max(least, -(-int(total_bytes or 0) // each))
