@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from tidemark.llm.common import join_counted, pick, settle
 
 #: The pattern of the byte-level tokenizer that cuts texts before its merges (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of texts that are encoded together, and bytes of groups in a batch that leaves a task.
-TEXTS, BATCH = 1 << 20, 4 << 20
+#: Bytes of texts that are encoded together, groups in a batch that leaves a task, and keys of one token a side that a task keeps.
+TEXTS, BATCH, CACHE_PAIRS = 1 << 18, 1 << 15, 1 << 18
 
 _DOCS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))])
 _DOCS_SQL = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups array<struct<key:string,n:long>>"
@@ -93,57 +94,84 @@ def tokenizers(a: str, b: str) -> tuple:
     return _loaded[a, b]
 
 
-def _edges(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int]]:
+def _edges(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where groups begin and end, as token numbers of either side."""
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    return [0, *(np.searchsorted(ends_a, both) + 1).tolist()], [0, *(np.searchsorted(ends_b, both) + 1).tolist()]
-
-
-def _group_keys(ids_a: list[int], ids_b: list[int], a, b) -> list[str]:
-    """``a1,a2|b1`` for each group of a text."""
-    at_a, at_b = _edges(np.cumsum(a[1][ids_a]), np.cumsum(b[1][ids_b]))
-    told_a, told_b = [a[2][i] for i in ids_a], [b[2][i] for i in ids_b]
-    out = []
-    for i in range(len(at_a) - 1):
-        lo, hi, low, high = at_a[i], at_a[i + 1], at_b[i], at_b[i + 1]
-        left = told_a[lo] if hi - lo == 1 else ",".join(told_a[lo:hi])
-        out.append(f"{left}|{told_b[low]}" if high - low == 1 else f"{left}|{','.join(told_b[low:high])}")
-    return out
+    place = np.searchsorted(ends_b, ends_a)
+    place[place == len(ends_b)] = 0
+    here = np.flatnonzero(ends_b[place] == ends_a)
+    return np.concatenate(([0], here + 1)), np.concatenate(([0], place[here] + 1))
+
+
+class Namer:
+    """Keys ``a1,a2|b1`` of a text's groups; those of one token a side are put together once."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+        self.pairs: dict[int, str] = {}
+
+    def _pair(self, code: int) -> str:
+        found = self.pairs.get(code)
+        if found is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[code] = f"{code >> 32}|{code & 0xFFFFFFFF}"
+        return found
+
+    def keys(self, ids_a: list[int], ids_b: list[int]) -> list[str]:
+        x, y = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        at_a, at_b = _edges(np.cumsum(self.a[1][x]), np.cumsum(self.b[1][y]))
+        lone = (np.diff(at_a) == 1) & (np.diff(at_b) == 1)
+        out = np.empty(len(lone), object)
+        out[lone] = list(map(self._pair, ((x[at_a[:-1][lone]] << 32) | y[at_b[:-1][lone]]).tolist()))
+        told_a, told_b = self.a[2], self.b[2]
+        many = np.flatnonzero(~lone)
+        for i, lo, hi, low, high in zip(many.tolist(), at_a[many].tolist(), at_a[many + 1].tolist(), at_b[many].tolist(), at_b[many + 1].tolist(), strict=True):
+            out[i] = f"{','.join([told_a[k] for k in ids_a[lo:hi]])}|{','.join([told_b[k] for k in ids_b[low:high]])}"
+        return out.tolist()
 
 
 def _groups(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizers(path_a, path_b)
+        namer = Namer(a, b)
         rows: list[tuple] = []
-        size = 0
+        names: list[str] = []
+        counts: list[int] = []
+        ends = [0]
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(_DOCS.names, r, strict=True)) for r in rows], schema=_DOCS)
-
-        def told(row: int, doc_id: int | None, text: str, ids_a: list[int], ids_b: list[int]) -> tuple:
+            groups = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["key", "n"])
+            plain = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DOCS, strict=False)]
+            out = pa.RecordBatch.from_arrays([*plain, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups)], schema=_DOCS)
+            rows.clear(), names.clear(), counts.clear()
+            ends[1:] = []
+            return out
+
+        def add(row: int, doc_id: int | None, text: str, ids_a: list[int], ids_b: list[int]) -> None:
             raw = b" " + text.encode()
             if not text or b"".join([a[0].bytes[i] for i in ids_a]) != raw or b"".join([b[0].bytes[i] for i in ids_b]) != raw:
-                return row, doc_id, 0, 0, 0, "", []
-            keys = _group_keys(ids_a, ids_b, a, b)
-            digest = hashlib.sha256(";".join(keys).encode()).hexdigest()
-            return row, doc_id, len(ids_a), len(ids_b), len(keys), digest, [{"key": k, "n": n} for k, n in Counter(keys).items()]
+                rows.append((row, doc_id, 0, 0, 0, ""))
+            else:
+                keys = namer.keys(ids_a, ids_b)
+                rows.append((row, doc_id, len(ids_a), len(ids_b), len(keys), hashlib.sha256(";".join(keys).encode()).hexdigest()))
+                found = Counter(keys)
+                names.extend(found)
+                counts.extend(found.values())
+            ends.append(len(names))
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
             row, doc_id = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # texts are made Python strings a few at a time
+            size = np.cumsum(np.fromiter(((n or 0) for n in pc.binary_length(batch.column(2)).to_pylist()), np.int64, batch.num_rows))
             at = 0
-            while at < len(texts):
-                upto, held = at + 1, len(texts[at])
-                while upto < len(texts) and held + len(texts[upto]) <= TEXTS:
-                    held += len(texts[upto])
-                    upto += 1
-                some = slice(at, upto)
-                for r in map(told, row[some], doc_id[some], texts[some], a[0].encode(texts[some]), b[0].encode(texts[some])):
-                    rows.append(r)
-                    size += 64 + 24 * len(r[-1])
-                    if size > BATCH:
+            while at < batch.num_rows:
+                base = int(size[at - 1]) if at else 0
+                upto = max(at + 1, int(np.searchsorted(size, base + TEXTS, "right")))
+                texts = [t or "" for t in batch.column(2).slice(at, upto - at).to_pylist()]
+                for r in zip(row[at:upto], doc_id[at:upto], texts, a[0].encode(texts), b[0].encode(texts), strict=True):
+                    add(*r)
+                    if len(names) > BATCH:
                         yield full()
-                        rows, size = [], 0
                 at = upto
         if rows:
             yield full()
