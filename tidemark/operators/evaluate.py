@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import excerpt
+from tidemark.operators import postings
 from tidemark.operators.filters import PROVIDERS, QuerySpec, path_scope
 from tidemark.operators.search import KEY, TextQuery, search, top
 from tidemark.operators.views import corpus
@@ -49,13 +50,15 @@ def _by_role(rows: DataFrame, messages: DataFrame, roles: tuple[str, ...], query
     return rows.join(first, KEY).withColumns({"matched_role": F.col("__e.role"), "snippet": shown, "rank": F.lit(0.0)}).drop("__e")
 
 
-def matches(spec: QuerySpec, sessions: DataFrame, messages: DataFrame, ranked: bool = False) -> DataFrame:
+def matches(spec: QuerySpec, sessions: DataFrame, messages: DataFrame, ranked: bool = False, index: postings.Snapshot | None = None) -> DataFrame:
     """Sessions that a query selects, with (matched_role, snippet, rank).
 
     With ``ranked`` the keyword's terms are searched and the best come first, and
     a blank keyword finds nothing; else it is one phrase and the latest come
     first, and without one every session in scope is found.  A limit is global;
-    under roles each provider sends its latest ``limit`` matches to it.
+    under roles each provider sends its latest ``limit`` matches to it.  Keywords
+    are looked up in ``index`` where one is given (titles and texts are those it
+    holds), else in the messages.
     """
     query = TextQuery.terms(spec.keyword) if ranked else TextQuery.phrase(spec.keyword)
     rows, none = scoped(spec, sessions), F.lit(None).cast("string")
@@ -67,13 +70,19 @@ def matches(spec: QuerySpec, sessions: DataFrame, messages: DataFrame, ranked: b
         found = found.limit(0) if ranked else found
     else:
         # ranks are those among all sessions; the scope applies to what was found
-        texts = sessions.join(corpus(messages), KEY).withColumn("title", F.coalesce("title", F.lit("")))
         kept = rows.select(*KEY)
+        if index is not None:
+            found = postings.search(index, query, kept).select(*KEY, "rank", "snippet")
+            found = rows.join(found, KEY).withColumn("matched_role", none)
+            return _limited(found.select(*sessions.columns, "matched_role", "snippet", "rank"), spec.limit, ranked)
+        # a session without texts is found by its title, and counts
+        texts = sessions.join(corpus(messages), KEY, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "content")})
         found = search(texts, query, None if rows is sessions else kept).withColumn("matched_role", none).drop("content")
-    found = found.select(*sessions.columns, "matched_role", "snippet", "rank")
-    if spec.limit is None:
-        return found
-    return top(found, spec.limit, *([F.desc("rank")] if ranked else []), *recency())
+    return _limited(found.select(*sessions.columns, "matched_role", "snippet", "rank"), spec.limit, ranked)
+
+
+def _limited(found: DataFrame, limit: int | None, ranked: bool) -> DataFrame:
+    return found if limit is None else top(found, limit, *([F.desc("rank")] if ranked else []), *recency())
 
 
 def find(sessions: DataFrame, session_id: str, provider: str | None = None) -> DataFrame:
@@ -81,7 +90,8 @@ def find(sessions: DataFrame, session_id: str, provider: str | None = None) -> D
     rows = sessions.filter(F.col("session_id") == session_id)
     if provider is not None:
         return rows.filter(F.col("provider") == provider).limit(1)
-    return top(rows, 1, F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider")))
+    place = F.nullif(F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("provider")), F.lit(0))
+    return top(rows, 1, F.asc_nulls_last(place), F.asc("provider"))
 
 
 def split_uri(uri: str) -> tuple[str, str]:

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import has_literal, literal_pattern, snippet
+from tidemark.functions.text import WHITE, has_literal, literal_pattern, snippet
 
 # fixed values of the ranking formula
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -52,14 +52,14 @@ class TextQuery:
 
 
 KEY = ["provider", "session_id"]
-# fixed values: scripts whose characters are words of their own
-CJK = "㐀-鿿぀-ヿ가-힯"
+# fixed value: characters that are words of their own
+CJK = "一-鿿"
 _LETTER = rf"[[\p{{L}}\p{{N}}]&&[^{CJK}]]"
 
 
 def access_path(query: TextQuery) -> str:
     """Which index answers a query: words (CJK), trigrams, or a scan."""
-    cjk = lambda s: all("㐀" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힯" for c in s)
+    cjk = lambda s: all("一" <= c <= "鿿" for c in s)
     some = lambda s: any(cjk(c) for c in s)
     if query.literals and all(map(cjk, query.literals)):
         return "words"
@@ -73,6 +73,13 @@ def split_cjk(text: Column) -> Column:
     return F.regexp_replace(text, f"(?<=[{CJK}])(?=[{CJK}])", " ")
 
 
+def join_cjk(snippet: Column) -> Column:
+    """Undoes ``split_cjk`` in a snippet: neighbouring highlights of CJK characters become one, and spaces between such characters go."""
+    tidy = F.trim(F.regexp_replace(snippet, WHITE, " "))
+    merged = F.regexp_replace(tidy, rf"(?<=\*\*[{CJK}]{{1,255}})\*\*\s+\*\*(?=[{CJK}]+\*\*)", "")
+    return F.regexp_replace(merged, rf"(?<=[{CJK}])\s+(?=(\*\*)?[{CJK}])|(?<=[{CJK}]\*\*)\s+(?=[{CJK}])", "")
+
+
 def tokens(text: Column, words: bool) -> Column:
     """Number of trigrams, or of words where each CJK character is one."""
     if words:
@@ -133,7 +140,11 @@ def size_table(corpus: DataFrame, *key: str) -> DataFrame:
 
 
 def indexed(corpus: DataFrame, grams: DataFrame, sizes: DataFrame, query: TextQuery, *key: str) -> DataFrame:
-    """As ``bm25`` by trigrams, from stored tables: only rows that hold all trigrams of a literal are read."""
+    """As ``bm25`` by trigrams, from stored tables: only rows that hold all trigrams of a literal are read.
+
+    A literal without a trigram is not in the tables; such a query is a scan."""
+    if any(len(x) < 3 for x in query.literals):
+        return bm25(corpus, query)
     key = list(key or KEY)
     parts = [sorted({x.lower()[i : i + 3] for i in range(len(x) - 2)}) for x in query.literals]
     held = [F.count_if(F.col("gram").isin(p)) == len(p) for p in parts]
@@ -146,7 +157,8 @@ def indexed(corpus: DataFrame, grams: DataFrame, sizes: DataFrame, query: TextQu
 def search(corpus: DataFrame, query: TextQuery, scope: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Rows of (provider, session_id, title, content, created_at, updated_at, ...) that match, with (rank, snippet).
 
-    Words and trigrams rank by BM25 among all rows, other queries by the title.
+    Words and trigrams rank by BM25 among all rows, other queries by the title;
+    all by a scan: ``postings.search`` answers the same from a kept index.
     ``scope`` keeps only its keys, before the limit; no query finds nothing.
     """
     path = access_path(query)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, text
-from tidemark.operators import assemble, collect, evaluate, filters, index, relations, search, stats, views
+from tidemark.operators import assemble, collect, evaluate, filters, index, postings, relations, scratch, search, stats, views
 from tidemark.operators.search import TextQuery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,64 @@ def search_indexed(spark, d):
     return search.indexed(corpus, search.gram_table(corpus), search.size_table(corpus), TextQuery.terms("that from")).select("provider", "session_id", "rank")
 
 
+@_query(f"WITH {_SESSIONS} SELECT provider, session_id, CASE WHEN contains(lower(title), 'qu') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rank FROM s WHERE contains(lower(title), 'qu') OR contains(lower(content), 'qu')")
+def search_indexed_short(spark, d):
+    """A literal without a trigram: ranked by the title, from the kept texts."""
+    corpus = _searched(spark, d)
+    kept = postings.refresh(spark, scratch.place(spark, "index"), corpus.withColumn("signature", F.lit("1")), corpus, F.current_timestamp())
+    return postings.search(kept, TextQuery.terms("qu")).select("provider", "session_id", "rank")
+
+
+# a second scan finds two thirds of the sessions changed: their whole texts count, of the others the first two turns
+_CHANGED = "string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (trim(text) <> '' AND (conv_id % 3 <> 0 OR turn < 2)) AS content"
+_WHOLE = "string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) FILTER (trim(text) <> '') AS content"
+
+
+@_query(f"WITH {_BM25.replace(_WHOLE, _CHANGED)} SELECT provider, session_id, rank FROM r")
+def search_after_refresh(spark, d):
+    sessions, messages = _sessions(spark, d)
+    root, now = scratch.place(spark, "index"), F.current_timestamp()
+    before = views.corpus(messages.filter("seq < 2"))
+    postings.refresh(spark, root, sessions.withColumn("signature", F.lit("1")), before, now)
+    changed = sessions.withColumn("signature", F.when(F.col("session_id").cast("long") % 3 != 0, "2").otherwise("1"))
+    kept = postings.refresh(spark, root, changed, views.corpus(messages), now)
+    return postings.search(kept, TextQuery.terms("that from")).select("provider", "session_id", "rank")
+
+
+# letters read as CJK characters, so that every text has words of one character
+_LETTERS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄"
+_SIGNED = f"translate(regexp_replace(lower({{}}), '[^a-z]', ' ', 'g'), '{_LETTERS}', '{_SIGNS}')"
+_TH, _IN = (f"{_SIGNS[_LETTERS.index(a)]}{_SIGNS[_LETTERS.index(b)]}" for a, b in ("th", "in"))
+
+
+def _phrases(x: str) -> str:
+    """SQL: how often two characters are neighbours in title or content, apart from spaces."""
+    return "+".join(f"(length(replace({f}, ' ', '')) - length(replace(replace({f}, ' ', ''), '{x}', ''))) / 2" for f in ("title", "content"))
+
+
+@_query(f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS provider, {_SIGNED.format("coalesce(substring(text, 1, 60), '')")} AS title, {_SIGNED.format("coalesce(text, '')")} AS content FROM documents),
+w AS (SELECT *, (length(replace(title, ' ', '')) + length(replace(content, ' ', '')))::DOUBLE AS len, ({_phrases(_TH)})::DOUBLE AS a, ({_phrases(_IN)})::DOUBLE AS b FROM t),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS al, (count(*) FILTER (a > 0))::DOUBLE AS da, (count(*) FILTER (b > 0))::DOUBLE AS db FROM w)
+SELECT doc_id, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al)), 6) AS rank
+FROM w, g WHERE a > 0 AND b > 0 AND (contains(title, '{_TH}') OR contains(content, '{_TH}')) AND (contains(title, '{_IN}') OR contains(content, '{_IN}'))""")
+def search_cjk(spark, d):
+    signed = lambda c: F.translate(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]", " "), _LETTERS, _SIGNS)
+    corpus = _t(spark, d, "documents").select(
+        F.coalesce("source", F.lit("")).alias("provider"), F.col("doc_id").cast("string").alias("session_id"), signed(F.substring("text", 1, 60)).alias("title"), signed(F.col("text")).alias("content"),
+        F.lit("1").alias("signature"), F.col("doc_id").alias("updated_at"), F.col("doc_id").alias("created_at"))
+    kept = postings.refresh(spark, scratch.place(spark, "index"), corpus, corpus, F.current_timestamp())
+    return postings.search(kept, TextQuery.terms(f"{_TH} {_IN}")).select(F.col("session_id").cast("long").alias("doc_id"), "rank")
+
+
+@_query(f"""WITH {_SESSIONS}, k AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN coalesce(content, '') ELSE '' END AS said FROM s)
+SELECT provider, session_id, CASE WHEN contains(lower(title), 'de la') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rank FROM k WHERE contains(lower(title), 'de la') OR contains(lower(said), 'de la')""")
+def query_title_only(spark, d):
+    """Half of the sessions have no message: their titles are searched all the same."""
+    sessions, messages = _sessions(spark, d)
+    return evaluate.matches(filters.QuerySpec(keyword="de la"), sessions, messages.filter("cast(session_id as long) % 2 = 0")).select("provider", "session_id", "rank")
+
+
 @_query(f"""WITH {_SESSIONS} SELECT provider, session_id, CASE WHEN contains(lower(title), 'de la') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rank FROM s
 WHERE provider IN ('codex', 'claudecode', 'kimi') AND working_directory IN ('/w/p1') AND (contains(lower(title), 'de la') OR contains(lower(content), 'de la'))""")
 def query_keyword(spark, d):
