@@ -145,6 +145,23 @@ def kimi_heads(spark, d):
     return _times(sessions.kimi_sessions(spark, *_kimi(spark, d))).select("session_id", "title", "created_ms", "message_count", "working_directory")
 
 
+@_query(f"""SELECT 'k' || conv_id AS session_id, ({START} + conv_id) * 1000 AS created_ms, count(*) FILTER (role IN ('user', 'assistant') AND {_SAID}) AS message_count
+FROM conversations WHERE conv_id >= (SELECT max(conv_id) // 2 FROM conversations) GROUP BY conv_id""")
+def kimi_recent(spark, d):
+    """The later half by the folders' headers; context files of the others are not opened."""
+    (last,) = _t(spark, d, "conversations").agg(F.max("conv_id")).first()
+    heads = sessions.kimi_sessions(spark, *_kimi(spark, d), since=F.timestamp_seconds(F.lit(START + (last or 0) // 2)))
+    return _times(heads).select("session_id", "created_ms", "message_count")
+
+
+@_query(f"""SELECT 'c' || conv_id AS session_id, ({START} + conv_id * 60 - 5) * 1000 AS created_ms, max({_MS}) AS updated_ms, count(*) AS message_count, '/w/p' || conv_id % 5 AS working_directory
+FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations) GROUP BY conv_id""")
+def codex_lookup(spark, d):
+    """The head of the last session, by its id."""
+    (last,) = _t(spark, d, "conversations").agg(F.max("conv_id")).first()
+    return _times(sessions.look_up(spark, _codex(spark, d), "codex", f"c{last}")).select("session_id", "created_ms", "updated_ms", "message_count", "working_directory")
+
+
 def _told(messages: DataFrame, name: str = r"(\d+)\.jsonl$") -> DataFrame:
     texts = F.array_join(F.transform("parts", lambda p: p["text"]), "|")
     return messages.select(F.regexp_extract("session", name, 1).cast("long").alias("conv_id"), "seq", "role", texts.alias("texts"))

@@ -1,14 +1,16 @@
 """Sessions kept as JSON lines: one file a session.
 
 Files are read as text in splits of ``spark.sql.files.maxPartitionBytes``, so a
-long file is many tasks and never one cell.  Lines are numbered by one window
-over their place in the file, partitioned by path: readers that fold a file
-group by the same key and add no exchange.  Bad lines are counted and skipped,
-and an unfinished last line is ignored.
+long file is many tasks and never one cell.  Lines are numbered inside their
+split; what the splits before hold is added from one row a split, so no task
+sees a whole long file.  Bad lines are counted and skipped, and an unfinished
+last line is ignored.  ``records_in`` reads only the files it is given, by
+ranges that are planned from their sizes.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -59,15 +61,115 @@ def files(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str |
 def records(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
     """(path, line, record, bad) of every file below ``root``; with ``since``, of the files modified after it."""
     lines = _reader(spark, "text", pattern, since).option("lineSep", "\n").load(root)
-    lines = lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("raw"))
-    # parsed ahead of the exchange: a Python step after it would hide the partitioning from readers
+    lines = lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("alone"), F.col("value").cast("binary").alias("raw"))
     filled = F.decode("raw", "ISO-8859-1").rlike(r"[^ \t\r\x0B\f]")
-    lines = lines.select("path", "start", "size", "place", F.octet_length("raw").alias("bytes"), filled.alias("filled"), _object("raw").alias("record"))
-    so_far = Window.partitionBy("path").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.select("path", "size", "filled", "record", F.count(F.lit(1)).over(so_far).alias("line"), F.sum(F.col("bytes") + 1).over(so_far).alias("end"))
-    bad = F.when(F.col("record").isNull(), F.col("line"))
+    lines = lines.select("path", "start", "size", "place", "alone", F.octet_length("raw").alias("bytes"), filled.alias("filled"), _object("raw").alias("record"))
+    return _numbered(lines, _held(lines.filter(~F.col("alone"))))
+
+
+def _held(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bytes") + 1).alias("held"))
+
+
+def _numbered(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """(path, line, record, bad) of lines (path, start, size, place, bytes, filled, record): ``start`` names the split, ``place`` orders its lines.
+
+    ``splits`` gives (path, start, n, held), the lines and bytes of each split of files that have several."""
+    inside = Window.partitionBy("path", "start").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.select("path", "start", "size", "filled", "record", F.count(F.lit(1)).over(inside).alias("n"), F.sum(F.col("bytes") + 1).over(inside).alias("upto"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select("path", "start", F.sum("n").over(before).alias("lines_before"), F.sum("held").over(before).alias("bytes_before"))
+    rows = rows.join(bases, ["path", "start"], "left")
+    line = F.col("n") + F.coalesce("lines_before", F.lit(0))
+    end = F.col("upto") + F.coalesce("bytes_before", F.lit(0))
     # past the file's end: the last line has no line feed
-    return numbered.filter(F.col("filled") & (F.col("record").isNotNull() | (F.col("end") <= F.col("size")))).select("path", "line", "record", bad.alias("bad"))
+    whole = F.col("filled") & (F.col("record").isNotNull() | (end <= F.col("size")))
+    return rows.filter(whole).select("path", line.alias("line"), "record", F.when(F.col("record").isNull(), line).alias("bad"))
+
+
+#: Bytes of a range that is read by one task of ``records_in``, and bytes of lines that it holds at once.
+RANGE, HELD = 64 << 20, 4 << 20
+
+
+def range_lines(source, start: int, stop: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
+    """Lines of a seekable file that begin in ``[start, stop)``; the last one is read to its end."""
+    # a line that begins at ``start`` has a line feed before it
+    at = max(start - 1, 0)
+    source.seek(at)
+    begins, rest, read = (0 if start == 0 else None), b"", at
+    while read < size and (begins is None or begins < stop):
+        some = source.read(min(step, size - read))
+        if not some:
+            break
+        read += len(some)
+        rest += some
+        if begins is None:
+            cut = rest.find(b"\n")
+            if cut < 0:
+                rest = b""
+                continue
+            begins, rest = read - len(rest) + cut + 1, rest[cut + 1 :]
+        *whole, rest = rest.split(b"\n")
+        for line in whole:
+            if begins >= stop:
+                return
+            yield line
+            begins += len(line) + 1
+    if rest and begins is not None and begins < stop:
+        yield rest
+
+
+def open_file(path: str):
+    """A seekable file of the store that a path names."""
+    fs, place = (pafs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(place)
+
+
+def records_in(held: DataFrame, count=None) -> DataFrame:
+    """(path, line, record, bad) of the files (path, size) of ``held`` and of no other.
+
+    ``held`` is a listing that was cut down by names or headers before; ranges of
+    its files are dealt to tasks.  The lines of files of several ranges are
+    counted first, which reads those files twice.  ``count`` is an accumulator of
+    the bytes read."""
+    spark = held.sparkSession
+    ranges = held.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(RANGE).cast("long"))).alias("start"))
+    # one number for each file: how many tasks read them
+    total, many = held.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = int(min(max(1, many, total // RANGE), max(spark.sparkContext.defaultParallelism, total // RANGE)))
+    width = RANGE
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, size, start in zip(batch["path"], batch["size"], batch["start"], strict=True):
+                with open_file(path) as source:
+                    for place, line in enumerate(range_lines(source, start, min(start + width, size), size)):
+                        if count is not None:
+                            count.add(min(len(line) + 1, size))
+                        yield path, start, size, place, line
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (path, start), lines in itertools.groupby(read(batches), lambda r: r[:2]):
+            n = held_bytes = 0
+            for *_, line in lines:
+                n, held_bytes = n + 1, held_bytes + len(line) + 1
+            yield pd.DataFrame([(path, start, n, held_bytes)], columns=["path", "start", "n", "held"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "start", "size", "place", "bytes", "filled", "record"]
+        rows, size = [], 0
+        for path, start, whole, place, line in read(batches):
+            rows.append((path, start, whole, place, len(line), bool(line.strip(b" \t\r\x0b\f")), parse(line)))
+            size += len(line) + 1
+            if size >= HELD:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    lines = ranges.repartition(tasks, "path", "start").mapInPandas(scan, "path string, start long, size long, place long, bytes int, filled boolean, record string")
+    long_ = ranges.filter(F.col("size") > width).repartition(tasks, "path", "start")
+    return _numbered(lines, long_.mapInPandas(sizes, "path string, start long, n long, held long"))
 
 
 def ends_of(source, size: int, most: int) -> list[tuple[int, str]]:
@@ -101,8 +203,7 @@ def ends(spark: SparkSession, root: str, most: int, pattern: str = "*.jsonl", si
         for batch in batches:
             rows = []
             for path, size in zip(batch["path"], batch["size"], strict=True):
-                fs, place = (pafs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
-                with fs.open_input_file(place) as source:
+                with open_file(path) as source:
                     rows += [(path, line, found, None) for line, found in ends_of(source, size, most)]
             yield pd.DataFrame(rows, columns=["path", "line", "record", "bad"])
 

@@ -175,11 +175,13 @@ def keyed_sessions(pairs: DataFrame, prefix: int = 20) -> DataFrame:
         F.coalesce("messages", F.lit(0)).alias("message_count"), F.concat(F.lit("cursor://"), request).alias("uri"))
 
 
-def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None) -> DataFrame:
+def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None, since: Column | None = None, count=None) -> DataFrame:
     """Heads of the kimi layout, a folder a session: ``settings`` is the file that lists the working folders.
 
     A folder needs a context or a wire file.  Messages are those assembled
-    from a context file; without one they are unknown.
+    from a context file; without one they are unknown.  With ``since`` folders
+    whose header gives an earlier time are left out and their files not opened;
+    ``count`` is an accumulator of the bytes read from context files.
     """
     from tidemark.sources import jsonl, transcripts
 
@@ -187,18 +189,45 @@ def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None) -
     folder = lambda path: F.regexp_extract(path, r"^(?:file:)?/*(.*)/[^/]+$", 1)
     v = F.col("v")
     meta = whole(root, "metadata.json").select(folder(F.col("_metadata.file_path")).alias("folder"), F.col("_metadata.file_modification_time").alias("modified"), F.try_parse_json("value").alias("v"))
-    held = files(spark, root).select(folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "size").filter(F.col("name").isin("context.jsonl", "wire.jsonl"))
-    held = held.groupBy("folder").agg(F.max(F.when(F.col("name") == "context.jsonl", F.col("size"))).alias("size"))
-    counted = transcripts.kimi_messages(jsonl.records(spark, root, "context.jsonl")).groupBy(folder(F.col("session")).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    made = F.coalesce(_epoch_ms((_get(v, "$.wire_mtime", "double") * 1000).cast("bigint")), "modified")
+    if since is not None:
+        meta = meta.filter(made >= since)
+    listed = files(spark, root).select("path", folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "size").filter(F.col("name").isin("context.jsonl", "wire.jsonl"))
+    held = listed.groupBy("folder").agg(F.max(F.when(F.col("name") == "context.jsonl", F.col("size"))).alias("size"))
+    if since is None:
+        records = jsonl.records(spark, root, "context.jsonl")
+    else:
+        records = jsonl.records_in(listed.filter("name = 'context.jsonl'").join(meta.select("folder"), "folder", "left_semi").select("path", "size"), count)
+    counted = transcripts.kimi_messages(records).groupBy(folder(F.col("session")).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
     rows = meta.join(held, "folder").join(counted, "folder", "left").withColumn("hash", F.element_at(F.split("folder", "/"), -2))
     if settings:
         dirs = whole(settings, "*").select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$.work_dirs", "array<variant>")).alias("x")).select(_get(F.col("x"), "$.path").alias("cwd")).filter("cwd is not null").distinct()
         rows = rows.join(dirs.withColumn("hash", F.md5(F.encode("cwd", "utf-8"))), "hash", "left")
     else:
         rows = rows.withColumn("cwd", F.lit(None).cast("string"))
-    made = F.coalesce(_epoch_ms((_get(v, "$.wire_mtime", "double") * 1000).cast("bigint")), "modified")
     name = F.coalesce(_filled(v, "$.session_id"), F.element_at(F.split("folder", "/"), -1))
     null = F.lit(None).cast("string")
     return rows.select(
         F.lit("kimi").alias("provider"), name.alias("session_id"), title(_get(v, "$.title"), basename(F.col("cwd"))).alias("title"), made.alias("created_at"), made.alias("updated_at"), F.concat(F.lit("/"), "folder").alias("source_path"), F.nullif(F.trim("cwd"), F.lit("")).alias("working_directory"),
         null.alias("model"), null.alias("model_provider"), null.alias("version"), F.when(F.col("size").isNotNull(), F.coalesce("n", F.lit(0))).alias("message_count"), F.concat(F.lit("kimi://"), name).alias("uri"))
+
+
+def look_up(spark: SparkSession, root: str, provider: str, session_id: str, titles: DataFrame | None = None, count=None) -> DataFrame:
+    """The head of one session of the codex, claudecode or pi layout.
+
+    Files whose name holds the id are the only ones read; where none of them is
+    the session's, all are.  ``count`` is an accumulator of the bytes read."""
+    from tidemark.sources import jsonl
+
+    def heads(held: DataFrame) -> DataFrame:
+        records = jsonl.records_in(held.select("path", "size"), count)
+        if provider == "pi":
+            rows = jsonl.pi_sessions(records)
+        else:
+            rows = {"codex": codex_sessions, "claudecode": claude_sessions}[provider](records, held, titles)
+        return rows.filter(F.col("session_id") == session_id)
+
+    listed = jsonl.files(spark, root)
+    near = heads(listed.filter(F.element_at(F.split("path", "/"), -1).contains(session_id)))
+    # one row at most decides which branch is the answer
+    return near if near.head(1) else heads(listed)
