@@ -116,3 +116,32 @@ def test_files_since(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[-1] for r in sessions.files(spark, str(tmp_path), since="2022-01-01T00:00:00").collect()] == ["new.jsonl"]
     (tmp_path / "sessions-index.json").write_text(json.dumps({"entries": [{"sessionId": "x", "summary": " S "}, {"sessionId": "y"}, 3]}))
     assert [tuple(r) for r in sessions.index_titles(spark, str(tmp_path)).collect()] == [("x", "S")]
+
+
+def test_projections_of_layouts(spark):
+    """Older content, states, prompts and nicknames."""
+    part = "struct<kind:string,text:string,tool:string,state:string,nickname:string>"
+    rows = [
+        ("s", 1, "User", [("text", " a ", None, None, None)], '["old", {"text": " older "}]', " Nick "),
+        ("s", 2, None, [("tool", None, "bash", '{"arguments": {"n": 1}, "output": " out ", "prompt": " p "}', " Ann ")], None, None),
+        ("s", 3, "x", [("tool", None, "t", "[1]", None), ("tool", None, "u", None, None)], " ", None),
+        ("t", 1, "x", [], None, None),
+    ]
+    messages = spark.createDataFrame(rows, f"session string, seq long, role string, parts array<{part}>, content string, nickname string")
+    a, b, c, _ = views.transcript(messages).orderBy("session", "seq").collect()
+    assert (a.texts, a.nickname) == (["a", "old", "older"], "Nick")
+    assert [tuple(x) for x in b.calls] == [("bash", '{"n":1}', " out ", "p", "Ann")] and [tuple(x)[1:] for x in c.calls] == [(None,) * 4] * 2
+    assert {r.session: r.content for r in views.searchable(messages).collect()} == {"s": 'a\n\nold\n\nolder\n\n{"n":1}\n\nout\n\np', "t": ""}
+
+
+def test_paths(spark):
+    from tidemark.functions import text
+    from tidemark.operators import filters
+
+    told = {"/a/../b": "/b", "a//b/./c": "/w/a/b/c", "..": "/", "../..": "/", "~": "/home/u", "~/x/..": "/home/u", "~x": "/w/~x", "/": "/", "//x": "/x", " /a ": "/a", "/a/": "/a", ".": "/w"}
+    rows = spark.createDataFrame([(p,) for p in (*told, "", "  ", None)], "p string")
+    assert {r.p: r.n for r in rows.select("p", text.normal_path(F.col("p"), "/w", "/home/u").alias("n")).collect()} == told | {"": None, "  ": None, None: None}
+    assert {p: filters.scope_path(p, "/w", "/home/u") for p in told} == told
+    assert filters.parse_query("x path:../y", "/w/z").path == "/w/y" and filters.parse_uri("agents://w/./p1/../p2?q=a").path == "/w/p2"
+    tools = spark.createDataFrame([("exec_command",), ("Shell",), ("other",)], "t string")
+    assert [r[0] for r in tools.select(text.tool_title(F.col("t"), "kimi")).collect()] == ["exec_command", "bash", "other"]

@@ -62,6 +62,35 @@ def title(*candidates: Column, fallback: str = "Untitled Session") -> Column:
     return F.coalesce(*tidy, F.lit(fallback))
 
 
+# fixed values: short titles of tools by layout
+TOOL_TITLES = {
+    "codex": {"exec_command": "bash", "apply_patch": "patch", "patch": "patch", "subagent": "subagent"},
+    "kimi": {"ReadFile": "read", "Glob": "glob", "StrReplaceFile": "edit", "Grep": "grep", "WriteFile": "write", "Shell": "bash"},
+    "pi": {"bash": "bash", "edit": "edit", "grep": "grep", "read": "read", "write": "write"},
+}
+
+
+def tool_title(tool: Column, layout: str) -> Column:
+    """Short title of a tool in a layout; others are called by their name."""
+    known = TOOL_TITLES.get(layout, {})
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[tool], tool) if known else tool
+
+
+def normal_path(path: Column, base: str = "/", home: str | None = None) -> Column:
+    """An absolute path without ``.``, ``..`` and repeated separators; null for a blank one.
+
+    A relative path is below ``base``; ``~`` at the beginning is ``home``.  Links
+    are not followed: an expression cannot ask the file system."""
+    given = F.trim(path)
+    if home is not None:
+        given = F.when((given == "~") | given.startswith("~/"), F.concat(F.lit(home), F.substring(given, 2, 1 << 30))).otherwise(given)
+    whole = F.when(given.startswith("/"), given).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), given))
+    # a fold over the segments with a stack
+    step = lambda stack, x: F.when(x.isin("", "."), stack).when(x == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(x)))
+    kept = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return F.when(given != "", F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
 def basename(path: Column) -> Column:
     return F.nullif(F.element_at(F.split(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]"), -1), F.lit(""))
 

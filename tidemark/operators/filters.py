@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
 from datetime import date, timedelta
 from urllib.parse import parse_qsl, unquote, urlsplit
@@ -43,6 +44,18 @@ def parse_limit(raw: str) -> int:
     return n
 
 
+def scope_path(raw: str, cwd: str = "/", home: str | None = None) -> str:
+    """A query's path as ``text.normal_path`` makes one of a column; the caller's folder and home are parameters."""
+    given = raw.strip()
+    if not given:
+        raise ValueError("empty path")
+    if home is not None and (given == "~" or given.startswith("~/")):
+        given = home + given[1:]
+    whole = posixpath.normpath(posixpath.join(cwd, given))
+    # two slashes at the beginning mean one
+    return "/" + whole.lstrip("/")
+
+
 def parse_uri(uri: str, cwd: str = "/") -> QuerySpec:
     """``agents://<path>?q=&providers=&roles=&limit=``"""
     parts = urlsplit(uri)
@@ -50,7 +63,7 @@ def parse_uri(uri: str, cwd: str = "/") -> QuerySpec:
         raise ValueError("not a query URI")
     raw = unquote(parts.netloc + parts.path)
     given = dict(parse_qsl(parts.query))
-    path = None if not raw else cwd if raw == "." else raw if raw.startswith("/") else f"{cwd.rstrip('/')}/{raw}"
+    path = scope_path(raw, cwd) if raw else None
     return QuerySpec(" ".join(given.get("q", "").split()), parse_providers(given["providers"]) if "providers" in given else None, _names(given["roles"]) if "roles" in given else None, path, parse_limit(given["limit"]) if "limit" in given else None)
 
 
@@ -76,7 +89,7 @@ def parse_query(raw: str, cwd: str = "/") -> QuerySpec:
             words.append(token)
     if given:
         path = given.get("path")
-        place = None if path is None else cwd if path == "." else path if path.startswith("/") else f"{cwd.rstrip('/')}/{path}"
+        place = None if path is None else scope_path(path, cwd)
         return QuerySpec(" ".join(words), parse_providers(given["provider"]) if "provider" in given else None, _names(given["role"]) if "role" in given else None, place, parse_limit(given["limit"]) if "limit" in given else None)
     scope, colon, rest = text.partition(":")
     names = _names(scope)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.text import distinct_folded
 
@@ -18,10 +19,32 @@ def part_texts(parts: Column) -> Column:
     return F.filter(F.transform(told, lambda p: F.trim(p["text"])), lambda t: t != "")
 
 
-def tool_calls(parts: Column, listed: bool = False) -> Column:
-    """(tool, arguments, output) of tool parts; ``listed`` outputs are texts to be joined."""
-    output = lambda p: F.array_join(p["output"], "\n\n") if listed else p["output"]
-    return F.transform(F.filter(parts, lambda p: p["kind"] == "tool"), lambda p: F.struct(p["tool"].alias("tool"), p["arguments"].alias("arguments"), output(p).alias("output")))
+def _state(part: Column, name: str) -> Column:
+    """A value of a part's ``state`` (JSON text) as text."""
+    return F.try_variant_get(F.try_parse_json(part["state"]), f"$.{name}", "string")
+
+
+def tool_calls(parts: Column, fields: StructType) -> Column:
+    """(tool, arguments, output) of tool parts, and (prompt, nickname) where the layout has them.
+
+    Parts have ``arguments`` and ``output`` or ``outputs`` (a text, or texts to be
+    joined), or a ``state`` that holds arguments, output and prompt; a state that
+    is no object holds nothing.  Values that are no text are JSON."""
+    names = set(fields.fieldNames())
+
+    def of(p: Column, *found: str) -> Column:
+        for name in found:
+            if name in names:
+                return F.array_join(p[name], "\n\n") if fields[name].dataType.typeName() == "array" else p[name].cast("string")
+        return _state(p, found[0]) if "state" in names else F.lit(None).cast("string")
+
+    more = ["prompt", "nickname"] if names & {"prompt", "nickname", "state"} else []
+
+    def call(p: Column) -> Column:
+        told = [p["tool"].alias("tool"), of(p, "arguments").alias("arguments"), of(p, "output", "outputs").alias("output")]
+        return F.struct(*told, *[(F.trim(of(p, x)) if x in names or x == "prompt" else F.lit(None).cast("string")).alias(x) for x in more])
+
+    return F.transform(F.filter(parts, lambda p: p["kind"] == "tool"), call)
 
 
 def subagent_calls(calls: Column) -> Column:
@@ -39,15 +62,32 @@ def legacy_texts(content: Column) -> Column:
 
 
 def transcript(messages: DataFrame) -> DataFrame:
-    """(session, seq, role, texts, calls) of assembled messages; a role that is missing reads ``unknown``."""
-    listed = messages.schema["parts"].dataType.elementType["output"].dataType.typeName() == "array"
-    return messages.select("session", "seq", F.lower(F.coalesce("role", F.lit("unknown"))).alias("role"), part_texts(F.col("parts")).alias("texts"), tool_calls(F.col("parts"), listed).alias("calls"))
+    """(session, seq, role, texts, calls) of assembled messages; a role that is missing reads ``unknown``.
+
+    Where messages have ``content``, the form older than parts, its texts come
+    after those of the parts; where they have ``nickname``, so does the view."""
+    fields = messages.schema["parts"].dataType.elementType
+    texts = part_texts(F.col("parts"))
+    if "content" in messages.columns:
+        texts = F.concat(texts, F.coalesce(legacy_texts(F.col("content")), F.array().cast("array<string>")))
+    more = [F.trim("nickname").alias("nickname")] if "nickname" in messages.columns else []
+    return messages.select("session", "seq", F.lower(F.coalesce("role", F.lit("unknown"))).alias("role"), texts.alias("texts"), tool_calls(F.col("parts"), fields).alias("calls"), *more)
 
 
 def spoken(view: DataFrame) -> DataFrame:
-    """(session, seq, role, text) of a transcript: texts, then arguments and output of each call."""
-    of_calls = F.flatten(F.transform("calls", lambda c: F.filter(F.array(c["arguments"], c["output"]), lambda t: t.isNotNull())))
-    return view.select("session", "seq", "role", F.array_join(F.concat("texts", of_calls), "\n\n").alias("text"))
+    """(session, seq, role, text) of a transcript: texts, then arguments, output and prompt of each call, trimmed, without blank ones."""
+    names = [x for x in view.schema["calls"].dataType.elementType.fieldNames() if x in ("arguments", "output", "prompt")]
+    of_calls = F.flatten(F.transform("calls", lambda c: F.array(*[c[x] for x in names])))
+    told = F.filter(F.transform(F.concat("texts", of_calls), lambda t: F.trim(t)), lambda t: t != "")
+    return view.select("session", "seq", "role", F.array_join(told, "\n\n").alias("text"))
+
+
+def searchable(messages: DataFrame) -> DataFrame:
+    """(session, content) of assembled messages: what a search finds in a session, tools' arguments, outputs and prompts as well.
+
+    A session without anything to say has empty content."""
+    said = spoken(transcript(messages))
+    return said.select("session").distinct().join(corpus(said, "session"), "session", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
 def corpus(messages: DataFrame, *key: str) -> DataFrame:

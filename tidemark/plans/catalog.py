@@ -659,6 +659,20 @@ def transcript_spoken(spark, d):
     return views.spoken(views.transcript(messages))
 
 
+# each part of a path in turn; what a ".." takes off is what stands before it
+@_query("""
+WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM pages),
+g AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN path || '/../x//./y' WHEN 1 THEN 'rel' || path || '/..' WHEN 2 THEN '~/../..' || path ELSE ' ' || path || '/../../../../..//z ' END AS raw FROM p),
+w AS (SELECT page_id, CASE WHEN trim(raw) LIKE '~/%' THEN '/home/u' || substring(trim(raw), 2) WHEN trim(raw) LIKE '/%' THEN trim(raw) ELSE '/w/' || trim(raw) END AS whole FROM g),
+f AS (SELECT page_id, string_split(whole, '/') AS parts, 1 AS i, []::VARCHAR[] AS stack FROM w
+  UNION ALL SELECT page_id, parts, i + 1, CASE WHEN parts[i] IN ('', '.') THEN stack WHEN parts[i] = '..' THEN stack[:-2] ELSE list_append(stack, parts[i]) END FROM f WHERE i <= len(parts))
+SELECT page_id, '/' || array_to_string(stack, '/') AS path FROM f WHERE i > len(parts)""")
+def path_normal(spark, d):
+    at, n = _path(), F.col("page_id") % 4
+    raw = F.when(n == 0, F.concat(at, F.lit("/../x//./y"))).when(n == 1, F.concat(F.lit("rel"), at, F.lit("/.."))).when(n == 2, F.concat(F.lit("~/../.."), at)).otherwise(F.concat(F.lit(" "), at, F.lit("/../../../../..//z ")))
+    return _t(spark, d, "pages").select("page_id", text.normal_path(raw, "/w", "/home/u").alias("path"))
+
+
 @_query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN lang WHEN 2 THEN '' ELSE '1' END AS targets FROM documents WHERE lang IS NOT NULL")
 def json_or_list(spark, d):
     k = F.col("doc_id") % 4

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
+from tidemark.operators import views
 from tidemark.operators.scratch import place
 from tidemark.plans.catalog import ORACLES, QUERIES, _query, _t
 from tidemark.sources import jsonl, sessions, sinks, sqlite, stores, transcripts
@@ -207,7 +209,7 @@ create table part(id text primary key, message_id text, time_created integer, da
 create table cursorDiskKV(key text primary key, value text);"""
 
 
-def _databases(rows: DataFrame, tag: str) -> str:
+def _databases(rows: DataFrame, tag: str, by: Column | None = None) -> str:
     """Rows (name, cells) as SQLite files, one a task, in the shared folder; gives their paths as a comma list."""
     root = place(rows.sparkSession, tag)
 
@@ -230,7 +232,7 @@ def _databases(rows: DataFrame, tag: str) -> str:
                     out.write(piece)
         yield pd.DataFrame({"file": [goal.rsplit("/", 1)[1]]})
 
-    files = rows.repartition(4).mapInPandas(write, "file string").collect()
+    files = (rows.repartition(4) if by is None else rows.repartition(4, by)).mapInPandas(write, "file string").collect()
     return ",".join(f"{root}/{f.file}" for f in files)
 
 
@@ -275,3 +277,78 @@ SELECT CASE WHEN bool_or(turn = 1) THEN 'r' || conv_id ELSE conv_id::VARCHAR END
 count(*) FILTER (role IN ('user', 'assistant')) AS message_count FROM conversations GROUP BY conv_id""")
 def cursor_heads(spark, d):
     return _times(sessions.keyed_sessions(sqlite.load(spark, _cursor(spark, d), "cursorDiskKV"))).select("session_id", "title", "created_ms", "message_count")
+
+
+# --- layouts with tools --------------------------------------------------------------------------
+
+
+def _opencode_tools(spark: SparkSession, sf_dir: str) -> str:
+    """A message a turn with its text and, for assistants, a call whose state has arguments, output and prompt."""
+    turns = _turns(spark, sf_dir)
+    each, key = turns.select("conv_id").distinct(), F.concat("conv_id", F.lit("-"), "turn")
+    made, n = (START + F.col("conv_id") * 60 + F.col("turn")) * 1000, F.col("turn")
+    state = _named(status=F.lit("completed"), arguments=_named(n=n), output=F.when(n % 3 != 0, F.concat(F.lit("out "), n)), prompt=F.when(n % 2 == 1, F.concat(F.lit(" ask "), n)))
+    text = _row(turns, "part", F.concat(key, F.lit("a")), key, made, F.to_json(_named(type=F.lit("text"), text=F.col("text"))))
+    tool = _row(turns.filter("role = 'assistant'"), "part", F.concat(key, F.lit("b")), key, made + 1, F.to_json(_named(type=F.lit("tool"), tool=F.lit("bash"), callID=key, state=state)))
+    heads = _row(each, "session", F.concat(F.lit("o"), "conv_id"), F.lit("t"), (START + F.col("conv_id")) * 1000, (START + F.col("conv_id") + 9) * 1000, _folder())
+    return _databases(heads.unionByName(_row(turns, "message", key, F.concat(F.lit("o"), "conv_id"), made, F.to_json(_named(role=F.col("role"))))).unionByName(text).unionByName(tool), "opencode")
+
+
+_TOOLS = """concat_ws(chr(10) || chr(10), nullif(trim(text), ''), CASE WHEN role = 'assistant' THEN '{"n":' || turn || '}' END, CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN 'out ' || turn END, CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN 'ask ' || turn END)"""
+
+
+@_query(f"""WITH t AS (SELECT conv_id, turn, {_TOOLS} AS said FROM conversations)
+SELECT conv_id, coalesce(string_agg(said, chr(10) || chr(10) ORDER BY turn) FILTER (said <> ''), '') AS content FROM t GROUP BY conv_id""")
+def opencode_corpus(spark, d):
+    """What a search sees of a session with tools: arguments, outputs and prompts as well."""
+    path = _opencode_tools(spark, d)
+    found = views.searchable(stores.relational_messages(sqlite.load(spark, path, "message"), sqlite.load(spark, path, "part")))
+    return found.select(F.substring("session", 2, 20).cast("long").alias("conv_id"), "content")
+
+
+def _codex_tools(spark: SparkSession, sf_dir: str) -> str:
+    """Users' texts, and for each assistant's turn its text, a call and the call's output."""
+    root, turns = place(spark, "codex"), _turns(spark, sf_dir)
+    mine, call = F.col("role") == "assistant", F.concat(F.lit("c"), "turn")
+    item = lambda rows, n, payload: _line(rows, n, _named(type=F.lit("response_item"), timestamp=_at(), payload=payload))
+    part = _named(type=F.when(mine, "output_text").otherwise("input_text"), text=F.col("text"))
+    said = item(turns.filter("role in ('user', 'assistant')"), F.col("turn") * 3, _named(type=F.lit("message"), role=F.col("role"), content=F.array(part)))
+    asked = item(turns.filter(mine), F.col("turn") * 3 + 1, _named(type=F.lit("function_call"), name=F.when(F.col("turn") % 2 == 0, "spawn_agent").otherwise("exec_command"), call_id=call, arguments=F.to_json(_named(message=F.concat(F.lit("do "), "turn")))))
+    told = item(turns.filter(mine), F.col("turn") * 3 + 2, _named(type=F.lit("function_call_output"), call_id=call, output=F.to_json(_named(agent_id=F.concat(F.lit("a"), "turn"), nickname=F.concat(F.lit("nick"), "turn")))))
+    _write(said.unionByName(asked).unionByName(told), root, F.concat("conv_id", F.lit(".jsonl")))
+    return root
+
+
+@_query("""SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'subagent' ELSE 'exec_command' END AS tool, '{"message":"do ' || turn || '"}' AS arguments, '{"agent_id":"a' || turn || '","nickname":"nick' || turn || '"}' AS output,
+CASE WHEN turn % 2 = 0 THEN 'do ' || turn END AS prompt, CASE WHEN turn % 2 = 0 THEN 'nick' || turn END AS nickname, CASE WHEN turn % 2 = 0 THEN 'subagent' ELSE 'bash' END AS title FROM conversations WHERE role = 'assistant'""")
+def codex_calls(spark, d):
+    """Calls with outputs found for them, subagents with what they were asked and are called."""
+    view = views.transcript(transcripts.codex_enriched(transcripts.codex_messages(jsonl.records(spark, _codex_tools(spark, d)))))
+    calls = view.select(F.regexp_extract("session", r"(\d+)\.jsonl$", 1).cast("long").alias("conv_id"), F.explode("calls").alias("c")).select("conv_id", "c.*")
+    return calls.withColumn("title", text.tool_title(F.col("tool"), "codex"))
+
+
+def _cursor_tools(spark: SparkSession, sf_dir: str) -> str:
+    """Bubbles with times, token counts of three kinds, a call on each assistant's turn."""
+    turns = _turns(spark, sf_dir).filter("role in ('user', 'assistant')")
+    mine, n = F.col("role") == "assistant", F.col("turn")
+    composer = _row(turns.select("conv_id").distinct(), "cursorDiskKV", F.concat(F.lit("composerData:"), "conv_id"), F.to_json(_named(createdAt=(START + F.col("conv_id")) * 1000)))
+    tool = F.when(mine, _named(name=F.lit("read"), toolCallId=F.concat(F.lit("t"), n), params=F.to_json(_named(n=n)), result=F.concat(F.lit("r "), n), status=F.lit("ok")))
+    bubble = _named(
+        type=F.when(mine, 2).otherwise(1), text=F.concat(F.lit("x"), "text"), timingInfo=_named(clientRpcSendTime=(START + F.col("conv_id") * 60 + n) * 1000), toolFormerData=tool, tokenCount=F.when(n % 3 == 0, _named(inputTokens=n + 1, outputTokens=F.lit(2))),
+        usage=F.when(n % 3 == 1, _named(input_tokens=n, output_tokens=F.lit(3))), contextWindowStatusAtCreation=_named(tokensUsed=F.lit(100)))
+    return _databases(composer.unionByName(_row(turns, "cursorDiskKV", F.concat(F.lit("bubbleId:"), "conv_id", F.lit(":"), n), F.to_json(bubble))), "cursor", F.split(F.col("cells")[0], ":")[1])
+
+
+@_query("""WITH c AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS seq, CASE WHEN k = 1 THEN 'tool' ELSE role END AS role, CASE WHEN k = 0 THEN trim('x' || text) ELSE '{"n":' || turn || '}' || chr(10) || chr(10) || 'r ' || turn END AS text
+FROM c, range(2) t(k) WHERE k = 0 AND text IS NOT NULL OR k = 1 AND role = 'assistant'""")
+def cursor_calls(spark, d):
+    """Messages of the cursor layout with their tools."""
+    view = views.spoken(views.transcript(stores.keyed_messages(sqlite.load(spark, _cursor_tools(spark, d), "cursorDiskKV"))))
+    return view.select(F.col("session").cast("long").alias("conv_id"), "seq", "role", "text")
+
+
+@_query("""SELECT conv_id, sum(CASE turn % 3 WHEN 0 THEN turn + 1 WHEN 1 THEN turn ELSE 100 END)::BIGINT AS input_tokens, sum(CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END)::BIGINT AS output_tokens FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+def cursor_tokens(spark, d):
+    return stores.keyed_tokens(sqlite.load(spark, _cursor_tools(spark, d), "cursorDiskKV")).withColumn("conv_id", F.col("session").cast("long")).drop("session")

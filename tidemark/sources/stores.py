@@ -92,6 +92,20 @@ def _bubbles(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("model", F.when(F.col("intact"), F.coalesce("model", active)))
 
 
+def keyed_tokens(pairs: DataFrame) -> DataFrame:
+    """(session, input_tokens, output_tokens) of the cursor layout, over all bubbles.
+
+    A bubble counts by the first it has of a token count, a usage, and the size
+    of its context; numbers that are missing or of another kind count nothing."""
+    v = F.col("v")
+    rows = pairs.filter(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("session"), F.try_parse_json("value").alias("v"))
+    has = lambda path: F.coalesce(F.schema_of_variant(_get(v, path, "variant")).startswith("OBJECT"), F.lit(False))
+    number = lambda path: F.coalesce(_get(v, path, "bigint"), F.lit(0))
+    given = F.when(has("$.tokenCount"), number("$.tokenCount.inputTokens")).when(has("$.usage"), number("$.usage.input_tokens")).otherwise(number("$.contextWindowStatusAtCreation.tokensUsed"))
+    made = F.when(has("$.tokenCount"), number("$.tokenCount.outputTokens")).when(has("$.usage"), number("$.usage.output_tokens")).otherwise(0)
+    return rows.groupBy("session").agg(F.sum(given).alias("input_tokens"), F.sum(made).alias("output_tokens"))
+
+
 def keyed_messages(pairs: DataFrame) -> DataFrame:
     """Messages of the cursor layout in order of time.
 
@@ -112,9 +126,11 @@ def keyed_messages(pairs: DataFrame) -> DataFrame:
     lone = (F.col("p.kind") == "tool") & F.col("host").isNull()
     own = own.withColumns({"home": F.when((F.col("p.kind") == "tool") & ~lone, F.col("host")).otherwise(F.col("row")), "place": F.when(lone, 1).otherwise(0)})
     is_tool, is_plan = F.col("p.kind") == "tool", F.col("p.kind") == "plan"
+    asks = F.try_parse_json("arguments")
+    asked = F.coalesce(_filled(asks, "$.prompt"), _filled(asks, "$.description"), "arguments")
     detail = F.struct(
         "p.row", "p.rank", "p.kind", "p.text", F.when(is_tool, F.col("tool")).alias("tool"), F.when(is_tool, F.col("call_id")).alias("call_id"), F.when(is_tool, F.col("title")).alias("title"), F.when(is_tool, F.col("arguments")).alias("arguments"),
-        F.when(is_tool & F.col("child").isNull(), F.col("result")).when(is_plan, F.col("refused")).alias("output"), F.when(is_tool, F.col("status")).when(is_plan, F.when(F.col("accepted"), "success").otherwise("fail")).alias("status"), F.when(is_tool, F.col("child")).alias("subagent"), "at")
+        F.when(is_tool & F.col("child").isNull(), F.col("result")).when(is_plan, F.col("refused")).alias("output"), F.when(is_tool, F.col("status")).when(is_plan, F.when(F.col("accepted"), "success").otherwise("fail")).alias("status"), F.when(is_tool, F.col("child")).alias("subagent"), F.when(is_tool & (F.col("tool") == "subagent"), asked).alias("prompt"), "at")
     first = lambda c: F.min_by(c, F.struct("p.row", "p.rank"))
     packed = own.groupBy("session", "home", "place").agg(
         first(F.when(F.col("place") == 1, "tool").when(is_plan, "assistant").otherwise(F.col("role"))).alias("role"), F.when(F.max("place") == 1, "tool").alias("mode"), first(F.when(F.col("place") == 1, F.concat("bubble", F.lit(":tool"))).otherwise(F.col("bubble"))).alias("message_id"),

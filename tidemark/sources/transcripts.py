@@ -231,6 +231,12 @@ def _filled(value: Column, path: str) -> Column:
     return F.nullif(F.trim(_get(value, path)), F.lit(""))
 
 
+def _prompt(part: Column) -> Column:
+    """What a subagent is asked once it has answered: the arguments' message, else all of them."""
+    asked = F.coalesce(F.nullif(F.trim(F.get_json_object(part["arguments"], "$.message")), F.lit("")), part["arguments"])
+    return F.when((part["tool"] == "subagent") & (F.size(part["outputs"]) > 0), asked)
+
+
 def codex_enriched(messages: DataFrame) -> DataFrame:
     """Codex messages whose subagent calls carry the subagent and its nickname, as their outputs give them.
 
@@ -239,7 +245,7 @@ def codex_enriched(messages: DataFrame) -> DataFrame:
     """
     told = lambda p, name: F.try_element_at(F.filter(F.transform(F.coalesce(p["outputs"], F.array().cast("array<string>")), lambda o: F.nullif(F.trim(F.get_json_object(o, f"$.{name}")), F.lit(""))), lambda x: x.isNotNull()), F.lit(-1))
     called = lambda p, name: F.when(p["tool"] == "subagent", told(p, name))
-    rows = messages.withColumn("parts", F.transform("parts", lambda p: p.withField("subagent", called(p, "agent_id")).withField("nickname", called(p, "nickname"))))
+    rows = messages.withColumn("parts", F.transform("parts", lambda p: p.withField("subagent", called(p, "agent_id")).withField("nickname", called(p, "nickname")).withField("prompt", _prompt(p))))
     names = rows.select("session", "seq", F.explode("parts").alias("p")).filter("p.subagent is not null and p.nickname is not null")
     names = names.groupBy("session", F.col("p.subagent").alias("__agent")).agg(F.max_by("p.nickname", "seq").alias("__known"))
     first = F.col("parts")[0]
@@ -248,7 +254,7 @@ def codex_enriched(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("__note", F.when(own, note)).withColumns({"__agent": _filled(F.col("__note"), "$.agent_id"), "__said": _filled(F.col("__note"), "$.status.completed"), "__nick": _filled(F.col("__note"), "$.nickname")})
     rows = rows.join(names, ["session", "__agent"], "left")
     is_note = F.col("__agent").isNotNull() & F.col("__said").isNotNull()
-    shown = F.array(first.withField("text", F.col("__said")).withField("subagent", F.col("__agent")).withField("nickname", F.coalesce("__nick", "__known")))
+    shown = F.array(first.withField("text", F.col("__said")).withField("subagent", F.col("__agent")).withField("nickname", F.coalesce("__nick", "__known")).withField("prompt", F.lit(None).cast("string")))
     return rows.select(*[F.when(is_note, "assistant").otherwise(F.col("role")).alias("role") if c == "role" else F.when(is_note, shown).otherwise(F.col("parts")).alias("parts") if c == "parts" else F.col(c) for c in messages.columns])
 
 
