@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, text
-from tidemark.operators import assemble, collect, evaluate, filters, index, postings, relations, scratch, search, stats, views
+from tidemark.operators import assemble, collect, evaluate, filters, index, postings, reduction, relations, scratch, search, stats, views
 from tidemark.operators.search import TextQuery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,16 +635,29 @@ def session_head(spark, d):
     return _t(spark, d, "pages").select("page_id", head_lines({"URI": F.concat(F.lit("page://"), F.col("page_id")), "Title": F.col("url"), "Model": F.lit(None)}).alias("head"))
 
 
-@_query("""
+_REDUCED = """
 WITH i AS (SELECT 'topics' AS field, conv_id, turn, trim(regexp_replace(substring(text, 1, 12), '\\s+', ' ', 'g')) AS item FROM conversations
   UNION ALL SELECT 'notes', conv_id, turn, role FROM conversations),
 f AS (SELECT field, lower(item) AS folded, arg_min(item, struct_pack(a := conv_id, b := turn)) AS item, min(struct_pack(a := conv_id, b := turn)) AS first FROM i WHERE item <> '' GROUP BY ALL)
-SELECT field, row_number() OVER (PARTITION BY field ORDER BY first) AS n, item FROM f QUALIFY n <= 12""")
+SELECT field, row_number() OVER (PARTITION BY field ORDER BY first) AS n, item FROM f QUALIFY n <= 12"""
+
+
+@_query(_REDUCED)
 def summary_reduce(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", "turn", F.array(F.substring("text", 1, 12)).alias("topics"), F.array("role").alias("notes"))
     return collect.reduce_summaries(rows, ["conv_id", "turn"], ("topics", "notes"))
 
 
+@_query(_REDUCED)
+def reduction_tree(spark, d):
+    """The same summary level by level, eight neighbours at a time."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.array(F.substring("text", 1, 12)).alias("topics"), F.array("role").alias("notes"))
+    fields = ("topics", "notes")
+    whole = reduction.reduce_tree(rows, ["conv_id", "turn"], fields)
+    piece = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("items")) for name in fields])).alias("f")
+    return whole.select(piece).select("f.field", F.posexplode("f.items").alias("at", "item")).select("field", (F.col("at") + 1).alias("n"), "item")
+
+
 # --- views and reports --------------------------------------------------------------------------
 
 
