@@ -54,3 +54,27 @@ def test_keys_and_values(spark, tmp_path):
         ("5", "assistant", None, "m", [("plan", "do", None, "success")]),
     ]
     assert json.loads(got[2].parts[1].arguments) == {"p": 1} and json.loads(got[3].parts[0].arguments) == {"_raw": "plain"}
+
+
+def test_keyword_in_the_store(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.text import has_literal
+    from tidemark.sources import sqlite
+
+    path = tmp_path / "o.db"
+    db = sqlite3.connect(path)
+    db.executescript("create table session(id text primary key, title text, time_created int); create table message(id text primary key, session_id text, time_created int, data text); create table part(id text primary key, message_id text, time_created int, data text);")
+    said = ['a "quoted" \\ back', "straße ΟΔΟΣ", "İstanbul", "line\nfeed", "Kelvin K ſ", None, "plain %_ text"]
+    for i, text in enumerate(said):
+        db.execute("insert into session values (?, ?, 1)", (f"s{i}", None if i % 2 else f"Title {i}"))
+        db.execute("insert into message values (?, ?, 1, '{}')", (f"m{i}", f"s{i}"))
+        db.execute("insert into part values (?, ?, 1, ?)", (f"p{i}", f"m{i}", json.dumps({"type": "text", "text": text}) if text else "{bad"))
+    db.commit()
+    parts = sqlite.load(spark, str(path), "part")
+    for literal in ('"QUOTED" \\', "STRAßE", "οδος", "istan", "e\nF", "kelvin k S", "%_", "title 2", "nothing"):
+        want = {f"s{r.id[1:]}" for r in parts.filter(has_literal(F.get_json_object("data", "$.text"), literal)).collect()} | ({"s2"} if literal == "title 2" else set())
+        assert {r.session_id for r in sqlite.keyword_sessions(spark, str(path), literal).collect()} == want, literal
+    # what the store was asked before leaves nothing behind
+    assert parts.count() == len(said) and sqlite.load(spark, str(path), "part").count() == len(said)
+    assert sqlite.load(spark, str(path), "part", ("data:$.text", "=", "İstanbul")).count() == 1

@@ -282,6 +282,12 @@ def cursor_heads(spark, d):
 # --- layouts with tools --------------------------------------------------------------------------
 
 
+@_query("SELECT DISTINCT 'o' || conv_id AS session_id FROM conversations WHERE contains(lower(text), 'the') OR conv_id % 2 = 0 AND contains('open ' || conv_id, 'the')")
+def store_keyword(spark, d):
+    """A keyword tested by the store."""
+    return sqlite.keyword_sessions(spark, _opencode(spark, d), "tHe")
+
+
 def _opencode_tools(spark: SparkSession, sf_dir: str) -> str:
     """A message a turn with its text and, for assistants, a call whose state has arguments, output and prompt."""
     turns = _turns(spark, sf_dir)

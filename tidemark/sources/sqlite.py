@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StructType
 
@@ -29,22 +30,32 @@ SCHEMAS = {
     "part": "id string, message_id string, time_created long, data string",
     "cursorDiskKV": "row long, key string, value string",
 }
-COMPARED = ("=", "<>", ">", ">=", "<", "<=", "in")
+COMPARED = ("=", "<>", ">", ">=", "<", "<=", "in", "has")
 BATCH = 8192
 
 
 def load(spark: SparkSession, path: str, table: str, *where: tuple[str, str, str | int | list]) -> DataFrame:
     """Rows of ``table`` in the databases of a comma list that meet all of ``where``, (column, comparison, value) each.
 
-    A null meets no comparison; ``in`` takes a list.
+    A null meets no comparison; ``in`` takes a list.  ``has`` tests for a literal,
+    case apart.  ``column:$.path`` is the value at a path of a JSON column.
     """
     for name, test, value in where:
-        if name not in {f.name for f in StructType.fromDDL(SCHEMAS[table])} or test not in COMPARED or (test == "in") != isinstance(value, list):
+        if name.partition(":")[0] not in {f.name for f in StructType.fromDDL(SCHEMAS[table])} or test not in COMPARED or (test == "in") != isinstance(value, list):
             raise ValueError(f"no such condition: {name} {test}")
     spark.dataSource.register(SqliteSessions)
     return spark.read.format("sqlite_sessions").option("path", path).option("table", table).option("where", json.dumps(where)).load()
 
 
+def _folded(text: str) -> str:
+    """As ``postings.fold`` does it."""
+    return text.translate({0x130: "i", 0x1E9E: "ß"}).upper().lower().replace("ς", "σ")
+
+
+def _has(text: object, literal: str) -> bool:
+    return isinstance(text, str) and literal in _folded(text)
+
+
 class SqliteSessions(DataSource):
     """``spark.read.format("sqlite_sessions").option("path", file).option("table", "message")``"""
 
@@ -90,6 +101,18 @@ class _Reader(DataSourceReader):
             return f"case when typeof({name}) in ('integer', 'real') then cast({name} as integer) end"
         return f"cast({name} as text)"
 
+    def _test(self, name: str, test: str, value: str | int | list, there: set[str]) -> tuple[str, list]:
+        """A condition as SQL with its values."""
+        column, _, path = name.partition(":")
+        cell, values = self._value(column, there), []
+        if path:
+            cell, values = f"case when json_valid({cell}) then json_extract({cell}, ?) end", [path]
+        if test == "in":
+            return f"({cell}) in (select value from json_each(?))", [*values, json.dumps(value)]
+        if test == "has":
+            return f"has_literal({cell}, ?)", [*values, _folded(value)]
+        return f"({cell}) {test} ?", [*values, value]
+
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         table, since = self.options.get("table", "session"), int(self.options.get("since_ms", 0))
         if table not in SCHEMAS:
@@ -98,14 +121,27 @@ class _Reader(DataSourceReader):
         kinds = [pa.int64() if isinstance(f.dataType, LongType) else pa.string() for f in self.schema]
         with _local(partition.value) as path, contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
             db.text_factory = lambda raw: raw.decode(errors="replace")
+            db.create_function("has_literal", 2, _has, deterministic=True)
             if not db.execute("select 1 from sqlite_master where name = ?", (table,)).fetchone():
                 return
             there = {r[1] for r in db.execute(f"pragma table_info({table})")}
             # lists go as one JSON value, so their length has no limit
-            tests = [(f"({self._value(name, there)}) {test} " + ("(select value from json_each(?))" if test == "in" else "?"), [json.dumps(value) if test == "in" else value]) for name, test, value in json.loads(self.options.get("where", "[]"))]
+            tests = [self._test(*told, there) for told in json.loads(self.options.get("where", "[]"))]
             if since and "time_created" in there:
                 tests.append(("coalesce(time_created, 0) >= ?", [since]))
             where = f" where {' and '.join(t for t, _ in tests)}" if tests else ""
             found = db.execute(f"select {', '.join(self._value(n, there) for n in names)} from {table}{where}", [v for _, values in tests for v in values])
             while rows := found.fetchmany(BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def keyword_sessions(spark: SparkSession, path: str, literal: str) -> DataFrame:
+    """(session_id) of the opencode layout's sessions that have a literal in their title or in the text of a part.
+
+    SQLite tests for it, so other rows do not leave the store; what comes is
+    tested again as every search tests."""
+    from tidemark.functions.text import has_literal
+
+    titled = load(spark, path, "session", ("title", "has", literal)).filter(has_literal(F.col("title"), literal)).select(F.col("id").alias("session_id"))
+    said = load(spark, path, "part", ("data:$.text", "has", literal)).filter(has_literal(F.get_json_object("data", "$.text"), literal)).select(F.col("message_id").alias("id")).distinct()
+    return titled.unionByName(load(spark, path, "message").select("id", "session_id").join(said, "id").select("session_id")).distinct()
