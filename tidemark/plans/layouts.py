@@ -11,6 +11,7 @@ import sqlite3
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from tidemark.operators import views
 from tidemark.operators.scratch import place
 from tidemark.plans.catalog import ORACLES, QUERIES, _query, _t
 from tidemark.sources import jsonl, sessions, sinks, sqlite, stores, transcripts
+from tidemark.streaming import wire
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -358,3 +360,57 @@ def cursor_calls(spark, d):
 @_query("""SELECT conv_id, sum(CASE turn % 3 WHEN 0 THEN turn + 1 WHEN 1 THEN turn ELSE 100 END)::BIGINT AS input_tokens, sum(CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END)::BIGINT AS output_tokens FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
 def cursor_tokens(spark, d):
     return stores.keyed_tokens(sqlite.load(spark, _cursor_tools(spark, d), "cursorDiskKV")).withColumn("conv_id", F.col("session").cast("long")).drop("session")
+
+
+def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire records (path, line, record): a turn begins with a user's text; an assistant's turn is a text, a call in two pieces and its result."""
+    turns = _turns(spark, sf_dir).filter("role in ('user', 'assistant')")
+    n, call = F.col("turn"), F.concat(F.lit("t"), F.col("turn"))
+    of = lambda rows, k, kind, payload: rows.select("conv_id", (n * 4 + k).alias("n"), F.to_json(_named(timestamp=START + F.col("conv_id") * 60 + n, message=_named(type=F.lit(kind), payload=payload))).alias("record"))
+    mine = turns.filter("role = 'assistant'")
+    pieces = [
+        of(turns.filter("role = 'user'"), 0, "TurnBegin", _named(user_input=F.array(_named(text=F.col("text"))))),
+        of(mine, 0, "ContentPart", _named(type=F.lit("text"), text=F.col("text"))),
+        of(mine, 1, "ToolCall", _named(id=call, function=_named(name=F.lit("Shell"), arguments=F.lit("{")))),
+        of(mine, 2, "ToolCallPart", _named(arguments_part=F.concat(n, F.lit("}")))),
+        of(mine, 3, "ToolResult", _named(tool_call_id=call, return_value=F.concat(F.lit("out "), n))),
+    ]
+    rows = reduce(DataFrame.unionByName, pieces)
+    return rows.select(F.col("conv_id").cast("string").alias("path"), F.col("n").alias("line"), "record")
+
+
+_WIRE = """
+WITH c AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role IN ('user', 'assistant')),
+m AS (SELECT conv_id, g, role, min(turn) AS first, string_agg(concat_ws('|', nullif(CASE WHEN trim(text) <> '' THEN text ELSE '' END, ''), CASE WHEN role = 'assistant' THEN '{' || turn || '}out ' || turn END), '|' ORDER BY turn) AS told FROM c GROUP BY ALL)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n, role, told FROM m WHERE told <> ''"""
+
+
+def _wired(messages: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    told = F.array_join(F.transform("parts", lambda p: F.when(p["kind"] == "tool", F.concat(p["arguments"], F.array_join(p["outputs"], ","))).otherwise(p["text"])), "|")
+    n = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    return messages.select(F.col("session").cast("long").alias("conv_id"), n.alias("n"), "role", told.alias("told"))
+
+
+@_query(_WIRE)
+def kimi_wire(spark, d):
+    return _wired(transcripts.kimi_wire_messages(_wire(spark, d)))
+
+
+@_query(_WIRE)
+def kimi_wire_stream(spark, d):
+    """The same records as a stream: two files, each read by a query that goes on where the one before stopped."""
+    root, rows = place(spark, "wire"), _wire(spark, d)
+    end = rows.select("path").distinct().select("path", F.lit(1 << 40).alias("line"), F.to_json(_named(timestamp=F.lit(1 << 32), message=_named(type=F.lit("TurnBegin"), payload=F.struct(F.lit(1).alias("x"))))).alias("record"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, wire.ROCKSDB)
+    try:
+        for piece in (rows.filter("line % 8 < 4"), rows.filter("line % 8 >= 4"), end):
+            piece.write.mode("append").parquet(f"{root}/in")
+            parts = wire.wire_parts(spark.readStream.schema("path string, line long, record string").parquet(f"{root}/in"), "1000 days")
+            parts.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return _wired(wire.messages(spark.read.schema(wire.PARTS).parquet(f"{root}/out")))
