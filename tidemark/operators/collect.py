@@ -44,9 +44,14 @@ def session_events(messages: DataFrame, session: str, order: str, budget: int =
 
 
 def merge_items(rows: DataFrame, group: str, order: list[str], item: str, limit: int = MOST_ITEMS) -> DataFrame:
-    """Items of each group in order, white space collapsed, distinct by case, at most ``limit``."""
-    packed = rows.withColumn(item, collapse(F.col(item))).filter(F.col(item) != "").groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, item))).alias("__v"))
-    return packed.select(group, distinct_folded(F.transform("__v", lambda x: x[item]), limit).alias("items"))
+    """Items of each group in order, white space collapsed, distinct by case, at most ``limit``.
+
+    Repeats meet before the limit, and a task sends no more than ``limit`` items of a group, so a hot group is never gathered."""
+    plain = rows.select(group, *order, collapse(F.col(item)).alias("__item")).filter("__item <> ''")
+    first = plain.groupBy(group, F.lower("__item").alias("__folded")).agg(F.min(F.struct(*order, "__item")).alias("__first"))
+    ranked = first.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("__first"))).filter(F.col("__n") <= limit)
+    packed = ranked.groupBy(group).agg(F.array_sort(F.collect_list("__first")).alias("__v"))
+    return packed.select(group, F.transform("__v", lambda x: x["__item"]).alias("items"))
 
 
 def tree_levels(n: Column, group: int = GROUP) -> Column:

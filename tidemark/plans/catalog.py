@@ -509,12 +509,31 @@ def event_classify(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", text.event_kind(F.col("role"), F.col("text")).alias("kind")).filter("kind is not null")
 
 
-@_query()
+def _found_paths(x: str) -> str:
+    """SQL: the first six paths of a text, distinct by case, marks at their ends taken off."""
+    pattern, ends = text.PATH.replace("'", "''"), r"^[.,:;)\]}]+|[.,:;)\]}]+$"
+    found = f"list_transform(regexp_extract_all({x}, '{pattern}'), lambda p: regexp_replace(p, '{ends}', '', 'g'))"
+    return f"list_filter({found}, lambda p, i: list_position(list_transform({found}, lambda q: lower(q)), lower(p)) = i)[:6]"
+
+
+@_query(f"SELECT page_id, array_to_string({_found_paths('url')}, '|') AS paths FROM pages")
 def path_extract(spark, d):
     return _t(spark, d, "pages").select("page_id", F.array_join(text.find_paths(F.col("url")), "|").alias("paths"))
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE e AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) <= 280 THEN trim(text) ELSE rtrim(substring(trim(text), 1, 277)) || '...' END AS said FROM conversations
+  WHERE role IN ('user', 'assistant') AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AND NOT (length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 60 AND regexp_matches(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^(hi|hello|thanks|thank you|ok\\b)', 'i'))),
+z AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(said) + 32 + coalesce(list_sum(list_transform({_found_paths("said")}, lambda p: length(p))), 0) AS size FROM e),
+f AS (SELECT conv_id, 0::BIGINT AS n, 0::HUGEINT AS used, 0::BIGINT AS kept FROM z GROUP BY conv_id
+  UNION ALL SELECT f.conv_id, z.n, f.used + CASE WHEN f.kept > 0 AND f.used + z.size > 700 THEN 0 ELSE z.size END, f.kept + CASE WHEN f.kept > 0 AND f.used + z.size > 700 THEN 0 ELSE 1 END FROM f JOIN z ON z.conv_id = f.conv_id AND z.n = f.n + 1)
+SELECT conv_id, max(kept) AS events FROM f GROUP BY conv_id""")
+def collect_admitted(spark, d):
+    """Events within a budget that some sessions pass."""
+    return collect.session_events(_t(spark, d, "conversations"), "conv_id", "turn", 700).groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@_query("""SELECT conv_id, count(*) AS events FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' AND NOT (length(trim(text)) <= 60 AND regexp_matches(trim(text), '^(hi|hello|thanks|thank you|ok\\b)', 'i')) GROUP BY conv_id""")
 def collect_plan(spark, d):
     return collect.session_events(_t(spark, d, "conversations"), "conv_id", "turn").groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"))
 
