@@ -208,7 +208,8 @@ def refresh(spark: SparkSession, root: str, seen: DataFrame, corpus: DataFrame,
     anew.  Repeated keys count once, by the greatest values."""
     old = current(spark, root)
     told = ["signature", "title", "updated_at", "created_at"]
-    seen = seen.groupBy(*KEY).agg(F.max(F.struct(*told)).alias("s")).select(*KEY, "s.*")
+    # numbers and names only; read several times below
+    seen = scratch.settle(seen.groupBy(*KEY).agg(F.max(F.struct(*told)).alias("s")).select(*KEY, "s.*"), "seen")
     state = evict(old.state(), now, days)
     if not old.version:
         at = seen.schema["updated_at"].dataType

@@ -14,8 +14,8 @@ UNSUPPORTED = {"opencode": ("raw",), "zcode": ("raw",), "cursor": ("raw",)}
 
 
 def part_texts(parts: Column) -> Column:
-    """Texts of text, reasoning and plan parts, trimmed, without blanks, in order."""
-    told = F.filter(parts, lambda p: p["kind"].isin("text", "reasoning", "plan"))
+    """Texts of text, reasoning and plan parts, and of what a user says in a turn, trimmed, without blanks, in order."""
+    told = F.filter(parts, lambda p: p["kind"].isin("text", "reasoning", "plan", "turn"))
     return F.filter(F.transform(told, lambda p: F.trim(p["text"])), lambda t: t != "")
 
 
