@@ -53,12 +53,13 @@ def test_discovery_to_search(spark, home):
     got = {r.provider: r for r in listing.sessions.collect()}
     assert {p: (r.session_id, r.title) for p, r in got.items()} == {"claudecode": ("c1", "alpha deploy"), "codex": ("x1", "b"), "pi": ("p1", "c"), "kimi": ("k1", "T"), "opencode": ("o1", "Open"), "cursor": ("r1", "Cur")}
     assert listing.failed == {} and got["pi"].provider_order == 6
-    texts = {r.provider: r.content for r in providers.texts(spark, listing, roots).collect()}
-    assert texts["codex"] == "beta deploy" and texts["cursor"] == "zeta deploy" and "hidden output" in texts["claudecode"]
     folder = f"file://{home}/index"
     kept = providers.reindex(spark, listing, roots, folder, F.current_timestamp())
+    texts = {r.provider: r.content for r in kept.corpus().collect()}
+    assert texts["codex"] == "beta deploy" and texts["cursor"] == "zeta deploy" and "hidden output" in texts["claudecode"]
     assert {r.provider for r in postings.search(kept, TextQuery.terms("deploy")).collect()} == {"claudecode", "codex", "kimi", "opencode", "cursor"}
-    # only what changed is written again
+    # only what changed is written again; what this scan does not see stays
+    roots = {"pi": roots["pi"]}
     written(home / ".pi" / "agent" / "sessions" / "p1.jsonl", {"type": "session", "id": "p1", "cwd": "/w/c", "timestamp": "2026-01-04T00:00:00Z"}, {"type": "message", "id": "e", "timestamp": "2026-02-04T00:00:00Z", "message": {"role": "user", "content": [{"type": "text", "text": "deploy at last"}]}})
     again = providers.reindex(spark, providers.list_sessions(spark, roots), roots, folder, F.current_timestamp())
     assert again.n == 6 and again.table("docs").filter(F.col("segment") == again.segments[-1]).count() == 1

@@ -175,6 +175,8 @@ def _next_version(old: Snapshot) -> int:
 def _write_segment(docs: DataFrame, root: str, segment: str, parts: int) -> DataFrame:
     """Texts and both kinds of postings of a segment, each sorted; the texts read back."""
     docs = docs.withColumn("segment", F.lit(segment)).select("provider", "session_id", "segment", "title", "content", *[_size(w).alias(n) for n, w in (("grams", False), ("words", True))])
+    # written first: dealing by ranges looks at its input twice, and texts may be dear to make
+    docs = scratch.settle(docs, "texts")
     docs.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY).write.parquet(f"{root}/docs/{segment}")
     docs = docs.sparkSession.read.schema(DOCS).parquet(f"{root}/docs/{segment}")
     for name, words in (("grams", False), ("words", True)):

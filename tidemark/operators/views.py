@@ -86,8 +86,8 @@ def searchable(messages: DataFrame) -> DataFrame:
     """(session, content) of assembled messages: what a search finds in a session, tools' arguments, outputs and prompts as well.
 
     A session without anything to say has empty content."""
-    said = spoken(transcript(messages))
-    return said.select("session").distinct().join(corpus(said, "session"), "session", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    said = spoken(transcript(messages)).groupBy("session").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("seq", "text")))).alias("m"))
+    return said.select("session", F.array_join(F.transform("m", lambda x: x["text"]), "\n\n").alias("content"))
 
 
 def corpus(messages: DataFrame, *key: str) -> DataFrame:
