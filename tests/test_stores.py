@@ -3,6 +3,8 @@
 import json
 import sqlite3
 
+import pytest
+
 from tidemark.sources.sqlite import SqliteSessions
 from tidemark.sources.stores import keyed_messages, relational_messages
 
@@ -56,6 +58,61 @@ def test_keys_and_values(spark, tmp_path):
     assert json.loads(got[2].parts[1].arguments) == {"p": 1} and json.loads(got[3].parts[0].arguments) == {"_raw": "plain"}
 
 
+def plain_answers(said, calls, composers, session):
+    """Answers to the calls of a session, call by call: [(row, child, texts, time)]."""
+    memo = {}
+
+    def answer(child, inside):
+        if child in inside or child not in composers:
+            return None
+        if child not in memo:
+            memo[child] = told(child, inside | {child})
+        return memo[child]
+
+    def told(name, inside):
+        rows = [(at, row, 0, [(at, text)]) for row, at, text in said.get(name, [])]
+        for row, child in sorted(calls.get(name, [])):
+            if below := answer(child, inside):
+                rows.append((max(t for t, _ in below), row, 2, below))
+        return [part for r in sorted(rows) for part in r[3]] or None
+
+    found = [(row, child, answer(child, frozenset())) for row, child in sorted(calls.get(session, []))]
+    return [(row, child, [t for _, t in parts], max(t for t, _ in parts)) for row, child, parts in found if parts]
+
+
+@pytest.mark.parametrize("seed, circles", [(1, False), (2, True), (3, True)])
+def test_answers_of_subagents(spark, seed, circles):
+    """Trees, shared subagents, circles, calls to itself, to the same twice and to unknown ones."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.subagents import completions
+
+    draw = random.Random(seed)
+    names = [f"n{i}" for i in range(14)]
+    said, calls, row = {}, {}, 0
+    for i, name in enumerate(names):
+        for _ in range(draw.randrange(4)):
+            row += 1
+            said.setdefault(name, []).append((row, draw.randrange(40), f"t{row}"))
+        for _ in range(draw.randrange(4)):
+            row += 1
+            calls.setdefault(name, []).append((row, draw.choice(names if circles else names[i + 1 :] + ["gone"])))
+    composers = set(names) - {"n13"}
+    part = "array<struct<at bigint, text string>>"
+    messages = spark.createDataFrame([(n, at, r, 0, f"m{r}" if r % 3 else None, [(at, t)]) for n, v in said.items() for r, at, t in v], f"session string, at long, home long, place int, model string, said {part}")
+    asked = spark.createDataFrame([(n, r, c) for n, v in calls.items() for r, c in v], "session string, row long, child string")
+    known = spark.createDataFrame([(n, None, "k") for n in composers], "session string, own string, kind string")
+    got = {}
+    for r in completions(messages, asked, known).collect():
+        got.setdefault(r.session, []).append((r.row, r.child, [p.text for p in r.said], r.at))
+    want = {n: plain_answers(said, calls, composers, n) for n in names}
+    assert {n: sorted(v) for n, v in got.items()} == {n: v for n, v in want.items() if v}
+    assert completions(messages, asked.limit(0), known).count() == 0
+    assert completions(messages, asked, known.limit(0)).select(F.count("said")).first()[0] == 0
+
+
 def test_keyword_in_the_store(spark, tmp_path):
     from pyspark.sql import functions as F
 

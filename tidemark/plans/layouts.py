@@ -234,7 +234,7 @@ def _databases(rows: DataFrame, tag: str, by: Column | None = None) -> str:
                     out.write(piece)
         yield pd.DataFrame({"file": [goal.rsplit("/", 1)[1]]})
 
-    files = (rows.repartition(4) if by is None else rows.repartition(4, by)).mapInPandas(write, "file string").collect()
+    files = (rows.repartition(4) if by is None else rows.repartition(4, by).sortWithinPartitions("cells")).mapInPandas(write, "file string").collect()
     return ",".join(f"{root}/{f.file}" for f in files)
 
 
@@ -362,6 +362,34 @@ def cursor_tokens(spark, d):
     return stores.keyed_tokens(sqlite.load(spark, _cursor_tools(spark, d), "cursorDiskKV")).withColumn("conv_id", F.col("session").cast("long")).drop("session")
 
 
+def _cursor_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Four conversations in a row as agents that call the next and the one after, whose times run into each other."""
+    turns = _turns(spark, sf_dir).filter("role in ('user', 'assistant')")
+    n, id_ = F.col("turn"), F.col("conv_id")
+    composer = _row(turns.select("conv_id").distinct(), "cursorDiskKV", F.concat(F.lit("composerData:"), id_), F.to_json(_named(createdAt=(START + id_) * 1000, modelConfig=F.when(id_ % 4 == 1, _named(modelName=F.concat(F.lit("m"), id_))), subagentInfo=_named(subagentTypeName=F.concat(F.lit("k"), id_ % 4)))))
+    child = F.when((n < 2) & (id_ % 4 + n < 3), (id_ + n + 1).cast("string"))
+    tool = F.when(child.isNotNull(), _named(name=F.lit("task"), additionalData=_named(subagentComposerId=child)))
+    at = (START + F.floor(id_ / 4) * 1000 + n * 10 + id_ % 4) * 1000
+    bubble = _named(type=F.when(F.col("role") == "assistant", 2).otherwise(1), text=F.col("text"), timingInfo=_named(clientRpcSendTime=at), modelInfo=F.when(n == 2, _named(modelName=F.lit("late"))), toolFormerData=tool)
+    return _databases(composer.unionByName(_row(turns, "cursorDiskKV", F.concat(F.lit("bubbleId:"), id_, F.lit(":"), n), F.to_json(bubble))), "cursor", F.split(F.col("cells")[0], ":")[1])
+
+
+_INTO = "SELECT conv_id, string_agg(said, '|' ORDER BY at_ms, turn, place) AS said, max(at_ms) AS at_ms FROM"
+
+
+@_query(f"""WITH c AS (SELECT conv_id, conv_id % 4 AS k, turn, role, trim(text) AS said, ({START} + conv_id // 4 * 1000 + turn * 10 + conv_id % 4) * 1000 AS at_ms, 0 AS place FROM conversations WHERE role IN ('user', 'assistant')),
+own AS (SELECT conv_id, k, turn, said, at_ms, place FROM c WHERE role = 'assistant' AND said <> ''),
+calls AS (SELECT conv_id, k, turn, conv_id + turn + 1 AS child FROM c WHERE turn < 2 AND k + turn < 3 AND conv_id + turn + 1 IN (SELECT conv_id FROM c)),
+l3 AS ({_INTO} (SELECT * FROM own WHERE k = 3) GROUP BY conv_id),
+l2 AS ({_INTO} (SELECT * FROM own WHERE k = 2 UNION ALL SELECT q.conv_id, q.k, q.turn, a.said, a.at_ms, 2 FROM calls q JOIN l3 a ON a.conv_id = child WHERE q.k = 2) GROUP BY conv_id),
+l1 AS ({_INTO} (SELECT * FROM own WHERE k = 1 UNION ALL SELECT q.conv_id, q.k, q.turn, a.said, a.at_ms, 2 FROM calls q JOIN (SELECT * FROM l2 UNION ALL SELECT * FROM l3) a ON a.conv_id = child WHERE q.k = 1) GROUP BY conv_id)
+SELECT q.conv_id, child::VARCHAR AS child, 'k' || child % 4 AS kind, said AS texts, at_ms FROM calls q JOIN (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) a ON a.conv_id = child""")
+def cursor_subagents(spark, d):
+    """Answers of subagents called three levels deep, some of them by two callers."""
+    told = stores.keyed_messages(sqlite.load(spark, _cursor_tree(spark, d), "cursorDiskKV")).filter("subagent_id is not null")
+    return told.select(F.col("session").cast("long").alias("conv_id"), F.col("subagent_id").alias("child"), F.col("subagent_type").alias("kind"), F.array_join(F.transform("parts", lambda p: p["text"]), "|").alias("texts"), F.col("at").alias("at_ms"))
+
+
 def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire records (path, line, record): a turn begins with a user's text; an assistant's turn is a text, a call in two pieces and its result."""
     turns = _turns(spark, sf_dir).filter("role in ('user', 'assistant')")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import iso_ms
-from tidemark.operators.relations import reach
+from tidemark.sources.subagents import completions
 
 # fixed values: text keys of a bubble in order, and the ways a plan is accepted
 TEXT_KEYS = ("text", "content", "finalText", "message", "markdown", "textDescription")
@@ -111,8 +111,9 @@ def keyed_messages(pairs: DataFrame) -> DataFrame:
 
     A tool joins the message of an earlier parent bubble, else it is a message
     of role ``tool``.  A subagent's call is followed by one message with the
-    texts of that subagent and of all those it started, in order of time;
-    references in a circle are followed once.
+    texts of that subagent, in order of time; texts of the subagents it called
+    stand together at the time of their last one, calls that lead back are left
+    out (``subagents.completions``).
     """
     rows = _bubbles(pairs)
     none = F.lit(None).cast("string")
@@ -135,19 +136,17 @@ def keyed_messages(pairs: DataFrame) -> DataFrame:
     packed = own.groupBy("session", "home", "place").agg(
         first(F.when(F.col("place") == 1, "tool").when(is_plan, "assistant").otherwise(F.col("role"))).alias("role"), F.when(F.max("place") == 1, "tool").alias("mode"), first(F.when(F.col("place") == 1, F.concat("bubble", F.lit(":tool"))).otherwise(F.col("bubble"))).alias("message_id"),
         first(F.col("at")).alias("at"), first(F.col("model")).alias("model"), F.array_sort(F.collect_list(detail)).alias("parts"))
-    packed = packed.unionByName(_completions(rows, packed), allowMissingColumns=True)
+    packed = packed.unionByName(_completions(pairs, rows, packed), allowMissingColumns=True)
     order = Window.partitionBy("session").orderBy("at", "home", "place", "message_id")
     return packed.withColumn("seq", F.row_number().over(order).cast("long")).drop("home", "place")
 
 
-def _completions(rows: DataFrame, packed: DataFrame) -> DataFrame:
-    """One message for each subagent call: what the assistant said below it."""
-    calls = rows.filter("child is not null").select("session", "row", "child")
-    edges = calls.select(F.col("session").alias("parent"), "child")
-    reached = reach(edges, edges.select(F.col("child").alias("start"), F.col("child").alias("node"))).select(F.col("start").alias("child"), "node")
-    spoken = rows.filter("role = 'assistant' and text is not null").filter(~F.col("text").isin(*NO_TEXT)).select(F.col("session").alias("node"), F.col("row").alias("said_row"), "at", "text", "model")
-    shape = packed.schema["parts"].dataType.elementType
-    filled = {"row": F.col("said_row"), "rank": F.lit(0), "kind": F.lit("text"), "text": F.col("text"), "at": F.col("at")}
-    part = F.struct(*[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
-    told = reached.join(spoken, "node").groupBy("child").agg(F.max("at").alias("at"), F.min_by("model", F.when(F.col("model").isNotNull() & (F.col("node") == F.col("child")), F.col("said_row"))).alias("model"), F.transform(F.array_sort(F.collect_list(F.struct("at", "said_row", part.alias("p")))), lambda x: x["p"]).alias("parts"))
-    return calls.join(told, "child").select("session", F.col("row").alias("home"), F.lit(2).alias("place"), F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("mode"), F.concat("child", F.lit(":subagent-output")).alias("message_id"), "at", "model", "parts")
+def _completions(pairs: DataFrame, rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """One message for each subagent call that is answered: what the assistant said below it."""
+    c = F.col("c")
+    composers = pairs.filter(F.col("key").startswith("composerData:")).select(F.substring_index("key", ":", -1).alias("session"), F.try_parse_json("value").alias("c"))
+    composers = composers.filter(F.schema_of_variant(c).startswith("OBJECT") & (F.to_json(c) != "{}")).select("session", _filled(c, "$.modelConfig.modelName").alias("own"), _filled(c, "$.subagentInfo.subagentTypeName").alias("kind"))
+    own = F.when(F.col("role") == "assistant", F.filter("parts", lambda p: (p["kind"] == "text") & ~p["text"].isin(*NO_TEXT)))
+    messages = packed.select("session", "at", "home", "place", "model", F.coalesce(own, F.slice("parts", 1, 0)).alias("said"))
+    told = completions(messages, rows.filter("child is not null").select("session", "row", "child"), composers)
+    return told.select("session", F.col("row").alias("home"), F.lit(2).alias("place"), F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("mode"), F.concat("child", F.lit(":subagent-output")).alias("message_id"), "at", "model", F.col("said").alias("parts"), F.col("child").alias("subagent_id"), F.col("kind").alias("subagent_type"))
