@@ -34,12 +34,29 @@ def chunk_numbers(sizes: Column, target: int = CHUNK_CHARS) -> Column:
     return F.aggregate(sizes, none, step)["out"]
 
 
-def session_events(messages: DataFrame, session: str, order: str, budget: int = EVENT_BUDGET) -> DataFrame:
-    """Admitted events of each session: (session, order, kind, role, text, files)."""
+#: Characters an event counts beside its text and files (a fixed value); no event is smaller than one more.
+EVENT_CHARS = 32
+
+
+def events_of(messages: DataFrame, session: str, order: str) -> DataFrame:
+    """(session, order, size, kind, role, text, files) of every text of a user or assistant that says something."""
     seen = messages.filter(F.col("role").isin("user", "assistant")).withColumn("kind", event_kind(F.col("role"), F.col("text"))).filter("kind is not null")
     event = seen.withColumn("text", clip(F.trim("text"), 280)).withColumn("files", find_paths(F.col("text")))
-    size = F.length("text") + F.aggregate("files", F.lit(0), lambda a, x: a + F.length(x)) + 32
-    packed = event.withColumn("size", size.cast("long")).groupBy(session).agg(F.array_sort(F.collect_list(F.struct(order, "size", "kind", "role", "text", "files"))).alias("events"))
+    size = F.length("text") + F.aggregate("files", F.lit(0), lambda a, x: a + F.length(x)) + EVENT_CHARS
+    return event.select(session, order, size.cast("long").alias("size"), "kind", "role", "text", "files")
+
+
+def session_events(messages: DataFrame, session: str, order: str, budget: int = EVENT_BUDGET) -> DataFrame:
+    """Admitted events of each session: (session, order, kind, role, text, files).
+
+    Where an event is admitted, so are all before it that are no larger.  Of one
+    size only the first ``budget / size`` can be, and the others go before a
+    session is gathered, most of them before the exchange."""
+    rows = events_of(messages, session, order)
+    n = F.row_number().over(Window.partitionBy(session, "size").orderBy(order, "kind", "role", "text"))
+    most = max(1, budget // (EVENT_CHARS + 1))
+    some = rows.withColumn("__n", n).filter((F.col("__n") <= most) & (F.col("__n") <= F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("size")))))
+    packed = some.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(order, "size", "kind", "role", "text", "files"))).alias("events"))
     return packed.select(session, F.explode(admit(F.col("events"), budget)).alias("e")).select(session, f"e.{order}", "e.kind", "e.role", "e.text", "e.files")
 
 
@@ -83,20 +100,29 @@ def summary(payload: Column, fields: tuple[str, ...] = PM_FIELDS) -> list[Column
     return [items(name).alias(name) for name in fields]
 
 
+def first_object(text: str) -> str:
+    """The first JSON object in a text, as it stands there; ``ValueError`` where there is none."""
+    at = text.find("{")
+    while at >= 0:
+        try:
+            return text[at : json.JSONDecoder().raw_decode(text, at)[1]]
+        except ValueError:
+            at = text.find("{", at + 1)
+    raise ValueError("no JSON object")
+
+
 def summarise(chunks: DataFrame, ask: Callable[[str], str], retries: int = 1) -> DataFrame:
     """``chunks`` (session, chunk, prompt) with ``payload``, or ``error`` where every try failed.
 
-    ``ask`` runs in the Python workers, a batch at a time; an answer without a
-    JSON object counts as failed.
+    ``ask`` runs in the Python workers, a batch at a time; the payload is the
+    first JSON object of the answer, and one without any counts as failed.
     """
 
     def answer(prompt: str) -> tuple[str | None, str | None]:
         error = None
         for _ in range(retries + 1):
             try:
-                said = ask(prompt)
-                if isinstance(json.loads(said[said.index("{") : said.rindex("}") + 1]), dict):
-                    return said, None
+                return first_object(ask(prompt)), None
             except (ValueError, OSError, RuntimeError) as failed:
                 error = str(failed) or type(failed).__name__
         return None, error

@@ -7,13 +7,16 @@ corpus by provider (``source``), ``events`` for tool calls and results,
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce, text
-from tidemark.operators import assemble, collect, evaluate, filters, index, postings, reduction, relations, scratch, search, stats, views
+from tidemark.operators import assemble, collect, evaluate, filters, index, postings, reduction, relations, scratch, search, stats, views, workflow
 from tidemark.operators.search import TextQuery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,6 +541,73 @@ def collect_plan(spark, d):
     return collect.session_events(_t(spark, d, "conversations"), "conv_id", "turn").groupBy("conv_id").agg(F.count(F.lit(1)).alias("events"))
 
 
+_TIDY = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+# event lines of the conversations that no folder denies, and a line for those without events
+_EVENT_LINES = f"""h AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 0 OR conv_id % 5 <> 3),
+e AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'user_intent' WHEN text LIKE '%```%' THEN 'code' WHEN regexp_matches({_TIDY}, 'error|exception|traceback|failed|failure|bug|panic|not found', 'i') THEN 'error' WHEN regexp_matches({_TIDY}, '\\?$|todo|next', 'i') THEN 'open_question' WHEN regexp_matches({_TIDY}, 'fix|done|resolved?', 'i') THEN 'decision' ELSE 'assistant_key' END AS kind,
+  CASE WHEN length(trim(text)) <= 280 THEN trim(text) ELSE rtrim(substring(trim(text), 1, 277)) || '...' END AS said
+  FROM conversations JOIN h USING (conv_id) WHERE role IN ('user', 'assistant') AND {_TIDY} <> '' AND NOT (length({_TIDY}) <= 60 AND regexp_matches({_TIDY}, '^(hi|hello|thanks|thank you|ok\\b)', 'i'))),
+p AS (SELECT *, {_found_paths("said")} AS paths FROM e),
+l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, said, '[' || kind || '] role=' || role || CASE WHEN len(paths) > 0 THEN ' files=' || array_to_string(paths, ',') ELSE '' END || ' text=' || said AS line FROM p
+  UNION ALL SELECT conv_id, 1, '(empty session)', '[fallback] role=system text=(empty session)' FROM h WHERE conv_id NOT IN (SELECT conv_id FROM e))"""
+_COLLECTED = workflow.Range(date(2024, 1, 1), date(2199, 12, 31), "Asia/Shanghai", ("/w/p3",))
+
+
+def _collected(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Conversations as sessions, 90 minutes apart, in five folders, and their messages."""
+    turns = _t(spark, d, "conversations")
+    id_, made = F.col("conv_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 5400)
+    provider = F.when(id_ % 3 == 0, "codex").otherwise("pi")
+    key = [provider.alias("provider"), id_.cast("string").alias("session_id")]
+    folder = F.when(id_ % 7 != 0, F.concat(F.lit("/w/p"), id_ % 5))
+    heads = turns.select(*key, "conv_id").distinct().select("provider", "session_id", F.concat(F.lit("T"), id_).alias("title"), made.alias("created_at"), made.alias("updated_at"), folder.alias("working_directory"), F.concat("provider", F.lit("://"), "session_id").alias("uri"))
+    return heads, turns.select(*key, F.col("turn").alias("seq"), "role", "text")
+
+
+@_query(f"""WITH RECURSIVE {_EVENT_LINES},
+f AS (SELECT conv_id, n, 0::BIGINT AS chunk, length(line) + 1 AS used FROM l WHERE n = 1
+  UNION ALL SELECT l.conv_id, l.n, CASE WHEN f.used + length(l.line) + 1 > 3200 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + length(l.line) + 1 > 3200 THEN length(l.line) + 1 ELSE f.used + length(l.line) + 1 END FROM f JOIN l ON l.conv_id = f.conv_id AND l.n = f.n + 1)
+SELECT conv_id, chunk, max(chunk) OVER (PARTITION BY conv_id) + 1 AS chunks, events, body, 'pi' = CASE WHEN conv_id % 3 = 0 THEN 'codex' ELSE 'pi' END AS pi, length(body) AS sent
+FROM (SELECT conv_id, chunk, count(*)::INT AS events, string_agg(line, chr(10) ORDER BY n) AS body FROM f JOIN l USING (conv_id, n) GROUP BY conv_id, chunk)""")
+def collect_chunks(spark, d):
+    """Chunks of a collect run, and what their prompts say of them."""
+    sessions, messages = _collected(spark, d)
+    plan = workflow.planned(workflow.selected(sessions, messages, _COLLECTED), messages, zone=_COLLECTED.zone)
+    sent = F.try_parse_json(F.element_at(F.split("prompt", "\n"), -1))
+    said = F.when(F.try_variant_get(sent, "$.content", "string") == F.col("body"), F.try_variant_get(sent, "$.length", "bigint"))
+    return plan.select(F.substring_index("session", "/", -1).cast("long").alias("conv_id"), "chunk", "chunks", "events", "body", F.col("session").startswith("pi:").alias("pi"), said.alias("sent"))
+
+
+def _first_words(prompt: str) -> str:
+    """A stand-in for the model: the beginning of each event as a key action."""
+    last = json.loads(prompt.rsplit("\n", 1)[-1])
+    if last["untrusted_data"] != "session_events":
+        return "{}"
+    said = re.split(r"(?:^|\n)\[[a-z_]+\] role=[a-z]+(?: files=\S*)? text=", last["content"])[1:]
+    return json.dumps({"key_actions": [x[:16].strip() for x in said]}, ensure_ascii=False)
+
+
+@_query(f"""WITH {_EVENT_LINES},
+i AS (SELECT conv_id, n, trim(regexp_replace(substring(said, 1, 16), '\\s+', ' ', 'g')) AS item FROM l),
+one AS (SELECT conv_id, min(n) AS n, arg_min(item, n) AS item FROM i GROUP BY conv_id, lower(item)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k FROM one),
+t AS (SELECT arg_min(item, (conv_id, k)) AS item, min((conv_id, k)) AS first FROM r WHERE k <= 12 GROUP BY lower(item) ORDER BY first LIMIT 12),
+s AS (SELECT conv_id, 'T' || conv_id || ': ' || string_agg(item, '; ' ORDER BY k) AS line FROM r WHERE k <= 2 GROUP BY conv_id),
+b AS (SELECT 'date' AS kind, strftime(make_timestamp((1704067200 + conv_id * 5400 + 28800) * 1000000), '%Y-%m-%d') AS bucket, conv_id, line FROM s
+  UNION ALL SELECT 'project', CASE WHEN conv_id % 7 = 0 THEN '(unknown)' ELSE '/w/p' || conv_id % 5 END, conv_id, line FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY kind, bucket ORDER BY conv_id) AS k FROM b)
+SELECT kind, bucket, string_agg(line, '|' ORDER BY k) AS lines FROM m WHERE k <= 6 GROUP BY kind, bucket
+UNION ALL SELECT 'total', (SELECT count(*) FROM h)::VARCHAR, string_agg(item, '|' ORDER BY first) FROM t""")
+def collect_summaries(spark, d):
+    """A collect run up to its report: the total and the highlights by day and project."""
+    sessions, messages = _collected(spark, d)
+    entries = scratch.settle(workflow.selected(sessions, messages, _COLLECTED), "entries")
+    summaries, _ = workflow.summarised(workflow.planned(entries, messages, zone=_COLLECTED.zone), _first_words)
+    ordered = summaries.join(entries.select(F.col("uri").alias("session"), "created_at"), "session")
+    total = reduction.reduce_tree(ordered, ["created_at", "session"]).select(F.lit("total").alias("kind"), F.col("sessions").cast("string").alias("bucket"), F.array_join("key_actions", "|").alias("lines"))
+    return total.unionByName(workflow.buckets(entries, summaries).withColumn("lines", F.array_join("lines", "|")))
+
+
 @_query("SELECT event_id, coalesce(try_cast(CASE WHEN regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN trim(s) END AS BIGINT), 0) AS n FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || event_id || ' ' WHEN 1 THEN event_id || '.5' WHEN 2 THEN 'x' ELSE event_id::VARCHAR END AS s FROM events)")
 def coerce_int(spark, d):
     e, s = F.col("event_id"), F.col("event_id").cast("string")
