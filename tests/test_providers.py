@@ -81,3 +81,27 @@ def test_registering(spark, monkeypatch):
     assert [r.uri for r in providers.list_sessions(spark, {"own": "/tmp"}).sessions.collect()] == ["own://1"]
     with pytest.raises(ValueError, match="there already"):
         providers.register(providers.REGISTRY["pi"])
+
+
+def test_only_changed_files_are_opened(spark, home):
+    roots = {name: root for name, root in providers.discover(spark, {"CODEX_HOME": str(home / "cx")}, str(home)).items() if name in ("codex", "kimi", "claudecode", "pi")}
+    folder, old, now = f"file://{home}/index", spark.sparkContext.accumulator(0), F.current_timestamp()
+    at = "2026-03-0{}T00:00:00Z".format
+    note = lambda n, text: {"type": "message", "id": "e", "timestamp": at(n), "message": {"role": "user", "content": [{"type": "text", "text": text}]}}
+    for i in range(5):
+        written(home / ".pi" / "agent" / "sessions" / f"q{i}.jsonl", {"type": "session", "id": f"q{i}", "cwd": "/w", "timestamp": at(1)}, note(2, f"number {i} " + "x" * 500))
+    first = providers.reindex(spark, providers.list_sessions(spark, roots), roots, folder, now, count=old)
+    whole = providers.texts(spark, providers.list_sessions(spark, roots), roots)
+    assert first.n == 9 and {(r.provider, r.session_id, r.content) for r in first.corpus().select("provider", "session_id", "content").collect()} == {tuple(r) for r in whole.collect()}
+    assert old.value >= 5 * 500
+    none = spark.sparkContext.accumulator(0)
+    again = providers.reindex(spark, providers.list_sessions(spark, roots), roots, folder, now, count=none)
+    assert none.value == 0 and again.n == 9
+    changed = home / ".pi" / "agent" / "sessions" / "q3.jsonl"
+    written(changed, {"type": "session", "id": "q3", "cwd": "/w", "timestamp": at(1)}, note(4, "deploy once more"))
+    one = spark.sparkContext.accumulator(0)
+    last = providers.reindex(spark, providers.list_sessions(spark, roots), roots, folder, now, count=one)
+    assert one.value == changed.stat().st_size
+    assert {r.session_id for r in postings.search(last, TextQuery.terms("deploy")).collect()} == {"c1", "x1", "k1", "q3"} and last.n == 9
+    anew = spark.sparkContext.accumulator(0)
+    assert providers.reindex(spark, providers.list_sessions(spark, {"pi": roots["pi"]}), roots, folder, now, rebuild=True, count=anew).n == 9 and anew.value >= 4 * 500

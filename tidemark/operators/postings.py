@@ -200,6 +200,24 @@ def _kept(old: Snapshot, state: DataFrame, version: int, segments: tuple[str, ..
     return _publish(Snapshot(old.spark, old.root, version, tuple(s for s in segments if s in set(used)), n, grams, words, at))
 
 
+def _once(seen: DataFrame) -> DataFrame:
+    return seen.groupBy(*KEY).agg(F.max(F.struct("signature", "title", "updated_at", "created_at")).alias("s")).select(*KEY, "s.*")
+
+
+def _standing(old: Snapshot, seen: DataFrame, now: Column, rebuild: bool, days: int) -> DataFrame:
+    """What is kept of the old state: not what is out of date, nor, with ``rebuild``, anything of the providers seen."""
+    if not old.version:
+        return seen.sparkSession.createDataFrame([], STATE.format(at=seen.schema["updated_at"].dataType.simpleString()))
+    state = evict(old.state(), now, days)
+    return state.join(seen.select("provider").distinct(), "provider", "left_anti").select(*state.columns) if rebuild else state
+
+
+def due(spark: SparkSession, root: str, seen: DataFrame, now: Column, rebuild: bool = False, days: int = RETENTION) -> DataFrame:
+    """The keys of ``seen`` that ``refresh`` would read."""
+    seen = _once(seen)
+    return stale(_standing(current(spark, root), seen, now, rebuild, days), seen).select(*KEY)
+
+
 def refresh(spark: SparkSession, root: str, seen: DataFrame, corpus: DataFrame, now: Column, rebuild: bool = False, days: int = RETENTION, parts: int | None = None) -> Snapshot:
     """The index after a scan that saw ``seen`` (key, signature, title, updated_at, created_at); ``corpus`` gives key and content.
 
@@ -209,15 +227,9 @@ def refresh(spark: SparkSession, root: str, seen: DataFrame, corpus: DataFrame,
     ``days`` go.  With ``rebuild`` all sessions of the providers seen are taken
     anew.  Repeated keys count once, by the greatest values."""
     old = current(spark, root)
-    told = ["signature", "title", "updated_at", "created_at"]
     # numbers and names only; read several times below
-    seen = scratch.settle(seen.groupBy(*KEY).agg(F.max(F.struct(*told)).alias("s")).select(*KEY, "s.*"), "seen")
-    state = evict(old.state(), now, days)
-    if not old.version:
-        at = seen.schema["updated_at"].dataType
-        state = spark.createDataFrame([], STATE.format(at=at.simpleString()))
-    if rebuild:
-        state = state.join(seen.select("provider").distinct(), "provider", "left_anti").select(*state.columns)
+    seen = scratch.settle(_once(seen), "seen")
+    state = _standing(old, seen, now, rebuild, days)
     version = _next_version(old)
     segment = f"{version:08d}-{uuid.uuid4().hex[:8]}"
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,10 @@ Env = Mapping[str, str]
 
 @dataclass(frozen=True)
 class Provider:
-    """``roots`` gives (label, path) candidates in order; ``heads`` sessions with ``key``; ``messages`` assembled ones with the same key as ``session``."""
+    """``roots`` gives (label, path) candidates in order; ``heads`` sessions with ``key``; ``messages`` assembled ones with the same key as ``session``.
+
+    ``some`` gives the messages of the sessions in ``keys(key)`` and opens no file
+    of another; ``count`` is an accumulator of the bytes read."""
 
     name: str
     display: str
@@ -36,6 +39,7 @@ class Provider:
     heads: Callable[[SparkSession, str, str | None], DataFrame]
     messages: Callable[[SparkSession, str], DataFrame]
     files: bool = True
+    some: Callable[[SparkSession, str, DataFrame, object], DataFrame] | None = None
 
 
 def _under(variable: str, default: str, rest: str) -> Callable[[Env, str], list[tuple[str, str]]]:
@@ -77,8 +81,22 @@ def _kimi(spark: SparkSession, root: str, since: str | None) -> DataFrame:
     return heads.withColumn("key", F.col("source_path"))
 
 
-def _kimi_messages(spark: SparkSession, root: str) -> DataFrame:
-    return transcripts.kimi_messages(jsonl.records(spark, root, "context.jsonl")).withColumn("session", _folder(F.col("session")))
+def _kimi_of(records: DataFrame) -> DataFrame:
+    return transcripts.kimi_messages(records).withColumn("session", _folder(F.col("session")))
+
+
+def _by_file(assemble: Callable[[DataFrame], DataFrame], pattern: str = "*.jsonl", key: Callable[[Column], Column] = lambda path: path):
+    """Messages of a layout with one file a session: of all of them, and of some."""
+
+    def whole(spark: SparkSession, root: str) -> DataFrame:
+        return assemble(jsonl.records(spark, root, pattern))
+
+    def some(spark: SparkSession, root: str, keys: DataFrame, count=None) -> DataFrame:
+        held = jsonl.files(spark, root, pattern).withColumn("key", key(F.col("path"))).join(keys.select("key").distinct(), "key", "left_semi")
+        # both written: assembling asks for the listing and for the records many times
+        return assemble(settle(jsonl.records_in(settle(held.select("path", "size"), "held"), count), "records"))
+
+    return {"messages": whole, "some": some}
 
 
 def _relational(name: str):
@@ -113,11 +131,11 @@ def _relational_messages(spark: SparkSession, root: str) -> DataFrame:
 _BUILT_IN = (
     Provider("opencode", "OpenCode", lambda env, home: [("data home opencode.db", f"{_data_home(env, home)}/opencode/opencode.db")], _relational("opencode"), _relational_messages, False),
     Provider("zcode", "ZCode", lambda env, home: [("~/.zcode db.sqlite", f"{home}/.zcode/cli/db/db.sqlite")], _relational("zcode"), _relational_messages, False),
-    Provider("codex", "Codex", _under("CODEX_HOME", ".codex", "sessions"), _codex, lambda spark, root: transcripts.codex_enriched(transcripts.codex_messages(jsonl.records(spark, root)))),
-    Provider("kimi", "Kimi", _under("KIMI_SHARE_DIR", ".kimi", "sessions"), _kimi, _kimi_messages),
-    Provider("claudecode", "Claude Code", _under("CLAUDE_CONFIG_DIR", ".claude", "projects"), _claude, lambda spark, root: transcripts.claude_messages(jsonl.records(spark, root))),
+    Provider("codex", "Codex", _under("CODEX_HOME", ".codex", "sessions"), _codex, **_by_file(lambda records: transcripts.codex_enriched(transcripts.codex_messages(records)))),
+    Provider("kimi", "Kimi", _under("KIMI_SHARE_DIR", ".kimi", "sessions"), _kimi, **_by_file(_kimi_of, "context.jsonl", _folder)),
+    Provider("claudecode", "Claude Code", _under("CLAUDE_CONFIG_DIR", ".claude", "projects"), _claude, **_by_file(transcripts.claude_messages)),
     Provider("cursor", "Cursor", lambda env, home: [("global state.vscdb", f"{home}/Library/Application Support/Cursor/User/globalStorage/state.vscdb")], _keyed, lambda spark, root: stores.keyed_messages(sqlite.load(spark, root, "cursorDiskKV")), False),
-    Provider("pi", "Pi", _under("PI_HOME", ".pi", "agent/sessions"), _pi, lambda spark, root: transcripts.pi_messages(jsonl.records(spark, root))),
+    Provider("pi", "Pi", _under("PI_HOME", ".pi", "agent/sessions"), _pi, **_by_file(transcripts.pi_messages)),
 )
 for _provider in _BUILT_IN:
     register(_provider)
@@ -177,23 +195,42 @@ def list_sessions(spark: SparkSession, roots: Mapping[str, str], since: str | No
     return Listing(out if since is None else out.filter(F.col("updated_at") >= F.lit(since).cast("timestamp")), failed)
 
 
-def texts(spark: SparkSession, listing: Listing, roots: Mapping[str, str]) -> DataFrame:
-    """(provider, session_id, content): what a search finds in each listed session; one without messages has empty content."""
+def texts(spark: SparkSession, listing: Listing, roots: Mapping[str, str], due: DataFrame | None = None, count=None) -> DataFrame:
+    """(provider, session_id, content): what a search finds in each listed session; one without messages has empty content.
+
+    With ``due`` (provider, session_id) only those sessions are assembled, and of
+    layouts with a file a session only their files are opened; providers without
+    any of them are not read.  ``count`` is an accumulator of the bytes read."""
+    known = listing.sessions.select("provider", "session_id", "key")
+    wanted = None
+    if due is not None:
+        known = settle(known.join(due.select("provider", "session_id").distinct(), ["provider", "session_id"], "left_semi"), "due")
+        # as many rows as there are providers
+        wanted = {r.provider for r in known.select("provider").distinct().collect()}
     found = None
     for name, root in roots.items():
-        if name not in listing.failed:
-            rows = views.searchable(REGISTRY[name].messages(spark, root)).select(F.lit(name).alias("provider"), F.col("session").alias("key"), "content")
-            found = rows if found is None else found.unionByName(rows)
-    known = listing.sessions.select("provider", "session_id", "key")
+        if name in listing.failed or wanted is not None and name not in wanted:
+            continue
+        provider = REGISTRY[name]
+        keys = known.filter(F.col("provider") == name).select("key")
+        if due is None or provider.some is None:
+            said = provider.messages(spark, root)
+            said = said if due is None else said.join(keys.select(F.col("key").alias("session")).distinct(), "session", "left_semi")
+        else:
+            said = provider.some(spark, root, keys, count)
+        rows = views.searchable(said).select(F.lit(name).alias("provider"), F.col("session").alias("key"), "content")
+        found = rows if found is None else found.unionByName(rows)
     if found is None:
         return known.select("provider", "session_id", F.lit("").alias("content"))
     return known.join(found, ["provider", "key"], "left").select("provider", "session_id", F.coalesce("content", F.lit("")).alias("content"))
 
 
-def reindex(spark: SparkSession, listing: Listing, roots: Mapping[str, str], folder: str, now: Column, rebuild: bool = False) -> postings.Snapshot:
-    """Bring a kept index up to date with a listing: sessions whose time of change is new are read, the others are not written."""
+def reindex(spark: SparkSession, listing: Listing, roots: Mapping[str, str], folder: str, now: Column, rebuild: bool = False, count=None) -> postings.Snapshot:
+    """Bring a kept index up to date with a listing: sessions whose time of change is new are read and written, no others."""
     seen = listing.sessions.withColumn("signature", views.signature(F.col("updated_at"))).select(*index.KEY, "signature", "title", "updated_at", "created_at")
-    return postings.refresh(spark, folder, seen, texts(spark, listing, roots), now, rebuild)
+    seen = settle(seen, "listed")
+    due = settle(postings.due(spark, folder, seen, now, rebuild), "changed")
+    return postings.refresh(spark, folder, seen, texts(spark, listing, roots, due, count), now, rebuild)
 
 
 if tuple(REGISTRY) != PROVIDERS:
