@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import time
 from datetime import date
 
 import pytest
@@ -145,3 +146,14 @@ def test_paths(spark):
     assert filters.parse_query("x path:../y", "/w/z").path == "/w/y" and filters.parse_uri("agents://w/./p1/../p2?q=a").path == "/w/p2"
     tools = spark.createDataFrame([("exec_command",), ("Shell",), ("other",)], "t string")
     assert [r[0] for r in tools.select(text.tool_title(F.col("t"), "kimi")).collect()] == ["exec_command", "bash", "other"]
+
+
+def test_grams_of_a_long_text_in_one_pass(spark):
+    """The time of cutting trigrams grows with a text's length, not with its square."""
+    texts = ["ab", "Abcab", "a😀b\nc", "éèê x"]
+    grams = search.gram_table(spark.createDataFrame([("p", t, "", t) for t in texts], "provider string, session_id string, title string, content string"))
+    found = {(r.session_id, r.gram) for r in grams.collect()}
+    assert found == {(t, t.lower()[i : i + 3]) for t in texts for i in range(len(t) - 2)}
+    long = spark.range(1).select(F.lit("p").alias("provider"), F.lit("1").alias("session_id"), F.lit("").alias("title"), F.repeat(F.lit("abcdefghij"), 60_000).alias("content"))
+    began = time.perf_counter()
+    assert search.gram_table(long).count() == 10 and time.perf_counter() - began < 20

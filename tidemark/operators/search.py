@@ -129,7 +129,8 @@ def bm25(corpus: DataFrame, query: TextQuery, words: bool = False) -> DataFrame:
 
 def gram_table(corpus: DataFrame, *key: str) -> DataFrame:
     """(gram, key): the distinct trigrams of each row's title and content, to be stored beside an index."""
-    cut = lambda x: F.when(F.length(x) >= 3, F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # one pass over a text: a substring counts its characters from the text's beginning.  No gram begins inside a character of two code units
+    cut = lambda x: F.regexp_extract_all(x, F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"), F.lit(1))
     grams = F.array_distinct(F.concat(*[cut(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("title", "content")]))
     return corpus.select(F.explode(grams).alias("gram"), *(key or KEY))
 
