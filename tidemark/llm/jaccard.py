@@ -15,8 +15,8 @@ only qualifying groups are opened and compared exactly:
    other classes by 80 %, classes meet by representatives: under each of several
    minimum hashes one set of each class, compared in bounded blocks, which adds
    at most one link for each class and hash.  Then the matrix is counted once more.
-4. What is left is put into bounded groups of similar sets that store their
-   token union; groups that share a prefix token in sets of different classes are
+4. What is left is put into bounded groups of sets that share a minimum hash, or
+   a common token of their prefixes, with their token union; groups that share a prefix token in sets of different classes are
    paired, the overlap of each query set with the other group's union is bounded,
    and only qualifying sets open the group.
 
@@ -369,26 +369,33 @@ def _rarity(table: pa.Table) -> pa.Table:
     return pa.table({"node": keys, "part": pa.array([table.column("part")[0].as_py()] * len(keys), pa.int32()), "rarity": pa.array(raw, pa.binary())})
 
 
-_RANKED = "k0 long, node long, n long, class long, tokens binary, head binary"
+_RANKED = "key long, node long, n long, class long, tokens binary, head binary"
 
 
 def _heads(parts: int, share: int):
-    """The prefix of each set, rarest tokens first, without those of no other class: a pair that links shares a token of both prefixes."""
-    schema = pa.schema([*[(c, pa.int64()) for c in ("k0", "node", "n", "class")], ("tokens", pa.binary()), ("head", pa.binary())])
+    """The prefix of each set, rarest tokens first, without those of no other class: a pair that links shares a token of both prefixes.
 
-    def head(raw: bytes, rarity: list[dict]) -> bytes:
+    The key is the set's minimum hash, or the prefix's most frequent token where
+    more than ``GROUP_ROWS`` classes have it: sets of common passages meet under
+    the few tokens that end their prefixes, so their groups are full."""
+    schema = pa.schema([*[(c, pa.int64()) for c in ("key", "node", "n", "class")], ("tokens", pa.binary()), ("head", pa.binary())])
+
+    def head(k0: int, raw: bytes, rarity: list[dict]) -> tuple[int, bytes]:
         tokens = np.frombuffer(raw, np.uint64)
         dealt = np.argsort((tokens % np.uint64(parts)).astype(np.int32), kind="stable")
         rare = np.empty(len(tokens), np.uint32)
         rare[dealt] = np.frombuffer(b"".join(r["rarity"] for r in rarity), np.uint32)
         first = np.lexsort((tokens, rare))[: len(tokens) - -(-share * len(tokens) // 100) + 1]
-        return tokens[first[rare[first] > 1]].tobytes()
+        first = first[rare[first] > 1]
+        common = len(first) > 0 and rare[first[-1]] > GROUP_ROWS
+        return int(tokens[first[-1]].astype(np.int64)) if common else k0, tokens[first].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
-                yield _batch(schema, [(*row[:5], head(row[4], row[5])) for row in rows])
+                made = [(row, head(row[0], row[4], row[5])) for row in rows]
+                yield _batch(schema, [(key, *row[1:5], front) for row, (key, front) in made if front])
 
     return run
 
@@ -398,7 +405,7 @@ _GROUP_SCHEMA = pa.schema([("gid", pa.int64()), *[(c, pa.binary()) for c in ("cl
 
 
 def _gather(rows: int, limit: int):
-    """Sorted (key, node, n, class, tokens, head) rows into bounded groups of sets that share a minimum hash, with their token union."""
+    """Sorted (key, node, n, class, tokens, head) rows into bounded groups of sets that share a minimum hash or a prefix token, with their token union."""
 
     def close(group: list[tuple]) -> tuple:
         packed = [np.array([g[i] for g in group], np.int64).tobytes() for i in (3, 1, 2)]
@@ -527,7 +534,7 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     rare = _dealt(left.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(_rarity, "node long, part int, rarity binary")
     each = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "rarity"))).alias("rarity"))
     ranked = left.join(each, "node").select("k0", "node", "n", "class", "tokens", "rarity").mapInArrow(_heads(parts, share), _RANKED)
-    groups = settle(ranked.repartitionByRange("k0", "node").sortWithinPartitions("k0", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
+    groups = settle(ranked.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
     pairs = _dealt(groups.select("gid", "classes", "cuts", "heads"), _spread_prefixes, parts).applyInArrow(_pair_groups, "a long, b long").distinct()
     columns = ("nodes", "classes", "sizes", "tokens")
     side = lambda n, *more: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in (*columns, *more)])
