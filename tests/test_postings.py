@@ -123,3 +123,22 @@ def test_queries_use_the_index(spark, root):
         scanned = told(evaluate.matches(spec, sessions, messages, ranked))
         assert scanned and told(evaluate.matches(spec, sessions, messages, ranked, index=held)) == scanned
     assert [r.session_id for r in evaluate.matches(filters.QuerySpec(keyword="deploy"), sessions, messages).orderBy("session_id").collect()] == ["a", "b"]
+
+
+def test_postings_grow_with_blocks_not_with_texts(spark, root):
+    rng = random.Random(5)
+    rows = {("p", f"s{i:03d}"): ("1", "认证", " ".join(rng.choice(["认证", "模块", "代码 认", "x认"]) for _ in range(40))) for i in range(300)}
+    held = filled(spark, root, rows)
+    # a row for each token and block, not for each token and text; trigrams of CJK characters answer no query
+    blocks = held.packed("words").select("segment", "block").distinct().count()
+    assert held.packed("words").count() <= 6 * blocks <= 6 * 4
+    assert held.packed("grams").count() == 0 and held.table("words").select("session_id").distinct().count() == 300
+    query = TextQuery.terms("认证 代码")
+    docs = held.packed("docs")
+    one, many = ({(r.number, r.field, r.token, tuple(r["at"])) for r in postings.postings_of(docs, True, limit).mapInArrow(postings._by_session, "token long, segment string, number long, field int, at array<int>").collect()} for limit in (postings.BLOCK, 50))
+    assert one == many
+    counts = {r.session_id: (r.tf0, r.tf1) for r in postings.phrase_counts(held, query, True).collect()}
+    for (_, s), (_, _, text) in rows.items():
+        words = text.replace("x认", "w").replace(" ", "")
+        plain = (words.count("认证") + 1.0, float(words.count("代码")))
+        assert counts.get(s) == plain, (s, text)

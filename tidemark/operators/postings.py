@@ -8,10 +8,15 @@ no longer named by the state and so is not found; ``compact`` drops it.  Readers
 open a version once and see nothing else, whatever is written meanwhile.  A
 folder of another format reads as empty, so the next refresh builds it anew.
 
-Postings are sorted by (token, session), so a token is read by ranges of a few
-files, and a token that very many sessions hold lies in many tasks.  A phrase is
-found by positions, ranks come from postings and the state alone, and with a
-limit only the texts of the rows that stay are read.
+The texts of a segment are numbered.  A row of postings holds the places of one
+token in a block of texts, packed; a block is closed after ``BLOCK`` places, so
+rows grow with blocks and tokens, not with texts and their tokens.  The task that
+reads a block writes its postings, sorted by token: nothing is shuffled, a token
+is read by ranges of the files, and one that very many sessions hold lies in many
+rows of bounded size.  Trigrams with a space or a CJK character are not kept: no
+query asks for them (``search.access_path``).  A phrase is found by positions,
+ranks come from postings and the state alone, and with a limit only the texts of
+the rows that stay are read.
 """
 
 from __future__ import annotations
@@ -24,23 +29,31 @@ from functools import reduce
 from operator import add, and_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidemark.operators import scratch
 from tidemark.operators.index import KEY, RETENTION, evict, stale
-from tidemark.operators.search import B, CJK, K1, LEAST_IDF, TextQuery, access_path, literal_rank, split_cjk, top
+from tidemark.operators.search import B, CJK, K1, LEAST_IDF, TextQuery, access_path, literal_rank, top
 
 #: Goes up whenever the layout changes.
-FORMAT = 1
+FORMAT = 2
 #: Largest limit for which the rows that stay are named to the reader of texts.
 NAMED = 1000
-
-DOCS = "provider string, session_id string, segment string, title string, content string, grams long, words long"
-STATE = "provider string, session_id string, segment string, signature string, last_seen timestamp, updated_at {at}, created_at {at}, grams long, words long"
-POSTINGS = "token long, provider string, session_id string, segment string, field int, at array<int>"
+#: Places after which a block of postings is closed; a text lies in one block.
+BLOCK = 2_000_000
+
+DOCS = "provider string, session_id string, segment string, number long, title string, content string, grams long, words long"
+STATE = "provider string, session_id string, segment string, number long, signature string, last_seen timestamp, updated_at {at}, created_at {at}, grams long, words long"
+# of a token in a block: the texts, how many places each has, the first of them and the steps between the others; ``kinds`` gives the widths
+POSTINGS = "token long, segment string, block long, kinds string, texts binary, counts binary, firsts binary, steps binary"
+PACKED = ("texts", "counts", "firsts", "steps")
 FIELDS = ("title", "content")
+# letters and digits; a word ends between two CJK characters as well
+_OTHER = r"[^\p{L}\p{N}\p{Co} ]"
 
 
 def fold(text: Column) -> Column:
@@ -54,47 +67,126 @@ def gram_codes(text: str) -> np.ndarray:
     return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
 
 
-def _word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code point, place among all words) of the words that are one CJK character."""
-    found = [(ord(w), i) for i, w in enumerate(words) if len(w) == 1 and CJK[0] <= w <= CJK[-1]]
-    return np.array([c for c, _ in found], np.int64), np.array([i for _, i in found], np.int32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
 
+def _starts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of text whose words are set apart by spaces: where words begin, and which characters are letters and CJK."""
+    letter, cjk = points != 32, (points >= ord(CJK[0])) & (points <= ord(CJK[-1]))
+    starts = letter.copy()
+    starts[1:] &= ~letter[:-1] | (cjk[1:] & cjk[:-1])
+    return starts, letter, cjk
 
-def _positions(words: bool):
-    """Rows (key, segment, field, text or words) to (token, key, segment, field, at)."""
+
+def _word_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, place among all words) of the words that are one CJK character."""
+    points = _points(text)
+    starts, letter, cjk = _starts(points)
+    alone = starts & cjk
+    alone[:-1] &= ~letter[1:] | cjk[1:]
+    return points[alone], (np.cumsum(starts) - 1)[alone]
+
+
+def _asked_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code, place) of the trigrams without a space and without a CJK character."""
+    code = gram_codes(text)
+    points = _points(text)
+    no = (points == 32) | ((points >= ord(CJK[0])) & (points <= ord(CJK[-1])))
+    at = np.flatnonzero(~(no[:-2] | no[1:-1] | no[2:])) if len(code) else np.zeros(0, np.int64)
+    return code[at], at
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    top = int(values.max()) if len(values) else 0
+    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Pieces of ``values`` between ``cuts``."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _packed(segment: str, block: int, codes: list[np.ndarray], owns: list[int], places: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows of a block: ``owns`` is, for each text, twice its number in the block plus its field."""
+    code, at = np.concatenate(codes), np.concatenate(places).astype(np.int64)
+    own = np.repeat(np.array(owns, np.int64), [len(c) for c in codes])
+    order = np.argsort(code, kind="stable")
+    code, own, at = code[order], own[order], at[order]
+    other = np.concatenate(([True], code[1:] != code[:-1]))
+    first = other | np.concatenate(([True], own[1:] != own[:-1]))
+    begins, heads = np.flatnonzero(other), np.flatnonzero(first)
+    tokens = np.append(np.searchsorted(heads, begins), len(heads))
+    more = np.append(begins, len(code)) - tokens  # places that are not the first of their text
+    steps = np.diff(at, prepend=0)[~first]
+    arrays = [_narrow(v) for v in (own[heads], np.diff(np.append(heads, len(code))), at[heads], steps)]
+    n = len(begins)
+    kinds = "".join(str(v.itemsize) for v in arrays)
+    columns = [pa.array(code[begins]), pa.array([segment] * n), pa.array([block] * n, pa.int64()), pa.array([kinds] * n), *[_binary(v, more if i == 3 else tokens) for i, v in enumerate(arrays)]]
+    return pa.RecordBatch.from_arrays(columns, ["token", "segment", "block", "kinds", *PACKED])
+
+
+def _unpacked(kinds: str, *packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of each place of a row."""
+    own, count, first, step = (np.frombuffer(raw, f"<u{kind}").astype(np.int64) for kind, raw in zip(kinds, packed, strict=True))
+    at = np.empty(int(count.sum()), np.int64)
+    heads = np.cumsum(count) - count
+    rest = np.ones(len(at), bool)
+    rest[heads] = False
+    at[rest] = step
+    at[heads] = 0
+    run = np.cumsum(at)
+    return np.repeat(own, count), run + np.repeat(first - run[heads], count)
+
+
+def _positions(words: bool, limit: int):
+    """Rows (segment, number, texts of the fields) to packed postings."""
+    cut = _word_codes if words else _asked_grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, owns, places, size, block, last = [], [], [], 0, 0, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                value = row.column(4)[0].as_py()
-                if words:
-                    code, at = _word_codes(value)
-                else:
-                    code = gram_codes(value)
-                    at = np.arange(len(code), dtype=np.int32)
-                if not len(code):
-                    continue
-                order = np.argsort(code, kind="stable")
-                code, at = code[order], at[order]
-                starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                offsets = pa.array(np.append(starts, len(code)).astype(np.int32))
-                same = pa.array(np.zeros(len(starts), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(code[starts]), *[row.column(k).take(same) for k in range(4)], pa.ListArray.from_arrays(offsets, pa.array(at))], ["token", *KEY, "segment", "field", "at"])
+            for row in range(batch.num_rows):
+                segment, number = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if size and (size >= limit or segment != last or not 0 <= number - block < 1 << 30):
+                    yield _packed(last, block, codes, owns, places)
+                    codes, owns, places, size = [], [], [], 0
+                for k in range(len(FIELDS)):
+                    code, at = cut(batch.column(2 + k)[row].as_py())
+                    if len(code):
+                        block, last = (block, last) if size else (number, segment)
+                        codes.append(code)
+                        owns.append(2 * (number - block) + k)
+                        places.append(at)
+                        size += len(code)
+        if size:
+            yield _packed(last, block, codes, owns, places)
 
     return run
 
 
-def _split_words(text: Column) -> Column:
-    return F.regexp_extract_all(split_cjk(text), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+def _letters(text: Column) -> Column:
+    """Text with a space for every character that is in no word."""
+    return F.regexp_replace(text, _OTHER, " ")
 
 
-def postings_of(docs: DataFrame, words: bool) -> DataFrame:
-    """(token, key, segment, field, at): where each token of titles and contents stands; by characters, or by words."""
-    cut = _split_words if words else fold
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), cut(F.col(c)).alias("value")) for i, c in enumerate(FIELDS)]))
-    rows = docs.select(*KEY, "segment", each.alias("f")).select(*KEY, "segment", "f.field", "f.value")
-    return rows.mapInArrow(_positions(words), POSTINGS)
+def postings_of(docs: DataFrame, words: bool, limit: int = BLOCK) -> DataFrame:
+    """``POSTINGS`` of titles and contents: where each token stands; by characters, or by words."""
+    # without a character of several bytes there is no CJK word
+    texts = [F.when(F.octet_length(c) > F.length(c), _letters(F.col(c))).otherwise("") if words else fold(F.col(c)) for c in FIELDS]
+    return docs.select("segment", "number", *[t.alias(c) for t, c in zip(texts, FIELDS, strict=True)]).mapInArrow(_positions(words, limit), POSTINGS)
+
+
+def _by_session(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows to (token, segment, number, field, at)."""
+    for batch in batches:
+        for token, segment, block, kinds, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, at = _unpacked(kinds, *packed)
+            heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            n, cuts = len(heads), pa.array(np.append(heads, len(own)).astype(np.int32))
+            columns = [pa.array([token] * n, pa.int64()), pa.array([segment] * n), pa.array(block + own[heads] // 2), pa.array((own[heads] % 2).astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "segment", "number", "field", "at"])
 
 
 @dataclass(frozen=True)
@@ -116,16 +208,23 @@ class Snapshot:
     def state(self) -> DataFrame:
         return self._read(STATE.format(at=self.at), *([f"{self.root}/state/{self.version:08d}"] if self.version else []))
 
-    def table(self, name: str) -> DataFrame:
-        """``docs``, ``grams`` or ``words`` of all segments, with what the state no longer names."""
+    def packed(self, name: str) -> DataFrame:
+        """``docs``, ``grams`` or ``words`` of all segments as they are stored, with what the state no longer names."""
         return self._read(DOCS if name == "docs" else POSTINGS, *[f"{self.root}/{name}/{s}" for s in self.segments])
 
+    def table(self, name: str) -> DataFrame:
+        """As ``packed``, but postings by session: (key, segment, token, field, at)."""
+        if name == "docs":
+            return self.packed(name)
+        rows = self.packed(name).mapInArrow(_by_session, "token long, segment string, number long, field int, at array<int>")
+        return rows.join(self.packed("docs").select(*KEY, "segment", "number"), ["segment", "number"]).select("token", *KEY, "segment", "field", "at")
+
     def live(self, name: str) -> DataFrame:
         return self.table(name).join(self.state().select(*KEY, "segment"), [*KEY, "segment"], "left_semi")
 
     def corpus(self) -> DataFrame:
         """(key, title, content, updated_at, created_at) of every session."""
-        return self.table("docs").drop("grams", "words").join(self.state().select(*KEY, "segment", "updated_at", "created_at"), [*KEY, "segment"]).drop("segment")
+        return self.table("docs").drop("number", "grams", "words").join(self.state().select(*KEY, "segment", "updated_at", "created_at"), [*KEY, "segment"]).drop("segment")
 
 
 def _file(spark: SparkSession, path: str):
@@ -173,19 +272,25 @@ def _next_version(old: Snapshot) -> int:
 
 
 def _write_segment(docs: DataFrame, root: str, segment: str, parts: int) -> DataFrame:
-    """Texts and both kinds of postings of a segment, each sorted; the texts read back."""
+    """Texts and both kinds of postings of a segment, sorted; the texts read back."""
     docs = docs.withColumn("segment", F.lit(segment)).select("provider", "session_id", "segment", "title", "content", *[_size(w).alias(n) for n, w in (("grams", False), ("words", True))])
     # written first: dealing by ranges looks at its input twice, and texts may be dear to make
     docs = scratch.settle(docs, "texts")
-    docs.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY).write.parquet(f"{root}/docs/{segment}")
+    dealt = docs.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY).withColumn("number", F.monotonically_increasing_id())
+    dealt.select([c.split()[0] for c in DOCS.split(", ")]).write.parquet(f"{root}/docs/{segment}")
     docs = docs.sparkSession.read.schema(DOCS).parquet(f"{root}/docs/{segment}")
     for name, words in (("grams", False), ("words", True)):
-        postings_of(docs, words).repartitionByRange(parts, "token", *KEY).sortWithinPartitions("token", *KEY).write.parquet(f"{root}/{name}/{segment}")
+        postings_of(docs, words).sortWithinPartitions("token", "block").write.parquet(f"{root}/{name}/{segment}")
     return docs
 
 
+@F.pandas_udf(LongType())
+def _words(letters: pd.Series) -> pd.Series:
+    return letters.map(lambda x: int(_starts(_points(x))[0].sum()), na_action="ignore")
+
+
 def _size(words: bool) -> Column:
-    count = (lambda c: F.size(_split_words(c))) if words else (lambda c: F.greatest(F.length(fold(c)) - 2, F.lit(0)))
+    count = (lambda c: _words(_letters(c))) if words else (lambda c: F.greatest(F.length(fold(c)) - 2, F.lit(0)))
     return reduce(add, [count(F.col(c)) for c in FIELDS]).cast("long")
 
 
@@ -236,7 +341,7 @@ def refresh(spark: SparkSession, root: str, seen: DataFrame, corpus: DataFrame,
     todo = stale(state, seen)
     text = corpus.groupBy(*KEY).agg(F.max("content").alias("content")).filter(F.col("content").isNotNull())
     docs = _write_segment(todo.select(*KEY, F.coalesce("title", F.lit("")).alias("title")).join(text, KEY), old.root, segment, parts)
-    fresh = docs.select(*KEY, "segment", "grams", "words").join(seen.drop("title"), KEY).withColumn("last_seen", now)
+    fresh = docs.select(*KEY, "segment", "number", "grams", "words").join(seen.drop("title"), KEY).withColumn("last_seen", now)
     kept = state.join(docs.select(*KEY), KEY, "left_anti").join(seen.select(*KEY, F.lit(True).alias("here")), KEY, "left")
     kept = kept.withColumn("last_seen", F.when(F.col("here"), now).otherwise(F.col("last_seen"))).drop("here")
     return _kept(old, kept.unionByName(fresh.select(*kept.columns)), version, (*old.segments, segment))
@@ -247,8 +352,8 @@ def compact(spark: SparkSession, root: str, parts: int | None = None) -> Snapsho
     old = current(spark, root)
     version = _next_version(old)
     segment = f"{version:08d}-{uuid.uuid4().hex[:8]}"
-    _write_segment(old.live("docs").select(*KEY, "title", "content"), old.root, segment, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _kept(old, old.state().withColumn("segment", F.lit(segment)), version, (segment,))
+    docs = _write_segment(old.live("docs").select(*KEY, "title", "content"), old.root, segment, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _kept(old, old.state().drop("segment", "number").join(docs.select(*KEY, "segment", "number"), KEY), version, (segment,))
 
 
 def clear(spark: SparkSession, root: str, provider: str) -> Snapshot:
@@ -266,32 +371,39 @@ def _phrase(spark: SparkSession, literal: str, words: bool) -> list[tuple[int, i
     return [(i, codes[i]) for i in dict.fromkeys([*range(0, len(codes), 3), len(codes) - 1])]
 
 
-def _moved(at: Column, offset: int) -> Column:
-    return F.transform(at, lambda p: p - offset)
+def _phrases_in(phrases: list[list[tuple[int, int]]]):
+    """The rows of a block to (segment, number, tf0, tf1, ...) of the texts that hold one of the phrases."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        held = {}
+        for i, token in enumerate(rows["token"]):
+            own, at = _unpacked(rows["kinds"][i], *(rows[c][i] for c in PACKED))
+            held[token] = (own << 32) | at
+        none, block = np.zeros(0, np.int64), rows["block"][0]
+        found = [reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), [held.get(t, none) - o for o, t in p]) >> 33 for p in phrases]
+        texts = np.unique(np.concatenate(found))
+        tf = [np.bincount(np.searchsorted(texts, f), minlength=len(texts)).astype(np.float64) for f in found]
+        return pa.table({"segment": pa.array(rows["segment"][:1] * len(texts), pa.string()), "number": texts + block, **{f"tf{i}": t for i, t in enumerate(tf)}})
+
+    return run
 
 
 def phrase_counts(snapshot: Snapshot, query: TextQuery, words: bool) -> DataFrame:
-    """(key, segment, tf0, tf1, ...): how often each literal occurs in a session of the version, for sessions that hold one."""
+    """(key, segment, updated_at, created_at, grams, words, tf0, tf1, ...): how often each literal occurs in a session of the version, for sessions that hold one."""
     phrases = [_phrase(snapshot.spark, x, words) for x in query.literals]
     tokens = sorted({t for p in phrases for _, t in p})
-    hits = snapshot.table("words" if words else "grams").filter(F.col("token").isin(tokens))
-    found = [F.first(F.when(F.col("token") == t, F.col("at")), ignorenulls=True).alias(f"at{i}") for i, t in enumerate(tokens)]
-    rows = hits.groupBy(*KEY, "segment", "field").agg(*found)
-
-    def count(phrase: list[tuple[int, int]]) -> Column:
-        begins = [_moved(F.col(f"at{tokens.index(t)}"), o) for o, t in phrase]
-        return F.when(reduce(and_, [b.isNotNull() for b in begins]), F.size(reduce(F.array_intersect, begins))).otherwise(0)
-
-    rows = rows.select(*KEY, "segment", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    sums = [F.sum(f"tf{i}").cast("double").alias(f"tf{i}") for i in range(len(phrases))]
-    return rows.groupBy(*KEY, "segment").agg(*sums).filter(reduce(add, [F.col(f"tf{i}") for i in range(len(phrases))]) > 0)
+    hits = snapshot.packed("words" if words else "grams").filter(F.col("token").isin(tokens))
+    schema = ", ".join(["segment string, number long", *[f"tf{i} double" for i in range(len(phrases))]])
+    found = hits.groupBy("segment", "block").applyInArrow(_phrases_in(phrases), schema)
+    state = snapshot.state().select(*KEY, "segment", "number", "updated_at", "created_at", "grams", "words")
+    return state.join(found, ["segment", "number"]).drop("number")
 
 
 def _ranked(snapshot: Snapshot, query: TextQuery, words: bool) -> DataFrame:
     """(key, segment, updated_at, created_at, rank) of sessions that hold every literal, by BM25 among all sessions."""
-    counts = phrase_counts(snapshot, query, words)
-    size = F.col("words" if words else "grams").cast("double").alias("len")
-    rows = scratch.settle(counts.join(snapshot.state().select(*KEY, "segment", "updated_at", "created_at", size), [*KEY, "segment"]), "phrase-counts")
+    counts = phrase_counts(snapshot, query, words).withColumn("len", F.col("words" if words else "grams").cast("double"))
+    rows = scratch.settle(counts.drop("grams", "words"), "phrase-counts")
     held = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query.literals))]).first()
     mean = (snapshot.words if words else snapshot.grams) / max(snapshot.n, 1)
     rank = F.lit(0.0)
@@ -308,7 +420,7 @@ def _order() -> list[Column]:
 
 def _with_texts(snapshot: Snapshot, found: DataFrame, named: bool) -> DataFrame:
     """``found`` with title and content; few rows are named to the reader, so files and row groups without them are skipped."""
-    docs = snapshot.table("docs").drop("grams", "words")
+    docs = snapshot.table("docs").drop("number", "grams", "words")
     if named:
         found = scratch.settle(found, "found")
         ids = found.select(*KEY, "segment").collect()
