@@ -1,7 +1,9 @@
 """Sessions kept as JSON lines: one file a session.
 
-Files are read as text in splits of ``spark.sql.files.maxPartitionBytes``, so a
-long file is many tasks and never one cell.  Lines are numbered inside their
+Folders that tasks can open are listed by tasks and read by ranges of their files
+(``listed``, ``records_in``): many small files share a task, and no listing comes
+to the driver.  Files elsewhere are read as text in splits of
+``spark.sql.files.maxPartitionBytes``, so a long file is many tasks and never one cell.  Lines are numbered inside their
 split; what the splits before hold is added from one row a split, so no task
 sees a whole long file.  Bad lines are counted and skipped, and an unfinished
 last line is ignored.  ``records_in`` reads only the files it is given, by
@@ -10,6 +12,7 @@ ranges that are planned from their sizes.
 
 from __future__ import annotations
 
+import fnmatch
 import itertools
 import json
 from collections.abc import Iterator
@@ -18,7 +21,9 @@ import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tidemark.operators.scratch import settle
 
 RECORDS = "path string, line long, record string, bad long"
 # fixed values: bytes of a file that is listed as a whole, and of the first and last part read of a longer one
@@ -54,12 +59,74 @@ def _reader(spark: SparkSession, kind: str, pattern: str, since: str | None):
 
 def files(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
     """(path, modified, size) of the files; their contents are not read.  With ``since`` (``yyyy-MM-dd'T'HH:mm:ss``) files not modified after it are not listed."""
+    if _by_tasks(root, pattern, since):
+        return listed(spark, root, pattern)
     found = _reader(spark, "binaryFile", pattern, since).load(root)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
+def _by_tasks(root: str, pattern: str, since: str | None) -> bool:
+    """Whether tasks can list a folder themselves: a plain folder that Python sees as well, all its files."""
+    if since or not root.startswith(("/", "file:/")) or set(root + pattern) & set("{}[]?\\,") or "*" in root:
+        return False
+    return pafs.LocalFileSystem().get_file_info(_local(root)).type == pafs.FileType.Directory
+
+
+def _local(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def listed(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """As ``files``, listed by tasks, a level of folders at a time; the driver sees no file.
+
+    Hidden and empty files and hidden folders are left out, as by Spark's readers."""
+    schema = "path string, folder boolean, modified long, size long"
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, hidden = pafs.LocalFileSystem(), lambda n: n[0] == "." or n[0] == "_" and "=" not in n or n.endswith("._COPYING_")
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                for x in fs.get_file_info(pafs.FileSelector(_local(path))):
+                    is_folder = x.type == pafs.FileType.Directory
+                    if not hidden(x.base_name) and (is_folder or x.size and fnmatch.fnmatchcase(x.base_name, pattern)):
+                        rows.append((f"file:{x.path}", is_folder, (x.mtime_ns or 0) // 1_000_000, None if is_folder else x.size))
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["path", "folder", "modified", "size"]).astype({"size": "Int64"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=["path", "folder", "modified", "size"]).astype({"size": "Int64"})
+
+    level, found = spark.createDataFrame([(root,)], "path string"), []
+    while level is not None:
+        rows = settle(level.mapInPandas(children, schema), "listed")
+        found.append(rows.filter("not folder"))
+        folders = rows.filter("folder").select("path")
+        level = folders.repartition(4 * spark.sparkContext.defaultParallelism) if folders.head(1) else None
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("path", F.timestamp_millis("modified").alias("modified"), "size")
+
+
+def texts_of(held: DataFrame) -> DataFrame:
+    """``held(path, ...)`` with the whole text of each file as ``value``; for files of one short record."""
+    schema = StructType([*held.schema.fields, StructField("value", StringType())])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = []
+            for path in batch["path"]:
+                with open_file(path) as source:
+                    values.append(source.read().decode(errors="replace"))
+            yield batch.assign(value=values)
+
+    return held.mapInPandas(read, schema)
+
+
 def records(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: str | None = None) -> DataFrame:
     """(path, line, record, bad) of every file below ``root``; with ``since``, of the files modified after it."""
+    if _by_tasks(root, pattern, since):
+        return records_in(listed(spark, root, pattern).select("path", "size"))
     lines = _reader(spark, "text", pattern, since).option("lineSep", "\n").load(root)
     lines = lines.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("alone"), F.col("value").cast("binary").alias("raw"))
     filled = F.decode("raw", "ISO-8859-1").rlike(r"[^ \t\r\x0B\f]")

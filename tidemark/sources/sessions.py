@@ -188,16 +188,17 @@ def kimi_sessions(spark: SparkSession, root: str, settings: str | None = None, s
     whole = lambda path, name: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
     folder = lambda path: F.regexp_extract(path, r"^(?:file:)?/*(.*)/[^/]+$", 1)
     v = F.col("v")
-    meta = whole(root, "metadata.json").select(folder(F.col("_metadata.file_path")).alias("folder"), F.col("_metadata.file_modification_time").alias("modified"), F.try_parse_json("value").alias("v"))
+    every = files(spark, root, "*").select("path", "modified", "size", folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    meta = jsonl.texts_of(every.filter("name = 'metadata.json'").select("path", "folder", "modified")).select("folder", "modified", F.try_parse_json("value").alias("v"))
     made = F.coalesce(_epoch_ms((_get(v, "$.wire_mtime", "double") * 1000).cast("bigint")), "modified")
     if since is not None:
         meta = meta.filter(made >= since)
-    listed = files(spark, root).select("path", folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "size").filter(F.col("name").isin("context.jsonl", "wire.jsonl"))
+    listed = every.filter(F.col("name").isin("context.jsonl", "wire.jsonl"))
     held = listed.groupBy("folder").agg(F.max(F.when(F.col("name") == "context.jsonl", F.col("size"))).alias("size"))
-    if since is None:
-        records = jsonl.records(spark, root, "context.jsonl")
-    else:
-        records = jsonl.records_in(listed.filter("name = 'context.jsonl'").join(meta.select("folder"), "folder", "left_semi").select("path", "size"), count)
+    context = listed.filter("name = 'context.jsonl'")
+    if since is not None:
+        context = context.join(meta.select("folder"), "folder", "left_semi")
+    records = jsonl.records_in(context.select("path", "size"), count)
     counted = transcripts.kimi_messages(records).groupBy(folder(F.col("session")).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
     rows = meta.join(held, "folder").join(counted, "folder", "left").withColumn("hash", F.element_at(F.split("folder", "/"), -2))
     if settings:
