@@ -18,7 +18,8 @@ only qualifying groups are opened and compared exactly:
 4. What is left is put into bounded groups of sets that share a minimum hash, or
    a common token of their prefixes, with their token union; groups that share a prefix token in sets of different classes are
    paired, the overlap of each query set with the other group's union is bounded,
-   and only qualifying sets open the group.
+   and only qualifying sets open the group.  Groups are dealt to tiles; where
+   many pairs lie between two tiles, the tiles are sent once for all of them.
 
 Tokens are dealt over the parts of the token space in one step, or in two when
 there are more than ``FAN`` parts: no block of tokens ever addresses more.
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_of, discard, group_best, pick, settle, sized, small_side, text_bytes, union_all
+from tidemark.llm.common import columns_of, discard, gathered, group_best, pick, settle, sized, small_side, text_bytes, union_all
 from tidemark.llm.components import connected_components
 from tidemark.llm.tokens import SHINGLE, mix, set_digest, shingle_set
 
@@ -58,6 +59,8 @@ FAN = 1024
 LEVELS = 3
 #: Minimum hashes under which representatives meet, and how often they are drawn anew.
 HASHES, TURNS = 8, 4
+#: Groups of a tile, and bytes after which there are more tiles.
+TILE_GROUPS, TILE_BYTES = 16, 1 << 20
 
 _BLOB = "part int, keys binary, groups binary, counts binary, tokens binary, meta binary"
 _SEEDS = [np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)]
@@ -338,18 +341,23 @@ def meet_classes(sets: DataFrame, members: DataFrame, share: int) -> DataFrame:
     """``members(node, class)`` with classes merged where representatives link.
 
     ``sets`` is (node, n, tokens).  Under each minimum hash a class sends one of
-    its sets, in every turn another; turns end when none merges anything."""
-    minima = settle(sets.select("node", "tokens").mapInArrow(_minima(HASHES), "node long, key long"), "minima")
+    its sets, in every turn another; turns end when one merges less than a
+    hundredth of the classes: what is left is cheaper to find by prefixes."""
+    minima = gathered(settle(sets.select("node", "tokens").mapInArrow(_minima(HASHES), "node long, key long"), "minima"))
+    most = members.count()
     for turn in range(TURNS):
-        keyed = minima.join(members, "node").groupBy("key", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+        keyed = minima.join(gathered(members), "node").groupBy("key", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
         met = group_best(keyed.withColumn("order", F.col("class")), "key", "order", "class").filter("group_size > 1").select("key", "class", "node")
         sent = met.join(sets, "node").select("key", "class", "n", "tokens").repartitionByRange("key", "class").sortWithinPartitions("key", "class")
         links = settle(sent.mapInArrow(_meet(GROUP_ROWS, GROUP_TOKENS, share), "a long, b long"), "meet", free=True)
         merged = connected_components(links)
-        if not merged.head(1):
+        gone = merged.filter("node <> component").count()
+        if not gone:
             break
         named = members.join(merged.withColumnRenamed("node", "class"), "class", "left")
         members = settle(named.select("node", F.coalesce("component", "class").alias("class")), "members")
+        if 100 * gone < most:
+            break
     return members
 
 
@@ -463,9 +471,12 @@ def _pair_groups(table: pa.Table) -> pa.Table:
 def link_groups(query: tuple, group: tuple, union: np.ndarray, share: int) -> list[tuple[int, int]]:
     """Links between sets of two groups (nodes, classes, token sets), one at most for each pair of classes that is joined.
 
-    Each query set is bounded by its overlap with the group's token union; only
-    qualifying sets open the group."""
-    open_ = [i for i, q in enumerate(query[2]) if 100 * np.isin(q, union, assume_unique=True).sum() >= share * len(q)]
+    Each query set is bounded by its overlap with the group's token union, which
+    is sorted; only qualifying sets open the group.  No set is empty."""
+    size = np.array([len(q) for q in query[2]])
+    tokens = np.concatenate(query[2])
+    known = union[np.minimum(np.searchsorted(union, tokens), len(union) - 1)] == tokens
+    open_ = np.flatnonzero(100 * np.add.reduceat(known.astype(np.int64), np.cumsum(size) - size) >= share * size).tolist()
     if not open_:
         return []
     inter = overlaps([query[2][i] for i in open_] + group[2])[: len(open_), len(open_) :]
@@ -491,6 +502,72 @@ def _open_groups(share: int):
     return run
 
 
+def _open_tiles(share: int):
+    """Rows of two tiles and the pairs of their groups: links between sets of paired groups."""
+
+    def opened(tile) -> dict[int, tuple]:
+        return {g["gid"]: ((np.frombuffer(g["nodes"], np.int64), np.frombuffer(g["classes"], np.int64), _members(g["sizes"], g["tokens"])), np.frombuffer(g["union"], np.uint64)) for g in tile.as_py()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs, first, second in zip(*batch.columns, strict=True):
+                left, right = opened(first), opened(second)
+                both = {**left, **right}
+                found = [link for p in pairs.as_py() for link in link_groups(both[p["a"]][0], *both[p["b"]], share)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _open_own(share: int):
+    """Groups: links between their own sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, classes, sizes, tokens, union in zip(*batch.columns, strict=True):
+                own = (np.frombuffer(nodes.as_buffer(), np.int64), np.frombuffer(classes.as_buffer(), np.int64), _members(sizes.as_buffer(), tokens.as_buffer()))
+                found = link_groups(own, own, np.frombuffer(union.as_buffer(), np.uint64), share) if len(set(own[1].tolist())) > 1 else []
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _placed(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the tiles (x, y) of their groups.
+
+    Groups that are in about as many pairs share tiles, so pairs among groups that
+    all meet lie between few tiles.  Tiles are numbered by band and hash, and the
+    bands are powers of two: their table has at most 64 rows."""
+    degree = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).groupBy("gid").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("band"))
+    banded = settle(groups.select("gid", F.octet_length("tokens").alias("size")).join(degree, "gid"), "bands")
+    tiles = {band: max(sized(n, TILE_GROUPS), sized(size, TILE_BYTES)) for band, n, size in banded.groupBy("band").agg(F.count(F.lit(1)), F.sum("size")).collect()}
+    within = F.coalesce(*[F.when(F.col("band") == band, F.pmod(F.xxhash64("gid"), F.lit(n))) for band, n in tiles.items()], F.lit(0))
+    tile = banded.select("gid", (F.col("band") * F.lit(1 << 40) + within).alias("tile"))
+    found = pairs.join(tile.select(F.col("gid").alias("a"), F.col("tile").alias("ta")), "a").join(tile.select(F.col("gid").alias("b"), F.col("tile").alias("tb")), "b")
+    return found.select("a", "b", F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y"), "ta", "tb")
+
+
+def cross_groups(groups: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between sets of the paired groups of ``pairs(a, b)``, and between sets of one group.
+
+    Two tiles with many pairs between them are sent once for all these pairs; the
+    groups of other pairs are sent pair by pair."""
+    columns = ("nodes", "classes", "sizes", "tokens")
+    links = "a long, b long"
+    by_own = groups.select(*columns, "union").mapInArrow(_open_own(share), links)
+    placed = _placed(groups, settle(pairs.filter("a <> b"), "cross", free=True))
+    met = settle(placed.groupBy("x", "y").agg(F.collect_list(F.struct("a", "b", "ta", "tb")).alias("pairs")), "pairs", free=True)
+    dense = F.size("pairs") >= TILE_GROUPS
+    ends = met.filter(dense).select(F.explode("pairs").alias("p")).select(F.explode(F.array(F.struct(F.col("p.a").alias("gid"), F.col("p.ta").alias("tile")), F.struct(F.col("p.b").alias("gid"), F.col("p.tb").alias("tile")))).alias("e")).select("e.*").distinct()
+    whole = settle(groups.select("gid", *columns, "union").join(ends, "gid").groupBy("tile").agg(F.collect_list(F.struct("gid", *columns, "union")).alias("groups")), "tiles", free=True)
+    tiled = met.filter(dense).join(whole.select(F.col("tile").alias("x"), F.col("groups").alias("left")), "x").join(whole.select(F.col("tile").alias("y"), F.col("groups").alias("right")), "y")
+    by_tile = tiled.select("pairs", "left", "right").mapInArrow(_open_tiles(share), links)
+    side = lambda n, *more: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in (*columns, *more)])
+    single = met.filter(~dense).select(F.explode("pairs").alias("p")).select("p.a", "p.b")
+    opened = single.join(side("a"), "a").join(side("b", "union"), "b").select(*[f"{n}_{c}" for n in "ab" for c in columns], "b_union")
+    return union_all([by_own, by_tile, opened.mapInArrow(_open_groups(share), links)])
+
+
 def _crossing(sets: DataFrame, parts: int, share: int) -> DataFrame:
     """The rows of ``sets(node, class, n, tokens, k0)`` of whose tokens enough lie in other classes' sets; only they can link to one."""
     counts = _dealt(sets.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(_count_shared, _COUNT)
@@ -536,10 +613,7 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     ranked = left.join(each, "node").select("k0", "node", "n", "class", "tokens", "rarity").mapInArrow(_heads(parts, share), _RANKED)
     groups = settle(ranked.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
     pairs = _dealt(groups.select("gid", "classes", "cuts", "heads"), _spread_prefixes, parts).applyInArrow(_pair_groups, "a long, b long").distinct()
-    columns = ("nodes", "classes", "sizes", "tokens")
-    side = lambda n, *more: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in (*columns, *more)])
-    opened = pairs.join(side("a"), "a").join(side("b", "union"), "b").select(*[f"{n}_{c}" for n in "ab" for c in columns], "b_union")
-    crossed = settle(opened.mapInArrow(_open_groups(share), "a long, b long"), "crossed", free=True)
+    crossed = settle(cross_groups(groups, pairs, share), "crossed", free=True)
 
     same = copies.filter("doc_id <> best").select(F.col("doc_id").alias("a"), F.col("best").alias("b"))
     merged = classes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
