@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns_of, discard, gathered, group_best, pick, settle, sized, small_side, text_bytes, union_all
+from tidemark.llm.common import columns_of, discard, gathered, group_best, pick, released, released_group, settle, sized, small_side, text_bytes, union_all
 from tidemark.llm.components import connected_components
 from tidemark.llm.tokens import SHINGLE, mix, set_digest, shingle_set
 
@@ -132,9 +132,9 @@ def _deal_on(parts: int, fan: int):
 def _dealt(rows: DataFrame, spread: Callable, parts: int):
     """Blobs of ``rows`` by part, grouped; ``spread(parts, fan)`` makes the first blobs."""
     fan = FAN
-    blobs = rows.mapInArrow(spread(parts, fan), _BLOB)
+    blobs = rows.mapInArrow(released(spread(parts, fan)), _BLOB)
     if parts > fan:
-        blobs = blobs.repartition(-(-parts // fan), "part").mapInArrow(_deal_on(parts, fan), _BLOB)
+        blobs = blobs.repartition(-(-parts // fan), "part").mapInArrow(released(_deal_on(parts, fan)), _BLOB)
     return blobs.groupBy("part")
 
 
@@ -343,13 +343,13 @@ def meet_classes(sets: DataFrame, members: DataFrame, share: int) -> DataFrame:
     ``sets`` is (node, n, tokens).  Under each minimum hash a class sends one of
     its sets, in every turn another; turns end when one merges less than a
     hundredth of the classes: what is left is cheaper to find by prefixes."""
-    minima = gathered(settle(sets.select("node", "tokens").mapInArrow(_minima(HASHES), "node long, key long"), "minima"))
+    minima = gathered(settle(sets.select("node", "tokens").mapInArrow(released(_minima(HASHES)), "node long, key long"), "minima"))
     most = members.count()
     for turn in range(TURNS):
         keyed = minima.join(gathered(members), "node").groupBy("key", "class").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
         met = group_best(keyed.withColumn("order", F.col("class")), "key", "order", "class").filter("group_size > 1").select("key", "class", "node")
         sent = met.join(sets, "node").select("key", "class", "n", "tokens").repartitionByRange("key", "class").sortWithinPartitions("key", "class")
-        links = settle(sent.mapInArrow(_meet(GROUP_ROWS, GROUP_TOKENS, share), "a long, b long"), "meet", free=True)
+        links = settle(sent.mapInArrow(released(_meet(GROUP_ROWS, GROUP_TOKENS, share)), "a long, b long"), "meet", free=True)
         merged = connected_components(links)
         gone = merged.filter("node <> component").count()
         if not gone:
@@ -554,23 +554,23 @@ def cross_groups(groups: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     groups of other pairs are sent pair by pair."""
     columns = ("nodes", "classes", "sizes", "tokens")
     links = "a long, b long"
-    by_own = groups.select(*columns, "union").mapInArrow(_open_own(share), links)
+    by_own = groups.select(*columns, "union").mapInArrow(released(_open_own(share)), links)
     placed = _placed(groups, settle(pairs.filter("a <> b"), "cross", free=True))
     met = settle(placed.groupBy("x", "y").agg(F.collect_list(F.struct("a", "b", "ta", "tb")).alias("pairs")), "pairs", free=True)
     dense = F.size("pairs") >= TILE_GROUPS
     ends = met.filter(dense).select(F.explode("pairs").alias("p")).select(F.explode(F.array(F.struct(F.col("p.a").alias("gid"), F.col("p.ta").alias("tile")), F.struct(F.col("p.b").alias("gid"), F.col("p.tb").alias("tile")))).alias("e")).select("e.*").distinct()
     whole = settle(groups.select("gid", *columns, "union").join(ends, "gid").groupBy("tile").agg(F.collect_list(F.struct("gid", *columns, "union")).alias("groups")), "tiles", free=True)
     tiled = met.filter(dense).join(whole.select(F.col("tile").alias("x"), F.col("groups").alias("left")), "x").join(whole.select(F.col("tile").alias("y"), F.col("groups").alias("right")), "y")
-    by_tile = tiled.select("pairs", "left", "right").mapInArrow(_open_tiles(share), links)
+    by_tile = tiled.select("pairs", "left", "right").mapInArrow(released(_open_tiles(share)), links)
     side = lambda n, *more: groups.select(F.col("gid").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in (*columns, *more)])
     single = met.filter(~dense).select(F.explode("pairs").alias("p")).select("p.a", "p.b")
     opened = single.join(side("a"), "a").join(side("b", "union"), "b").select(*[f"{n}_{c}" for n in "ab" for c in columns], "b_union")
-    return union_all([by_own, by_tile, opened.mapInArrow(_open_groups(share), links)])
+    return union_all([by_own, by_tile, opened.mapInArrow(released(_open_groups(share)), links)])
 
 
 def _crossing(sets: DataFrame, parts: int, share: int) -> DataFrame:
     """The rows of ``sets(node, class, n, tokens, k0)`` of whose tokens enough lie in other classes' sets; only they can link to one."""
-    counts = _dealt(sets.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(_count_shared, _COUNT)
+    counts = _dealt(sets.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(released_group(_count_shared), _COUNT)
     most = counts.groupBy(F.col("d1").alias("node")).agg(F.sum("shared").alias("shared"))
     near = settle(sets.select("node", "n").distinct().join(most, "node").filter(f"100 * shared >= {share} * n").select("node"), "near", free=True)
     return sets.join(small_side(near), "node")
@@ -584,7 +584,7 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = sized(text_bytes(plain), PART_BYTES, least=32)
     blobs = _dealt(plain, lambda parts, fan: _spread_documents(parts, fan, k), parts)
-    counted = settle(blobs.applyInArrow(_count_shared, _COUNT), "overlap", free=True)
+    counted = settle(blobs.applyInArrow(released_group(_count_shared), _COUNT), "overlap", free=True)
 
     rows = counted.filter("shared is null").select("doc_id", "n", "d1", "d2")
     bound = counted.groupBy("d1").agg(F.sum("shared").alias("shared"), F.sum(F.when(F.col("shared").isNull() & F.col("doc_id").isNotNull(), F.col("n"))).alias("n"))
@@ -593,13 +593,13 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     named = rows.filter("n > 0 and doc_id is not null").withColumn("digest", F.struct("d1", "d2")).withColumn("order", F.col("doc_id"))
     copies = settle(group_best(named.select("doc_id", "digest", "order"), "digest", "order", "doc_id").select("doc_id", "digest", "best"), "copies")
     firsts = settle(copies.filter("doc_id = best").select("doc_id", F.col("digest.d1").alias("d1"), F.col("digest.d2").alias("d2")).distinct().join(alive, "d1", "left_semi"), "firsts")
-    sets = settle(plain.join(small_side(firsts), "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(_sets(k), _SET), "sets", free=True)
+    sets = settle(plain.join(small_side(firsts), "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(released(_sets(k)), _SET), "sets", free=True)
 
     links, level = [], sets
     for j in range(LEVELS):
         key = f"k{j}"
         dealt = level.select(F.col(key).alias("key"), "node", "n", "tokens", "k0", "k1", "k2").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-        done = settle(dealt.mapInArrow(_level(GROUP_ROWS, GROUP_TOKENS, share), _SET + ", root long"), f"level{j}", free=True)
+        done = settle(dealt.mapInArrow(released(_level(GROUP_ROWS, GROUP_TOKENS, share)), _SET + ", root long"), f"level{j}", free=True)
         links.append(done.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         level = done.filter("node = root").drop("root")
 
@@ -608,11 +608,11 @@ def jaccard_classes(docs: DataFrame, share: int = 80, k: int = SHINGLE) -> DataF
     first = settle(_crossing(classed, parts, share).dropDuplicates(["node"]), "crossing", free=True)
     members = meet_classes(first.select("node", "n", "tokens"), settle(first.select("node", "class"), "members"), share)
     left = settle(_crossing(first.drop("class").join(members, "node").select("node", "class", "n", "tokens", "k0"), parts, share), "left", free=True)
-    rare = _dealt(left.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(_rarity, "node long, part int, rarity binary")
+    rare = _dealt(left.select("node", "class", "tokens"), _spread_sets, parts).applyInArrow(released_group(_rarity), "node long, part int, rarity binary")
     each = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "rarity"))).alias("rarity"))
-    ranked = left.join(each, "node").select("k0", "node", "n", "class", "tokens", "rarity").mapInArrow(_heads(parts, share), _RANKED)
-    groups = settle(ranked.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_gather(GROUP_ROWS, GROUP_TOKENS), _GROUP), "groups", free=True)
-    pairs = _dealt(groups.select("gid", "classes", "cuts", "heads"), _spread_prefixes, parts).applyInArrow(_pair_groups, "a long, b long").distinct()
+    ranked = left.join(each, "node").select("k0", "node", "n", "class", "tokens", "rarity").mapInArrow(released(_heads(parts, share)), _RANKED)
+    groups = settle(ranked.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(released(_gather(GROUP_ROWS, GROUP_TOKENS)), _GROUP), "groups", free=True)
+    pairs = _dealt(groups.select("gid", "classes", "cuts", "heads"), _spread_prefixes, parts).applyInArrow(released_group(_pair_groups), "a long, b long").distinct()
     crossed = settle(cross_groups(groups, pairs, share), "crossed", free=True)
 
     same = copies.filter("doc_id <> best").select(F.col("doc_id").alias("a"), F.col("best").alias("b"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, columns_of, held_out, pick
+from tidemark.llm.common import BROADCAST_ROWS, columns_of, held_out, pick, position, released
 
 #: Bound of the training sample: texts of a language that are asked for, and characters kept of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 160_000
@@ -132,14 +132,16 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int =
 _PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
-def _predict(samples: dict[str, bytes], extra: int):
+def _predict(samples: dict[str, bytes], at: int, whole: bool = False):
+    """Adds the prediction for column ``at``, which is left out unless ``whole``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = Compressors(samples)
         for batch in batches:
-            text = batch.column(extra)
-            found = [tools.classify(t.as_py()) for t in text]
+            found = [tools.classify(t.as_py()) for t in batch.column(at)]
+            kept = [i for i in range(batch.num_columns) if whole or i != at]
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != extra or extra == 0), *made], [*(batch.schema.names[i] for i in range(batch.num_columns) if i != extra or extra == 0), "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], [*(batch.schema.names[i] for i in kept), "lang_pred", "score", "rejected"])
 
     return run
 
@@ -147,14 +149,17 @@ def _predict(samples: dict[str, bytes], extra: int):
 def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every row of ``docs(doc_id, text)``."""
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = plain.mapInArrow(_predict(samples, 1), _PREDICTED)
+    found = plain.mapInArrow(released(_predict(samples, 1)), _PREDICTED)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all columns."""
+    """The rows of ``docs`` that are not rejected, all columns; a text that is a string already is sent once."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    (text,) = columns_of(docs.columns, "text")
-    first = docs.toDF(*names).select(text.cast("string").alias("__text"), *names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", lang_pred string, score double, rejected boolean"
-    return first.mapInArrow(_predict(samples, 0), schema).filter("not rejected").select(*names).toDF(*docs.columns)
+    first, at = docs.toDF(*names), position(docs.columns, "text")
+    plain = at is not None and docs.schema[at].dataType.typeName() == "string"
+    if not plain:
+        (text,) = columns_of(docs.columns, "text")
+        first, at = first.withColumn("__text", text.cast("string")), len(names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema if f.name in names) + ", lang_pred string, score double, rejected boolean"
+    return first.mapInArrow(released(_predict(samples, at, whole=plain)), schema).filter("not rejected").select(*names).toDF(*docs.columns)

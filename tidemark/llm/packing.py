@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, settle
+from tidemark.llm.common import pick, released, settle
 
 END = 2
 #: Words a task keeps encoded; the cache is emptied beyond, which costs time only.
@@ -148,15 +148,12 @@ def _spaced(text: str) -> str:
     return text
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        coder = WordEncoder(path)
         part, start = TaskContext.get().partitionId(), 0
         end = np.array([END], "<u2").tobytes()
         rows: list[tuple] = []
@@ -215,10 +212,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, with_ids
     if Tokenizer.from_file(tokenizer).get_vocab_size() > 65536:
         raise ValueError("ids must fit 16 bits")
     plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    coded = settle(plain.mapInArrow(_encode(tokenizer), _CODED), "coded")
+    coded = settle(plain.mapInArrow(released(_encode(tokenizer)), _CODED), "coded")
     totals = coded.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     # one row for each task of pass one, a list that the driver's scheduler holds as well
     stream = coded.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
-    return stream.mapInArrow(_cut(window, with_ids), _PIECE if with_ids else _PIECE.rpartition(",")[0])
+    return stream.mapInArrow(released(_cut(window, with_ids)), _PIECE if with_ids else _PIECE.rpartition(",")[0])
