@@ -14,6 +14,7 @@ The state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass`
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
@@ -31,6 +32,33 @@ _NAMES = [c.split()[0] for c in PARTS.split(", ")]
 _WAITING = [c.split()[0] for c in _ITEM.split(", ")]
 
 
+_EPOCH, _MS = datetime(1970, 1, 1, tzinfo=UTC), timedelta(milliseconds=1)
+
+
+def _stamp(row: tuple) -> int:
+    at = row[-1]
+    return ((at if at.tzinfo else at.replace(tzinfo=UTC)) - _EPOCH) // _MS
+
+
+class _Held:
+    """A map state while a session is at work: each key is read once at most and written once; a new session has nothing to read."""
+
+    def __init__(self, state, empty: bool) -> None:
+        self.state, self.empty, self.known, self.changed = state, empty, {}, {}
+
+    def get(self, key) -> tuple | None:
+        if key not in self.known:
+            self.known[key] = self.state.getValue((key,)) if not self.empty and self.state.containsKey((key,)) else None
+        return self.known[key]
+
+    def put(self, key, value: tuple) -> None:
+        self.known[key] = self.changed[key] = value
+
+    def write(self) -> None:
+        for key, value in self.changed.items():
+            self.state.updateValue((key,), value)
+
+
 class _Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -41,10 +69,10 @@ class _Fold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [tuple(r) for some in rows for r in self._plain(some)]
-        yield from self._take(key[0], [*(tuple(r) for r in self.early.get()), *fresh], timerValues)
+        yield from self._take(key[0], [tuple(r) for r in self.early.get()], fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._take(key[0], [tuple(r) for r in self.early.get()], timerValues)
+        yield from self._take(key[0], [tuple(r) for r in self.early.get()], [], timerValues)
 
     def close(self) -> None:
         pass
@@ -54,22 +82,32 @@ class _Fold(StatefulProcessor):
         for row in some[_WAITING].itertuples(index=False, name=None):
             yield tuple(list(x) if name == "output" and x is not None else None if x is None or (not isinstance(x, (list, str)) and pd.isna(x)) else x.to_pydatetime() if name == "ts" else x for name, x in zip(_WAITING, row, strict=True))
 
-    def _take(self, session: str, items: list[tuple], timers) -> Iterator[pd.DataFrame]:
+    def _take(self, session: str, early: list[tuple], fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
+        """Folds what the watermark has passed; the others wait, under one timer at the first of them."""
         mark = timers.getCurrentWatermarkInMs()
-        stamp = lambda r: int(pd.Timestamp(r[-1]).tz_localize("UTC").timestamp() * 1000) if pd.Timestamp(r[-1]).tz is None else int(pd.Timestamp(r[-1]).timestamp() * 1000)
-        ready = sorted((r for r in items if stamp(r) <= mark), key=lambda r: r[:2])
-        waiting = [r for r in items if stamp(r) > mark]
-        self.early.clear()
-        if waiting:
-            self.early.put(waiting)
-            for at in {stamp(r) for r in waiting}:
-                self.handle.registerTimer(at)
+        items = [(_stamp(r), r) for r in (*early, *fresh)]
+        ready = sorted((r for at, r in items if at <= mark), key=lambda r: r[:2])
+        waiting = [(at, r) for at, r in items if at > mark]
+        if not ready:
+            if fresh:
+                self.early.appendList(fresh)
+        elif early:
+            self.early.clear()
+        if ready and waiting:
+            self.early.put([r for _, r in waiting])
+        if waiting and (ready or fresh):
+            self.handle.registerTimer(min(at for at, _ in waiting))
+        if not ready:
+            return
         changed: dict[tuple[int, int], tuple] = {}
-        pos, current, opened = self.place.get() if self.place.exists() else (0, None, None)
+        place = self.place.get() if self.place.exists() else None
+        self.held_calls, self.held_parts = _Held(self.calls, place is None), _Held(self.parts, place is None)
+        pos, current, opened = place or (0, None, None)
         for row in ready:
             pos, current, opened = self._step(dict(zip(_WAITING, row, strict=True)), pos + 1, current, opened, changed)
-        if ready:
-            self.place.update((pos, current, opened))
+        self.place.update((pos, current, opened))
+        self.held_calls.write()
+        self.held_parts.write()
         if changed:
             yield pd.DataFrame([(session, *p) for p in changed.values()], columns=_NAMES)
 
@@ -80,7 +118,7 @@ class _Fold(StatefulProcessor):
             part[2] += 1
             changed[part[1], 0] = tuple(part)
             if part[6] == "tool":
-                self.parts.updateValue((part[1],), tuple(part))
+                self.held_parts.put(part[1], tuple(part))
 
         def new(message: int, role: str, kind: str, text: str | None) -> list:
             tool = kind == "tool"
@@ -92,18 +130,18 @@ class _Fold(StatefulProcessor):
             return pos, None, None
         if kind == "hidden":
             if call:
-                last = self.calls.getValue((call,)) if self.calls.containsKey((call,)) else (None, False)
-                self.calls.updateValue((call,), (last[0], True))
+                last = self.held_calls.get(call) or (None, False)
+                self.held_calls.put(call, (last[0], True))
             return pos, current, None
         if kind == "fragment":
             if opened is not None:
-                part = list(self.parts.getValue((opened,)))
+                part = list(self.held_parts.get(opened))
                 part[10] += x["arguments"] or ""
                 part[11] = list(part[11]) if part[11] is not None else []
                 write(part)
             return pos, current, opened
         if kind == "result":
-            last = self.calls.getValue((call,)) if call and self.calls.containsKey((call,)) else None
+            last = self.held_calls.get(call) if call else None
             said = list(x["output"] or [])
             if last is not None and last[1]:
                 return pos, current, opened
@@ -111,7 +149,7 @@ class _Fold(StatefulProcessor):
                 for text in said:
                     write(new(pos, "tool", "text", text))
             else:
-                part = list(self.parts.getValue((last[0],)))
+                part = list(self.held_parts.get(last[0]))
                 part[11] = [*(part[11] if part[11] is not None else []), *said]
                 write(part)
             return pos, current, opened
@@ -119,8 +157,8 @@ class _Fold(StatefulProcessor):
         write(new(current, x["role"], kind, x["text"]))
         if kind == "tool":
             if call:
-                hidden = self.calls.containsKey((call,)) and self.calls.getValue((call,))[1]
-                self.calls.updateValue((call,), (pos, hidden))
+                last = self.held_calls.get(call)
+                self.held_calls.put(call, (pos, last is not None and last[1]))
             opened = pos
         return pos, current, opened
 
